@@ -1,4 +1,4 @@
-"""Built-in expressions that read markup: tags, attributes, entities, text.
+"""Built-in expressions that read markup: tags, attributes, entities, text (as SQL text).
 
 Everything stays inside the JVM.  The patterns use possessive quantifiers, so neither a missing
 quote nor a very long tag makes them backtrack or recurse.
@@ -6,23 +6,25 @@ quote nor a very long tag makes them backtrack or recurse.
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, functions as F
+from corpuscope.functions.sqltext import concat, each, first, let, q, rx, tail
 
 # Inside a tag: anything up to ">", where a quoted value right after "=" may itself hold ">".
 ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 ANY_TAG = rf"</?[a-zA-Z]{ATTRS}>|<[!?/][^>]*>"
 
-RAW_BLOCKS = (
-    r"(?is)<!--.*?-->"
-    rf"|<script(?:[\s/]{ATTRS})?>.*?</script\s*>"
-    rf"|<style(?:[\s/]{ATTRS})?>.*?</style\s*>"
-    rf"|<iframe(?:[\s/]{ATTRS})?>.*?</iframe\s*>"
-)
-HIDDEN_BLOCKS = (
-    rf"(?is)<noscript(?:[\s/]{ATTRS})?>.*?</noscript\s*>"
-    rf"|<template(?:[\s/]{ATTRS})?>.*?</template\s*>"
-    rf"|<svg(?:[\s/]{ATTRS})?>.*?</svg\s*>"
-)
+
+def tag(name: str) -> str:
+    """Pattern of one start tag."""
+    return rf"(?is)<{name}(?:[\s/]{ATTRS})?>"
+
+
+def _element(name: str) -> str:
+    return rf"<{name}(?:[\s/]{ATTRS})?>.*?</{name}\s*>"
+
+
+RAW_BLOCKS = "(?is)<!--.*?-->|" + "|".join(_element(n) for n in ("script", "style", "iframe"))
+HIDDEN_BLOCKS = "(?is)" + "|".join(_element(n) for n in ("noscript", "template", "svg"))
+SCRIPTS = "(?is)<!--.*?-->|" + _element("script")
 # A new one of these, or the end of one, also ends an open paragraph.
 BLOCK_TAGS = (
     "address|article|aside|blockquote|body|center|dd|details|dialog|dir|div|dl|dt|fieldset"
@@ -34,62 +36,51 @@ BLOCK_TAGS = (
 WIDE_SPACES = "".join(
     chr(n) for n in [0x0B, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 )
+_ATTR = r"""([^\s=>"'/<]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 
 
-def ascii_words(pattern: str) -> str:
-    r"""Spell ``\b`` out over [A-Za-z0-9_]; the JVM's own ``\b`` also looks at other letters."""
-    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
-
-
-def matches(c: Column, pattern: str) -> Column:
-    return c.rlike(ascii_words(pattern))
+def matches(c: str, pattern: str) -> str:
+    return f"rlike({c}, {rx(pattern)})"
 
 
-def count_matches(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(ascii_words(pattern)))
+def count_matches(c: str, pattern: str) -> str:
+    return f"regexp_count({c}, {rx(pattern)})"
 
 
-def extract_all(c: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(c, F.lit(ascii_words(pattern)), F.lit(group))
+def extract(c: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract({c}, {rx(pattern)}, {group})"
 
 
-def extract(c: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract(c, ascii_words(pattern), group)
+def extract_all(c: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({c}, {rx(pattern)}, {group})"
 
 
-def let(value: Column, then) -> Column:
-    """Name an intermediate value: it is computed once however often ``then`` uses it, and the
-    expression tree stays small."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def replace(c: str, pattern: str, by: str = "") -> str:
+    return f"regexp_replace({c}, {rx(pattern)}, {q(by)})"
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+def blank_to_null(c: str) -> str:
+    return f"nullif({c}, '')"
 
 
-def wide_to_space(c: Column) -> Column:
-    return F.translate(c, WIDE_SPACES, " " * len(WIDE_SPACES))
+def wide_to_space(c: str) -> str:
+    return f"translate({c}, {q(WIDE_SPACES)}, {q(' ' * len(WIDE_SPACES))})"
 
 
-def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+def trim_ws(c: str) -> str:
+    return replace(wide_to_space(c), r"^\s+|\s+$")
 
 
-def squeeze(c: Column) -> Column:
+def squeeze(c: str) -> str:
     """Collapse runs of white space and trim."""
-    return F.trim(F.regexp_replace(wide_to_space(c), r"\s+", " "))
-
-
-def tag(name: str) -> str:
-    """Pattern of one start tag."""
-    return rf"(?is)<{name}(?:[\s/]{ATTRS})?>"
+    return f"trim({replace(wide_to_space(c), r'\s+', ' ')})"
 
 
 def entity_table() -> dict[str, str]:
     """Character references: HTML 4 names from the standard library, and the windows-1252
     reading of numeric references 128-159."""
-    first = ["amp", "quot", "lt", "gt", "nbsp", "copy", "middot"]
-    table = {n: chr(name2codepoint[n]) for n in first}
+    often = ["amp", "quot", "lt", "gt", "nbsp", "copy", "middot"]
+    table = {n: chr(name2codepoint[n]) for n in often}
     table["apos"] = "'"
     for n in range(0x80, 0xA0):
         try:
@@ -101,66 +92,62 @@ def entity_table() -> dict[str, str]:
     return table
 
 
-def _char_of(code_point: Column) -> Column:
-    def safe(cp):
-        ok = cp.between(1, 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-        return F.hex(F.when(ok, cp).otherwise(F.lit(0xFFFD)))
+_PACKED = "\u0002".join(f"{name}\u0001{char}" for name, char in entity_table().items())
+ENTITIES = f"str_to_map({q(_PACKED)}, '\u0002', '\u0001')"  # folded to a constant
 
-    return F.decode(F.unhex(F.lpad(let(code_point, safe), 8, "0")), "UTF-32")
 
+def _char_of(code_point: str) -> str:
+    def usable(cp):
+        ok = f"{cp} BETWEEN 1 AND 1114111 AND NOT {cp} BETWEEN 55296 AND 57343"
+        return f"hex(CASE WHEN {ok} THEN {cp} ELSE 65533L END)"
 
-def unescape(c: Column) -> Column:
+    return f"decode(unhex(lpad({let(code_point, usable)}, 8, '0')), 'UTF-32')"
+
+
+def unescape(c: str) -> str:
     """Decode character references in one pass (so ``&amp;lt;`` becomes ``&lt;``)."""
-    table = F.create_map(*[F.lit(x) for kv in entity_table().items() for x in kv])
 
-    def char(key: Column) -> Column:
-        return F.coalesce(
-            F.try_element_at(table, key),
-            F.when(key.startswith("#x"), _char_of(F.conv(F.substr(key, F.lit(3)), 16, 10).cast("bigint"))),
-            F.when(key.startswith("#"), _char_of(F.substr(key, F.lit(2)).try_cast("bigint"))),
+    def char(n):
+        return (
+            f"CASE WHEN startswith({n}, '#') THEN coalesce(try_element_at({ENTITIES}, lower({n})),"
+            f" CASE WHEN startswith(lower({n}), '#x') THEN {_char_of(f'CAST(conv(substr({n}, 3), 16, 10) AS BIGINT)')}"
+            f" ELSE {_char_of(f'try_cast(substr({n}, 2) AS BIGINT)')} END)"
+            f" WHEN {n} <> '' THEN try_element_at({ENTITIES}, {n}) END"
         )
 
-    def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
-        return let(name, lambda n: F.coalesce(
-            F.concat(
-                F.when(n.startswith("#"), char(F.lower(n))).when(n != "", F.try_element_at(table, n)),
-                F.substr(p, F.length(n) + 2),
-            ),
-            F.concat(F.lit("&"), p),
-        ))
+    def piece(p):
+        name = extract(p, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        return let(name, lambda n: f"coalesce({concat(char(n), f'substr({p}, length({n}) + 2)')}, concat('&', {p}))")
 
-    def joined(parts: Column) -> Column:
-        tail = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
-        return F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
+    def joined(parts):
+        return concat(first(parts), f"array_join({each(tail(parts), piece)}, '')")
 
-    return let(c, lambda v: F.when(F.contains(v, F.lit("&")), let(F.split(v, "&"), joined)).otherwise(v))
+    split = lambda v: let(f"split({v}, '&')", joined)
+    return let(c, lambda v: f"CASE WHEN contains({v}, '&') THEN {split(v)} ELSE {v} END")
 
 
-def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, ANY_TAG, "")
+def strip_tags(c: str) -> str:
+    return replace(c, ANY_TAG)
 
 
-def text_of(c: Column) -> Column:
+def text_of(c: str) -> str:
     """Visible text of a fragment: tags removed, references decoded, white space squeezed."""
     return squeeze(unescape(strip_tags(c)))
 
 
-_ATTR = r"""([^\s=>"'/<]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
-
-
-def attr(tag_text: Column, name: str) -> Column:
+def attr(tag_text: str, name: str) -> str:
     """Value of the first attribute called ``name``, decoded; null when the tag has none."""
 
-    def read(t: Column) -> Column:
-        names = F.transform(F.regexp_extract_all(t, F.lit(_ATTR), F.lit(1)), F.lower)
-        values = F.regexp_extract_all(t, F.lit(_ATTR), F.lit(2))
-        raw = F.get(values, F.array_position(names, name).cast("int") - 1)
-        return F.when(F.contains(F.lower(t), F.lit(name)), F.regexp_replace(raw, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2"))
+    def read(t):
+        names = each(extract_all(t, _ATTR, 1), lambda n: f"lower({n})")
+        at = f"CAST(array_position({names}, {q(name)}) AS INT) - 1"
+        raw = f"get({extract_all(t, _ATTR, 2)}, {at})"
+        bare = replace(raw, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")
+        return f"CASE WHEN contains(lower({t}), {q(name)}) THEN {bare} END"
 
     return unescape(let(tag_text, read))
 
 
-def attr_text(tag_text: Column, name: str) -> Column:
+def attr_text(tag_text: str, name: str) -> str:
     """Attribute trimmed, null when blank."""
-    return blank_to_null(trim_ws(wide_to_space(attr(tag_text, name))))
+    return blank_to_null(trim_ws(attr(tag_text, name)))

@@ -1,9 +1,8 @@
-"""URL expressions: parse, resolve, normalise, classify."""
-
-from pyspark.sql import Column, functions as F
+"""URL expressions: parse, resolve, normalise, classify (as SQL text)."""
 
 from corpuscope.functions import lexicon as lx
-from corpuscope.functions.html import ascii_words, blank_to_null, let, trim_ws, wide_to_space
+from corpuscope.functions.html import blank_to_null, extract, matches, replace, trim_ws
+from corpuscope.functions.sqltext import concat, each, fn, keep, let, listed, q
 
 ABSOLUTE = r"^[a-zA-Z][a-zA-Z0-9+.-]*:"
 _AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
@@ -11,140 +10,136 @@ _PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 _DEFAULT_PORT = r"^(http://[^/?#]*):80$|^(https://[^/?#]*):443$"
 
 
-def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+def scheme(url: str) -> str:
+    return f"lower({extract(url, r'^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)})"
 
 
-def authority(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, _AUTHORITY, 1))
+def authority(url: str) -> str:
+    return f"lower({extract(url, _AUTHORITY, 1)})"
 
 
-def host(url: Column) -> Column:
+def host(url: str) -> str:
     """Lower-cased host name without user info and port; '' when there is none."""
-    hostport = F.regexp_replace(authority(url), r"^.*@", "")
-    return F.regexp_replace(hostport, r":\d*$", "")
+    return replace(replace(authority(url), r"^.*@"), r":\d*$")
 
 
-def bare_host(url: Column) -> Column:
+def bare_host(url: str) -> str:
     """Host without a leading ``www.`` - the key we group sites by."""
-    return F.regexp_replace(host(url), r"^www\.", "")
+    return replace(host(url), r"^www\.")
 
 
-def origin(url: Column) -> Column:
-    o = F.concat(scheme(url), F.lit("://"), F.regexp_replace(authority(url), r"^.*@", ""))
-    return F.regexp_replace(o, _DEFAULT_PORT, "$1$2")
+def origin(url: str) -> str:
+    return replace(concat(scheme(url), "'://'", replace(authority(url), r"^.*@")), _DEFAULT_PORT, "$1$2")
 
 
-def path(url: Column) -> Column:
+def path(url: str) -> str:
     """Path, '/' when empty."""
-    return F.coalesce(F.nullif(F.regexp_extract(url, _PATH, 1), F.lit("")), F.lit("/"))
+    return f"coalesce({blank_to_null(extract(url, _PATH, 1))}, '/')"
 
 
-def query(url: Column) -> Column:
+def query(url: str) -> str:
     """Query with its '?', '' when absent."""
-    return F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    return extract(url, r"^[^?#]*(\?[^#]*)", 1)
 
 
-def fragment(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[^#]*(#.*)$", 1)
+def fragment(url: str) -> str:
+    return extract(url, r"^[^#]*(#.*)$", 1)
 
 
-def encode_path(p: Column) -> Column:
+def encode_path(p: str) -> str:
     """Percent-encode what a browser would encode inside a path."""
     out = p
     for plain, coded in [(" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"),
                          ("{", "%7B"), ("}", "%7D")]:
-        out = F.replace(out, F.lit(plain), F.lit(coded))
+        out = f"replace({out}, {q(plain)}, {q(coded)})"
+    wide = r"[^\x00-\x7f]"
 
-    def wide(v):
-        chars = F.transform(
-            F.split(v, ""), lambda ch: F.when(ch.rlike(r"^[^\x00-\x7f]"), F.url_encode(ch)).otherwise(ch)
-        )
-        return F.when(v.rlike(r"[^\x00-\x7f]"), F.array_join(chars, "")).otherwise(v)
+    def coded_chars(v):
+        one = lambda ch: f"CASE WHEN {matches(ch, wide)} THEN url_encode({ch}) ELSE {ch} END"
+        return f"CASE WHEN {matches(v, wide)} THEN array_join({each(f"split({v}, '')", one)}, '') ELSE {v} END"
 
-    return let(out, wide)
+    return let(out, coded_chars)
 
 
-def drop_dots(p: Column) -> Column:
+def drop_dots(p: str) -> str:
     """Resolve '.' and '..' segments of an absolute path."""
 
     def without_dots(v):
-        kept = F.aggregate(
-            F.split(F.regexp_replace(v, r"/\.\.?$", "$0/"), "/"),
-            F.array().cast("array<string>"),
-            lambda acc, s: F.when(
-                s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.least(F.size(acc), F.lit(1))))
-            ).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
+        segments = f"split({replace(v, r'/\.\.?$', '$0/')}, '/')"
+        step = (
+            "(acc, s) -> CASE WHEN s = '..' THEN slice(acc, 1, greatest(size(acc) - 1, least(size(acc), 1)))"
+            " WHEN s = '.' THEN acc ELSE concat(acc, array(s)) END"
         )
-        return F.when(v.rlike(r"/\.\.?(/|$)"), F.array_join(kept, "/")).otherwise(v)
+        kept = f"aggregate({segments}, CAST(array() AS ARRAY<STRING>), {step})"
+        return f"CASE WHEN {matches(v, r'/\.\.?(/|$)')} THEN array_join({kept}, '/') ELSE {v} END"
 
     return let(p, without_dots)
 
 
-def tidy(url: Column) -> Column:
+def tidy(url: str) -> str:
     """Absolute http(s) URL as a browser prints it: lower-cased origin, no default port,
     a path, no dot segments, encoded characters."""
-    return F.concat(origin(url), encode_path(drop_dots(path(url))), query(url), fragment(url))
+    return concat(origin(url), encode_path(drop_dots(path(url))), query(url), fragment(url))
 
 
-def resolve(href: Column, base: Column) -> Column:
+def resolve(href: str, base: str) -> str:
     """Absolute form of ``href`` found on page ``base``; null when it cannot be read."""
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    joined = (
-        F.when(href.rlike(ABSOLUTE), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin(base), href))
-        .when(href.startswith("?"), F.concat(origin(base), path(base), href))
-        .when(href.startswith("#"), F.concat(origin(base), path(base), query(base), href))
-        .otherwise(F.concat(origin(base), folder, href))
+
+    def joined(ref):
+        return (
+            f"CASE WHEN {matches(ref, ABSOLUTE)} THEN {ref}"
+            f" WHEN startswith({ref}, '//') THEN {concat(scheme(base), q(':'), ref)}"
+            f" WHEN startswith({ref}, '/') THEN {concat(origin(base), ref)}"
+            f" WHEN startswith({ref}, '?') THEN {concat(origin(base), path(base), ref)}"
+            f" WHEN startswith({ref}, '#') THEN {concat(origin(base), path(base), query(base), ref)}"
+            f" ELSE {concat(origin(base), replace(path(base), '[^/]*$'), ref)} END"
+        )
+
+    return let(
+        let(href, joined),
+        lambda v: f"CASE WHEN {scheme(v)} NOT IN ('http', 'https') THEN {v} WHEN {host(v)} <> '' THEN {tidy(v)} END",
     )
-    return let(joined, lambda v: F.when(~scheme(v).isin("http", "https"), v).when(host(v) != "", tidy(v)))
 
 
-def key(url: Column) -> Column:
+def key(url: str) -> str:
     """Identity of a page: lower-cased origin and path, no trailing slashes, query or fragment."""
-    trimmed = F.nullif(F.regexp_replace(path(url), r"/+$", ""), F.lit(""))
-    return F.lower(F.concat(origin(url), F.coalesce(trimmed, F.lit("/"))))
+    trimmed = blank_to_null(replace(path(url), r"/+$"))
+    return f"lower({concat(origin(url), f'coalesce({trimmed}, {q(chr(47))})')})"
 
 
-def with_scheme(raw: Column) -> Column:
+def with_scheme(raw: str) -> str:
     """Trimmed input, https assumed when no scheme is given."""
-    t = trim_ws(wide_to_space(F.coalesce(raw, F.lit(""))))
-    return F.when(t.rlike(ABSOLUTE), t).otherwise(F.concat(F.lit("https://"), t))
+    return let(
+        trim_ws(f"coalesce({raw}, '')"),
+        lambda t: f"CASE WHEN {matches(t, ABSOLUTE)} THEN {t} ELSE concat('https://', {t}) END",
+    )
 
 
-def kept_query(q: Column) -> Column:
+def kept_query(query_text: str) -> str:
     """Query re-printed without tracking parameters."""
-    kept = F.filter(
-        F.split(F.substr(q, F.lit(2)), "&"),
-        lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*lx.TRACKING_PARAMS),
-    )
-    printed = F.transform(
-        kept,
-        lambda p: F.replace(
-            F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))), F.lit("%20"), F.lit("+")
-        ),
+    kept = keep(
+        f"split(substr({query_text}, 2), '&')",
+        lambda p: f"{p} <> '' AND substring_index({p}, '=', 1) NOT IN {listed(lx.TRACKING_PARAMS)}",
     )
-    return let(F.array_join(printed, "&"), lambda v: F.when(v != "", F.concat(F.lit("?"), v)).otherwise(F.lit("")))
+    printed = each(kept, lambda p: f"replace(CASE WHEN contains({p}, '=') THEN {p} ELSE concat({p}, '=') END, '%20', '+')")
+    return let(f"array_join({printed}, '&')", lambda v: f"CASE WHEN {v} <> '' THEN concat('?', {v}) ELSE '' END")
 
 
-def normalize(raw: Column) -> Column:
+def normalize(raw: str) -> str:
     """Printed form without tracking parameters and fragment."""
-    return let(
-        with_scheme(raw), lambda v: F.concat(origin(v), encode_path(drop_dots(path(v))), kept_query(query(v)))
-    )
+    return let(with_scheme(raw), lambda v: concat(origin(v), encode_path(drop_dots(path(v))), kept_query(query(v))))
 
 
 # ---- addresses --------------------------------------------------------------------------
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
+_V4_TAIL = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 
 
-def ipv4_number(ip: Column) -> Column:
-    parts = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("bigint"))
-    value = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + x)
-    return F.when(ip.rlike(IPV4), value)
+def ipv4_number(ip: str) -> str:
+    parts = each(f"split({ip}, '[.]')", lambda x: f"try_cast({x} AS BIGINT)")
+    return f"CASE WHEN {matches(ip, IPV4)} THEN aggregate({parts}, 0L, (acc, x) -> acc * 256 + x) END"
 
 
 def cidr_bounds(cidr: str) -> tuple[int, int]:
@@ -157,132 +152,128 @@ def cidr_bounds(cidr: str) -> tuple[int, int]:
     return lo, lo + size - 1
 
 
-def ip_version(ip: Column) -> Column:
+def ip_version(ip: str) -> str:
     """4, 6 or 0."""
-    zone_free = F.lower(F.substring_index(ip, "%", 1))
-    tail = F.regexp_extract(zone_free, r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
-    head = F.regexp_replace(zone_free, r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$", "")
-    six = (
-        F.contains(ip, F.lit(":"))
-        & (F.regexp_count(ip, F.lit("::")) <= 1)
-        & ((tail == "") | tail.rlike(IPV4))
-        & ~F.exists(F.split(head, ":"), lambda g: (g != "") & ~g.rlike(r"^[0-9a-f]{1,4}$"))
-    )
-    return F.when(ip.rlike(IPV4), F.lit(4)).when(six, F.lit(6)).otherwise(F.lit(0))
+
+    def six(z):
+        t = extract(z, _V4_TAIL)
+        bad = fn(lambda g: f"{g} <> '' AND NOT {matches(g, r'^[0-9a-f]{1,4}$')}")
+        return (
+            f"regexp_count({z}, '::') <= 1 AND ({t} = '' OR {matches(t, IPV4)})"
+            f" AND NOT exists(split({replace(z, _V4_TAIL)}, ':'), {bad})"
+        )
+
+    zone_free = f"lower(substring_index({ip}, '%', 1))"
+    return f"CASE WHEN {matches(ip, IPV4)} THEN 4 WHEN contains({ip}, ':') AND {let(zone_free, six)} THEN 6 ELSE 0 END"
 
 
-def classify_v4(ip: Column) -> Column:
+def classify_v4(ip: str) -> str:
     """Rejection code of an IPv4 literal, null when it is public."""
 
     def by_range(n):
-        out = None
-        for cidr, code in lx.BLOCKED_V4_CIDRS:
-            lo, hi = cidr_bounds(cidr)
-            out = F.when(n.between(lo, hi), F.lit(code)) if out is None else out.when(n.between(lo, hi), F.lit(code))
-        return out
-
-    return F.when(ip.isin(*lx.METADATA_ADDRESSES_V4), F.lit("METADATA_ENDPOINT")).otherwise(
-        let(ipv4_number(ip), by_range)
-    )
+        whens = " ".join(
+            f"WHEN {n} BETWEEN {cidr_bounds(c)[0]}L AND {cidr_bounds(c)[1]}L THEN {q(code)}" for c, code in lx.BLOCKED_V4_CIDRS
+        )
+        return f"CASE {whens} END"
+
+    return f"CASE WHEN {ip} IN {listed(lx.METADATA_ADDRESSES_V4)} THEN 'METADATA_ENDPOINT' ELSE {let(ipv4_number(ip), by_range)} END"
 
 
-def classify_v6(ip: Column) -> Column:
+def classify_v6(ip: str) -> str:
     """Rejection code of an IPv6 literal, null when it is public."""
 
-    def code(v6):
-        embedded = F.when(v6.startswith("::"), blank_to_null(F.regexp_extract(v6, r"(\d{1,3}(?:\.\d{1,3}){3})$", 1)))
+    def code(v):
+        embedded = extract(v, _V4_TAIL)
         return (
-            F.when(v6.isin(*lx.METADATA_ADDRESSES_V6), F.lit("METADATA_ENDPOINT"))
-            .when(v6.isin("::", "::1"), F.lit("LOOPBACK_ADDRESS"))
-            .when(embedded.isNotNull(), classify_v4(embedded))
-            .when(v6.rlike(r"^(fe80|fe9|fea|feb)"), F.lit("LINK_LOCAL_ADDRESS"))
-            .when(v6.rlike(r"^(fc|fd|ff)"), F.lit("PRIVATE_ADDRESS"))
+            f"CASE WHEN {v} IN {listed(lx.METADATA_ADDRESSES_V6)} THEN 'METADATA_ENDPOINT'"
+            f" WHEN {v} IN ('::', '::1') THEN 'LOOPBACK_ADDRESS'"
+            f" WHEN startswith({v}, '::') AND {embedded} <> '' THEN {let(embedded, classify_v4)}"
+            f" WHEN {matches(v, r'^(fe80|fe9|fea|feb)')} THEN 'LINK_LOCAL_ADDRESS'"
+            f" WHEN {matches(v, r'^(fc|fd|ff)')} THEN 'PRIVATE_ADDRESS' END"
         )
 
-    return let(F.lower(F.substring_index(F.regexp_replace(ip, r"^\[|\]$", ""), "%", 1)), code)
+    return let(f"lower(substring_index({replace(ip, r'^\[|\]$')}, '%', 1))", code)
 
 
-def registrable_domain(hostname: Column) -> Column:
+def registrable_domain(hostname: str) -> str:
     """Last two labels, or three under a two-label public suffix; addresses stay whole."""
 
     def cut(h):
-        labels = F.split(h, r"\.")
-        last2, last3 = F.substring_index(h, ".", -2), F.substring_index(h, ".", -3)
+        labels = f"split({h}, '[.]')"
         return (
-            F.when((F.size(labels) <= 2) | (ip_version(h) != 0), h)
-            .when(F.get(labels, F.size(labels) - 2).isin(*lx.SECOND_LEVEL_SUFFIXES), last3)
-            .otherwise(last2)
+            f"CASE WHEN size({labels}) <= 2 OR {ip_version(h)} <> 0 THEN {h}"
+            f" WHEN get({labels}, size({labels}) - 2) IN {listed(lx.SECOND_LEVEL_SUFFIXES)} THEN substring_index({h}, '.', -3)"
+            f" ELSE substring_index({h}, '.', -2) END"
         )
 
-    return let(F.regexp_replace(F.regexp_replace(F.lower(hostname), r"^\[|\]$", ""), r"^www\.", ""), cut)
+    return let(replace(replace(f"lower({hostname})", r"^\[|\]$"), r"^www\."), cut)
 
 
-def rejection_code(raw: Column) -> Column:
+def _host_rules(u: str, hostport: str) -> str:
+    port = f"try_cast({extract(hostport, r':(\d*)$', 1)} AS BIGINT)"
+    name = replace(replace(hostport, r":\d*$"), r"\.$")
+
+    def rules(p):
+        literal = replace(f"{p}.name", r"^\[|\]$")
+        suffix = " OR ".join(f"endswith({p}.name, {q(s)})" for s in lx.BLOCKED_SUFFIXES)
+        by_address = let(
+            f"named_struct('ip', {literal}, 'v', {ip_version(literal)})",
+            lambda a: f"CASE WHEN {a}.v = 4 THEN {classify_v4(f'{a}.ip')} WHEN {a}.v = 6 THEN {classify_v6(f'{a}.ip')}"
+            f" WHEN {p}.name IN {listed(lx.BLOCKED_HOSTNAMES)} OR {suffix} OR NOT contains({p}.name, '.') THEN 'BLOCKED_HOSTNAME' END",
+        )
+        default = f"{p}.port = CASE WHEN {scheme(u)} = 'http' THEN 80 ELSE 443 END"
+        by_port = f"CASE WHEN {p}.port = 0 OR (NOT {default} AND {p}.port IN {listed(lx.BLOCKED_PORTS)}) THEN 'BLOCKED_PORT' END"
+        broken = (
+            f"{p}.name = '' OR {matches(f'{p}.name', r'[\s<>\\^`{|}%]')}"
+            f" OR (contains({p}.name, ':') AND NOT startswith({p}.name, '[')) OR coalesce({p}.port, 0) > 65535"
+        )
+        who = extract(authority(u), r"^(.*)@", 1)
+        return (
+            f"CASE WHEN {broken} THEN 'MALFORMED' WHEN {who} NOT IN ('', ':') THEN 'CREDENTIALS_IN_URL'"
+            f" ELSE coalesce({by_address}, {by_port}) END"
+        )
+
+    return let(f"named_struct('name', {name}, 'port', {port})", rules)
+
+
+def rejection_code(raw: str) -> str:
     """First rule an address breaks, null when it may be audited."""
-    trimmed = trim_ws(wide_to_space(F.coalesce(raw, F.lit(""))))
-
-    def by_host(u, hostport):
-        port = F.regexp_extract(hostport, r":(\d*)$", 1)
-        name = F.regexp_replace(hostport, r":\d*$|\.(:\d*)?$", "")
-
-        def rules(p):
-            literal = F.regexp_replace(p["name"], r"^\[|\]$", "")
-            suffix = F.lit(False)
-            for s in lx.BLOCKED_SUFFIXES:
-                suffix = suffix | p["name"].endswith(s)
-            default = F.when(scheme(u) == "http", p["port"] == 80).otherwise(p["port"] == 443)
-            by_address = let(
-                F.struct(literal.alias("ip"), ip_version(literal).alias("v")),
-                lambda a: F.when(a["v"] == 4, classify_v4(a["ip"]))
-                .when(a["v"] == 6, classify_v6(a["ip"]))
-                .when(
-                    p["name"].isin(*lx.BLOCKED_HOSTNAMES) | suffix | ~F.contains(p["name"], F.lit(".")),
-                    F.lit("BLOCKED_HOSTNAME"),
-                ),
-            )
-            by_port = F.when(
-                (p["port"] == 0) | (~default & p["port"].isin(*lx.BLOCKED_PORTS)), F.lit("BLOCKED_PORT")
-            )
-            broken = (
-                (p["name"] == "")
-                | p["name"].rlike(r"[\s<>\\^`{|}%]")
-                | (F.contains(p["name"], F.lit(":")) & ~p["name"].startswith("["))
-                | (F.coalesce(p["port"], F.lit(0)) > 65535)
-            )
-            named = F.regexp_extract(authority(u), r"^(.*)@", 1)
-            return F.when(broken, F.lit("MALFORMED")).when(
-                ~named.isin("", ":"), F.lit("CREDENTIALS_IN_URL")
-            ).otherwise(F.coalesce(by_address, by_port))
-
-        return let(F.struct(name.alias("name"), port.try_cast("bigint").alias("port")), rules)
-
-    return (
-        F.when(trimmed == "", F.lit("EMPTY"))
-        .otherwise(let(
-            with_scheme(raw),
-            lambda v: F.when(~scheme(v).isin("http", "https"), F.lit("UNSUPPORTED_SCHEME"))
-            .otherwise(let(F.regexp_replace(authority(v), r"^.*@", ""), lambda hp: by_host(v, hp))),
-        ))
-    )
+
+    def rules(v):
+        return (
+            f"CASE WHEN {scheme(v)} NOT IN ('http', 'https') THEN 'UNSUPPORTED_SCHEME'"
+            f" ELSE {let(replace(authority(v), r'^.*@'), lambda hp: _host_rules(v, hp))} END"
+        )
+
+    blank = trim_ws(f"coalesce({raw}, '')")
+    return f"CASE WHEN {blank} = '' THEN 'EMPTY' ELSE {let(with_scheme(raw), rules)} END"
+
+
+# ---- what a page is ---------------------------------------------------------------------
 
 
-def page_role(lower_path: Column, title: Column, h1: Column) -> Column:
+def page_role(lower_path: str, title: str, h1: str) -> str:
     """Role of a page from its path; an 'faq' in title or main headings also counts."""
-    hay = F.concat_ws(" ", lower_path, F.lower(F.coalesce(title, F.lit(""))), F.lower(F.array_join(h1, " ")))
-    out = F.when(lower_path.isin("/", ""), F.lit("HOME"))
-    for role, pattern in lx.ROLE_PATTERNS:
-        hit = lower_path.rlike(ascii_words(pattern))
-        if role == "FAQ":
-            hit = hit | F.contains(hay, F.lit("faq"))
-        out = out.when(hit, F.lit(role))
-    return out.otherwise(F.lit("OTHER"))
+    hay = f"concat_ws(' ', {lower_path}, lower(coalesce({title}, '')), lower(array_join({h1}, ' ')))"
 
+    def chain(p):
+        whens = []
+        for role, pattern in lx.ROLE_PATTERNS:
+            hit = matches(p, pattern)
+            if role == "FAQ":
+                hit = f"{hit} OR contains({hay}, 'faq')"
+            whens.append(f"WHEN {hit} THEN {q(role)}")
+        return f"CASE WHEN {p} IN ('/', '') THEN 'HOME' {' '.join(whens)} ELSE 'OTHER' END"
 
-def crawl_priority(url: Column) -> Column:
+    return let(lower_path, chain)
+
+
+def crawl_priority(url: str) -> str:
     """0 home ... 10 article, deeper pages later."""
-    p = F.lower(path(url))
-    out = F.when(p.isin("/", ""), F.lit(0))
-    for rank, pattern in lx.CRAWL_PRIORITY_PATTERNS:
-        out = out.when(p.rlike(pattern), F.lit(rank))
-    depth = F.size(F.filter(F.split(p, "/"), lambda s: s != ""))
-    return out.otherwise(F.lit(11) + F.least(F.lit(8), depth))
+
+    def chain(p):
+        whens = " ".join(f"WHEN {matches(p, pattern)} THEN {rank}" for rank, pattern in lx.CRAWL_PRIORITY_PATTERNS)
+        depth = f"size({keep(f'split({p}, {q(chr(47))})', lambda s: f'{s} <> {q(str())}')})"
+        return f"CASE WHEN {p} IN ('/', '') THEN 0 {whens} ELSE 11 + least(8, {depth}) END"
+
+    return let(f"lower({path(url)})", chain)

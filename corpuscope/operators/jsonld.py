@@ -13,6 +13,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from corpuscope.functions import html as h
 from corpuscope.functions.lexicon import TRACKED_SCHEMA_PROPERTIES
+from corpuscope.functions.sqltext import each, keep, let
 
 # Executors need no installed copy of this package to run the UDF.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,21 +29,19 @@ TYPE_DEPTH = 8
 VALUE_DEPTH = 6
 
 
-def script_bodies(html: Column) -> Column:
-    """Bodies of the page's ld+json scripts, null when there are none (comments do not count)."""
-    blocks = h.extract_all(
-        html, rf"(?is)<!--.*?-->|<script(?:[\s/]{h.ATTRS})?>.*?</script\s*>"
-    )
-    opening = rf"(?is)^<script{h.ATTRS}>"
-    ld = F.filter(
-        blocks,
-        lambda b: h.attr(F.regexp_extract(b, opening, 0), "type") == "application/ld+json",
-    )
-    bodies = F.transform(
-        ld, lambda b: h.trim_ws(h.wide_to_space(F.regexp_replace(b, rf"(?is)^<script{h.ATTRS}>|</script\s*>$", "")))
-    )
-    bodies = F.filter(bodies, lambda b: b != "")
-    return F.when(h.matches(html, r"(?i)ld\+json"), F.when(F.size(bodies) > 0, bodies))
+LD_SCRIPT = r"""(?is)^<script\s(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*?(?<![^\s"'])type\s*=\s*["']?application/ld\+json["']?[\s/>]"""
+
+
+def script_bodies(html: str) -> str:
+    """Bodies of the page's ld+json scripts, null when there are none (comments do not count).
+
+    No lambda in here may use the variable of another one: the text is the argument of an Arrow
+    UDF, and Spark does not plan such an argument.
+    """
+    ld = keep(h.extract_all(html, h.SCRIPTS), lambda b: h.matches(b, LD_SCRIPT))
+    bodies = each(ld, lambda b: h.trim_ws(h.replace(b, rf"(?is)^<script{h.ATTRS}>|</script\s*>$")))
+    some = let(keep(bodies, lambda b: f"{b} <> ''"), lambda v: f"CASE WHEN size({v}) > 0 THEN {v} END")
+    return f"CASE WHEN {h.matches(html, r'(?i)ld[+]json')} THEN {some} END"
 
 
 def _walk(node, limit):

@@ -5,11 +5,14 @@ for those only, since Catalyst prunes the rest (the Arrow UDF of the structured-
 included).  ``html`` itself is not carried on.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import cache
+
+from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.functions import html as h
 from corpuscope.functions import lexicon as lx
 from corpuscope.functions import urls as u
+from corpuscope.functions.sqltext import concat, each, first, fn, keep, let, q, strings, tail
 from corpuscope.operators import jsonld
 
 EXCERPT_PARAGRAPHS = 8
@@ -18,340 +21,293 @@ MAX_EXTERNAL_DOMAINS = 40
 MAX_AUTHORS = 10
 MAX_CONTACTS = 10
 
-OPTIONAL_INPUTS = {
-    "status_code": "int",
-    "fetch_ms": "int",
-    "redirect_hops": "int",
-    "content_type": "string",
-}
-
-
-def first_where(tags: Column, test) -> Column:
-    return F.get(F.filter(tags, test), F.lit(0))
+OPTIONAL_INPUTS = {"status_code": "int", "fetch_ms": "int", "redirect_hops": "int", "content_type": "string"}
 
 
 # ---- pieces of a page -------------------------------------------------------------------
 
 
-def meta_tags(doc: Column) -> Column:
-    return F.transform(
+def meta_tags(doc: str) -> str:
+    fields = {"name": "name", "property": "property", "content": "content", "charset": "charset", "equiv": "http-equiv"}
+    return each(
         h.extract_all(doc, h.tag("meta")),
-        lambda t: F.struct(
-            h.attr(t, "name").alias("name"),
-            h.attr(t, "property").alias("property"),
-            h.attr(t, "content").alias("content"),
-            h.attr(t, "charset").alias("charset"),
-            h.attr(t, "http-equiv").alias("equiv"),
-        ),
+        lambda t: "named_struct(" + ", ".join(f"{q(k)}, {h.attr(t, a)}" for k, a in fields.items()) + ")",
     )
 
 
-def meta_content(metas: Column, field: str, value: str) -> Column:
+def meta_content(field: str, value: str) -> str:
     """Content of the first tag whose ``field`` equals ``value``; null when blank."""
-    c = first_where(metas, lambda m: m[field] == value)["content"]
-    return h.blank_to_null(h.trim_ws(h.wide_to_space(c)))
+    return h.blank_to_null(h.trim_ws(first(keep("metas", lambda m: f"{m}.{field} = {q(value)}")) + ".content"))
 
 
-def first_tag_attr(doc: Column, tag: str, name: str) -> Column:
-    return h.attr_text(h.extract(doc, h.tag(tag)), name)
-
-
-def heading_nodes(doc: Column) -> Column:
-    found = F.transform(
+def heading_nodes(doc: str) -> str:
+    found = each(
         h.extract_all(doc, rf"(?is)<h[1-6](?:[\s/]{h.ATTRS})?>.*?</h[1-6]\s*>"),
-        lambda m: F.struct(
-            F.substring(m, 3, 1).cast("int").alias("level"),
-            F.substring(h.text_of(m), 1, 300).alias("text"),
-        ),
+        lambda m: f"named_struct('level', CAST(substring({m}, 3, 1) AS INT), 'text', substring({h.text_of(m)}, 1, 300))",
     )
-    return F.filter(found, lambda n: n["text"] != "")
+    return keep(found, lambda n: f"{n}.text <> ''")
 
 
-def is_question(text: Column) -> Column:
-    words = "|".join(lx.QUESTION_WORDS)
-    return F.contains(text, F.lit("?")) | h.matches(text, rf"(?i)^({words})\b")
+def question_texts(headings: str) -> str:
+    pattern = r"(?i)^(" + "|".join(lx.QUESTION_WORDS) + r")\b"
+    return keep(each(headings, lambda n: f"{n}.text"), lambda t: f"contains({t}, '?') OR {h.matches(t, pattern)}")
 
 
-def hierarchy_valid(headings: Column) -> Column:
-    levels = F.transform(headings, lambda n: n["level"])
-    jumps = F.zip_with(
-        levels, F.slice(levels, F.lit(2), F.size(levels)), lambda a, b: F.coalesce(b > a + 1, F.lit(False))
-    )
-    return ~F.exists(jumps, lambda j: j)
+def hierarchy_valid(headings: str) -> str:
+    """No heading steps down more than one level from the one before."""
+    levels = each(headings, lambda n: f"{n}.level")
+    jumps = let(levels, lambda v: f"zip_with({v}, slice({v}, 2, size({v})), (a, b) -> coalesce(b > a + 1, false))")
+    return f"NOT exists({jumps}, {fn(lambda j: j)})"
 
 
-def paragraph_texts(content: Column) -> Column:
+def paragraph_texts(content: str) -> str:
     """Texts of <p> elements longer than 40 characters; the next block ends an open one."""
-    segments = F.split(content, rf"(?i)<p(?:[\s/]{h.ATTRS})?>")
     end = rf"(?is)^(.*?)(?:</?(?:{h.BLOCK_TAGS})[\s/>]|\z)"
-    texts = F.transform(
-        F.slice(segments, F.lit(2), F.size(segments)), lambda s: h.text_of(F.regexp_extract(s, end, 1))
-    )
-    return F.filter(texts, lambda t: F.length(t) > 40)
+    segments = tail(f"split({content}, {q(h.tag('p'))})")
+    return keep(each(segments, lambda s: h.text_of(h.extract(s, end, 1))), lambda t: f"length({t}) > 40")
 
 
-def body_markup(content: Column) -> Column:
+def body_markup(content: str) -> str:
     """What follows the body tag; without one, what follows the head."""
     return (
-        F.when(h.matches(content, r"(?i)<body[\s/>]"), F.regexp_replace(content, rf"(?is)^.*?<body(?:[\s/]{h.ATTRS})?>", ""))
-        .when(h.matches(content, r"(?i)</head\s*>"), F.regexp_replace(content, r"(?is)^.*?</head\s*>", ""))
-        .otherwise(F.regexp_replace(content, r"(?is)<title[^>]*>.*?</title\s*>", ""))
+        f"CASE WHEN {h.matches(content, r'(?i)<body[\s/>]')} THEN {h.replace(content, rf'(?is)^.*?<body(?:[\s/]{h.ATTRS})?>')}"
+        f" WHEN {h.matches(content, r'(?i)</head\s*>')} THEN {h.replace(content, r'(?is)^.*?</head\s*>')}"
+        f" ELSE {h.replace(content, r'(?is)<title[^>]*>.*?</title\s*>')} END"
     )
 
 
-def word_count(text: Column) -> Column:
+def word_count(text: str) -> str:
     """White-space separated tokens that hold a letter or digit."""
-    return F.regexp_count(F.regexp_replace(text, r"[^\sa-zA-Z0-9]+", ""), F.lit(r"\S+"))
+    return h.count_matches(h.replace(text, r"[^\sa-zA-Z0-9]+"), r"\S+")
 
 
-def count_tags(content: Column, names: str) -> Column:
-    return F.regexp_count(content, F.lit(rf"(?i)<(?:{names})[\s/>]"))
+def count_tags(content: str, names: str) -> str:
+    return h.count_matches(content, rf"(?i)<(?:{names})[\s/>]")
 
 
-def link_nodes(doc: Column, url: Column, site_host: Column) -> Column:
+def link_nodes(doc: str, url: str, site_host: str) -> str:
     """<a href> of a page in document order, resolved against the page."""
-    segments = F.split(doc, r"(?i)<a(?=[\s/])")
 
     def node(s):
-        head = F.regexp_extract(s, rf"^{h.ATTRS}", 0)
-        inner = F.regexp_extract(s, rf"(?is)^{h.ATTRS}>(.*?)(?:</a\s*>|\z)", 1)
-        href = h.trim_ws(h.wide_to_space(h.attr(head, "href")))
-        return F.struct(
-            href.alias("href"),
-            F.substring(h.text_of(inner), 1, 200).alias("text"),
-            F.contains(F.lower(F.coalesce(h.attr(head, "rel"), F.lit(""))), F.lit("nofollow")).alias("nofollow"),
+        head = h.extract(s, rf"^{h.ATTRS}")
+        inner = h.extract(s, rf"(?is)^{h.ATTRS}>(.*?)(?:</a\s*>|\z)", 1)
+        return (
+            f"named_struct('href', {h.trim_ws(h.attr(head, 'href'))}, 'text', substring({h.text_of(inner)}, 1, 200),"
+            f" 'nofollow', contains(lower(coalesce({h.attr(head, 'rel')}, '')), 'nofollow'))"
         )
 
-    raw = F.transform(F.slice(segments, F.lit(2), F.size(segments)), node)
-    usable = F.filter(
-        raw, lambda n: n["href"].isNotNull() & (n["href"] != "") & ~n["href"].rlike(r"^(#|javascript:)")
-    )
-    resolved = F.filter(
-        F.transform(usable, lambda n: F.struct(n.alias("n"), u.resolve(n["href"], url).alias("absolute"))),
-        lambda r: r["absolute"].isNotNull(),
+    raw = each(tail(f"split({doc}, {q(r'(?i)<a(?=[\s/])')})"), node)
+    usable = keep(raw, lambda n: f"{n}.href <> '' AND NOT {h.matches(f'{n}.href', r'^(#|javascript:)')}")
+    resolved = keep(
+        each(usable, lambda n: f"named_struct('n', {n}, 'absolute', {u.resolve(f'{n}.href', url)})"),
+        lambda r: f"{r}.absolute IS NOT NULL",
     )
-    return F.transform(
-        resolved,
-        lambda r: F.struct(
-            r["n"]["href"].alias("href"),
-            r["absolute"].alias("absolute"),
-            r["n"]["text"].alias("text"),
-            (u.bare_host(r["absolute"]) == site_host).alias("internal"),
-            r["n"]["nofollow"].alias("nofollow"),
-            u.bare_host(r["absolute"]).alias("host"),
-        ),
+    hosted = each(resolved, lambda r: f"named_struct('n', {r}.n, 'absolute', {r}.absolute, 'host', {u.bare_host(f'{r}.absolute')})")
+    return each(
+        hosted,
+        lambda r: f"named_struct('href', {r}.n.href, 'absolute', {r}.absolute, 'text', {r}.n.text,"
+        f" 'internal', {r}.host = {site_host}, 'nofollow', {r}.n.nofollow, 'host', {r}.host)",
     )
 
 
-def tagged_map(metas: Column, field: str, prefix: str) -> Column:
+def tagged_map(field: str, prefix: str) -> str:
     """Map of the tags whose ``field`` starts with ``prefix``; the last one of a name wins."""
-    hits = F.filter(metas, lambda m: m[field].startswith(prefix) & (m["content"] != ""))
-    names = F.array_distinct(F.transform(hits, lambda m: m[field]))
-    latest = F.transform(
-        names,
-        lambda n: F.substring(F.element_at(F.filter(hits, lambda m: m[field] == n), -1)["content"], 1, 500),
-    )
-    return F.map_from_arrays(names, latest)
 
+    def build(hits):
+        names = f"array_distinct({each(hits, lambda m: f'{m}.{field}')})"
 
-def phrases_in(lower_text: Column, phrases: list[str]) -> Column:
-    return F.filter(
-        F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(lower_text, p)
-    )
+        def latest(n):
+            same = keep(hits, lambda m: f"{m}.{field} = {n}")
+            return f"substring(element_at({same}, -1).content, 1, 500)"
 
+        return f"map_from_arrays({names}, {each(names, latest)})"
 
-def block_value(blocks: Column, name: str) -> Column:
-    """First block's non-empty value of a tracked property."""
-    hit = first_where(blocks, lambda b: F.coalesce(b["values"][name], F.lit("")) != "")
-    return hit["values"][name]
+    return let(keep("metas", lambda m: f"startswith({m}.{field}, {q(prefix)}) AND {m}.content <> ''"), build)
 
 
-# ---- the wide row -----------------------------------------------------------------------
+def phrases_in(lower_text: str, phrases: list[str]) -> str:
+    return let(lower_text, lambda t: keep(strings(phrases), lambda p: f"contains({t}, {p})"))
 
 
-def with_inputs(pages: DataFrame) -> DataFrame:
-    """Fill in the optional fetch columns and the site key."""
-    defaults = {"status_code": F.lit(200), "redirect_hops": F.lit(0)}
-    out = pages
-    for name, kind in OPTIONAL_INPUTS.items():
-        if name not in pages.columns:
-            out = out.withColumn(name, defaults.get(name, F.lit(None)).cast(kind))
-    if "site_key" not in pages.columns:
-        out = out.withColumn("site_key", u.bare_host(F.col("url")))
-    return out
+def block_value(name: str) -> str:
+    """First block's non-empty value of a tracked property."""
+    return first(keep("json_ld", lambda b: f"coalesce({b}.values[{q(name)}], '') <> ''")) + f".values[{q(name)}]"
 
 
-def page_signals(pages: DataFrame) -> DataFrame:
-    url = F.col("url")
-    base = with_inputs(pages).select(
-        "page_id", "site_key", "url", "status_code", "fetch_ms", "redirect_hops", "content_type",
-        F.col("html"),
-        F.regexp_replace("html", h.RAW_BLOCKS, "").alias("doc"),
-    )
-    cut = base.withColumn("content", F.regexp_replace("doc", h.HIDDEN_BLOCKS, ""))
-    pieces = cut.select(
-        "*",
-        meta_tags(F.col("doc")).alias("metas"),
-        heading_nodes(F.col("doc")).alias("headings"),
-        h.text_of(body_markup(F.col("content"))).alias("body_text"),
-        paragraph_texts(F.col("content")).alias("paragraphs"),
-        h.extract_all(F.col("doc"), h.tag("img")).alias("imgs"),
-        link_nodes(F.col("doc"), url, F.col("site_key")).alias("links"),
-        jsonld.script_bodies(F.col("html")).alias("ld_bodies"),
-    ).withColumn(
-        # Two uses of ld_bodies keep it a column of its own: an Arrow UDF cannot take an argument
-        # that still holds nested lambdas.
-        "blocks", F.when(F.col("ld_bodies").isNotNull(), jsonld.read_blocks("ld_bodies")),
+def byline_texts(doc: str) -> str:
+    """Texts of elements marked as the author (rel=author, class author/byline, itemprop=author)."""
+    mark = (
+        r"""(?:rel\s*=\s*["']?author["'\s>]|itemprop\s*=\s*["']?author["'\s>]"""
+        r"""|class\s*=\s*(?:"(?:[^"]*\s)?(?:author|byline)[\s"]|'(?:[^']*\s)?(?:author|byline)[\s']|(?:author|byline)[\s>]))"""
     )
+    names = ["a", "address", "b", "cite", "div", "em", "footer", "li", "p", "small", "span", "strong", "h4", "h5"]
+    elements = h.extract_all(doc, "(?is)" + "|".join(rf"<{n}\s[^>]*?{mark}[^>]*>?.*?</{n}\s*>" for n in names))
+    named = keep(each(elements, h.text_of), lambda t: f"{t} <> '' AND length({t}) < 120")
+    return each(named, lambda t: h.replace(t, r"(?i)^by\s+"))
 
-    doc, content, body, metas = F.col("doc"), F.col("content"), F.col("body_text"), F.col("metas")
-    lower_body = F.lower(body)
-    canonical_raw = h.attr_text(
-        first_where(
-            h.extract_all(doc, h.tag("link")), lambda t: h.attr(t, "rel") == "canonical"
-        ),
-        "href",
-    )
-    charset_tag = first_where(metas, lambda m: m["charset"].isNotNull())["charset"]
-    equiv = meta_content(metas, "equiv", "Content-Type")
-    alts = F.transform(F.col("imgs"), lambda t: h.trim_ws(h.wide_to_space(F.coalesce(
-        h.attr(t, "alt"), F.when(t.rlike(r"(?i)[\s\"']alt[\s/>]"), F.lit(""))))))
-    emails = F.filter(
-        F.regexp_extract_all("html", F.lit(lx.EMAIL_PATTERN), F.lit(0)),
-        lambda e: ~e.rlike(lx.IMAGE_SUFFIX_PATTERN),
-    )
-    phones = F.regexp_extract_all("body_text", F.lit(lx.PHONE_PATTERN), F.lit(0))
-    address_text = h.squeeze(F.array_join(F.transform(
-        F.regexp_extract_all(content, F.lit(rf"(?is)<address(?:[\s/]{h.ATTRS})?>(.*?)</address\s*>"), F.lit(1)),
+
+def _alt(t: str) -> str:
+    bare = f"CASE WHEN {h.matches(t, r'''(?i)[\s"']alt[\s/>]''')} THEN '' END"
+    return h.trim_ws(f"coalesce({h.attr(t, 'alt')}, {bare})")
+
+
+# ---- the wide row, in three projections --------------------------------------------------
+
+CARRIED = ["page_id", "site_key", "url", "status_code", "fetch_ms", "redirect_hops", "content_type"]
+
+
+@cache
+def _pieces() -> dict[str, str]:
+    return {
+        "metas": meta_tags("doc"),
+        "headings": heading_nodes("doc"),
+        "body_text": h.text_of(body_markup("content")),
+        "paragraphs": paragraph_texts("content"),
+        "imgs": h.extract_all("doc", h.tag("img")),
+        "links": link_nodes("doc", "url", "site_key"),
+        "ld_bodies": jsonld.script_bodies("html"),
+    }
+
+
+@cache
+def _extracted() -> dict[str, str]:
+    link_tags = h.extract_all("doc", h.tag("link"))
+    canonical = h.attr_text(first(keep(link_tags, lambda t: f"{h.attr(t, 'rel')} = 'canonical'")), "href")
+    times = keep(h.extract_all("doc", h.tag("time")), lambda t: f"{h.attr(t, 'datetime')} IS NOT NULL")
+    emails = keep(h.extract_all("html", lx.EMAIL_PATTERN), lambda e: f"NOT {h.matches(e, lx.IMAGE_SUFFIX_PATTERN)}")
+    addresses = each(
+        h.extract_all("content", rf"(?is)<address(?:[\s/]{h.ATTRS})?>(.*?)</address\s*>", 1),
         lambda a: h.unescape(h.strip_tags(a)),
-    ), ""))
-    raw = pieces.select(
-        "page_id", "site_key", "url", "status_code", "fetch_ms", "redirect_hops", "content_type",
-        (u.scheme(url) == "https").alias("is_https"),
-        h.blank_to_null(h.trim_ws(h.wide_to_space(h.unescape(
-            F.regexp_extract(doc, rf"(?is)<title(?:[\s/]{h.ATTRS})?>(.*?)</title\s*>", 1))))).alias("title"),
-        F.coalesce(meta_content(metas, "name", "description"),
-                   meta_content(metas, "name", "Description")).alias("meta_description"),
-        F.coalesce(u.resolve(canonical_raw, url), canonical_raw).alias("canonical"),
-        F.coalesce(meta_content(metas, "name", "robots"),
-                   meta_content(metas, "name", "googlebot")).alias("robots_meta"),
-        first_tag_attr(doc, "html", "lang").alias("lang_attr"),
-        meta_content(metas, "name", "viewport").alias("viewport"),
-        F.coalesce(
-            h.blank_to_null(h.trim_ws(charset_tag)),
-            h.blank_to_null(F.regexp_extract(equiv, r"(?i)charset=([\w-]+)", 1)),
-        ).alias("charset"),
-        "headings",
-        word_count(body).alias("word_count"),
-        "paragraphs",
-        count_tags(content, "ul|ol").alias("list_count"),
-        count_tags(content, "li").alias("list_item_count"),
-        count_tags(content, "table").alias("table_count"),
-        count_tags(content, "dl").alias("definition_count"),
-        F.size("imgs").alias("image_count"),
-        F.size(F.filter(alts, lambda a: a != "")).alias("images_with_alt"),
-        F.size(F.filter(alts, lambda a: a == "")).alias("images_with_empty_alt"),
-        "links",
-        tagged_map(metas, "property", "og:").alias("open_graph"),
-        tagged_map(metas, "name", "twitter:").alias("twitter_card"),
-        F.coalesce(F.col("blocks"), F.array().cast(jsonld.BLOCK_SCHEMA)).alias("json_ld"),
-        F.array_distinct(F.filter(F.transform(
-            F.regexp_extract_all(doc, F.lit(r"""(?is)<[a-z][^>]*?\sitemtype\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""), F.lit(1)),
-            lambda v: F.element_at(F.split(h.unescape(F.regexp_replace(v, r"""^["']|["']$""", "")), "/"), -1),
-        ), lambda t: t != "")).alias("microdata_types"),
-        h.matches(body, lx.FAQ_TEXT_PATTERN).alias("faq_wording"),
-        meta_content(metas, "property", "article:published_time").alias("meta_published"),
-        meta_content(metas, "name", "datePublished").alias("meta_date_published"),
-        h.attr_text(first_where(h.extract_all(doc, h.tag("time")), lambda t: h.attr(t, "datetime").isNotNull()),
-                    "datetime").alias("time_published"),
-        F.coalesce(meta_content(metas, "property", "article:modified_time"),
-                   meta_content(metas, "name", "dateModified")).alias("meta_modified"),
-        meta_content(metas, "name", "author").alias("meta_author"),
-        byline_texts(doc).alias("bylines"),
-        h.matches(body, lx.BYLINE_PATTERN).alias("has_byline_text"),
-        F.array_distinct(F.slice(emails, 1, MAX_CONTACTS)).alias("emails"),
-        F.array_distinct(F.slice(phones, 1, MAX_CONTACTS)).alias("phones"),
-        h.blank_to_null(F.substring(address_text, 1, 300)).alias("address_text"),
-        h.blank_to_null(h.extract(body, lx.STATE_ZIP_PATTERN)).alias("state_zip"),
-        phrases_in(lower_body, lx.VAGUE_PHRASES).alias("vague_phrases"),
-        phrases_in(lower_body, lx.SUPERLATIVES).alias("superlatives"),
-        (F.size(phrases_in(lower_body, lx.CONTACT_KEYWORDS)) > 0).alias("contact_wording"),
-        h.count_matches(body, lx.FACT_PATTERN).alias("factual_data_points"),
     )
-    return _derive(raw)
+    item_types = each(
+        h.extract_all("doc", r"""(?is)<[a-z][^>]*?\sitemtype\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1),
+        lambda v: "element_at(split(" + h.unescape(h.replace(v, r"""^["']|["']$""")) + ", '/'), -1)",
+    )
+    title = h.extract("doc", rf"(?is)<title(?:[\s/]{h.ATTRS})?>(.*?)</title\s*>", 1)
+    charset = first(keep("metas", lambda m: f"{m}.charset IS NOT NULL")) + ".charset"
+    return {
+        "is_https": f"{u.scheme('url')} = 'https'",
+        "title": h.blank_to_null(h.trim_ws(h.unescape(title))),
+        "meta_description": f"coalesce({meta_content('name', 'description')}, {meta_content('name', 'Description')})",
+        "canonical": let(canonical, lambda c: f"coalesce({u.resolve(c, 'url')}, {c})"),
+        "robots_meta": f"coalesce({meta_content('name', 'robots')}, {meta_content('name', 'googlebot')})",
+        "lang_attr": h.attr_text(h.extract("doc", h.tag("html")), "lang"),
+        "viewport": meta_content("name", "viewport"),
+        "charset": f"coalesce({h.blank_to_null(h.trim_ws(charset))},"
+                   f" {h.blank_to_null(h.extract(meta_content('equiv', 'Content-Type'), r'(?i)charset=([\w-]+)', 1))})",
+        "headings": "headings",
+        "word_count": word_count("body_text"),
+        "paragraphs": "paragraphs",
+        "list_count": count_tags("content", "ul|ol"),
+        "list_item_count": count_tags("content", "li"),
+        "table_count": count_tags("content", "table"),
+        "definition_count": count_tags("content", "dl"),
+        "alts": each("imgs", _alt),
+        "links": "links",
+        "open_graph": tagged_map("property", "og:"),
+        "twitter_card": tagged_map("name", "twitter:"),
+        "json_ld": "blocks",
+        "microdata_types": f"array_distinct({keep(item_types, lambda t: f'{t} <> {q(str())}')})",
+        "faq_wording": h.matches("body_text", lx.FAQ_TEXT_PATTERN),
+        "tagged_published": f"coalesce({meta_content('property', 'article:published_time')},"
+                            f" {meta_content('name', 'datePublished')}, {h.attr_text(first(times), 'datetime')})",
+        "tagged_modified": f"coalesce({meta_content('property', 'article:modified_time')}, {meta_content('name', 'dateModified')})",
+        "meta_author": meta_content("name", "author"),
+        "bylines": byline_texts("doc"),
+        "has_byline_text": h.matches("body_text", lx.BYLINE_PATTERN),
+        "emails": f"array_distinct(slice({emails}, 1, {MAX_CONTACTS}))",
+        "phones": f"array_distinct(slice({h.extract_all('body_text', lx.PHONE_PATTERN)}, 1, {MAX_CONTACTS}))",
+        "address_text": h.blank_to_null(f"substring({h.squeeze(f'array_join({addresses}, {q(str())})')}, 1, 300)"),
+        "state_zip": h.blank_to_null(h.extract("body_text", lx.STATE_ZIP_PATTERN)),
+        "vague_phrases": phrases_in("lower(body_text)", lx.VAGUE_PHRASES),
+        "superlatives": phrases_in("lower(body_text)", lx.SUPERLATIVES),
+        "contact_wording": f"size({phrases_in('lower(body_text)', lx.CONTACT_KEYWORDS)}) > 0",
+        "factual_data_points": h.count_matches("body_text", lx.FACT_PATTERN),
+    }
+
+
+@cache
+def _derived() -> dict[str, str]:
+    robots = "lower(coalesce(robots_meta, ''))"
+    outside = keep("links", lambda n: f"NOT {n}.internal")
+    cited = keep(outside, lambda n: f"NOT {n}.nofollow AND length({n}.text) > 3 AND NOT {h.matches(f'{n}.text', '^https?://')}")
+    hosts = each(keep(outside, lambda n: f"{n}.host <> ''"), lambda n: f"{n}.host")
+    same_path = f"{h.replace(u.path('canonical'), '/$')} = {h.replace(u.path('url'), '/$')}"
+    return {
+        "title_length": "coalesce(length(title), 0)",
+        "meta_description_length": "coalesce(length(meta_description), 0)",
+        "canonical_is_self": f"coalesce({u.bare_host('canonical')} = {u.bare_host('url')} AND {same_path}, false)",
+        "is_indexable": f"NOT contains({robots}, 'noindex') AND NOT contains({robots}, 'none')",
+        "noindex_reason": f"CASE WHEN contains({robots}, 'none') THEN 'Robots meta tag contains \"none\"'"
+                          f" WHEN contains({robots}, 'noindex') THEN 'Robots meta tag contains \"noindex\"' END",
+        "h1": each(keep("headings", lambda n: f"{n}.level = 1"), lambda n: f"{n}.text"),
+        "question_headings": question_texts("headings"),
+        "heading_hierarchy_valid": hierarchy_valid("headings"),
+        "paragraph_count": "size(paragraphs)",
+        "main_text_excerpt": f"substring(array_join(slice(paragraphs, 1, {EXCERPT_PARAGRAPHS}), ' '), 1, {EXCERPT_CHARS})",
+        "first_paragraph": "coalesce(substring(get(paragraphs, 0), 1, 600), '')",
+        "image_count": "size(alts)",
+        "images_with_alt": f"size({keep('alts', lambda a: f'{a} <> {q(str())}')})",
+        "images_with_empty_alt": f"size({keep('alts', lambda a: f'{a} = {q(str())}')})",
+        "internal_links": f"size({keep('links', lambda n: f'{n}.internal')})",
+        "external_links": f"size({outside})",
+        "external_domains": f"slice(array_distinct({hosts}), 1, {MAX_EXTERNAL_DOMAINS})",
+        "outbound_citation_links": f"size({cited})",
+        "schema_types": f"array_distinct(flatten({each('json_ld', lambda b: f'{b}.types')}))",
+        "published_date": f"coalesce(tagged_published, {block_value('datePublished')})",
+        "modified_date": f"coalesce(tagged_modified, {block_value('dateModified')})",
+        "authors": f"slice(array_distinct(concat(array_compact(array({block_value('author')}, meta_author)), bylines)), 1, {MAX_AUTHORS})",
+        "address_signals": f"array_compact(array(address_text, state_zip, {block_value('address')}))",
+    }
+
+
+ROLE = u.page_role(f"lower({u.path('url')})", "title", "h1")
+SIGNAL_COLUMNS = [
+    *CARRIED, "is_https",
+    "title", "title_length", "meta_description", "meta_description_length", "canonical", "canonical_is_self",
+    "robots_meta", "is_indexable", "noindex_reason", "lang_attr", "viewport", "charset",
+    "h1", "headings", "question_headings", "heading_hierarchy_valid",
+    "word_count", "paragraph_count", "main_text_excerpt", "first_paragraph",
+    "list_count", "list_item_count", "table_count", "definition_count",
+    "image_count", "images_with_alt", "images_with_empty_alt",
+    "links", "internal_links", "external_links", "external_domains", "outbound_citation_links",
+    "open_graph", "twitter_card", "json_ld", "schema_types", "microdata_types",
+    "published_date", "modified_date", "authors", "has_byline_text",
+    "emails", "phones", "address_signals",
+    "vague_phrases", "superlatives", "factual_data_points",
+]
+
+
+def _select(columns: dict[str, str]) -> list[str]:
+    return [f"{text} AS {name}" for name, text in columns.items()]
 
 
-def byline_texts(doc: Column) -> Column:
-    """Texts of elements marked as the author (rel=author, class author/byline, itemprop=author)."""
-    mark = (
-        r"""(?:rel\s*=\s*["']?author["'\s>]|itemprop\s*=\s*["']?author["'\s>]"""
-        r"""|class\s*=\s*(?:"(?:[^"]*\s)?(?:author|byline)[\s"]|'(?:[^']*\s)?(?:author|byline)[\s']|(?:author|byline)[\s>]))"""
+def with_inputs(pages: DataFrame) -> DataFrame:
+    """Fill in the optional fetch columns and the site key."""
+    defaults = {"status_code": "200", "redirect_hops": "0"}
+    columns = {c: c for c in ("page_id", "url", "html")}
+    for name, kind in OPTIONAL_INPUTS.items():
+        columns[name] = name if name in pages.columns else f"CAST({defaults.get(name, 'NULL')} AS {kind})"
+    columns["site_key"] = "site_key" if "site_key" in pages.columns else u.bare_host("url")
+    return pages.selectExpr(*_select(columns))
+
+
+def page_signals(pages: DataFrame) -> DataFrame:
+    base = with_inputs(pages).selectExpr(*CARRIED, "html", f"{h.replace('html', h.RAW_BLOCKS)} AS doc")
+    cut = base.selectExpr("*", f"{h.replace('doc', h.HIDDEN_BLOCKS)} AS content")
+    pieces = cut.selectExpr("*", *_select(_pieces())).withColumn(
+        "blocks", F.coalesce(jsonld.read_blocks("ld_bodies"), F.array().cast(jsonld.BLOCK_SCHEMA))
     )
-    names = ["a", "address", "b", "cite", "div", "em", "footer", "li", "p", "small", "span", "strong", "h4", "h5"]
-    one = "|".join(rf"<{n}\s[^>]*?{mark}[^>]*>?.*?</{n}\s*>" for n in names)
-    texts = F.transform(F.regexp_extract_all(doc, F.lit(rf"(?is){one}"), F.lit(0)), h.text_of)
-    named = F.filter(texts, lambda t: (t != "") & (F.length(t) < 120))
-    return F.transform(named, lambda t: F.regexp_replace(t, r"(?i)^by\s+", ""))
-
-
-def _derive(raw: DataFrame) -> DataFrame:
-    """Columns that follow from the extracted pieces."""
-    url, headings, links, blocks = F.col("url"), F.col("headings"), F.col("links"), F.col("json_ld")
-    canonical = F.col("canonical")
-    robots = F.lower(F.coalesce("robots_meta", F.lit("")))
-    one = raw.select(
-        "*",
-        F.coalesce(F.length("title"), F.lit(0)).alias("title_length"),
-        F.coalesce(F.length("meta_description"), F.lit(0)).alias("meta_description_length"),
-        F.coalesce(
-            (u.bare_host(canonical) == u.bare_host(url))
-            & (F.regexp_replace(u.path(canonical), "/$", "") == F.regexp_replace(u.path(url), "/$", "")),
-            F.lit(False),
-        ).alias("canonical_is_self"),
-        (~robots.contains("noindex") & ~robots.contains("none")).alias("is_indexable"),
-        F.when(robots.contains("none"), F.lit('Robots meta tag contains "none"'))
-        .when(robots.contains("noindex"), F.lit('Robots meta tag contains "noindex"')).alias("noindex_reason"),
-        F.transform(F.filter(headings, lambda n: n["level"] == 1), lambda n: n["text"]).alias("h1"),
-        F.filter(F.transform(headings, lambda n: n["text"]), is_question).alias("question_headings"),
-        hierarchy_valid(headings).alias("heading_hierarchy_valid"),
-        F.size("paragraphs").alias("paragraph_count"),
-        F.substring(F.array_join(F.slice("paragraphs", 1, EXCERPT_PARAGRAPHS), " "), 1, EXCERPT_CHARS)
-        .alias("main_text_excerpt"),
-        F.coalesce(F.substring(F.get("paragraphs", F.lit(0)), 1, 600), F.lit("")).alias("first_paragraph"),
-        F.size(F.filter(links, lambda n: n["internal"])).alias("internal_links"),
-        F.size(F.filter(links, lambda n: ~n["internal"])).alias("external_links"),
-        F.slice(F.array_distinct(F.transform(
-            F.filter(links, lambda n: ~n["internal"] & (n["host"] != "")), lambda n: n["host"])),
-            1, MAX_EXTERNAL_DOMAINS).alias("external_domains"),
-        F.size(F.filter(links, lambda n: ~n["internal"] & ~n["nofollow"] & (F.length(n["text"]) > 3)
-                        & ~n["text"].rlike(r"^https?://"))).alias("outbound_citation_links"),
-        F.array_distinct(F.flatten(F.transform(blocks, lambda b: b["types"]))).alias("schema_types"),
-        F.coalesce("meta_published", "meta_date_published", "time_published",
-                   block_value(blocks, "datePublished")).alias("published_date"),
-        F.coalesce("meta_modified", block_value(blocks, "dateModified")).alias("modified_date"),
-        F.slice(F.array_distinct(F.concat(
-            F.array_compact(F.array(block_value(blocks, "author"), F.col("meta_author"))), F.col("bylines"))),
-            1, MAX_AUTHORS).alias("authors"),
-        F.array_compact(F.array(F.col("address_text"), F.col("state_zip"), block_value(blocks, "address")))
-        .alias("address_signals"),
+    wide = pieces.selectExpr(*CARRIED, *_select(_extracted())).selectExpr("*", *_select(_derived()))
+    faq = (
+        "array_contains(schema_types, 'FAQPage') OR array_contains(schema_types, 'Question')"
+        " OR size(question_headings) >= 3 OR faq_wording"
     )
-    return one.select(
-        "page_id", "site_key", "url", "status_code", "fetch_ms", "redirect_hops", "content_type", "is_https",
-        "title", "title_length", "meta_description", "meta_description_length", "canonical", "canonical_is_self",
-        "robots_meta", "is_indexable", "noindex_reason", "lang_attr", "viewport", "charset",
-        "h1", "headings", "question_headings", "heading_hierarchy_valid",
-        "word_count", "paragraph_count", "main_text_excerpt", "first_paragraph",
-        "list_count", "list_item_count", "table_count", "definition_count",
-        "image_count", "images_with_alt", "images_with_empty_alt",
-        "links", "internal_links", "external_links", "external_domains", "outbound_citation_links",
-        "open_graph", "twitter_card", "json_ld", "schema_types", "microdata_types",
-        (F.array_contains("schema_types", "FAQPage") | F.array_contains("schema_types", "Question")
-         | (F.size("question_headings") >= 3) | F.col("faq_wording")).alias("has_faq_signals"),
-        F.size("question_headings").alias("faq_question_count"),
-        "published_date", "modified_date", "authors", "has_byline_text",
-        "emails", "phones", "address_signals",
-        ((F.size("emails") > 0) | (F.size("phones") > 0) | (F.size("address_signals") > 0)
-         | F.col("contact_wording")).alias("has_contact_signals"),
-        "vague_phrases", "superlatives", "factual_data_points",
-        u.page_role(F.lower(u.path(url)), F.col("title"), F.col("h1")).alias("role"),
+    contact = "size(emails) > 0 OR size(phones) > 0 OR size(address_signals) > 0 OR contact_wording"
+    return wide.selectExpr(
+        *SIGNAL_COLUMNS,
+        f"{faq} AS has_faq_signals",
+        "size(question_headings) AS faq_question_count",
+        f"{contact} AS has_contact_signals",
+        f"{ROLE} AS role",
     )
