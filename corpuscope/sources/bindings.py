@@ -95,6 +95,14 @@ SELECT site_key, seed_page_id, {BRAND.format(host='site_key')} || ' and co' AS b
 FROM (SELECT {BARE_HOST} AS site_key, min(page_id) AS seed_page_id FROM pages GROUP BY 1) AS s
 """
 
+# Competitors that each site asked for: pages that follow its seed page, as people type them.
+COMPETITORS_SQL = f"""
+SELECT s.site_key, CAST(k.pos AS INT) AS pos,
+  CASE WHEN k.pos = 3 THEN 'https://missing' || CAST(s.seed_page_id AS STRING) || '.example.org/' WHEN k.pos = 2 THEN 'http://localhost/' ELSE p.url END AS raw
+FROM ({SITES_SQL}) AS s CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS k
+JOIN (SELECT page_id, url FROM ({SITE_PAGES_SQL}) AS q) AS p ON p.page_id = s.seed_page_id + 1 + k.pos * 2 AND s.seed_page_id % 5 <> 4
+"""
+
 # robots.txt, sitemap.xml and llms.txt of every site.
 _BREAK = "chr(10)"
 SITE_FILES_SQL = f"""
@@ -114,6 +122,13 @@ SELECT site_key, path, CAST(CASE WHEN (seed_page_id + length(path)) % 9 = 1 THEN
 FROM ({SITES_SQL}) AS s CROSS JOIN (SELECT '/robots.txt' AS path UNION ALL SELECT '/sitemap.xml' UNION ALL SELECT '/llms.txt') AS f
 """
 
+# Result pages of the searches made for each site.
+SEARCH_RESULTS_SQL = f"""
+SELECT site_key, 'q' || CAST(page_id % 3 AS STRING) AS query, page_id AS rank, 'Hit ' || brand AS title,
+  CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://www.directory' || CAST(page_id % 12 AS STRING) || '.example.org/x' WHEN 2 THEN 'not a link' ELSE 'http://news.example.net/' || CAST(page_id AS STRING) END AS link
+FROM (SELECT page_id, url, {BARE_HOST} AS site_key, CASE WHEN page_id % 5 = 0 THEN {BRAND.format(host=BARE_HOST)} ELSE 'other' END || ' and co' AS brand FROM pages) AS p
+"""
+
 # Hop log of the fetches: one request per page.
 FETCH_LOG_SQL = f"""
 SELECT 'req-' || {_ID} AS request_id, site_key, CAST(hop AS INT) AS hop,

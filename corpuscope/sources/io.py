@@ -29,10 +29,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
+def is_textual():
+    """Content type is unknown or text."""
+    base = F.lower(F.trim(F.split(F.coalesce("content_type", F.lit("")), ";")[0]))
+    return (base == "") | base.isin(*TEXTUAL_CONTENT_TYPES)
+
+
 def textual_only(pages: DataFrame) -> DataFrame:
     """Drop rows whose content type is known and is not text."""
-    base = F.lower(F.trim(F.split("content_type", ";")[0]))
-    return pages.where(F.col("content_type").isNull() | (base == "") | base.isin(*TEXTUAL_CONTENT_TYPES))
+    return pages.where(is_textual())
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:

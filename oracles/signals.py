@@ -53,7 +53,7 @@ ld AS (SELECT page_id, bpos, body, json_valid(body) AS valid FROM (
     SELECT page_id, list_filter(list_transform(list_filter(regexp_extract_all(html, {q(rf'(?is)<!--.*?-->|<script(?:[{chr(92)}s/]{ATTRS})?>.*?</script{chr(92)}s*>')}, 0),
       lambda t: {attr(f"regexp_extract(t, {q(f'(?is)^<script{ATTRS}>')}, 0)", "type")} = 'application/ld+json'),
       lambda t: {trim(f"regexp_replace(t, {q(rf'(?is)^<script{ATTRS}>|</script{chr(92)}s*>$')}, '', 'g')")}), lambda t: t <> '') AS bodies FROM rp) AS x) AS y),
-nodes AS (SELECT ld.page_id, ld.bpos, t.id, t.parent, t.key, t.type, t.atom, t.value,
+nodes AS (SELECT ld.page_id, ld.bpos, t.id, t.parent, t.key, t.type, t.atom, t.value, t.path,
     len(string_split_regex(regexp_replace(t.path, '^[$]', ''), '[.]|[[]')) - 1 AS depth
   FROM ld, json_tree(CASE WHEN valid THEN body END) AS t),
 typed AS (SELECT page_id, bpos, type_name, min(ord) AS ord FROM (
