@@ -25,7 +25,7 @@ def by_ratio(ratio: str, pass_at: float = 0.85, warn_at: float = 0.4) -> str:
 
 
 def share(part: str, whole: str) -> str:
-    return f"CASE WHEN {whole} > 0 THEN CAST({part} AS DOUBLE) / {whole} ELSE 0D END"
+    return f"CASE WHEN ({whole}) > 0 THEN CAST(({part}) AS DOUBLE) / ({whole}) ELSE 0D END"
 
 
 def toward(value: str, target: str) -> str:

@@ -211,6 +211,28 @@ SELECT event_id, user_id, ts AS created_at,
   user_id % 25 = 0 AS is_demo, value, props
 FROM events
 """
+# Property texts and keys of product events, as clients send them.
+RAW_EVENTS_SQL = f"""
+SELECT event_id, user_id, name, created_at, repeat('s' || CAST(event_id AS STRING), 20) AS session_key, '/p/' || repeat(CAST(event_id AS STRING), 50) AS path,
+  CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{{"plan":"GROWTH","score":' || CAST(event_id AS STRING) || ',"isDemo":true,"note":"x"}}'
+   WHEN 2 THEN '{{"source":{{"a":1}},"result":null,"variant":"' || repeat('v', 150) || '"}}' WHEN 3 THEN 'not json' WHEN 4 THEN '{{"domain":["a"],"pageCount":12,"category":"c' || CAST(event_id AS STRING) || '"}}' END AS props
+FROM ({PRODUCT_EVENTS_SQL}) AS e
+"""
+PREVIEW_RUNS_SQL = """
+SELECT event_id AS run_id, ts AS created_at, event_type <> 'error' AS success,
+  CASE WHEN event_type = 'error' THEN CASE WHEN value < 15 THEN 'TIMEOUT' WHEN value < 40 THEN 'BLOCKED' ELSE 'HTTP_ERROR' END END AS error_code,
+  CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS INT) % 101 END AS score, CAST(floor(value * 10) AS INT) AS duration_ms,
+  'd' || CAST(user_id AS STRING) || '.example' AS domain
+FROM events
+"""
+CONTACTS_SQL = "SELECT conv_id, turn, turn = 0 AS unread FROM conversations WHERE role = 'user'"
+# One audit per site and owner.
+SITE_AUDITS_SQL = f"""
+SELECT site_key, seed_page_id % 7 AS user_id, CASE WHEN seed_page_id % 13 = 5 THEN 'RUNNING' ELSE 'COMPLETED' END AS status,
+  seed_page_id % 11 = 3 AS is_archived, false AS is_deleted, (seed_page_id * 17) % 1000 AS completed_at
+FROM ({SITES_SQL}) AS s
+"""
+
 # Credits: a purchase adds one, an error takes one.
 LEDGER_SQL = """
 SELECT event_id AS entry_id, user_id, CASE event_type WHEN 'purchase' THEN 1 ELSE -1 END AS delta, ts AS created_at
@@ -249,7 +271,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bind(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A binding as a DataFrame over the tables of one directory."""
     out = text
-    for name in ("pages", "events", "orders", "customer", "documents", "lineitem"):
+    for name in ("pages", "events", "orders", "customer", "documents", "lineitem", "conversations"):
         for word in ("FROM", "JOIN"):
             out = out.replace(f"{word} {name} ", f"{word} parquet.`{sf_dir}/{name}.parquet` ")
             out = out.replace(f"{word} {name})", f"{word} parquet.`{sf_dir}/{name}.parquet`)")
