@@ -13,24 +13,13 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from corpuscope.sources.io import reliable_checkpoint
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_ROUNDS = 10_000
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder the session names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            import tempfile
-
-            configured = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(configured)
-    return df.checkpoint()
-
-
 def limit_step(limit: int, window_us: int):
     """Sliding-window limiter: state = times of the accepted attempts still in the window."""
 

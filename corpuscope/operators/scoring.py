@@ -22,8 +22,9 @@ def category_scores(checks: DataFrame) -> DataFrame:
     """Score, points and outcome counts per site and category; all seven categories present."""
     counts = "applicable AND max_points > 0"
     folded = checks.groupBy("site_key", "category").agg(
-        F.expr(f"coalesce(sum(CASE WHEN {counts} THEN points END), 0D)").alias("raw"),
-        F.expr(f"coalesce(sum(CASE WHEN {counts} THEN max_points END), 0D)").alias("most"),
+        # points have three decimals: summed as whole thousandths, so the order does not matter
+        F.expr(f"coalesce(sum(CASE WHEN {counts} THEN CAST(round(points * 1000) AS BIGINT) END), 0L)").alias("raw"),
+        F.expr(f"coalesce(sum(CASE WHEN {counts} THEN CAST(round(max_points * 1000) AS BIGINT) END), 0L)").alias("most"),
         F.expr(f"count_if({counts})").alias("applicable"),
         *[F.expr(f"count_if(status = '{s}' AND applicable)").alias(n) for s, n in
           [("PASS", "passed"), ("WARN", "warned"), ("FAIL", "failed")]],
@@ -33,8 +34,8 @@ def category_scores(checks: DataFrame) -> DataFrame:
     return grid.join(folded, ["site_key", "category"], "left").selectExpr(
         "site_key", "category", f"{category_order()} AS category_order",
         "coalesce(applicable, 0) > 0 AS available",
-        "CASE WHEN most > 0 THEN CAST(floor(least(1D, greatest(0D, raw / most)) * 100 + 0.5) AS INT) ELSE 0 END AS score",
-        "coalesce(round(raw, 2), 0D) AS raw_points", "coalesce(round(most, 2), 0D) AS max_points",
+        "CASE WHEN most > 0 THEN CAST(floor(least(1D, greatest(0D, CAST(raw AS DOUBLE) / most)) * 100 + 0.5) AS INT) ELSE 0 END AS score",
+        "floor((coalesce(raw, 0L) + 5) / 10D) / 100D AS raw_points", "floor((coalesce(most, 0L) + 5) / 10D) / 100D AS max_points",
         "coalesce(passed, 0) AS passed", "coalesce(warned, 0) AS warned", "coalesce(failed, 0) AS failed",
         f"{_per_category(2)} AS base_weight",
     )

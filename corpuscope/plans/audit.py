@@ -64,7 +64,7 @@ class Audit:
 
 def run(audit: Audit) -> dict[str, DataFrame]:
     """Result tables.  The check rows are few and feed every other table, so they are kept."""
-    checks = audit.checks().persist()
+    checks = io.materialize(audit.checks())
     weighted = scoring.rebalance(scoring.category_scores(checks))
     return {
         "site_checks": checks,
@@ -79,7 +79,7 @@ def bound_audit(spark: SparkSession, sf: str) -> Audit:
     raw = b.bind(spark, sf, b.SITE_PAGES_SQL)
     fetched = io.textual_only(raw).where("status_code < 400")
     return Audit(
-        signals=page_signals(io.spread(fetched)).persist(),  # read by every family: parse the markup once
+        signals=io.materialize(page_signals(io.spread(fetched))),  # read by every family: parse the markup once
         sites=b.bind(spark, sf, b.SITES_SQL),
         failures=_failures(raw),
         files=b.bind(spark, sf, b.SITE_FILES_SQL),

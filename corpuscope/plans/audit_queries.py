@@ -8,13 +8,14 @@ from corpuscope.functions import urls as u
 from corpuscope.operators import compare, recommend, scoring
 from corpuscope.plans import audit as plan
 from corpuscope.plans.page_queries import signals
-from corpuscope.sources import bindings as b
+from corpuscope.sources import bindings as b, io
 
 
 @lru_cache(maxsize=2)
-def _audit(app: str, sf: str, spark_ref):
-    audit = plan.bound_audit(spark_ref.spark, sf)
-    return audit, audit.checks().persist()
+def _audit(sf: str, ref):
+    """Inputs and check rows of one run; the queries below all read the same run."""
+    audit = plan.bound_audit(ref.spark, sf)
+    return audit, io.materialize(audit.checks())
 
 
 class _Ref:
@@ -31,7 +32,7 @@ class _Ref:
 
 
 def audit_of(spark, sf):
-    return _audit(spark.sparkContext.applicationId, sf, _Ref(spark))
+    return _audit(sf, _Ref(spark))
 
 
 def checks_of(spark, sf):

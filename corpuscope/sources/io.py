@@ -1,5 +1,8 @@
 """Sources and sinks."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpuscope.functions.lexicon import TEXTUAL_CONTENT_TYPES
@@ -29,6 +32,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names, else (tests) a new local one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once and go on from the file.
+
+    Lost executors then cost a re-read, not a second parse of the markup; the reader prunes
+    columns; and the plans that follow start from a scan."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage and keep partitions and their order as they are."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def is_textual():
     """Content type is unknown or text."""
     base = F.lower(F.trim(F.split(F.coalesce("content_type", F.lit("")), ";")[0]))

@@ -7,7 +7,7 @@ from corpuscope.sources import bindings as b
 from oracles import fragments as f
 from oracles.crawl_sql import BROKEN, ROBOTS
 from oracles.fragments import let, members, q, strings
-from oracles.page_sql import _TEXTUAL, URL_CTE
+from oracles.page_sql import _KEPT, _TEXTUAL, URL_CTE
 from oracles.signals import SIGNALS
 
 m = "main_text_excerpt"
@@ -303,7 +303,7 @@ _GP = "list_filter([CASE WHEN len(schema_types) = 0 THEN 'No structured data' EN
 SNAP = f"snap AS (SELECT *, {_QUICK} AS quick_score, {_NM} AS name, len(question_headings) AS question_count, {', '.join(f'least(100, {chr(32).join([chr(43).join(v)])}) AS {k}' for k, v in _CATS.items())}, {_HI} AS highlights, {_GP} AS gaps FROM sig)"
 _PICK_URLS = URL_CTE.replace("raws AS (" + b.RAW_URLS_SQL + ")", f"raws AS (SELECT site_key || '~' || pos AS url_id, raw FROM ({b.COMPETITORS_SQL}) AS cc)")
 PICK = f"""{_PICK_URLS},
-pk0 AS (SELECT string_split(url_id, '~')[1] AS site_key, CAST(string_split(url_id, '~')[2] AS INT) AS pos, {f.origin('v')} || {f.clean_path(f.path('v'))} AS url,
+pk0 AS (SELECT string_split(url_id, '~')[1] AS site_key, CAST(string_split(url_id, '~')[2] AS INT) AS pos, {f.origin('v')} || {f.clean_path(f.path('v'))} || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END AS url,
   {let("regexp_replace(name, '^www[.]', '')", "hh", f"CASE WHEN len(string_split(hh, '.')) <= 2 THEN hh WHEN string_split(hh, '.')[-2] IN {members(lx.SECOND_LEVEL_SUFFIXES)} THEN array_to_string(string_split(hh, '.')[-3:], '.') ELSE array_to_string(string_split(hh, '.')[-2:], '.') END")} AS domain
   FROM codes WHERE code = 'OK'),
 pk1 AS (SELECT * FROM pk0 QUALIFY row_number() OVER (PARTITION BY site_key, domain ORDER BY pos) = 1),
@@ -350,9 +350,9 @@ def band(s):
 
 SCORES = f"""{ALL},
 grid AS (SELECT DISTINCT site_key, unnest({strings(c[0] for c in lx.CATEGORIES)}) AS category FROM chk),
-cs AS (SELECT site_key, category, {_ORD} AS category_order, coalesce(nn, 0) > 0 AS available, CASE WHEN most > 0 THEN CAST(floor(least(1, greatest(0, raw / most)) * 100 + 0.5) AS INT) ELSE 0 END AS score,
-  coalesce(round(raw, 2), 0) AS raw_points, coalesce(round(most, 2), 0) AS max_points, coalesce(passed, 0) AS passed, coalesce(warned, 0) AS warned, coalesce(failed, 0) AS failed, CAST({_WGT} AS DOUBLE) AS base_weight
-  FROM grid LEFT JOIN (SELECT site_key, category, sum(points) FILTER (WHERE applicable AND max_points > 0) AS raw, sum(max_points) FILTER (WHERE applicable AND max_points > 0) AS most, count(*) FILTER (WHERE applicable AND max_points > 0) AS nn,
+cs AS (SELECT site_key, category, {_ORD} AS category_order, coalesce(nn, 0) > 0 AS available, CASE WHEN most > 0 THEN CAST(floor(least(1, greatest(0, CAST(raw AS DOUBLE) / most)) * 100 + 0.5) AS INT) ELSE 0 END AS score,
+  floor((coalesce(raw, 0) + 5) / 10.0) / 100.0 AS raw_points, floor((coalesce(most, 0) + 5) / 10.0) / 100.0 AS max_points, coalesce(passed, 0) AS passed, coalesce(warned, 0) AS warned, coalesce(failed, 0) AS failed, CAST({_WGT} AS DOUBLE) AS base_weight
+  FROM grid LEFT JOIN (SELECT site_key, category, sum(CAST(round(points * 1000) AS BIGINT)) FILTER (WHERE applicable AND max_points > 0) AS raw, sum(CAST(round(max_points * 1000) AS BIGINT)) FILTER (WHERE applicable AND max_points > 0) AS most, count(*) FILTER (WHERE applicable AND max_points > 0) AS nn,
     count(*) FILTER (WHERE status = 'PASS') AS passed, count(*) FILTER (WHERE status = 'WARN') AS warned, count(*) FILTER (WHERE status = 'FAIL') AS failed FROM chk GROUP BY ALL) AS g USING (site_key, category)),
 ws AS (SELECT *, CASE WHEN available THEN round(base_weight / sum(CASE WHEN available THEN base_weight ELSE 0 END) OVER (PARTITION BY site_key), 4) ELSE 0 END AS effective_weight FROM cs),
 ov AS (SELECT site_key, CAST(floor(least(100, round(sum(score * effective_weight) FILTER (WHERE available), 6)) + 0.5) AS INT) AS overall_score, count(*) FILTER (WHERE available) AS categories FROM ws GROUP BY 1)"""
@@ -411,6 +411,10 @@ SQL = {
     "v1_preview_score": f"WITH {SIGNALS}, {PREV} SELECT page_id, url, CAST(floor(100.0 * coalesce(sum(c.w) FILTER (WHERE c.ok), 0) / sum(c.w) + 0.5) AS INT) AS score, CAST(count(*) FILTER (WHERE NOT c.ok) AS INT) AS issues FROM pv GROUP BY ALL",
     "v2_preview_findings": f"""WITH {SIGNALS}, {PREV} SELECT page_id, CAST(row_number() OVER w AS INT) AS rank, c.title AS title, c.category AS category, CASE WHEN c.ok THEN 'PASSED' ELSE c.sev END AS severity, c.ok AS passed FROM pv
        WINDOW w AS (PARTITION BY page_id ORDER BY c.ok, CASE WHEN c.ok THEN 0 ELSE {rank('c.sev', lx.SEVERITIES)} END, c.w DESC, c.i) QUALIFY row_number() OVER w <= 5""",
+    "s3_write_results": f"WITH {FETCHED} SELECT site_key AS audit_id, page_id, url, title, role, CAST(word_count AS INT) AS word_count FROM sig",
+    "s4_export_csv": f"WITH {RECS} SELECT * FROM rec",
+    "t1_page_section": f"""WITH {FETCHED} SELECT site_key, url, role, title, status_code, word_count, array_to_string(schema_types, ' | ') AS schema_types, len(question_headings) > 0 AS has_questions, NULL AS error FROM sig
+       UNION ALL SELECT site_key, url, NULL, NULL, NULL, NULL, NULL, false, CASE WHEN {_TEXTUAL} THEN 'HTTP_ERROR' ELSE 'UNSUPPORTED_CONTENT_TYPE' END FROM allp WHERE status_code >= 400 OR NOT {_TEXTUAL}""",
     "q1_search_queries": f"""WITH s AS (SELECT *, nullif(trim(string_split_regex(coalesce(primary_services, ''), '[,;]')[1]), '') AS svc FROM ({b.SITES_SQL}) AS t),
        qs AS (SELECT site_key, [business_name || ' ' || coalesce(svc, 'services'), business_name || ' ' || coalesce(location, 'reviews'), business_name || ' reviews', CASE WHEN svc IS NULL THEN business_name || ' expertise' ELSE trim('best ' || svc || ' ' || coalesce(location, '')) END] AS l FROM s),
        u AS (SELECT site_key, query, min(i) AS i FROM (SELECT site_key, unnest(l) AS query, generate_subscripts(l, 1) AS i FROM qs) AS x GROUP BY ALL)
