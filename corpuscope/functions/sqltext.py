@@ -14,10 +14,18 @@ def q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
 def rx(pattern: str) -> str:
     r"""Regular-expression literal with ``\b`` spelt out over [A-Za-z0-9_]; the JVM's own ``\b``
-    also looks at other letters."""
-    return q(pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"))
+    also looks at other letters.  A leading ``\b``, tried at every character of a text, gets the
+    short form where the rest of the pattern can only start with a word character."""
+    flags = "(?i)" if pattern.startswith("(?i)") else ""
+    rest = pattern[len(flags):]
+    if rest.startswith(r"\b") and "★" not in rest:
+        rest = r"(?<!\w)(?=\w)" + rest[2:]
+    return q(flags + rest.replace(r"\b", _EDGE))
 
 
 def strings(items) -> str:

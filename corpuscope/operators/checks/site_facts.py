@@ -12,7 +12,7 @@ No page text is ever gathered per site: every pattern is tested page by page.
 
 from functools import cache
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuscope.functions import html as h
 from corpuscope.functions import lexicon as lx
@@ -233,3 +233,28 @@ def site_facts(
     numbers = [n for n, t in out.dtypes if t in ("bigint", "int", "double") and n not in ("about_words", "home_status")]
     flags = [n for n, t in out.dtypes if t == "boolean"]
     return out.fillna(0, numbers).fillna(False, flags)
+
+
+EXAMPLES = {  # check -> pages that speak against it, and how many to show
+    "tech.redirect-chains": ("redirect_hops > 1", 3),
+    "tech.indexability": ("NOT is_indexable", 5),
+    "tech.canonical": ("canonical IS NULL", 5),
+    "entity.title-quality": ("title IS NULL", 5),
+    "entity.meta-description": ("meta_description IS NULL", 5),
+    "content.thin-pages": ("word_count < 150", 5),
+    "content.heading-structure": ("size(h1) <> 1 OR NOT heading_hierarchy_valid", 5),
+    "schema.presence": ("size(json_ld) = 0", 5),
+}
+
+
+def check_examples(signals: DataFrame) -> DataFrame:
+    """First pages of each site that speak against a check.
+
+    Every task keeps the few best of each site and check before the shuffle."""
+    hits = "array_compact(array(" + ", ".join(
+        f"CASE WHEN {test} THEN named_struct('check_id', {q(c)}, 'most', {n}) END" for c, (test, n) in EXAMPLES.items()
+    ) + "))"
+    rows = signals.selectExpr("site_key", "page_id", "url", f"inline({hits})")
+    w = Window.partitionBy("site_key", "check_id").orderBy("page_id")
+    ranked = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(n for _, n in EXAMPLES.values()))
+    return ranked.where("rank <= most").select("site_key", "check_id", "rank", "page_id", "url")

@@ -7,6 +7,7 @@ from corpuscope.functions import lexicon as lx
 from corpuscope.functions import urls as u
 from corpuscope.functions.sqltext import each, first, keep, let, q, strings
 from corpuscope.operators.checks.framework import Check, stairs, toward
+from corpuscope.operators.joins import lookup
 
 _CORE_ORG = f"arrays_overlap(schema_types, {strings(lx.CORE_ORG_TYPES)})"
 
@@ -246,7 +247,7 @@ def search_observations(results: DataFrame, sites: DataFrame) -> DataFrame:
     dim = sites.select("site_key", "business_name", "domain")
     hosted = results.selectExpr("site_key", "query", "rank", "lower(link) AS link", "lower(title) AS title", f"{u.bare_host('link')} AS host")
     shown = (F.col("link").contains(F.lower("domain"))) | F.col("title").contains(F.lower("business_name"))
-    seen = hosted.join(dim, "site_key").groupBy("site_key", "query").agg(
+    seen = lookup(hosted, dim, ["site_key"], "rank", "inner").groupBy("site_key", "query").agg(
         F.count("*").alias("result_count"), F.coalesce(F.bool_or(shown), F.lit(False)).alias("brand_appears")
     )
     firsts = hosted.where("host <> ''").groupBy("site_key", "query", "host").agg(F.min("rank").alias("rank"))

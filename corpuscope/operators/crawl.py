@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuscope.functions import lexicon as lx
 from corpuscope.functions import urls as u
-from corpuscope.functions.sqltext import q
+from corpuscope.operators.joins import lookup
 from corpuscope.operators.links import candidates_text
 from corpuscope.operators.robots import path_allowed
 from corpuscope.sources.io import materialize
@@ -21,7 +21,7 @@ def page_targets(signals: DataFrame, sites: DataFrame) -> DataFrame:
     home = sites.selectExpr("site_key", "seed_page_id").join(
         signals.selectExpr("page_id AS seed_page_id", f"{u.origin('url')} AS site_origin"), "seed_page_id"
     ).select("site_key", "site_origin")
-    targets = signals.join(home, "site_key").selectExpr(
+    targets = lookup(signals, home, ["site_key"], "page_id", "inner").selectExpr(
         "page_id", "site_key", f"{u.key('url')} AS url_key", f"{candidates_text('site_origin')} AS targets"
     )
     # One page per key: the first that was fetched.

@@ -3,22 +3,23 @@
 from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.functions import lexicon as lx
-from corpuscope.functions.sqltext import listed, q
+from corpuscope.functions.sqltext import let, listed, q
 from corpuscope.operators.joins import lookup
 from corpuscope.operators.ordered_fold import limit_step, ordered_fold
 from corpuscope.operators.running import hour, running
 
 
-def sanitized(name: str = "name", props: str = "props") -> list[str]:
+def sanitized() -> list[str]:
     """Select list of a clean event: known name, allowed scalar properties, bounded texts."""
-    entries = []
-    for key in lx.ALLOWED_PROPERTY_KEYS:
-        kind = f"schema_of_variant(variant_get(v, '$.{key}'))"
-        value = f"variant_get(v, '$.{key}', 'string')"
-        entries.append(
-            f"CASE WHEN {kind} = 'STRING' THEN named_struct('key', {q(key)}, 'value', substring({value}, 1, 120))"
-            f" WHEN {kind} IN ('BIGINT', 'DOUBLE', 'BOOLEAN') OR {kind} LIKE 'DECIMAL%' THEN named_struct('key', {q(key)}, 'value', {value}) END"
-        )
+    def entry(key):
+        read = f"named_struct('kind', schema_of_variant(variant_get(v, '$.{key}')), 'value', variant_get(v, '$.{key}', 'string'))"
+        return let(read, lambda r: (
+            f"CASE WHEN {r}.kind = 'STRING' THEN named_struct('key', {q(key)}, 'value', substring({r}.value, 1, 120))"
+            f" WHEN {r}.kind IN ('BIGINT', 'DOUBLE', 'BOOLEAN') OR {r}.kind LIKE 'DECIMAL%'"
+            f" THEN named_struct('key', {q(key)}, 'value', {r}.value) END"
+        ))
+
+    entries = [entry(key) for key in lx.ALLOWED_PROPERTY_KEYS]
     return [f"map_from_entries(array_compact(array({', '.join(entries)}))) AS properties"]
 
 
@@ -89,9 +90,9 @@ def subscription_state(deliveries: DataFrame) -> DataFrame:
     alive = lookup(rows, born, ["subscription_ref"], "delivery_id", "inner").where("delivery_id >= born")
     held = running(
         alive, ["subscription_ref"], ["created_at", "delivery_id"],
-        {"plan_before": ("last", F.expr(f"CASE WHEN {updated} THEN plan END")),
-         "period_before": ("last", F.expr(f"CASE WHEN {updated} OR {paid} THEN period END"))},
-        hour("created_at"), before_row=True,
+        {"plan_before": ("last", F.expr(f"CASE WHEN {updated} THEN plan END"), "before"),
+         "period_before": ("last", F.expr(f"CASE WHEN {updated} OR {paid} THEN period END"), "before")},
+        hour("created_at"),
     )
     state = f"""CASE WHEN {updated} THEN {STATUS} WHEN {paid} THEN 'ACTIVE' WHEN type = 'invoice.payment_failed' THEN 'PAST_DUE' ELSE 'CANCELED' END"""
     reset = f"({updated} AND plan_before <> plan) OR ({paid} AND period > period_before)"

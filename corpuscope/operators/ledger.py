@@ -67,15 +67,15 @@ def credit_replay(log: DataFrame, allowance: int) -> DataFrame:
     change = f"CASE WHEN action = 'grant' THEN amount WHEN action = 'revoke' THEN -amount WHEN action = 'reserve' AND NOT ({free}) THEN -1 ELSE 0 END"
     walked = running(ranked.withColumn("change", F.expr(change).cast("bigint")), ["user_id"], order,
                      {"walk": ("sum", F.col("change"))}, at)
-    low = running(walked, ["user_id"], order, {"low": ("min", F.col("walk"))}, at)
-    # Balance just before the row: the same formula without the row's own change.
-    before = running(low, ["user_id"], order, {"low_before": ("min", F.col("walk"))}, at, before_row=True)
+    # ``low_before`` gives the balance just before the row: the same formula without its own change.
+    lows = running(walked, ["user_id"], order, {
+        "low": ("min", F.col("walk")), "low_before": ("min", F.col("walk"), "before")}, at)
     balance = "walk - least(0L, low)"
     held = "walk - change - least(0L, coalesce(low_before, 0L))"
     outcome = (
         f"CASE WHEN action <> 'reserve' THEN upper(action) WHEN {free} THEN 'ALLOWANCE' WHEN {held} >= 1 THEN 'CREDIT' ELSE 'REFUSED' END"
     )
-    return before.selectExpr(
+    return lows.selectExpr(
         "request_id", "user_id", "action", f"{outcome} AS outcome", f"{balance} AS balance_after",
         f"least({allowance}L, nth) AS allowance_used",
     )

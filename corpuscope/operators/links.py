@@ -57,7 +57,7 @@ def broken_links(signals: DataFrame, probes: DataFrame | None = None, budget: in
         .groupBy("site_key", "url_key")
         .agg(F.min(F.struct("page_id", "pos", "url", "absolute")).alias("seen"))
     )
-    crawled = signals.selectExpr("site_key", f"{u.key('url')} AS url_key")
+    crawled = signals.selectExpr("site_key", f"{u.key('url')} AS url_key").distinct()
     unseen = targets.join(crawled, ["site_key", "url_key"], "left_anti")
     order = Window.partitionBy("site_key").orderBy("seen.page_id", "seen.pos")
     probed = unseen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget)

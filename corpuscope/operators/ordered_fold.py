@@ -17,9 +17,6 @@ from corpuscope.sources.io import reliable_checkpoint
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_ROUNDS = 10_000
-
-
 def limit_step(limit: int, window_us: int):
     """Sliding-window limiter: state = times of the accepted attempts still in the window."""
 
@@ -56,36 +53,39 @@ def ordered_fold(rows: DataFrame, key: str, at: str, tie: str, step, partitions:
     """Fold ``step`` over each key's rows in time order.
 
     ``step(state, micros) -> (state, (allowed, remaining, retry_after))``."""
-    n = partitions or rows.sparkSession.sparkContext.defaultParallelism
     placed = rows.withColumn("_k", F.col(key).cast("string")).withColumn(
         "_at", F.unix_micros(F.col(at).cast("timestamp"))
     )
-    cut = reliable_checkpoint(
-        placed.repartitionByRange(n, "_k", "_at", tie).sortWithinPartitions("_k", "_at", tie)
-        .withColumn("_pid", F.spark_partition_id())
-    )
+    # Without a number the session's shuffle settings (and AQE's target size) decide.
+    order = ["_k", "_at", tie]
+    ranged = placed.repartitionByRange(partitions, *order) if partitions else placed.repartitionByRange(*order)
+    cut = reliable_checkpoint(ranged.sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()))
 
-    def ends(carry):
+    def ends(carry, only):
         def run(frames):
             def last(pid, first_key, key, state):
                 yield pd.DataFrame({"pid": [pid], "first_key": [first_key], "key": [key], "state": [list(state)]})
 
             return _fold(frames, step, carry, lambda f, r: iter(()), last)
 
-        summary = cut.select("_k", "_at", "_pid").mapInPandas(
+        rows_ = cut.select("_k", "_at", "_pid")
+        if only is not None:
+            rows_ = rows_.where(F.col("_pid").isin(only))
+        summary = rows_.mapInPandas(
             run, "pid int, first_key string, key string, state array<bigint>"
         )
         # One row per partition, whatever the size of the data.
         return {r.pid: (r.first_key, r.key, tuple(r.state)) for r in summary.collect()}
 
     carry: dict[int, tuple[str, tuple]] = {}
-    for _ in range(MAX_ROUNDS):
-        done = ends(carry)
+    done, changed = {}, None
+    while changed is None or changed:
+        done.update(ends(carry, changed))
         pids = sorted(done)
-        nxt = {b: done[a][1:] for a, b in zip(pids, pids[1:]) if done[a][1] == done[b][0]}
-        if nxt == carry:
-            break
-        carry = nxt
+        handed = {b: done[a][1:] for a, b in zip(pids, pids[1:]) if done[a][1] == done[b][0]}
+        # Only partitions that are now handed another state are folded again.
+        changed = [p for p in handed if handed[p] != carry.get(p)]
+        carry = handed
 
     def emit(frames):
         def attach(frame, results):

@@ -30,30 +30,32 @@ def running(
     rows: DataFrame,
     keys: list[str],
     order: list[str],
-    values: dict[str, tuple[str, Column]],
+    values: dict[str, tuple],
     bucket: Column,
-    before_row: bool = False,
 ) -> DataFrame:
-    """Add running ``sum``/``min``/``max``/``last`` columns, up to and including each row
-    (``before_row``: excluding it).  ``order`` must be unique per key and agree with ``bucket``."""
+    """Add running ``sum``/``min``/``max``/``last`` columns: name -> (kind, value[, "before"]).
+
+    A value runs up to and including each row; with "before" the row itself is left out.
+    ``order`` must be unique per key and agree with ``bucket``."""
     cut = rows.withColumn("_bucket", bucket)
-    for name, (_, value) in values.items():
-        cut = cut.withColumn(f"_v_{name}", value)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1 if before_row else Window.currentRow
-    )
+    kinds = {name: v[0] for name, v in values.items()}
+    for name, v in values.items():
+        cut = cut.withColumn(f"_v_{name}", v[1])
+    by_row = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = {n: by_row.rowsBetween(Window.unboundedPreceding, -1 if "before" in v[2:] else Window.currentRow)
+              for n, v in values.items()}
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "_bucket").agg(
-        *[_total(kind, F.col(f"_v_{n}"), order).alias(f"_t_{n}") for n, (kind, _) in values.items()]
+        *[_total(kind, F.col(f"_v_{n}"), order).alias(f"_t_{n}") for n, kind in kinds.items()]
     )
     offsets = totals.select(
-        *keys, "_bucket", *[_WITHIN[k](F.col(f"_t_{n}")).over(earlier).alias(f"_o_{n}") for n, (k, _) in values.items()]
+        *keys, "_bucket", *[_WITHIN[k](F.col(f"_t_{n}")).over(earlier).alias(f"_o_{n}") for n, k in kinds.items()]
     )
-    local = cut.select("*", *[_WITHIN[k](F.col(f"_v_{n}")).over(inside).alias(f"_w_{n}") for n, (k, _) in values.items()])
+    local = cut.select("*", *[_WITHIN[k](F.col(f"_v_{n}")).over(inside[n]).alias(f"_w_{n}") for n, k in kinds.items()])
     joined = local.join(offsets, [*keys, "_bucket"])
     return joined.select(
         *rows.columns,
-        *[_combine(k, F.col(f"_o_{n}"), F.col(f"_w_{n}")).alias(n) for n, (k, _) in values.items()],
+        *[_combine(k, F.col(f"_o_{n}"), F.col(f"_w_{n}")).alias(n) for n, k in kinds.items()],
     )
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from corpuscope.functions import lexicon as lx
 from corpuscope.functions.sqltext import q
 from corpuscope.operators.checks.framework import stairs
+from corpuscope.operators.running import running
 
 _ORDER = {c[0]: i for i, c in enumerate(lx.CATEGORIES)}
 
@@ -110,7 +111,10 @@ def site_summary(checks: DataFrame, weighted: DataFrame, strengths: DataFrame, w
 def score_history(audits: DataFrame) -> DataFrame:
     """Each completed audit with the score of the one before it for the same user and domain."""
     done = audits.where("status = 'COMPLETED' AND NOT is_deleted")
-    order = Window.partitionBy("user_id", "domain").orderBy("created_at", "audit_id")
-    return done.withColumn("previous_score", F.lag("overall_score").over(order)).selectExpr(
+    held = running(
+        done, ["user_id", "domain"], ["created_at", "audit_id"],
+        {"previous_score": ("last", F.col("overall_score"), "before")}, F.date_trunc("month", "created_at"),
+    )
+    return held.selectExpr(
         "audit_id", "user_id", "domain", "overall_score", "previous_score", "overall_score - previous_score AS delta"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import urls as u
 from corpuscope.operators import compare, recommend, scoring
+from corpuscope.operators.checks.site_facts import check_examples
 from corpuscope.plans import audit as plan
 from corpuscope.plans.page_queries import signals
 from corpuscope.sources import bindings as b, io
@@ -66,6 +67,7 @@ QUERIES = {
     **{f"c{i}_checks_{n}": family(n) for i, n in enumerate(plan.FAMILIES, 1)},
     "c7_checks_competitive": lambda spark, sf: audit_of(spark, sf)[0].competitive(),
     "c8_checks_all": checks_of,
+    "c8_check_examples": lambda spark, sf: check_examples(audit_of(spark, sf)[0].signals),
     "c0_make_check": lambda spark, sf: checks_of(spark, sf).groupBy("status", "severity", "applicable").agg(
         F.count("*").alias("n"), F.round(F.sum("points"), 2).alias("points"), F.sum("max_points").alias("max_points")),
     "g1_category_scores": lambda spark, sf: scoring.category_scores(checks_of(spark, sf)),

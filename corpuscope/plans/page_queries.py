@@ -92,7 +92,7 @@ QUERIES = {
     "p15_page_contacts": select_signals(lambda: [joined("emails", sort=True), joined("phones", sort=True),
                                         joined("address_signals"), "has_contact_signals"]),
     "p16_page_lexicon": select_signals(lambda: [joined("vague_phrases"), joined("superlatives")]),
-    "p16_document_lexicon": lexicon_of(lambda spark, sf: b.table(spark, sf, "documents"), "doc_id"),
+    "p16_document_lexicon": lexicon_of(lambda spark, sf: io.spread(b.table(spark, sf, "documents")), "doc_id"),
     "p17_page_fact_count": select_signals(lambda: ["factual_data_points"]),
     "p18_page_role": select_signals(lambda: ["url", "role"]),
     "p19_page_signals": lambda spark, sf: signals(spark, sf).select(

@@ -86,10 +86,11 @@ def write_results(df: DataFrame, path: str, keys: list[str], partition: str = "a
     """Replace the results of the audits in ``df`` and leave other audits alone.
 
     Writing the same audit twice leaves one copy; duplicate keys within an audit are dropped.
+    Ranges over audit and key put small audits into one file each and cut a large one into several.
     """
     (
         df.dropDuplicates([partition, *keys])
-        .repartition(partition, *keys[:1])
+        .repartitionByRange(partition, *keys)
         .write.partitionBy(partition)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")

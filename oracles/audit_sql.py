@@ -382,6 +382,10 @@ SQL = {
     **{f"c{i}_checks_{name}": f"WITH {BASE}, {checks_cte('own_rows', rows(OWN[name], 'fx'))} SELECT {CHECK_COLS} FROM own_rows" for i, name in enumerate(OWN, 1)},
     "c7_checks_competitive": f"WITH {BASE}, {COMPARED}, {checks_cte('comp_rows', rows(COMPETITIVE, 'cf', _WHEN))} SELECT {CHECK_COLS} FROM comp_rows",
     "c8_checks_all": f"WITH {ALL} SELECT {CHECK_COLS} FROM chk",
+    "c8_check_examples": f"""WITH {FETCHED}, ex AS (SELECT site_key, page_id, url, 'tech.redirect-chains' AS check_id, 3 AS most FROM sig WHERE redirect_hops > 1 UNION ALL SELECT site_key, page_id, url, 'tech.indexability', 5 FROM sig WHERE NOT is_indexable
+       UNION ALL SELECT site_key, page_id, url, 'tech.canonical', 5 FROM sig WHERE canonical IS NULL UNION ALL SELECT site_key, page_id, url, 'entity.title-quality', 5 FROM sig WHERE title_length = 0 UNION ALL SELECT site_key, page_id, url, 'entity.meta-description', 5 FROM sig WHERE meta_description IS NULL
+       UNION ALL SELECT site_key, page_id, url, 'content.thin-pages', 5 FROM sig WHERE word_count < 150 UNION ALL SELECT site_key, page_id, url, 'content.heading-structure', 5 FROM sig WHERE len(h1) <> 1 OR NOT heading_hierarchy_valid UNION ALL SELECT site_key, page_id, url, 'schema.presence', 5 FROM sig WHERE n_blocks = 0)
+       SELECT site_key, check_id, CAST(row_number() OVER w AS INT) AS rank, page_id, url FROM ex WINDOW w AS (PARTITION BY site_key, check_id ORDER BY page_id) QUALIFY row_number() OVER w <= most""",
     "c0_make_check": f"WITH {ALL} SELECT status, severity, applicable, count(*) AS n, round(sum(points), 2) AS points, sum(max_points) AS max_points FROM chk GROUP BY ALL",
     "g1_category_scores": f"WITH {SCORES} SELECT * FROM cs",
     "g2_rebalance_weights": f"WITH {SCORES} SELECT site_key, category, available, base_weight, effective_weight FROM ws",

@@ -110,3 +110,6 @@ SQL = {
     "e10_hash_identifier": "SELECT c_custkey, c_name, sha256('pepper:id:' || lower(trim(c_name))) AS identifier_hash FROM customer",
     "e11_daily_event_window": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events FROM events GROUP BY ALL",
 }
+
+SQL["e11_stream_daily_counts"] = SQL["e11_daily_event_window"]
+SQL["e7_stream_rate_limit"] = SQL["e7_rate_limit"]
