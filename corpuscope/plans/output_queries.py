@@ -27,14 +27,24 @@ def _export_csv(spark, sf):
     return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
 
 
-def _report(spark, sf):
+def _documents(spark, sf):
     audit, checks = audit_of(spark, sf)
     weighted = weighted_of(spark, sf)
-    documents = report.assemble(
+    return report.assemble(
         audit.sites, scoring.with_band(scoring.overall(weighted)), scoring.category_summaries(weighted), checks,
         recommend.recommendations(checks), audit.compared(), audit.signals, audit.failures,
     )
-    return report.as_json(documents)
+
+
+def _outline(spark, sf):
+    """What each document holds, flattened so that it can be compared."""
+    return _documents(spark, sf).selectExpr(
+        "site_key", "business_name", "overall_score", "band", "pages_crawled", "pages_failed",
+        "array_join(transform(categories, c -> concat(c.category, '=', c.score)), ' ') AS categories",
+        "array_join(transform(findings, f -> concat(f.check_id, '=', f.status)), ' ') AS findings",
+        "array_join(transform(slice(recommendations, 1, 5), r -> r.check_id), ' ') AS first_fixes",
+        "coalesce(array_join(transform(competitors, c -> concat(c.url, '=', c.status)), ' '), '') AS competitors",
+    )
 
 
 def _crawl(spark, sf):
@@ -52,6 +62,7 @@ QUERIES = {
     "k4_crawl_select": _crawl,
     "s3_write_results": _write_results,
     "s4_export_csv": _export_csv,
-    "t1_report_assemble": _report,
+    "t1_report_assemble": lambda spark, sf: report.as_json(_documents(spark, sf)),
+    "t1_report_outline": _outline,
     "t1_page_section": _page_section,
 }

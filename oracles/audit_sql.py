@@ -415,6 +415,12 @@ SQL = {
     "v1_preview_score": f"WITH {SIGNALS}, {PREV} SELECT page_id, url, CAST(floor(100.0 * coalesce(sum(c.w) FILTER (WHERE c.ok), 0) / sum(c.w) + 0.5) AS INT) AS score, CAST(count(*) FILTER (WHERE NOT c.ok) AS INT) AS issues FROM pv GROUP BY ALL",
     "v2_preview_findings": f"""WITH {SIGNALS}, {PREV} SELECT page_id, CAST(row_number() OVER w AS INT) AS rank, c.title AS title, c.category AS category, CASE WHEN c.ok THEN 'PASSED' ELSE c.sev END AS severity, c.ok AS passed FROM pv
        WINDOW w AS (PARTITION BY page_id ORDER BY c.ok, CASE WHEN c.ok THEN 0 ELSE {rank('c.sev', lx.SEVERITIES)} END, c.w DESC, c.i) QUALIFY row_number() OVER w <= 5""",
+    "t1_report_outline": f"""WITH {SCORES}, rk AS (SELECT *, row_number() OVER (PARTITION BY site_key ORDER BY {_SEV}, {rank('impact', ['HIGH', 'MEDIUM', 'LOW'])}, {rank('effort', ['LOW', 'MEDIUM', 'HIGH'])},
+         {rank('category', [c[0] for c in sorted(lx.CATEGORIES, key=lambda c: c[3])])}, check_id) AS pr FROM chk WHERE applicable AND status IN ('FAIL', 'WARN'))
+       SELECT s.site_key, s.business_name, overall_score, {band('overall_score')} AS band, (SELECT count(*) FROM sig g WHERE g.site_key = s.site_key) AS pages_crawled, coalesce((SELECT failures FROM fail x WHERE x.site_key = s.site_key), 0) AS pages_failed,
+       (SELECT string_agg(category || '=' || score, ' ' ORDER BY category_order) FROM ws WHERE ws.site_key = s.site_key) AS categories, (SELECT string_agg(check_id || '=' || status, ' ' ORDER BY sort_order) FROM chk WHERE chk.site_key = s.site_key) AS findings,
+       coalesce((SELECT string_agg(check_id, ' ' ORDER BY pr) FROM rk WHERE rk.site_key = s.site_key AND pr <= 5), '') AS first_fixes, coalesce((SELECT string_agg(url || '=' || status, ' ' ORDER BY rank) FROM cmp WHERE cmp.site_key = s.site_key), '') AS competitors
+       FROM sites s JOIN ov ON ov.site_key = s.site_key""",
     "s3_write_results": f"WITH {FETCHED} SELECT site_key AS audit_id, page_id, url, title, role, CAST(word_count AS INT) AS word_count FROM sig",
     "s4_export_csv": f"WITH {RECS} SELECT * FROM rec",
     "t1_page_section": f"""WITH {FETCHED} SELECT site_key, url, role, title, status_code, word_count, array_to_string(schema_types, ' | ') AS schema_types, len(question_headings) > 0 AS has_questions, NULL AS error FROM sig
