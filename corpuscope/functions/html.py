@@ -32,10 +32,10 @@ BLOCK_TAGS = (
     "|plaintext|pre|search|section|summary|table|td|th|tr|ul"
 )
 
-# Characters a browser counts as white space beyond the ASCII ones the regex engine knows.
-WIDE_SPACES = "".join(
+# White space as a browser counts it: more than the ASCII characters of the regex engine's own class.
+SPACE = "[" + r"\s" + "".join(
     chr(n) for n in [0x0B, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
-)
+) + "]"
 _ATTR = r"""([^\s=>"'/<]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 
 
@@ -63,17 +63,13 @@ def blank_to_null(c: str) -> str:
     return f"nullif({c}, '')"
 
 
-def wide_to_space(c: str) -> str:
-    return f"translate({c}, {q(WIDE_SPACES)}, {q(' ' * len(WIDE_SPACES))})"
-
-
 def trim_ws(c: str) -> str:
-    return replace(wide_to_space(c), r"^\s+|\s+$")
+    return replace(c, rf"^{SPACE}+|{SPACE}+$")
 
 
 def squeeze(c: str) -> str:
     """Collapse runs of white space and trim."""
-    return f"trim({replace(wide_to_space(c), r'\s+', ' ')})"
+    return f"trim({replace(c, SPACE + '+', ' ')})"
 
 
 def entity_table() -> dict[str, str]:

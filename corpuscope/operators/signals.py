@@ -77,8 +77,8 @@ def body_markup(content: str) -> str:
 
 
 def word_count(text: str) -> str:
-    """White-space separated tokens that hold a letter or digit."""
-    return h.count_matches(h.replace(text, r"[^\sa-zA-Z0-9]+"), r"\S+")
+    """White-space separated tokens that hold a letter or digit (each token is tried once)."""
+    return h.count_matches(text, r"(?:^|\s)[^\sa-zA-Z0-9]*+[a-zA-Z0-9]")
 
 
 def count_tags(content: str, names: str) -> str:
@@ -143,7 +143,8 @@ def byline_texts(doc: str) -> str:
     names = ["a", "address", "b", "cite", "div", "em", "footer", "li", "p", "small", "span", "strong", "h4", "h5"]
     elements = h.extract_all(doc, "(?is)" + "|".join(rf"<{n}\s[^>]*?{mark}[^>]*>?.*?</{n}\s*>" for n in names))
     named = keep(each(elements, h.text_of), lambda t: f"{t} <> '' AND length({t}) < 120")
-    return each(named, lambda t: h.replace(t, r"(?i)^by\s+"))
+    names_only = each(named, lambda t: h.replace(t, r"(?i)^by\s+"))
+    return f"CASE WHEN {h.matches(doc, r'(?i)author|byline')} THEN {names_only} ELSE CAST(array() AS ARRAY<STRING>) END"
 
 
 def _alt(t: str) -> str:
@@ -174,7 +175,8 @@ def _extracted() -> dict[str, str]:
     link_tags = h.extract_all("doc", h.tag("link"))
     canonical = h.attr_text(first(keep(link_tags, lambda t: f"{h.attr(t, 'rel')} = 'canonical'")), "href")
     times = keep(h.extract_all("doc", h.tag("time")), lambda t: f"{h.attr(t, 'datetime')} IS NOT NULL")
-    emails = keep(h.extract_all("html", lx.EMAIL_PATTERN), lambda e: f"NOT {h.matches(e, lx.IMAGE_SUFFIX_PATTERN)}")
+    found = f"CASE WHEN contains(html, '@') THEN {h.extract_all('html', lx.EMAIL_PATTERN)} ELSE CAST(array() AS ARRAY<STRING>) END"
+    emails = keep(found, lambda e: f"NOT {h.matches(e, lx.IMAGE_SUFFIX_PATTERN)}")
     addresses = each(
         h.extract_all("content", rf"(?is)<address(?:[\s/]{h.ATTRS})?>(.*?)</address\s*>", 1),
         lambda a: h.unescape(h.strip_tags(a)),

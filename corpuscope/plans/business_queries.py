@@ -39,7 +39,7 @@ def _recorded(spark, sf):
 
 def _sanitized(spark, sf):
     pairs = F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return ev.event_sanitize(b.bind(spark, sf, b.RAW_EVENTS_SQL)).withColumn("properties", F.array_join(F.array_sort(pairs), "|"))
+    return ev.event_sanitize(io.spread(b.bind(spark, sf, b.RAW_EVENTS_SQL))).withColumn("properties", F.array_join(F.array_sort(pairs), "|"))
 
 
 def _open_actions(spark, sf):
