@@ -1,5 +1,6 @@
 """Sources and sinks."""
 
+import re
 import tempfile
 import uuid
 
@@ -33,10 +34,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names, else (tests) a new local one."""
+    """Folder for intermediate tables: the one named in ``spark.checkpoint.dir``.
+
+    Only a session whose executors live in this process (``local[n]``, as in tests) may leave it
+    unset and gets a new temporary folder; on a cluster that would be a folder of one machine.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 
