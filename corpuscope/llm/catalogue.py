@@ -2,7 +2,9 @@
 
 import public_tokenizers
 
-from corpuscope.llm import mixing, token_counts, url_filters, warc
+from pyspark.sql import functions as F
+
+from corpuscope.llm import decontaminate, mixing, quality, token_counts, url_filters, warc
 from corpuscope.llm.common import new_folder, table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -13,6 +15,15 @@ def op1_url_filters(spark, sf_dir):
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_PATTERNS)
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents")).select("doc_id", "quality", "keep")
+
+
+def op4_decontamination(spark, sf_dir):
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -28,6 +39,8 @@ def op9_mixing(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
     "op9_mixing": op9_mixing,
@@ -70,6 +83,20 @@ SELECT doc_id, size, source_size, target,
        CAST(whole * size + greatest(0, least(size, budget - whole * source_size - before)) AS BIGINT) AS taken, source
 FROM d"""
 
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark),
+i AS (SELECT DISTINCT item_id, n, array_to_string(words[p + 1:p + n], ' ') AS passage
+      FROM (SELECT *, least(10, len(words)) AS n FROM b WHERE len(words) > 0), unnest(range(0, len(words) - n + 1)) AS u(p)),
+l AS (SELECT DISTINCT n FROM i),
+s AS (SELECT doc_id, n, p, array_to_string(words[p + 1:p + n], ' ') AS passage FROM d, l, unnest(range(0, greatest(0, len(words) - n + 1))) AS u(p)),
+h AS (SELECT doc_id, p, s.n, item_id FROM s JOIN i USING (passage) WHERE s.n = i.n),
+w AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM h, unnest(range(p, p + n)) AS u(q) GROUP BY doc_id),
+k AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN w USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
 OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 n AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS newest FROM p)
@@ -80,4 +107,4 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id <> newest THEN newest END AS refers_to
 FROM (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', substr(sha1(body), CAST(i AS INT), 1)) - 1), 4, '0')), '') AS bits FROM n)"""
 
-SQL = {"op1_url_filters": OP1_SQL, "op5_warc": OP5_SQL, "op9_mixing": OP9_SQL}
+SQL = {"op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": OP9_SQL}
