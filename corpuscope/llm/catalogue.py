@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontaminate, mixing, quality, token_counts, url_filters, warc
+from corpuscope.llm import decontaminate, mixing, quality, suffix_dedup, token_counts, url_filters, warc
 from corpuscope.llm.common import new_folder, table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -33,6 +33,10 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_folder(spark, "token-counts"))
 
 
+def op7_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_mixing": op9_mixing,
 }
 
