@@ -1,7 +1,9 @@
 """Token counts through a cache that is keyed by content and tokenizer digests."""
 
+import functools
 import hashlib
 import json
+import os
 import re
 from collections import Counter
 
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.utils import AnalysisException
 
 #: Pieces whose counts a task remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Texts encoded at once.
 TOGETHER = 2_000
 #: A space between two visible characters: byte-level pre-tokenizers always begin a piece there.
@@ -29,13 +31,17 @@ def splits_at_spaces(spec: dict) -> bool:
     return bool(own) and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in added)
 
 
+@functools.lru_cache(maxsize=1)
 def counter(path_suffix: str, model: bytes):
-    """A function from a list of texts to their token counts, for a .json or .model file's bytes."""
+    """A function from a list of texts to their token counts, for a .json or .model file's bytes.
+
+    A Python worker keeps it, with the pieces it remembers, from task to task."""
     if path_suffix == "model":
         import sentencepiece
 
         pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         return lambda texts: [len(ids) for ids in pieces.encode(texts, num_threads=1)]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     import tokenizers
 
     tokenizer = tokenizers.Tokenizer.from_str(model.decode())
