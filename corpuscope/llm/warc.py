@@ -19,7 +19,7 @@ from corpuscope.llm.common import new_folder
 from corpuscope.sources.io import reliable_checkpoint
 
 REVISIT_PROFILE = "http://netpreservefoundation.org/warc/1.1/revisit/identical-payload-digest"
-GZIP, LEVEL, CHUNK = 31, 4, 1 << 20
+GZIP, LEVEL, CHUNK = 31, 6, 1 << 20
 INDEX_SCHEMA = "file string, offset long, length long, record_id string"
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
@@ -142,36 +142,46 @@ def write_archives(records: DataFrame, folder: str, date: str = "2020-01-01T00:0
     return reliable_checkpoint(records.mapInArrow(write, "file string, n_records long"))
 
 
-def normalise(files: DataFrame, folder: str) -> DataFrame:
+def normalise(files: DataFrame, folder: str, delete_source: bool = False) -> DataFrame:
     """Rewrite every record of the archives in ``files`` (file) as a gzip member of its own.
 
     Each archive is inflated once, from start to end, in bounded pieces; its records become members
     of ``<name>`` in ``folder`` and their places go to ``<name>.idx`` beside it, one JSON line each.
+    The index is moved into place last, so a task that is run again goes on from a finished index;
+    only then ``delete_source`` removes the archive it came from.
     Empty archives give no records; one that ends inside a record is an error.  Null file names are
     left out.  Gives the index (file, offset, length, record_id).
     """
     def rewrite(batches):
         for source in (x for batch in batches for x in batch.column("file").to_pylist()):
             fs, name = opened(source)
-            target, places = f"{folder}/{posixpath.basename(name).replace('mono-', 'part-')}", []
-
-            def members(out, fs=fs, name=name, places=places, target=target):
-                offset = 0
-                with fs.open_input_stream(name, compression=None) as stream:
-                    for raw in split_records(inflated(stream)):
-                        packer = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
-                        member = packer.compress(raw) + packer.flush()
-                        out.write(member)
-                        head = fields(raw[:raw.find(b"\r\n\r\n")])
-                        places.append({"file": target, "offset": offset, "length": len(member), "record_id": head.get("warc-record-id")})
-                        offset += len(member)
-
-            replace_file(target, members)
-            replace_file(f"{target}.idx", lambda out, places=places: out.write("".join(json.dumps(p) + "\n" for p in places).encode()))
+            target = f"{folder}/{posixpath.basename(name).replace('mono-', 'part-')}"
+            out_fs, index = opened(f"{target}.idx")
+            if out_fs.get_file_info(index).type == pafs.FileType.NotFound:
+                places = []
+
+                def members(out, fs=fs, name=name, places=places, target=target):
+                    offset = 0
+                    with fs.open_input_stream(name, compression=None) as stream:
+                        for raw in split_records(inflated(stream)):
+                            packer = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
+                            member = packer.compress(raw) + packer.flush()
+                            out.write(member)
+                            head = fields(raw[:raw.find(b"\r\n\r\n")])
+                            places.append({"file": target, "offset": offset, "length": len(member), "record_id": head.get("warc-record-id")})
+                            offset += len(member)
+
+                replace_file(target, members)
+                replace_file(f"{target}.idx", lambda out, places=places: out.write("".join(json.dumps(p) + "\n" for p in places).encode()))
+            if delete_source and fs.get_file_info(name).type != pafs.FileType.NotFound:
+                fs.delete_file(name)
+            with out_fs.open_input_stream(index) as stream:
+                places = [json.loads(line) for line in stream.read().splitlines()]
             for i in range(0, len(places), 10_000):
                 yield pa.RecordBatch.from_pylist(places[i:i + 10_000])
 
-    return files.where("file is not null").select("file").repartition("file").mapInArrow(rewrite, INDEX_SCHEMA)
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given is not merged for being small
+    return files.where("file is not null").select("file").repartition(tasks, "file").mapInArrow(rewrite, INDEX_SCHEMA)
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -215,5 +225,5 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     written = write_archives(record_kinds(pages, min_bytes), new_folder(spark, "warc-stream"))
-    index = reliable_checkpoint(normalise(written, new_folder(spark, "warc")))
+    index = reliable_checkpoint(normalise(written, new_folder(spark, "warc"), delete_source=True))
     return read_records(index)
