@@ -96,10 +96,10 @@ def shingle_sets(hashes: np.ndarray, places: np.ndarray, size: int):
         if b - a >= size:
             yield np.unique(rolled[a:b - size + 1])
         elif b > a:
-            short = U64(b - a)
+            short = np.array([b - a], dtype=U64)
             for h in hashes[a:b]:
-                short = np.multiply(short, MIX2) + h
-            yield mixed(np.array([short]), MIX2)
+                short = short * MIX2 + h
+            yield mixed(short, MIX2)
         else:
             yield np.zeros(0, U64)
 

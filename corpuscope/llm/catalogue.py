@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontaminate, mixing, quality, suffix_dedup, token_counts, url_filters, warc
+from corpuscope.llm import decontaminate, jaccard_join, mixing, quality, suffix_dedup, token_counts, url_filters, warc
 from corpuscope.llm.common import new_folder, table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -37,6 +37,10 @@ def op7_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing": op9_mixing,
 }
 
