@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontaminate, jaccard_join, mixing, quality, suffix_dedup, token_counts, url_filters, warc
+from corpuscope.llm import cap_filters, decontaminate, jaccard_join, lm_scoring, mixing, quality, suffix_dedup, token_counts, url_filters, warc
 from corpuscope.llm.common import new_folder, table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -19,6 +19,10 @@ def op2_quality_classifier(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents")).select("doc_id", "quality", "keep")
 
 
+def op3_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark, sf_dir):
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -45,15 +49,21 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark, sf_dir):
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing": op9_mixing,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
