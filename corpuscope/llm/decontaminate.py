@@ -81,7 +81,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
     words and are not contaminated; null ids are carried; items of null id count as one item and are
     left out of the list; an empty benchmark hits nothing, empty documents give no rows, and other
     columns are not read.  Result: id, n_words, n_hit, n_items, items (sorted as strings), hits (places
-    and lengths of the passages), contaminated.
+    and lengths of the passages), contaminated, print_of_text (xxhash64, tells rows of equal id apart).
     """
     keys = ["doc_id", "print_of_text"]
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("print_of_text"), words_of(F.col(text_col)).alias("words"))
@@ -120,4 +120,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
     return listed.join(found, same, "left").select(
         F.col("doc_id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        "hits", F.col("hits").isNotNull().alias("contaminated"))
+        "hits", F.col("hits").isNotNull().alias("contaminated"), "print_of_text")

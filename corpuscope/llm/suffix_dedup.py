@@ -157,7 +157,7 @@ def covered(parse: Parse, bits: np.ndarray, span: int) -> tuple[np.ndarray, np.n
 
 
 PHRASES = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("hashes", "before", "after", "context", "ids"))])
-RESULT = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "kept_sha256": pa.string(),
+RESULT = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_text": pa.string(), "kept_sha256": pa.string(),
           "spans": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))}
 FOUND = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
@@ -180,7 +180,8 @@ def dedup_substrings(docs: DataFrame, span: int = 50, k: int = 34, with_text: bo
     larger than all others; rows of equal id do not remove from one another; an empty table gives no
     rows; other columns are read only if ``carry`` names them, and come back as ``row_<name>``.
     Result: id, n_bytes, n_removed, n_spans, spans (first and last + 1 byte of each maximal removed
-    run), kept (the bytes that remain, with ``with_text``), kept_sha256, carried columns.
+    run), kept_text (what remains, with ``with_text``; characters of which only a part remains are left
+    out of it), kept_sha256 (of all bytes that remain), carried columns.
     """
     buckets, steps = parts_of(docs.sparkSession), span - k + 1
     if not 1 <= steps <= 60:
@@ -229,7 +230,7 @@ def dedup_substrings(docs: DataFrame, span: int = 50, k: int = 34, with_text: bo
             bits = np.where(smallest[number] < ids[parse.docs], own, answers_of(found)[number] & own)
             firsts, lasts = covered(parse, bits, span)
         cuts = np.searchsorted(firsts, offsets)
-        out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256")}
+        out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "spans", "kept_text", "kept_sha256")}
         for i in range(table.num_rows):
             a, b = offsets[i], offsets[i + 1]
             here = slice(cuts[i], cuts[i + 1])
@@ -240,7 +241,7 @@ def dedup_substrings(docs: DataFrame, span: int = 50, k: int = 34, with_text: bo
                 at = y
             kept = b"".join([*kept, text[at:]])
             for name, value in zip(out, (len(text), len(text) - len(kept), len(spans), [{"start": x, "stop": y} for x, y in spans],
-                                         kept if with_text else None, hashlib.sha256(kept).hexdigest())):
+                                         kept.decode("utf-8", "ignore") if with_text else None, hashlib.sha256(kept).hexdigest())):
                 out[name].append(value)
         arrays = {"doc_id": table.column("doc_id")} | {n: pa.array(v, RESULT[n]) for n, v in out.items()}
         return pa.table(arrays | {f"row_{c}": table.column(f"row_{c}") for c in carry})
@@ -252,5 +253,5 @@ def dedup_substrings(docs: DataFrame, span: int = 50, k: int = 34, with_text: bo
     rows = "".join(f", row_{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in carry)
     return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(
         finish, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, "
-        f"kept binary, kept_sha256 string{rows}").select(
-        F.col("doc_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256", *(f"row_{c}" for c in carry))
+        f"kept_text string, kept_sha256 string{rows}").select(
+        F.col("doc_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "spans", "kept_text", "kept_sha256", *(f"row_{c}" for c in carry))
