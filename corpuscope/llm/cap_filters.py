@@ -10,6 +10,8 @@ from corpuscope.sources.io import materialize, reliable_checkpoint
 
 #: Largest block of a filter's vectors that one comparison takes.
 BLOCK = 2048
+#: By how much a vector with too few filters lowers its bound at a time.
+STEP = 0.02
 FILED = pa.schema([("node", pa.string()), ("label", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary()), ("filters", pa.list_(pa.int32()))])
 LINKS = pa.schema([("node", pa.string()), ("n", pa.int64()), ("a", pa.string()), ("b", pa.string())])
 
@@ -25,26 +27,31 @@ class ProductCode:
         random = np.random.default_rng([seed, dims])
         self.rotation = np.linalg.qr(random.standard_normal((dims, dims)))[0]
         self.edges = np.linspace(0, dims, blocks + 1).astype(int)
-        self.codes = []
+        self.codes, self.directions = [], directions ** blocks
         for a, b in zip(self.edges[:-1], self.edges[1:]):
             code = random.standard_normal((directions, b - a))
             self.codes.append(code / np.maximum(np.linalg.norm(code, axis=1, keepdims=True), 1e-300) * np.sqrt((b - a) / dims))
 
-    def exceeding(self, vectors: np.ndarray, least: float) -> list[np.ndarray]:
+    def exceeding(self, vectors: np.ndarray, least: float, fewest: int) -> list[np.ndarray]:
         """For each unit vector the numbers of all directions whose product with it is ``least`` or more.
 
-        Blocks are added one at a time; a beginning is dropped when even the best rest can't reach."""
+        A vector that finds fewer than ``fewest`` lowers its own bound until it has them.  Blocks are added one at a time; a beginning is dropped when even the best rest can't reach."""
         turned = vectors @ self.rotation
         products = [turned[:, a:b] @ code.T for a, b, code in zip(self.edges[:-1], self.edges[1:], self.codes)]
         best_rest = np.cumsum([p.max(axis=1) for p in products[::-1]], axis=0)[::-1]
         out = []
         for i in range(len(vectors)):
-            numbers, sums = np.zeros(1, np.int64), np.zeros(1)
-            for j, p in enumerate(products):
-                rest = best_rest[j + 1][i] if j + 1 < len(products) else 0.0
-                total = sums[:, None] + p[i]
-                x, y = np.nonzero(total + rest >= least)
-                numbers, sums = numbers[x] * p.shape[1] + y, total[x, y]
+            bound = min(least, best_rest[0][i])
+            while True:
+                numbers, sums = np.zeros(1, np.int64), np.zeros(1)
+                for j, p in enumerate(products):
+                    rest = best_rest[j + 1][i] if j + 1 < len(products) else 0.0
+                    total = sums[:, None] + p[i]
+                    x, y = np.nonzero(total + rest >= bound)
+                    numbers, sums = numbers[x] * p.shape[1] + y, total[x, y]
+                if len(numbers) >= min(fewest, self.directions):
+                    break
+                bound -= STEP
             out.append(np.sort(numbers).astype(np.int32))
         return out
 
@@ -56,7 +63,7 @@ def units(full: np.ndarray) -> np.ndarray:
     return full / np.linalg.norm(full, axis=1, keepdims=True)
 
 
-def file_vectors(classes: DataFrame, code: dict, least: float, kind: str) -> DataFrame:
+def file_vectors(classes: DataFrame, code: dict, least: float, fewest: int, kind: str) -> DataFrame:
     """Vectors, as bytes of the given kind of number, with all the filters that they exceed."""
     def file(batches):
         made: dict[int, ProductCode] = {}
@@ -68,7 +75,7 @@ def file_vectors(classes: DataFrame, code: dict, least: float, kind: str) -> Dat
                 full = np.array([vectors[i] for i in at], dtype=kind)
                 if dims not in made:
                     made[dims] = ProductCode(dims, min(code["blocks"], dims), code["directions"], code["seed"])
-                lists = made[dims].exceeding(units(full), least)
+                lists = made[dims].exceeding(units(full), least, fewest)
                 yield table_of([(*rows[i], v.tobytes(), f) for i, v, f in zip(at, full, lists)], FILED).to_batches()[0]
 
     return classes.mapInArrow(file, "node string, label long, copies long, vector binary, filters array<int>")
@@ -129,12 +136,12 @@ def unite(joined: np.ndarray, nodes, at, i: int, j: int) -> list[tuple]:
     return [(None, 0, min(nodes[at[i]], nodes[at[j]]), max(nodes[at[i]], nodes[at[j]]))]
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, blocks: int = 2, directions: int = 96, cap: float = 0.34, seed: int = 7,
+def near_duplicates(vectors: DataFrame, least: float = 0.93, blocks: int = 2, directions: int = 96, cap: float = 0.34, fewest: int = 24, seed: int = 7,
                     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links between vectors of equal label whose cosine is ``least`` or more, and their groups.
 
-    A vector is filed under every direction of the product code whose product with it reaches ``cap``;
-    vectors meet in common filters, and every pair that meets is compared in double precision, so no
+    A vector is filed under every direction of the product code whose product with it reaches ``cap``
+    (or a lower bound of its own, if that gives fewer than ``fewest``); vectors meet in common filters, and every pair that meets is compared in double precision, so no
     link below ``least`` is made.  A pair that shares no filter is missed: more ``directions`` or a lower
     ``cap`` raise the share that is found.  Equal vectors of a label are one node with its number of
     copies.  Filters of many vectors are cut into blocks that meet pair by pair, without a limit.
@@ -154,7 +161,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, blocks: int = 2, di
     classes = given.where("node is not null").groupBy("node").agg(
         F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     filed = materialize(file_vectors(classes.select("node", "label", "copies", "embedding"),
-                                     {"blocks": blocks, "directions": directions, "seed": seed}, cap, kind))
+                                     {"blocks": blocks, "directions": directions, "seed": seed}, cap, fewest, kind))
     entries = block_pairs(filed.select("node", "label", F.explode("filters").alias("filter")), ["label", "filter"], "node", BLOCK)
     tile = F.xxhash64("label", "filter", "block_a", "block_b")
     crowded = entries.groupBy(tile.alias("tile")).agg(F.count("*").alias("n")).where("n > 1").select("tile")

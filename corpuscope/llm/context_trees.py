@@ -17,8 +17,8 @@ LOG_HALF = float(np.log(0.5))
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series, from at least 8 upwards by the recurrence."""
+    x = x.astype(np.float64)
     shift = np.zeros_like(x)
-    x = x.copy()
     for _ in range(8):
         low = x < 8
         shift[low] += np.log(x[low])

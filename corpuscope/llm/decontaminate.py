@@ -58,7 +58,8 @@ def fingerprints(df: DataFrame, keys: list[str], span: int, k: int, short: list[
     hashed = hashed.withColumn("kgrams", grams(F.col("hashes"), F.col("n"), k))
     entry = lambda size, i, h: F.struct(F.lit(size).alias("len"), i.alias("place"), h.alias("print"))
     parts = [let(F.col("kgrams"), lambda g: F.transform(winnowed(g, F.col("n"), span, k), lambda i: entry(span, i, F.get(g, i))))]
-    parts += [F.transform(grams(F.col("hashes"), F.col("n"), size), lambda h, i, size=size: entry(size, i, h)) for size in short]
+    at = lambda size: lambda h, i: entry(size, i, h)
+    parts += [F.transform(grams(F.col("hashes"), F.col("n"), size), at(size)) for size in short]
     return hashed.select(*keys, F.explode(F.concat(*parts)).alias("p")).select(*keys, "p.len", "p.place", "p.print")
 
 
