@@ -51,8 +51,8 @@ def _any_token(tokens: str, text: str) -> str:
 
 @cache
 def _page_facts() -> dict[str, str]:
-    text = "main_text_excerpt"
-    home = "coalesce(meta_description, substring(main_text_excerpt, 1, 400))"
+    text = "main_text"
+    home = "coalesce(meta_description, main_text)"
     org_block = first(keep("json_ld", lambda b: f"arrays_overlap({b}.types, {strings(lx.ORG_TYPES)})"))
 
     def completeness(b):
@@ -94,8 +94,8 @@ def _page_facts() -> dict[str, str]:
         "definitions": h.count_matches(text, lx.DEFINITION_PATTERN),
         "compares": h.matches(text, lx.COMPARISON_TEXT_PATTERN),
         "comparison_page": h.matches("concat(coalesce(title, ''), ' ', url)", lx.COMPARISON_PAGE_PATTERN),
-        "front_loaded": f"length(substring({text}, 1, 350)) >= 80 AND {h.matches(f'substring({text}, 1, 350)', lx.DECLARATIVE_PATTERN)}",
-        "summarised": f"length(substring({text}, 1, 300)) >= 100 AND {h.matches(f'substring({text}, 1, 300)', lx.SUMMARY_VERB_PATTERN)}",
+        "front_loaded": f"length(first_paragraph) >= 80 AND {h.matches('first_paragraph', lx.DECLARATIVE_PATTERN)}",
+        "summarised": f"length(first_paragraph) >= 100 AND {h.matches('first_paragraph', lx.SUMMARY_VERB_PATTERN)}",
         "process": h.matches(text, lx.PROCESS_PATTERN),
         "blocks": "size(json_ld)", "bad_blocks": f"size({keep('json_ld', lambda b: f'NOT {b}.valid')})",
         "type_bits": _mask("schema_types", SCHEMA_BITS),
@@ -149,7 +149,7 @@ def _site_sums() -> dict[str, str]:
         "home_words": f"coalesce({home('word_count')}, 0)", "questions": "sum(questions)",
         "faq_pages": count("role = 'FAQ' OR faq"), "faq_content": any_("faq"), "quotable": count("quotable"),
         "lists": "sum(lists)", "tables": "sum(tables)",
-        "definitions": f"least({lx.DEFINITION_LIMIT}, sum(definitions)) + sum(definition_lists)",
+        "definitions": "sum(definitions) + sum(definition_lists)",
         "compares": any_("compares"), "comparison_pages": count("comparison_page"), "front_loaded": count("front_loaded"),
         "home_summary": f"coalesce({home('summarised')}, false)", "process": any_("process"),
         "with_schema": count("blocks > 0"), "blocks": "sum(blocks)", "bad_blocks": "sum(bad_blocks)", "type_bits": "bit_or(type_bits)",
@@ -185,8 +185,8 @@ def with_site(signals: DataFrame, sites: DataFrame) -> DataFrame:
 def _keyed_counts(pages: DataFrame) -> DataFrame:
     """Repetition of titles, descriptions and openings, and stated services found, per site."""
     opening = h.trim_ws("first_paragraph")
-    excerpt = "substring(main_text_excerpt, 1, 500)"
-    terms = each("terms", lambda t: f"named_struct('kind', 'term', 'item', {t}, 'hit', contains(lower(main_text_excerpt), {t}))")
+    excerpt = "main_text"
+    terms = each("terms", lambda t: f"named_struct('kind', 'term', 'item', {t}, 'hit', contains(lower(main_text), {t}))")
 
     def one(kind, value, test):
         return f"CASE WHEN {test} THEN named_struct('kind', '{kind}', 'item', md5({value}), 'hit', true) END"

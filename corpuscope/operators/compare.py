@@ -70,25 +70,26 @@ def _name() -> str:
 
 
 HIGHLIGHTS = [
-    ("size(schema_types) >= 3", "concat('Declares ', size(schema_types), ' schema types: ', array_join(slice(schema_types, 1, 5), ', '))"),
-    ("word_count >= 600", "concat('Home page copy of ', word_count, ' words')"),
-    ("size(question_headings) >= 3", "concat(size(question_headings), ' headings that ask a question')"),
-    ("has_faq_signals", "'Frequent questions on the home page'"),
-    ("size(address_signals) > 0 AND size(phones) > 0", "'Full contact details on the home page'"),
-    ("factual_data_points >= 3", "concat(factual_data_points, ' facts and figures')"),
+    ("size(schema_types) >= 3", "concat('schema-types=', array_join(schema_types, '+'))"),
+    ("word_count >= 600", "concat('long-copy=', word_count)"),
+    ("size(question_headings) >= 3", "concat('questions=', size(question_headings))"),
+    ("has_faq_signals", "'faq'"),
+    ("size(address_signals) > 0 AND size(phones) > 0", "'address-and-phone'"),
+    ("factual_data_points >= 3", "concat('facts=', factual_data_points)"),
 ]
 GAPS = [
-    ("size(schema_types) = 0", "'No structured data'"),
-    ("word_count < 300", "concat('Home page copy of only ', word_count, ' words')"),
-    ("size(question_headings) = 0", "'No heading asks a question'"),
-    ("meta_description IS NULL", "'No meta description'"),
-    ("size(phones) = 0 AND size(emails) = 0", "'No contact details'"),
-    ("size(vague_phrases) > 2", "concat(size(vague_phrases), ' filler phrases')"),
+    ("size(schema_types) = 0", "'no-schema'"),
+    ("word_count < 300", "concat('short-copy=', word_count)"),
+    ("size(question_headings) = 0", "'no-questions'"),
+    ("meta_description IS NULL", "'no-description'"),
+    ("size(phones) = 0 AND size(emails) = 0", "'no-contact'"),
+    ("size(vague_phrases) > 2", "concat('filler=', size(vague_phrases))"),
 ]
 
 
 def _notes(rules) -> str:
-    return "slice(array_compact(array(" + ", ".join(f"CASE WHEN {t} THEN {m} END" for t, m in rules) + ")), 1, 5)"
+    """Codes of the rules that hold, with the figure that made them; wording is left to the reader's side."""
+    return "array_compact(array(" + ", ".join(f"CASE WHEN {t} THEN {m} END" for t, m in rules) + "))"
 
 
 def snapshots(signals: DataFrame) -> DataFrame:

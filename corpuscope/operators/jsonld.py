@@ -25,8 +25,6 @@ BLOCK_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("excerpt", T.StringType()),
     T.StructField("values", T.MapType(T.StringType(), T.StringType())),
 ]))
-TYPE_DEPTH = 8
-VALUE_DEPTH = 6
 
 
 LD_SCRIPT = r"""(?is)^<script\s(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*?(?<![^\s"'])type\s*=\s*["']?application/ld\+json["']?[\s/>]"""
@@ -44,13 +42,11 @@ def script_bodies(html: str) -> str:
     return f"CASE WHEN {h.matches(html, r'(?i)ld[+]json')} THEN {some} END"
 
 
-def _walk(node, limit):
+def _walk(node):
     """Objects of a document in reading order, outer ones first."""
-    stack = [(node, 0)]
+    stack = [node]
     while stack:
-        item, depth = stack.pop()
-        if depth > limit:
-            continue
+        item = stack.pop()
         if isinstance(item, dict):
             yield item
             children = item.values()
@@ -58,12 +54,12 @@ def _walk(node, limit):
             children = item
         else:
             continue
-        stack.extend((c, depth + 1) for c in reversed(list(children)) if isinstance(c, (dict, list)))
+        stack.extend(c for c in reversed(list(children)) if isinstance(c, (dict, list)))
 
 
 def _types(doc):
     seen = {}
-    for obj in _walk(doc, TYPE_DEPTH):
+    for obj in _walk(doc):
         declared = obj.get("@type")
         for t in declared if isinstance(declared, list) else [declared]:
             if isinstance(t, str):
@@ -74,12 +70,12 @@ def _types(doc):
 def _text(value):
     if isinstance(value, dict):
         value = next((value[k] for k in ("name", "@id", "url") if value.get(k) is not None), None)
-    return value.strip()[:300] if isinstance(value, str) else ""
+    return value.strip() if isinstance(value, str) else ""
 
 
 def _values(doc):
     found = {}
-    for obj in _walk(doc, VALUE_DEPTH):
+    for obj in _walk(doc):
         for name in TRACKED_SCHEMA_PROPERTIES:
             if name not in found and name in obj:
                 text = _text(obj[name])
@@ -107,7 +103,7 @@ def _reject(constant):
 
 
 def read_block(body: str) -> dict:
-    out = {"types": [], "properties": [], "valid": False, "excerpt": body[:2000], "values": {}}
+    out = {"types": [], "properties": [], "valid": False, "excerpt": body, "values": {}}
     try:
         doc = json.loads(body, parse_constant=_reject)
     except (ValueError, RecursionError):

@@ -1,6 +1,6 @@
 """Link graph and crawl selection over an already fetched corpus."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.functions import html as h
 from corpuscope.functions import lexicon as lx
@@ -42,13 +42,8 @@ def with_priority(candidates: DataFrame) -> DataFrame:
     return candidates.selectExpr("*", f"{u.crawl_priority('candidate')} AS priority")
 
 
-def broken_links(signals: DataFrame, probes: DataFrame | None = None, budget: int = lx.LINK_PROBE_BUDGET) -> DataFrame:
-    """Internal targets that were not crawled and do not answer, the first ``budget`` probed per site.
-
-    ``probes(url_key, status)`` tells what a probe saw; a target without a row counts as not
-    reachable.  Targets are made distinct by an aggregate before the per-site ranking, and the
-    ranking keeps only ``budget`` rows per site and task before its shuffle.
-    """
+def unseen_targets(signals: DataFrame) -> DataFrame:
+    """Internal link targets that are no page of the corpus, each once with the first link to it."""
     targets = (
         page_links(signals)
         .where(F.col("internal"))
@@ -58,15 +53,15 @@ def broken_links(signals: DataFrame, probes: DataFrame | None = None, budget: in
         .agg(F.min(F.struct("page_id", "pos", "url", "absolute")).alias("seen"))
     )
     crawled = signals.selectExpr("site_key", f"{u.key('url')} AS url_key").distinct()
-    unseen = targets.join(crawled, ["site_key", "url_key"], "left_anti")
-    order = Window.partitionBy("site_key").orderBy("seen.page_id", "seen.pos")
-    probed = unseen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget)
-    if probes is None:
-        status = probed.withColumn("status", F.lit(None).cast("int"))
-    else:
-        status = probed.join(probes.select("url_key", "status"), "url_key", "left")
-    return status.where(F.col("status").isNull() | (F.col("status") >= 400)).select(
-        "site_key", "rank", F.col("seen.url").alias("from_url"), F.col("seen.absolute").alias("to_url"), "status"
+    return targets.join(crawled, ["site_key", "url_key"], "left_anti")
+
+
+def broken_links(targets: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Those of ``targets`` that ``fetched(url_key, status)`` saw fail.
+
+    All targets are tested; one that was never fetched is unknown, not broken."""
+    return targets.join(fetched.select("url_key", "status"), "url_key").where("status >= 400").select(
+        "site_key", F.col("seen.url").alias("from_url"), F.col("seen.absolute").alias("to_url"), "status"
     )
 
 

@@ -8,7 +8,8 @@ from corpuscope.operators.joins import lookup
 
 
 def without_demo(rows: DataFrame, include_demo: bool = False) -> DataFrame:
-    return rows if include_demo or "is_demo" not in rows.columns else rows.where("NOT is_demo")
+    """Rows of real users.  The column is required: a table without it can't be told apart."""
+    return rows if include_demo else rows.where("NOT is_demo")
 
 
 def _long(row: DataFrame) -> DataFrame:
@@ -23,22 +24,22 @@ def overview_counts(users: DataFrame, audits: DataFrame, contacts: DataFrame, as
         F.count("*").alias("users_total"), F.expr("count_if(status = 'ACTIVE')").alias("users_active"),
         F.expr("count_if(status = 'SUSPENDED')").alias("users_suspended"), F.expr(f"count_if({recent})").alias("users_new"),
     )
-    work = audits.where("NOT is_deleted").agg(
+    work = without_demo(audits, include_demo).where("NOT is_deleted").agg(
         F.count("*").alias("audits_total"),
         *[F.expr(f"count_if(status = '{s}')").alias(f"audits_{s.lower()}") for s in ("COMPLETED", "RUNNING", "QUEUED", "FAILED")],
         F.expr("floor(avg(CASE WHEN status = 'COMPLETED' THEN overall_score END) + 0.5)").alias("audits_average_score"),
     )
-    mail = contacts.agg(F.count("*").alias("contacts_total"), F.expr("count_if(unread)").alias("contacts_unread"))
+    mail = without_demo(contacts, include_demo).agg(F.count("*").alias("contacts_total"), F.expr("count_if(unread)").alias("contacts_unread"))
     return _long(people).unionByName(_long(work)).unionByName(_long(mail))
 
 
-def revenue_split(payments: DataFrame, as_of: str) -> DataFrame:
+def revenue_split(payments: DataFrame, as_of: str, include_demo: bool = False) -> DataFrame:
     paid = "status = 'SUCCEEDED'"
 
     def total(test):
         return F.expr(f"coalesce(sum(CASE WHEN {test} THEN amount_cents END), 0L)")
 
-    return payments.agg(
+    return without_demo(payments, include_demo).agg(
         total(paid).alias("gross_cents"), total(f"{paid} AND kind = 'ONE_TIME_AUDIT'").alias("one_time_cents"),
         total(f"{paid} AND kind = 'SUBSCRIPTION'").alias("subscription_cents"),
         total(f"{paid} AND paid_at >= TIMESTAMP '{as_of}' - INTERVAL 30 DAYS").alias("last_30_days_cents"),
@@ -47,11 +48,11 @@ def revenue_split(payments: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def mrr(subscriptions: DataFrame) -> DataFrame:
+def mrr(subscriptions: DataFrame, include_demo: bool = False) -> DataFrame:
     """Recurring revenue at list price (a constant of four plans)."""
     price = "CASE plan " + " ".join(f"WHEN {q(p[0])} THEN {p[1]}" for p in lx.PLANS) + " ELSE 0 END"
     return (
-        subscriptions.where(F.col("status").isin(*lx.MRR_STATUSES)).groupBy("plan").agg(F.count("*").alias("subscriptions"))
+        without_demo(subscriptions, include_demo).where(F.col("status").isin(*lx.MRR_STATUSES)).groupBy("plan").agg(F.count("*").alias("subscriptions"))
         .selectExpr("plan", "subscriptions", f"{price} AS price_cents", f"subscriptions * {price} AS mrr_cents")
     )
 
@@ -61,14 +62,14 @@ def days(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.range(1).selectExpr(f"explode(sequence(DATE '{start}', DATE '{end}', INTERVAL 1 DAY)) AS day")
 
 
-def daily_series(payments: DataFrame, users: DataFrame, audits: DataFrame, start: str, end: str) -> DataFrame:
+def daily_series(payments: DataFrame, users: DataFrame, audits: DataFrame, start: str, end: str, include_demo: bool = False) -> DataFrame:
     def per_day(rows, at, value, name):
         inside = f"{at} >= TIMESTAMP '{start} 00:00:00' AND {at} < TIMESTAMP '{end} 00:00:00' + INTERVAL 1 DAY"
         return rows.where(inside).groupBy(F.to_date(at).alias("day")).agg(value.alias(name))
 
-    revenue = per_day(payments.where("status = 'SUCCEEDED'"), "paid_at", F.sum("amount_cents"), "revenue_cents")
-    signups = per_day(without_demo(users).where("NOT is_deleted"), "created_at", F.count("*"), "signups")
-    started = per_day(audits.where("NOT is_deleted"), "created_at", F.count("*"), "audits")
+    revenue = per_day(without_demo(payments, include_demo).where("status = 'SUCCEEDED'"), "paid_at", F.sum("amount_cents"), "revenue_cents")
+    signups = per_day(without_demo(users, include_demo).where("NOT is_deleted"), "created_at", F.count("*"), "signups")
+    started = per_day(without_demo(audits, include_demo).where("NOT is_deleted"), "created_at", F.count("*"), "audits")
     out = days(payments.sparkSession, start, end)
     for part in (revenue, signups, started):
         out = out.join(part, "day", "left")
@@ -76,8 +77,7 @@ def daily_series(payments: DataFrame, users: DataFrame, audits: DataFrame, start
 
 
 def series_totals(series: DataFrame, as_of: str, window: int) -> DataFrame:
-    length = min(365, max(7, window))
-    return series.where(f"day >= DATE '{as_of[:10]}' - INTERVAL {length} DAYS").agg(
+    return series.where(f"day >= DATE '{as_of[:10]}' - INTERVAL {window} DAYS").agg(
         *[F.expr(f"coalesce(sum({c}), 0L)").alias(c) for c in ("revenue_cents", "signups", "audits")]
     )
 
@@ -107,7 +107,8 @@ def top_events(events: DataFrame, since: str) -> DataFrame:
     )
 
 
-def job_health(jobs: DataFrame) -> DataFrame:
+def job_health(jobs: DataFrame, include_demo: bool = False) -> DataFrame:
+    jobs = without_demo(jobs, include_demo)
     counts = jobs.agg(*[F.expr(f"count_if(status = '{s}')").alias(s) for s in ("QUEUED", "RUNNING", "FAILED", "COMPLETED")],
                       F.expr("min(CASE WHEN status = 'QUEUED' THEN created_at END)").alias("oldest"))
     totals = counts.selectExpr(
@@ -179,11 +180,11 @@ def snapshot_totals(snapshot: DataFrame, start: str, end: str) -> DataFrame:
     return inside.agg(F.count("*").alias("days"), *[F.sum(c).alias(c) for c in (*SNAPSHOT, "revenue_cents")])
 
 
-def month_rollup(payments: DataFrame, users: DataFrame) -> DataFrame:
+def month_rollup(payments: DataFrame, users: DataFrame, include_demo: bool = False) -> DataFrame:
     """Per month and in total: new users, payments and revenue by kind."""
-    paid = payments.where("status = 'SUCCEEDED'").selectExpr(
+    paid = without_demo(payments, include_demo).where("status = 'SUCCEEDED'").selectExpr(
         "date_format(paid_at, 'yyyy-MM') AS month", "kind", "amount_cents", "0 AS signup")
-    joined = without_demo(users).where("NOT is_deleted AND created_at IS NOT NULL").selectExpr(
+    joined = without_demo(users, include_demo).where("NOT is_deleted AND created_at IS NOT NULL").selectExpr(
         "date_format(created_at, 'yyyy-MM') AS month", "CAST(NULL AS STRING) AS kind", "0L AS amount_cents", "1 AS signup")
 
     def of(kind, what):
@@ -198,7 +199,7 @@ def month_rollup(payments: DataFrame, users: DataFrame) -> DataFrame:
 
 def demo_segregation(payments: DataFrame, users: DataFrame) -> DataFrame:
     """Revenue and payments with and without demonstration users."""
-    flagged = lookup(payments.where("status = 'SUCCEEDED'"), users.select("user_id", "is_demo"), ["user_id"], "payment_id")
+    flagged = lookup(payments.drop("is_demo").where("status = 'SUCCEEDED'"), users.select("user_id", "is_demo"), ["user_id"], "payment_id")
     wide = flagged.agg(
         F.expr("count(*)").alias("all_n"), F.expr("sum(amount_cents)").alias("all_c"),
         F.expr("count_if(NOT is_demo)").alias("real_n"), F.expr("sum(CASE WHEN NOT is_demo THEN amount_cents END)").alias("real_c"),

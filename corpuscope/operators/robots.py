@@ -129,7 +129,7 @@ def site_file_facts(files: DataFrame) -> DataFrame:
     """What the sitemap and llms.txt of each site hold; one row per site."""
     ok = F.col("status_code") < 400
     sitemap, llms = (F.col("path") == "/sitemap.xml") & ok, (F.col("path") == "/llms.txt") & ok
-    markup = F.expr(h.matches("substring(body, 1, 500)", "(?i)<html"))
+    markup = F.expr(h.matches("body", "(?i)<html"))
     text = llms & ~markup
     return files.groupBy("site_key").agg(
         F.max((F.col("path") == "/robots.txt") & ok).alias("robots_found"),

@@ -69,13 +69,9 @@ def with_band(scores: DataFrame) -> DataFrame:
 
 
 def category_summaries(scores: DataFrame) -> DataFrame:
-    label = _per_category(1)
-    text = f"""CASE WHEN NOT available THEN concat({label}, ' was not measured; its weight went to the other categories.')
-      WHEN score >= 85 THEN concat({label}, ' is strong: ', passed, ' checks passed, ', failed + warned, ' left to tidy up.')
-      WHEN score >= 70 THEN concat({label}, ' is solid: ', failed, ' checks fail and ', warned, ' are partly met.')
-      WHEN score >= 55 THEN concat({label}, ' needs work: ', failed, ' checks fail, ', warned, ' are partly met.')
-      WHEN score >= 35 THEN concat({label}, ' is weak: ', failed, ' of ', failed + warned + passed, ' checks fail.')
-      ELSE concat({label}, ' is a critical gap: ', failed, ' checks fail, ', passed, ' pass.') END"""
+    """Tier and a line of counts for each category."""
+    counts = "concat(': passed ', passed, ', partly met ', warned, ', failed ', failed)"
+    text = f"concat({_per_category(1)}, CASE WHEN available THEN {counts} ELSE ': not measured' END)"
     return scores.selectExpr("*", f"{band('score')} AS tier", f"{text} AS summary")
 
 

@@ -15,12 +15,6 @@ from corpuscope.functions import urls as u
 from corpuscope.functions.sqltext import concat, each, first, fn, keep, let, q, strings, tail
 from corpuscope.operators import jsonld
 
-EXCERPT_PARAGRAPHS = 8
-EXCERPT_CHARS = 4000
-MAX_EXTERNAL_DOMAINS = 40
-MAX_AUTHORS = 10
-MAX_CONTACTS = 10
-
 OPTIONAL_INPUTS = {"status_code": "int", "fetch_ms": "int", "redirect_hops": "int", "content_type": "string"}
 
 
@@ -43,7 +37,7 @@ def meta_content(field: str, value: str) -> str:
 def heading_nodes(doc: str) -> str:
     found = each(
         h.extract_all(doc, rf"(?is)<h[1-6](?:[\s/]{h.ATTRS})?>.*?</h[1-6]\s*>"),
-        lambda m: f"named_struct('level', CAST(substring({m}, 3, 1) AS INT), 'text', substring({h.text_of(m)}, 1, 300))",
+        lambda m: f"named_struct('level', CAST(substring({m}, 3, 1) AS INT), 'text', {h.text_of(m)})",
     )
     return keep(found, lambda n: f"{n}.text <> ''")
 
@@ -92,7 +86,7 @@ def link_nodes(doc: str, url: str, site_host: str) -> str:
         head = h.extract(s, rf"^{h.ATTRS}")
         inner = h.extract(s, rf"(?is)^{h.ATTRS}>(.*?)(?:</a\s*>|\z)", 1)
         return (
-            f"named_struct('href', {h.trim_ws(h.attr(head, 'href'))}, 'text', substring({h.text_of(inner)}, 1, 200),"
+            f"named_struct('href', {h.trim_ws(h.attr(head, 'href'))}, 'text', {h.text_of(inner)},"
             f" 'nofollow', contains(lower(coalesce({h.attr(head, 'rel')}, '')), 'nofollow'))"
         )
 
@@ -118,7 +112,7 @@ def tagged_map(field: str, prefix: str) -> str:
 
         def latest(n):
             same = keep(hits, lambda m: f"{m}.{field} = {n}")
-            return f"substring(element_at({same}, -1).content, 1, 500)"
+            return f"element_at({same}, -1).content"
 
         return f"map_from_arrays({names}, {each(names, latest)})"
 
@@ -217,9 +211,9 @@ def _extracted() -> dict[str, str]:
         "meta_author": meta_content("name", "author"),
         "bylines": byline_texts("doc"),
         "has_byline_text": h.matches("body_text", lx.BYLINE_PATTERN),
-        "emails": f"array_distinct(slice({emails}, 1, {MAX_CONTACTS}))",
-        "phones": f"array_distinct(slice({h.extract_all('body_text', lx.PHONE_PATTERN)}, 1, {MAX_CONTACTS}))",
-        "address_text": h.blank_to_null(f"substring({h.squeeze(f'array_join({addresses}, {q(str())})')}, 1, 300)"),
+        "emails": f"array_distinct({emails})",
+        "phones": f"array_distinct({h.extract_all('body_text', lx.PHONE_PATTERN)})",
+        "address_text": h.blank_to_null(h.squeeze(f'array_join({addresses}, {q(str())})')),
         "state_zip": h.blank_to_null(h.extract("body_text", lx.STATE_ZIP_PATTERN)),
         "vague_phrases": phrases_in("lower(body_text)", lx.VAGUE_PHRASES),
         "superlatives": phrases_in("lower(body_text)", lx.SUPERLATIVES),
@@ -240,25 +234,25 @@ def _derived() -> dict[str, str]:
         "meta_description_length": "coalesce(length(meta_description), 0)",
         "canonical_is_self": f"coalesce({u.bare_host('canonical')} = {u.bare_host('url')} AND {same_path}, false)",
         "is_indexable": f"NOT contains({robots}, 'noindex') AND NOT contains({robots}, 'none')",
-        "noindex_reason": f"CASE WHEN contains({robots}, 'none') THEN 'Robots meta tag contains \"none\"'"
-                          f" WHEN contains({robots}, 'noindex') THEN 'Robots meta tag contains \"noindex\"' END",
+        "noindex_reason": f"CASE WHEN contains({robots}, 'none') THEN 'NONE'"
+                          f" WHEN contains({robots}, 'noindex') THEN 'NOINDEX' END",
         "h1": each(keep("headings", lambda n: f"{n}.level = 1"), lambda n: f"{n}.text"),
         "question_headings": question_texts("headings"),
         "heading_hierarchy_valid": hierarchy_valid("headings"),
         "paragraph_count": "size(paragraphs)",
-        "main_text_excerpt": f"substring(array_join(slice(paragraphs, 1, {EXCERPT_PARAGRAPHS}), ' '), 1, {EXCERPT_CHARS})",
-        "first_paragraph": "coalesce(substring(get(paragraphs, 0), 1, 600), '')",
+        "main_text": "array_join(paragraphs, ' ')",
+        "first_paragraph": "coalesce(get(paragraphs, 0), '')",
         "image_count": "size(alts)",
         "images_with_alt": f"size({keep('alts', lambda a: f'{a} <> {q(str())}')})",
         "images_with_empty_alt": f"size({keep('alts', lambda a: f'{a} = {q(str())}')})",
         "internal_links": f"size({keep('links', lambda n: f'{n}.internal')})",
         "external_links": f"size({outside})",
-        "external_domains": f"slice(array_distinct({hosts}), 1, {MAX_EXTERNAL_DOMAINS})",
+        "external_domains": f"array_distinct({hosts})",
         "outbound_citation_links": f"size({cited})",
         "schema_types": f"array_distinct(flatten({each('json_ld', lambda b: f'{b}.types')}))",
         "published_date": f"coalesce(tagged_published, {block_value('datePublished')})",
         "modified_date": f"coalesce(tagged_modified, {block_value('dateModified')})",
-        "authors": f"slice(array_distinct(concat(array_compact(array({block_value('author')}, meta_author)), bylines)), 1, {MAX_AUTHORS})",
+        "authors": f"array_distinct(concat(array_compact(array({block_value('author')}, meta_author)), bylines))",
         "address_signals": f"array_compact(array(address_text, state_zip, {block_value('address')}))",
     }
 
@@ -269,7 +263,7 @@ SIGNAL_COLUMNS = [
     "title", "title_length", "meta_description", "meta_description_length", "canonical", "canonical_is_self",
     "robots_meta", "is_indexable", "noindex_reason", "lang_attr", "viewport", "charset",
     "h1", "headings", "question_headings", "heading_hierarchy_valid",
-    "word_count", "paragraph_count", "main_text_excerpt", "first_paragraph",
+    "word_count", "paragraph_count", "main_text", "first_paragraph",
     "list_count", "list_item_count", "table_count", "definition_count",
     "image_count", "images_with_alt", "images_with_empty_alt",
     "links", "internal_links", "external_links", "external_domains", "outbound_citation_links",

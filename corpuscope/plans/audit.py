@@ -26,13 +26,14 @@ class Audit:
     sites: DataFrame
     failures: DataFrame
     files: DataFrame
+    fetched: DataFrame  # statuses of link targets
     competitors: DataFrame | None = None
     as_of: str = b.AS_OF_PAGES
 
     def facts(self) -> DataFrame:
         lines = robots.robots_lines(self.files)
         return site_facts(
-            self.signals, self.sites, self.failures, links.broken_links(self.signals),
+            self.signals, self.sites, self.failures, links.broken_links(links.unseen_targets(self.signals), self.fetched),
             robots.ai_access(lines), robots.site_file_facts(self.files),
         )
 
@@ -78,8 +79,10 @@ def bound_audit(spark: SparkSession, sf: str) -> Audit:
     """An audit over the given tables."""
     raw = b.bind(spark, sf, b.SITE_PAGES_SQL)
     fetched = io.textual_only(raw).where("status_code < 400")
+    signals = io.materialize(page_signals(io.spread(fetched)))  # read by every family: parse the markup once
     return Audit(
-        signals=io.materialize(page_signals(io.spread(fetched))),  # read by every family: parse the markup once
+        signals=signals,
+        fetched=b.link_fetches(links.unseen_targets(signals)),
         sites=b.bind(spark, sf, b.SITES_SQL),
         failures=_failures(raw),
         files=b.bind(spark, sf, b.SITE_FILES_SQL),

@@ -1,7 +1,5 @@
 """Registered queries of the audit."""
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from corpuscope.functions import urls as u
@@ -12,32 +10,13 @@ from corpuscope.plans.page_queries import signals
 from corpuscope.sources import bindings as b, io
 
 
-@lru_cache(maxsize=2)
-def _audit(sf: str, ref):
-    """Inputs and check rows of one run; the queries below all read the same run."""
-    audit = plan.bound_audit(ref.spark, sf)
-    return audit, io.materialize(audit.checks())
-
-
-class _Ref:
-    """Session handle that compares equal within an application, so that plans can be kept."""
-
-    def __init__(self, spark):
-        self.spark = spark
-
-    def __hash__(self):
-        return hash(self.spark.sparkContext.applicationId)
-
-    def __eq__(self, other):
-        return self.spark.sparkContext.applicationId == other.spark.sparkContext.applicationId
-
-
 def audit_of(spark, sf):
-    return _audit(sf, _Ref(spark))
+    return plan.bound_audit(spark, sf)
 
 
 def checks_of(spark, sf):
-    return audit_of(spark, sf)[1]
+    """Check rows of a run of its own, from markup on; kept because most queries read them twice."""
+    return io.materialize(audit_of(spark, sf).checks())
 
 
 def weighted_of(spark, sf):
@@ -45,7 +24,7 @@ def weighted_of(spark, sf):
 
 
 def family(name):
-    return lambda spark, sf: audit_of(spark, sf)[0].family(name)
+    return lambda spark, sf: audit_of(spark, sf).family(name)
 
 
 def snaps(*columns):
@@ -65,9 +44,9 @@ def _search(spark, sf):
 
 QUERIES = {
     **{f"c{i}_checks_{n}": family(n) for i, n in enumerate(plan.FAMILIES, 1)},
-    "c7_checks_competitive": lambda spark, sf: audit_of(spark, sf)[0].competitive(),
+    "c7_checks_competitive": lambda spark, sf: audit_of(spark, sf).competitive(),
     "c8_checks_all": checks_of,
-    "c8_check_examples": lambda spark, sf: check_examples(audit_of(spark, sf)[0].signals),
+    "c8_check_examples": lambda spark, sf: check_examples(audit_of(spark, sf).signals),
     "c0_make_check": lambda spark, sf: checks_of(spark, sf).groupBy("status", "severity", "applicable").agg(
         F.count("*").alias("n"), F.round(F.sum("points"), 2).alias("points"), F.sum("max_points").alias("max_points")),
     "g1_category_scores": lambda spark, sf: scoring.category_scores(checks_of(spark, sf)),
@@ -93,7 +72,7 @@ QUERIES = {
     "x4_competitor_name": snaps("name"),
     "x5_competitor_highlights_gaps": snaps(
         "array_join(highlights, ' | ') AS highlights", "array_join(gaps, ' | ') AS gaps"),
-    "x6_competitor_compare": lambda spark, sf: audit_of(spark, sf)[0].compared().withColumn(
+    "x6_competitor_compare": lambda spark, sf: audit_of(spark, sf).compared().withColumn(
         "missing_types", F.array_join("missing_types", " | ")),
     "v1_preview_score": lambda spark, sf: compare.preview_score(signals(spark, sf)),
     "v2_preview_findings": lambda spark, sf: compare.preview_findings(signals(spark, sf)),

@@ -16,6 +16,11 @@ def _lines(spark, sf):
     return robots.robots_lines(_files(spark, sf))
 
 
+def _broken_links(spark, sf):
+    targets = links.unseen_targets(signals(spark, sf))
+    return links.broken_links(targets, b.link_fetches(targets))
+
+
 def _selected_rules(spark, sf):
     chosen = robots.select_group(_lines(spark, sf))
     text = F.transform("rules", lambda r: F.concat(r["type"], F.lit(" "), r["path"]))
@@ -36,7 +41,7 @@ QUERIES = {
     "k2_crawl_candidates": lambda spark, sf: links.crawl_candidates(signals(spark, sf)),
     "k3_crawl_priority": lambda spark, sf: links.with_priority(links.crawl_candidates(signals(spark, sf))).select(
         "page_id", "candidate", "priority"),
-    "k5_broken_links": lambda spark, sf: links.broken_links(signals(spark, sf)),
+    "k5_broken_links": _broken_links,
     "k6_fetch_outcomes": lambda spark, sf: links.fetch_outcomes(b.bind(spark, sf, b.FETCH_LOG_SQL)),
     "k7_robots_parse": _lines,
     "k8_robots_select_group": _selected_rules,

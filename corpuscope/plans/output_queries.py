@@ -13,7 +13,7 @@ from corpuscope.sources import bindings as b, io
 def _write_results(spark, sf):
     """Page results written twice as one audit per site: the second run replaces the first."""
     path = f"{io.shared_folder(spark)}/results-{uuid.uuid4().hex}"
-    audit, _ = audit_of(spark, sf)
+    audit = audit_of(spark, sf)
     rows = audit.signals.selectExpr("site_key AS audit_id", "page_id", "url", "title", "role", "word_count")
     io.write_results(rows, path, ["page_id"])
     io.write_results(rows.where("word_count >= 0"), path, ["page_id"])
@@ -28,7 +28,8 @@ def _export_csv(spark, sf):
 
 
 def _documents(spark, sf):
-    audit, checks = audit_of(spark, sf)
+    audit = audit_of(spark, sf)
+    checks = io.materialize(audit.checks())
     weighted = weighted_of(spark, sf)
     return report.assemble(
         audit.sites, scoring.with_band(scoring.overall(weighted)), scoring.category_summaries(weighted), checks,
@@ -48,13 +49,13 @@ def _outline(spark, sf):
 
 
 def _crawl(spark, sf):
-    audit, _ = audit_of(spark, sf)
+    audit = audit_of(spark, sf)
     rules = robots.select_group(robots.robots_lines(audit.files))
     return crawl.crawl_select(audit.signals, audit.sites, rules, 10)
 
 
 def _page_section(spark, sf):
-    audit, _ = audit_of(spark, sf)
+    audit = audit_of(spark, sf)
     return report.page_section(audit.signals, audit.failures).withColumn("schema_types", F.array_join("schema_types", " | "))
 
 

@@ -76,7 +76,7 @@ QUERIES = {
     "p2_page_indexability": select_signals(lambda: ["robots_meta", "is_indexable", "noindex_reason"]),
     "p3_page_headings": select_signals(lambda: [_headings_text(), joined("h1"), joined("question_headings"),
                                        "heading_hierarchy_valid"]),
-    "p4_page_paragraphs": select_signals(lambda: ["paragraph_count", "main_text_excerpt", "first_paragraph"]),
+    "p4_page_paragraphs": select_signals(lambda: ["paragraph_count", "main_text", "first_paragraph"]),
     "p5_page_word_count": select_signals(lambda: ["word_count"]),
     "p6_page_structure_counts": select_signals(lambda: ["list_count", "list_item_count", "table_count", "definition_count"]),
     "p7_page_images": select_signals(lambda: ["image_count", "images_with_alt", "images_with_empty_alt"]),
@@ -99,5 +99,5 @@ QUERIES = {
         "page_id", "site_key", "url", "status_code", "title", "word_count", "paragraph_count", "internal_links",
         "external_links", "is_indexable", "canonical_is_self", "has_faq_signals", "has_contact_signals", "role",
         joined("schema_types"), "factual_data_points", "image_count", "list_count", "published_date",
-        F.md5("main_text_excerpt").alias("excerpt_md5")),
+        F.md5("main_text").alias("text_md5")),
 }

@@ -142,6 +142,9 @@ CROSS JOIN (SELECT 0 AS hop UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELE
 WHERE hop <= hops
 """
 
+# Status that the fetch of a link target returned; some targets were never fetched.
+LINK_STATUS_SQL = "CAST(CASE length(url_key) % 5 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN NULL ELSE 200 END AS INT)"
+
 # Raw addresses as people type them, several per page.
 RAW_URLS_SQL = f"""
 SELECT page_id * 16 + kind AS url_id,
@@ -183,7 +186,7 @@ SELECT o_orderkey AS payment_id, o_custkey AS user_id,
   CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'PENDING' ELSE 'FAILED' END AS status,
   CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS amount_cents,
   CASE WHEN o_orderpriority = '5-LOW' THEN CAST(floor(o_totalprice * 10 + 0.5) AS BIGINT) ELSE CAST(0 AS BIGINT) END AS refunded_cents,
-  o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS paid_at
+  o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS paid_at, o_custkey % 25 = 0 AS is_demo
 FROM orders
 """
 # Audits that the customers ordered, with a score when they are done.
@@ -191,14 +194,14 @@ AUDITS_SQL = """
 SELECT o_orderkey AS audit_id, o_custkey AS user_id, 'site-' || CAST(o_custkey % 50 AS STRING) || '.example' AS domain,
   CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'RUNNING' ELSE CASE WHEN o_orderpriority = '5-LOW' THEN 'FAILED' ELSE 'QUEUED' END END AS status,
   CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice) % 101 AS INT) END AS overall_score,
-  o_orderpriority = '4-NOT SPECIFIED' AND o_totalprice < 5000 AS is_deleted, o_orderdate AS created_at
+  o_orderpriority = '4-NOT SPECIFIED' AND o_totalprice < 5000 AS is_deleted, o_orderdate AS created_at, o_custkey % 25 = 0 AS is_demo
 FROM orders
 """
 SUBSCRIPTIONS_SQL = """
 SELECT o_orderkey AS subscription_id, o_custkey AS user_id,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'AGENCY' WHEN '2-HIGH' THEN 'GROWTH' WHEN '5-LOW' THEN 'FREE' ELSE 'STARTER' END AS plan,
   CASE WHEN o_totalprice < 60000 THEN 'CANCELED' WHEN o_totalprice < 120000 THEN 'PAST_DUE' WHEN o_orderstatus = 'P' THEN 'TRIALING' ELSE 'ACTIVE' END AS status,
-  CAST(o_orderkey % 20 AS INT) AS audits_used, o_orderdate AS created_at
+  CAST(o_orderkey % 20 AS INT) AS audits_used, o_orderdate AS created_at, o_custkey % 25 = 0 AS is_demo
 FROM orders
 """
 # Product events under their product names.
@@ -225,7 +228,7 @@ SELECT event_id AS run_id, ts AS created_at, event_type <> 'error' AS success,
   'd' || CAST(user_id AS STRING) || '.example' AS domain
 FROM events
 """
-CONTACTS_SQL = "SELECT conv_id, turn, turn = 0 AS unread FROM conversations WHERE role = 'user'"
+CONTACTS_SQL = "SELECT conv_id, turn, turn = 0 AS unread, conv_id % 25 = 0 AS is_demo FROM conversations WHERE role = 'user'"
 # One audit per site and owner.
 SITE_AUDITS_SQL = f"""
 SELECT site_key, seed_page_id % 7 AS user_id, CASE WHEN seed_page_id % 13 = 5 THEN 'RUNNING' ELSE 'COMPLETED' END AS status,
@@ -277,3 +280,8 @@ def bind(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
             out = out.replace(f"{word} {name})", f"{word} parquet.`{sf_dir}/{name}.parquet`)")
             out = out.replace(f"{word} {name}\n", f"{word} parquet.`{sf_dir}/{name}.parquet`\n")
     return spark.sql(out)
+
+
+def link_fetches(targets: DataFrame) -> DataFrame:
+    """Fetch log of link targets."""
+    return targets.select("url_key").distinct().selectExpr("url_key", f"{LINK_STATUS_SQL} AS status").where("status IS NOT NULL")

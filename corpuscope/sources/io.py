@@ -24,13 +24,12 @@ EVENT_SCHEMA = T.StructType([
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input enough partitions for the CPU-heavy parsing that follows.
+    """Deal rows evenly before CPU-heavy parsing, by a hash of the first column.
 
-    A large corpus already arrives in more splits than there are cores and is left alone, so its
-    markup is never shuffled.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    The same plan for every size: parsing costs far more than one shuffle of its input, and files
+    differ in the number and length of their pages."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, F.xxhash64(df.columns[0]))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -10,7 +10,7 @@ from oracles.fragments import let, members, q, strings
 from oracles.page_sql import _KEPT, _TEXTUAL, URL_CTE
 from oracles.signals import SIGNALS
 
-m = "main_text_excerpt"
+m = "main_text"
 
 
 def re(text, pattern):
@@ -49,7 +49,7 @@ agg AS (SELECT ps.site_key, count(*) AS pages, {n("is_https")} AS https, max(sta
   coalesce(bool_or(len(list_filter(tok, lambda t: contains(lower(array_to_string(h1, ' ~ ')), t))) > 0) {_H}, false) AS b2,
   coalesce(bool_or(len(tok) > 0 AND len(list_filter(tok, lambda t: contains(lower({m}), t))) = len(tok)) {_H}, false) AS b3,
   coalesce(bool_or(len(list_filter(tok2, lambda t: contains(lower({m}), t))) > 0) {_H}, false) AS brand_any,
-  coalesce(bool_or({re(f"coalesce(meta_description, {m}[:400])", lx.ACTIVITY_VERB_PATTERN)}) {_H}, false) AS home_verb, coalesce(max(length({f.trim(f"coalesce(meta_description, {m}[:400])")})) {_H}, 0) AS home_chars,
+  coalesce(bool_or({re(f"coalesce(meta_description, {m})", lx.ACTIVITY_VERB_PATTERN)}) {_H}, false) AS home_verb, coalesce(max(length({f.trim(f"coalesce(meta_description, {m})")})) {_H}, 0) AS home_chars,
   len(list_distinct(flatten(list(list_filter({strings(lx.AUDIENCE_TERMS)}, lambda t: contains(lower({m}), t)))))) AS audience,
   {n("role IN ('SERVICE', 'PRODUCT', 'CATEGORY')")} AS offers, sum(len(list_filter(headings, lambda h: h.level IN (2, 3)))) AS subheadings,
   {any_("len(address_signals) > 0")} AS addresses, {any_(re(m, lx.US_STATE_PATTERN))} AS us_state, {any_("ld_areaServed IS NOT NULL")} AS area,
@@ -61,13 +61,13 @@ agg AS (SELECT ps.site_key, count(*) AS pages, {n("is_https")} AS https, max(sta
   {n("coalesce(modified_date, published_date) IS NOT NULL")} AS dated, max(TRY_CAST(replace(coalesce(modified_date, published_date), 'Z', '') AS TIMESTAMP)) AS newest,
   sum(internal_links) AS internal, {n("heading_hierarchy_valid")} AS hier, {n("len(h1) = 1")} AS one_h1, {n("role = 'CASE_STUDY'")} AS cases,
   {any_(re(m, lx.TESTIMONIAL_PATTERN))} AS testimonial, {any_(re(m, lx.ORIGINAL_DATA_PATTERN))} AS own_data, {any_(re(m, lx.PROJECT_COUNT_PATTERN))} AS projects,
-  {n(f"length({m}[:500]) > 100")} AS exc, count(DISTINCT {m}[:500]) FILTER (WHERE length({m}[:500]) > 100) AS exc_d, {n("length(trim(first_paragraph)) > 60")} AS opn,
+  {n(f"length({m}) > 100")} AS exc, count(DISTINCT {m}) FILTER (WHERE length({m}) > 100) AS exc_d, {n("length(trim(first_paragraph)) > 60")} AS opn,
   count(DISTINCT trim(first_paragraph)) FILTER (WHERE length(trim(first_paragraph)) > 60) AS opn_d, coalesce(max(word_count) {_H}, 0) AS home_words,
   sum(len(question_headings)) AS questions, {n("role = 'FAQ' OR has_faq_signals")} AS faq_pages, {any_("has_faq_signals")} AS faq_content,
   {n("paragraph_count > 0 AND floor(word_count / paragraph_count + 0.5) BETWEEN 25 AND 130")} AS quotable, sum(list_count) AS lists, sum(table_count) AS tables,
-  least(20, sum(len(regexp_extract_all({m}, {q(lx.DEFINITION_PATTERN)}, 0)))) + sum(definition_count) AS defs, {any_(re(m, lx.COMPARISON_TEXT_PATTERN))} AS compares,
-  {n(re("coalesce(title, '') || ' ' || url", lx.COMPARISON_PAGE_PATTERN))} AS comp_pages, {n(f"length({m}[:350]) >= 80 AND {re(m + '[:350]', lx.DECLARATIVE_PATTERN)}")} AS front,
-  coalesce(bool_or(length({m}[:300]) >= 100 AND {re(m + '[:300]', lx.SUMMARY_VERB_PATTERN)}) {_H}, false) AS home_summary, {any_(re(m, lx.PROCESS_PATTERN))} AS process,
+  sum(len(regexp_extract_all({m}, {q(lx.DEFINITION_PATTERN)}, 0))) + sum(definition_count) AS defs, {any_(re(m, lx.COMPARISON_TEXT_PATTERN))} AS compares,
+  {n(re("coalesce(title, '') || ' ' || url", lx.COMPARISON_PAGE_PATTERN))} AS comp_pages, {n(f"length(first_paragraph) >= 80 AND {re('first_paragraph', lx.DECLARATIVE_PATTERN)}")} AS front,
+  coalesce(bool_or(length(first_paragraph) >= 100 AND {re('first_paragraph', lx.SUMMARY_VERB_PATTERN)}) {_H}, false) AS home_summary, {any_(re(m, lx.PROCESS_PATTERN))} AS process,
   {n("n_blocks > 0")} AS with_schema, sum(n_blocks) AS blocks, sum(n_blocks - n_valid) AS bad, coalesce(list_distinct(flatten(list(schema_types))), []) AS st,
   {any_("orgc.page_id IS NOT NULL")} AS has_org, arg_min(complete, ps.page_id) FILTER (WHERE complete IS NOT NULL) AS complete, {any_("sameas.page_id IS NOT NULL")} AS same_as, {any_("ld_author IS NOT NULL")} AS ld_auth,
   arg_min(ld_name, ps.page_id) FILTER (WHERE ld_name IS NOT NULL) AS ld_name, any_value(tok2) AS tok2, {any_("len(emails) > 0")} AS email, {any_("len(phones) > 0")} AS phone, {n("role = 'CONTACT'")} AS contact_pages,
@@ -298,8 +298,8 @@ _DOM = let(
 _NM = "coalesce(" + let(
     "list_filter(list_transform(string_split_regex(coalesce(title, ''), '[|—–·-]'), lambda p: trim(p)), lambda p: p <> '')", "ps_",
     "CASE WHEN len(ps_) = 0 THEN NULL WHEN length(ps_[-1]) BETWEEN 3 AND 40 THEN ps_[-1] ELSE ps_[1][:60] END") + f", {_DOM})"
-_HI = "list_filter([CASE WHEN len(schema_types) >= 3 THEN 'Declares ' || len(schema_types) || ' schema types: ' || array_to_string(schema_types[:5], ', ') END, CASE WHEN word_count >= 600 THEN 'Home page copy of ' || word_count || ' words' END, CASE WHEN len(question_headings) >= 3 THEN len(question_headings) || ' headings that ask a question' END, CASE WHEN has_faq_signals THEN 'Frequent questions on the home page' END, CASE WHEN len(address_signals) > 0 AND len(phones) > 0 THEN 'Full contact details on the home page' END, CASE WHEN factual_data_points >= 3 THEN factual_data_points || ' facts and figures' END], lambda x: x IS NOT NULL)[:5]"
-_GP = "list_filter([CASE WHEN len(schema_types) = 0 THEN 'No structured data' END, CASE WHEN word_count < 300 THEN 'Home page copy of only ' || word_count || ' words' END, CASE WHEN len(question_headings) = 0 THEN 'No heading asks a question' END, CASE WHEN meta_description IS NULL THEN 'No meta description' END, CASE WHEN len(phones) + len(emails) = 0 THEN 'No contact details' END, CASE WHEN len(vague_phrases) > 2 THEN len(vague_phrases) || ' filler phrases' END], lambda x: x IS NOT NULL)[:5]"
+_HI = "list_filter([CASE WHEN len(schema_types) >= 3 THEN 'schema-types=' || array_to_string(schema_types, '+') END, CASE WHEN word_count >= 600 THEN 'long-copy=' || word_count END, CASE WHEN len(question_headings) >= 3 THEN 'questions=' || len(question_headings) END, CASE WHEN has_faq_signals THEN 'faq' END, CASE WHEN len(address_signals) > 0 AND len(phones) > 0 THEN 'address-and-phone' END, CASE WHEN factual_data_points >= 3 THEN 'facts=' || factual_data_points END], lambda x: x IS NOT NULL)"
+_GP = "list_filter([CASE WHEN len(schema_types) = 0 THEN 'no-schema' END, CASE WHEN word_count < 300 THEN 'short-copy=' || word_count END, CASE WHEN len(question_headings) = 0 THEN 'no-questions' END, CASE WHEN meta_description IS NULL THEN 'no-description' END, CASE WHEN len(phones) + len(emails) = 0 THEN 'no-contact' END, CASE WHEN len(vague_phrases) > 2 THEN 'filler=' || len(vague_phrases) END], lambda x: x IS NOT NULL)"
 SNAP = f"snap AS (SELECT *, {_QUICK} AS quick_score, {_NM} AS name, len(question_headings) AS question_count, {', '.join(f'least(100, {chr(32).join([chr(43).join(v)])}) AS {k}' for k, v in _CATS.items())}, {_HI} AS highlights, {_GP} AS gaps FROM sig)"
 _PICK_URLS = URL_CTE.replace("raws AS (" + b.RAW_URLS_SQL + ")", f"raws AS (SELECT site_key || '~' || pos AS url_id, raw FROM ({b.COMPETITORS_SQL}) AS cc)")
 PICK = f"""{_PICK_URLS},
@@ -370,9 +370,7 @@ rec AS (SELECT site_key, priority, check_id, category, severity, impact, effort,
   CASE WHEN max_points - points >= 7 THEN 'large' WHEN max_points - points >= 4 THEN 'meaningful' WHEN max_points - points >= 2 THEN 'modest' ELSE 'small' END AS expected_impact FROM rec0)"""
 STRONG = "strong AS (SELECT site_key, row_number() OVER (PARTITION BY site_key ORDER BY max_points DESC, check_id) AS rank, check_id, category, severity FROM chk WHERE status = 'PASS' AND applicable AND max_points >= 5 QUALIFY rank <= 3)"
 WEAK = f"weak AS (SELECT site_key, row_number() OVER (PARTITION BY site_key ORDER BY {_SEV}, max_points - points DESC, check_id) AS rank, check_id, category, severity FROM chk WHERE applicable AND status IN ('FAIL', 'WARN') QUALIFY rank <= 3)"
-_SUM = f"""CASE WHEN NOT available THEN {_LBL} || ' was not measured; its weight went to the other categories.' WHEN score >= 85 THEN {_LBL} || ' is strong: ' || passed || ' checks passed, ' || (failed + warned) || ' left to tidy up.'
-  WHEN score >= 70 THEN {_LBL} || ' is solid: ' || failed || ' checks fail and ' || warned || ' are partly met.' WHEN score >= 55 THEN {_LBL} || ' needs work: ' || failed || ' checks fail, ' || warned || ' are partly met.'
-  WHEN score >= 35 THEN {_LBL} || ' is weak: ' || failed || ' of ' || (failed + warned + passed) || ' checks fail.' ELSE {_LBL} || ' is a critical gap: ' || failed || ' checks fail, ' || passed || ' pass.' END"""
+_SUM = f"""{_LBL} || CASE WHEN available THEN ': passed ' || passed || ', partly met ' || warned || ', failed ' || failed ELSE ': not measured' END"""
 _PV_TESTS = ["is_https", "is_indexable", "title_length BETWEEN 25 AND 70", "meta_description_length >= 50", "len(h1) = 1", _CORE, "n_blocks > 0 AND n_valid = n_blocks", "word_count >= 350",
              "len(question_headings) >= 2", "has_faq_signals", "len(phones) + len(emails) + len(address_signals) > 0", "canonical IS NOT NULL"]
 PREV = f"pv AS (SELECT page_id, url, unnest([{', '.join(f'{{{chr(39)}i{chr(39)}: {i}, {chr(39)}title{chr(39)}: {q(p[0])}, {chr(39)}category{chr(39)}: {q(p[1])}, {chr(39)}w{chr(39)}: {p[2]}, {chr(39)}sev{chr(39)}: {q(p[3])}, {chr(39)}ok{chr(39)}: {t}}}' for i, (p, t) in enumerate(zip(PREVIEW, _PV_TESTS)))}]) AS c FROM sig)"

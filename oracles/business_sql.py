@@ -9,9 +9,9 @@ U, P, A, S, PE, W = (f"({t}) AS t" for t in (b.USERS_SQL, b.PAYMENTS_SQL, b.AUDI
 AS_OF = f"TIMESTAMP '{b.AS_OF_ORDERS}'"
 _SERIES = f"""d AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 DAY)) AS DATE) AS day),
  series AS (SELECT day, CAST(coalesce(r, 0) AS BIGINT) AS revenue_cents, coalesce(u, 0) AS signups, coalesce(a, 0) AS audits FROM d
- LEFT JOIN (SELECT CAST(paid_at AS DATE) AS day, sum(amount_cents) AS r FROM {P} WHERE status = 'SUCCEEDED' GROUP BY 1) AS x USING (day)
+ LEFT JOIN (SELECT CAST(paid_at AS DATE) AS day, sum(amount_cents) AS r FROM {P} WHERE status = 'SUCCEEDED' AND NOT is_demo GROUP BY 1) AS x USING (day)
  LEFT JOIN (SELECT CAST(created_at AS DATE) AS day, count(*) AS u FROM {U} WHERE NOT is_demo AND NOT is_deleted GROUP BY 1) AS y USING (day)
- LEFT JOIN (SELECT CAST(created_at AS DATE) AS day, count(*) AS a FROM {A} WHERE NOT is_deleted GROUP BY 1) AS z USING (day))"""
+ LEFT JOIN (SELECT CAST(created_at AS DATE) AS day, count(*) AS a FROM {A} WHERE NOT is_deleted AND NOT is_demo GROUP BY 1) AS z USING (day))"""
 
 
 def i64(x):
@@ -35,7 +35,7 @@ _KEYS = " UNION ALL ".join(
     f"SELECT event_id, '{k}' AS k, json_type(j, '$.{k}') AS t, json_extract_string(j, '$.{k}') AS v FROM je" for k in lx.ALLOWED_PROPERTY_KEYS)
 
 SQL = {
-    "m1_overview_counts": f"""WITH u AS (SELECT * FROM {U} WHERE NOT is_deleted AND NOT is_demo), a AS (SELECT * FROM {A} WHERE NOT is_deleted), c AS ({b.CONTACTS_SQL})
+    "m1_overview_counts": f"""WITH u AS (SELECT * FROM {U} WHERE NOT is_deleted AND NOT is_demo), a AS (SELECT * FROM {A} WHERE NOT is_deleted AND NOT is_demo), c AS (SELECT * FROM ({b.CONTACTS_SQL}) AS m WHERE NOT is_demo)
       SELECT 'users_total' AS metric, count(*) AS value FROM u UNION ALL SELECT 'users_active', count(*) FROM u WHERE status = 'ACTIVE' UNION ALL SELECT 'users_suspended', count(*) FROM u WHERE status = 'SUSPENDED'
       UNION ALL SELECT 'users_new', count(*) FROM u WHERE created_at >= {AS_OF} - INTERVAL 30 DAYS UNION ALL SELECT 'audits_total', count(*) FROM a
       UNION ALL SELECT 'audits_completed', count(*) FROM a WHERE status = 'COMPLETED' UNION ALL SELECT 'audits_running', count(*) FROM a WHERE status = 'RUNNING' UNION ALL SELECT 'audits_queued', count(*) FROM a WHERE status = 'QUEUED'
@@ -43,15 +43,15 @@ SQL = {
       UNION ALL SELECT 'contacts_total', count(*) FROM c UNION ALL SELECT 'contacts_unread', count(*) FROM c WHERE unread""",
     "m2_revenue_split": f"""SELECT {i64("sum(amount_cents) FILTER (WHERE status = 'SUCCEEDED')")} AS gross_cents, {i64("sum(amount_cents) FILTER (WHERE status = 'SUCCEEDED' AND kind = 'ONE_TIME_AUDIT')")} AS one_time_cents,
       {i64("sum(amount_cents) FILTER (WHERE status = 'SUCCEEDED' AND kind = 'SUBSCRIPTION')")} AS subscription_cents, {i64(f"coalesce(sum(amount_cents) FILTER (WHERE status = 'SUCCEEDED' AND paid_at >= {AS_OF} - INTERVAL 30 DAYS), 0)")} AS last_30_days_cents,
-      {i64('sum(refunded_cents)')} AS refunded_cents, count(*) FILTER (WHERE status = 'SUCCEEDED' AND kind = 'ONE_TIME_AUDIT') AS purchases FROM {P}""",
-    "m3_mrr": f"SELECT plan, count(*) AS subscriptions, {_plan(1)} AS price_cents, count(*) * {_plan(1)} AS mrr_cents FROM {S} WHERE status IN ('ACTIVE', 'TRIALING') GROUP BY plan",
+      {i64('sum(refunded_cents)')} AS refunded_cents, count(*) FILTER (WHERE status = 'SUCCEEDED' AND kind = 'ONE_TIME_AUDIT') AS purchases FROM {P} WHERE NOT is_demo""",
+    "m3_mrr": f"SELECT plan, count(*) AS subscriptions, {_plan(1)} AS price_cents, count(*) * {_plan(1)} AS mrr_cents FROM {S} WHERE status IN ('ACTIVE', 'TRIALING') AND NOT is_demo GROUP BY plan",
     "m4_daily_series": f"WITH {_SERIES} SELECT * FROM series",
-    "m5_series_totals": f"WITH {_SERIES} SELECT {i64('sum(revenue_cents)')} AS revenue_cents, {i64('sum(signups)')} AS signups, {i64('sum(audits)')} AS audits FROM series WHERE day >= DATE '{b.AS_OF_ORDERS[:10]}' - INTERVAL 365 DAYS",
+    "m5_series_totals": f"WITH {_SERIES} SELECT {i64('sum(revenue_cents)')} AS revenue_cents, {i64('sum(signups)')} AS signups, {i64('sum(audits)')} AS audits FROM series WHERE day >= DATE '{b.AS_OF_ORDERS[:10]}' - INTERVAL 1000 DAYS",
     "m6_funnel_counts": f"SELECT {_FUN} FROM {PE} WHERE NOT is_demo AND created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25 12:00:00'",
     "m7_funnel_conversion": f"""WITH c AS (SELECT {_FUN} FROM {PE} WHERE NOT is_demo), l AS (SELECT {_LIST} AS v, {"[" + ", ".join(q(n) for n in lx.FUNNEL_STEPS) + "]"} AS n FROM c),
       r AS (SELECT unnest(range(0, 9)) AS pos, v, n FROM l) SELECT CAST(pos AS INT) AS pos, n[pos + 1] AS step, v[pos + 1] AS value, CASE WHEN pos > 0 AND v[pos] > 0 THEN {i64('floor(100.0 * v[pos + 1] / v[pos] + 0.5)')} END AS rate FROM r""",
     "m8_top_events": f"SELECT name, count(*) AS events FROM {PE} WHERE NOT is_demo AND created_at >= TIMESTAMP '2024-01-10' GROUP BY 1",
-    "m9_job_health": f"""WITH j AS (SELECT * FROM {A}) SELECT 'QUEUED' AS item, count(*) AS n, min(created_at) AS at FROM j WHERE status = 'QUEUED' UNION ALL SELECT 'RUNNING', count(*), NULL FROM j WHERE status = 'RUNNING'
+    "m9_job_health": f"""WITH j AS (SELECT * FROM {A} WHERE NOT is_demo) SELECT 'QUEUED' AS item, count(*) AS n, min(created_at) AS at FROM j WHERE status = 'QUEUED' UNION ALL SELECT 'RUNNING', count(*), NULL FROM j WHERE status = 'RUNNING'
       UNION ALL SELECT 'FAILED', count(*), NULL FROM j WHERE status = 'FAILED' UNION ALL SELECT 'COMPLETED', count(*), NULL FROM j WHERE status = 'COMPLETED'
       UNION ALL (SELECT 'failure ' || audit_id, 1, created_at FROM j WHERE status = 'FAILED' ORDER BY created_at DESC, audit_id DESC LIMIT 5)""",
     "m10_search_listing": f"""WITH u AS (SELECT * FROM {U} WHERE NOT is_deleted AND NOT is_demo AND status = 'ACTIVE' AND (name ILIKE '%R#00000001%' OR email ILIKE '%R#00000001%'))
@@ -65,10 +65,10 @@ SQL = {
     "m15_snapshot_totals": """SELECT count(DISTINCT CAST(ts AS DATE)) AS days, count(*) FILTER (WHERE event_type = 'signup') AS signups, count(*) FILTER (WHERE event_type = 'purchase') AS one_time_sales, count(*) FILTER (WHERE event_type = 'click') AS audits_created,
       count(*) FILTER (WHERE event_type = 'view') AS audits_completed, count(*) FILTER (WHERE event_type = 'error') AS demo_runs, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS preview_runs,
       CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS revenue_cents FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20'""",
-    "m16_month_rollup": f"""WITH x AS (SELECT strftime(paid_at, '%Y-%m') AS month, kind, amount_cents, 0 AS s FROM {P} WHERE status = 'SUCCEEDED' UNION ALL SELECT strftime(created_at, '%Y-%m'), NULL, 0, 1 FROM {U} WHERE NOT is_demo AND NOT is_deleted AND created_at IS NOT NULL)
+    "m16_month_rollup": f"""WITH x AS (SELECT strftime(paid_at, '%Y-%m') AS month, kind, amount_cents, 0 AS s FROM {P} WHERE status = 'SUCCEEDED' AND NOT is_demo UNION ALL SELECT strftime(created_at, '%Y-%m'), NULL, 0, 1 FROM {U} WHERE NOT is_demo AND NOT is_deleted AND created_at IS NOT NULL)
       SELECT coalesce(month, 'total') AS month, {i64('sum(s)')} AS signups, count(*) FILTER (WHERE kind = 'ONE_TIME_AUDIT') AS one_time_sales, count(*) FILTER (WHERE kind = 'SUBSCRIPTION') AS subscription_invoices,
       {i64("coalesce(sum(amount_cents) FILTER (WHERE kind = 'ONE_TIME_AUDIT'), 0)")} AS one_time_cents, {i64("coalesce(sum(amount_cents) FILTER (WHERE kind = 'SUBSCRIPTION'), 0)")} AS subscription_cents, {i64('sum(amount_cents)')} AS gross_cents FROM x GROUP BY ROLLUP (month)""",
-    "m17_demo_segregation": f"""WITH x AS (SELECT amount_cents, is_demo FROM {P} JOIN (SELECT user_id AS uid, is_demo FROM ({b.USERS_SQL}) AS u) AS v ON uid = user_id WHERE status = 'SUCCEEDED')
+    "m17_demo_segregation": f"""WITH x AS (SELECT amount_cents, v.is_demo FROM {P} JOIN (SELECT user_id AS uid, is_demo FROM ({b.USERS_SQL}) AS u) AS v ON uid = user_id WHERE status = 'SUCCEEDED')
       SELECT 'with_demo' AS scope, count(*) AS payments, {i64('sum(amount_cents)')} AS revenue_cents FROM x UNION ALL SELECT 'without_demo', count(*), {i64('sum(amount_cents)')} FROM x WHERE NOT is_demo UNION ALL SELECT 'demo_only', count(*), {i64('sum(amount_cents)')} FROM x WHERE is_demo""",
     "m18_preview_run_stats": f"""SELECT CAST(created_at AS DATE) AS day, count(*) AS runs, count(*) FILTER (WHERE success) AS succeeded, {i64('floor(100.0 * count(*) FILTER (WHERE success) / count(*) + 0.5)')} AS success_rate,
       count(*) FILTER (WHERE error_code = 'TIMEOUT') AS timeouts, count(*) FILTER (WHERE error_code = 'BLOCKED') AS blocked, round(avg(score) FILTER (WHERE success), 4) AS average_score, round(avg(duration_ms), 4) AS average_ms, count(DISTINCT domain) AS domains

@@ -17,8 +17,8 @@ cands AS (SELECT page_id, site_key, candidate, row_number() OVER (PARTITION BY p
 BROKEN = rf"""{LINKS},
 tgt AS (SELECT site_key, {f.url_key('n.absolute')} AS url_key, min({{'page_id': page_id, 'pos': pos, 'url': url, 'absolute': n.absolute}}) AS seen FROM links1
   WHERE n.internal AND NOT regexp_matches(n.absolute, {q(lx.LINK_PROBE_SKIP_PATTERN)}) GROUP BY ALL),
-brk AS (SELECT * FROM (SELECT site_key, row_number() OVER (PARTITION BY site_key ORDER BY seen.page_id, seen.pos) AS rank, seen.url AS from_url, seen.absolute AS to_url, CAST(NULL AS INT) AS status
-  FROM tgt WHERE NOT EXISTS (SELECT 1 FROM sig s WHERE s.site_key = tgt.site_key AND {f.url_key('s.url')} = tgt.url_key)) AS r WHERE rank <= {lx.LINK_PROBE_BUDGET})"""
+brk AS (SELECT * FROM (SELECT site_key, seen.url AS from_url, seen.absolute AS to_url, {b.LINK_STATUS_SQL} AS status
+  FROM tgt WHERE NOT EXISTS (SELECT 1 FROM sig s WHERE s.site_key = tgt.site_key AND {f.url_key('s.url')} = tgt.url_key)) AS r WHERE status >= 400)"""
 
 AGENT = "site-audit"
 ROBOTS = rf"""files AS ({b.SITE_FILES_SQL}),
@@ -46,9 +46,9 @@ ai AS (SELECT r.site_key, coalesce((SELECT list(ai ORDER BY ai) FROM aib WHERE a
 sfacts AS (SELECT site_key, bool_or(path = '/robots.txt' AND status_code < 400) AS robots_found, bool_or(path = '/sitemap.xml' AND status_code < 400) AS sitemap_found,
   max(CASE WHEN path = '/sitemap.xml' AND status_code < 400 THEN len(regexp_extract_all(lower(body), '<loc>')) ELSE 0 END) AS sitemap_urls,
   bool_or(path = '/sitemap.xml' AND status_code < 400 AND body ILIKE '%<sitemapindex%') AS sitemap_is_index,
-  bool_or(path = '/llms.txt' AND status_code < 400 AND body[:500] NOT ILIKE '%<html%') AS llms_found,
-  max(CASE WHEN path = '/llms.txt' AND status_code < 400 AND body[:500] NOT ILIKE '%<html%' THEN strlen(body) ELSE 0 END) AS llms_bytes,
-  bool_or(path = '/llms.txt' AND status_code < 400 AND body[:500] NOT ILIKE '%<html%' AND regexp_matches(body, '(?m)^#{{1,3}}\s+')) AS llms_sections FROM files GROUP BY 1)"""
+  bool_or(path = '/llms.txt' AND status_code < 400 AND body NOT ILIKE '%<html%') AS llms_found,
+  max(CASE WHEN path = '/llms.txt' AND status_code < 400 AND body NOT ILIKE '%<html%' THEN strlen(body) ELSE 0 END) AS llms_bytes,
+  bool_or(path = '/llms.txt' AND status_code < 400 AND body NOT ILIKE '%<html%' AND regexp_matches(body, '(?m)^#{{1,3}}\s+')) AS llms_sections FROM files GROUP BY 1)"""
 
 _ESC = r"replace(regexp_replace(regexp_replace(x.path, '[$]$', ''), '([.+?^${}()|\[\]\\])', '\\\1', 'g'), '*', '.*')"
 _HIT = (

@@ -69,13 +69,13 @@ SQL = {
     "p1_page_meta": page_query("page_id, title, title_length, meta_description, meta_description_length, canonical, canonical_is_self, lang_attr, viewport, charset"),
     "p2_page_indexability": page_query("page_id, robots_meta, is_indexable, noindex_reason"),
     "p3_page_headings": page_query(f"page_id, array_to_string(list_transform(headings, lambda n: n.level || ':' || n.text), ' | ') AS headings, {J('h1')}, {J('question_headings')}, heading_hierarchy_valid"),
-    "p4_page_paragraphs": page_query("page_id, paragraph_count, main_text_excerpt, first_paragraph"),
+    "p4_page_paragraphs": page_query("page_id, paragraph_count, main_text, first_paragraph"),
     "p5_page_word_count": page_query("page_id, word_count"),
     "p6_page_structure_counts": page_query("page_id, list_count, list_item_count, table_count, definition_count"),
     "p7_page_images": page_query("page_id, image_count, images_with_alt, images_with_empty_alt"),
     "p8_page_link_stats": page_query("page_id, internal_links, external_links, external_domain_count, outbound_citation_links"),
     "p9_page_social_meta": page_query("page_id, array_to_string(og, ' | ') AS open_graph, array_to_string(twitter, ' | ') AS twitter_card"),
-    "p10_page_jsonld": f"WITH {SIGNALS} SELECT page_id, CAST(bpos - 1 AS INT) AS pos, valid, {J('types')}, {J('properties')}, array_to_string(vals, ' | ') AS values, body[:2000] AS excerpt FROM blk",
+    "p10_page_jsonld": f"WITH {SIGNALS} SELECT page_id, CAST(bpos - 1 AS INT) AS pos, valid, {J('types')}, {J('properties')}, array_to_string(vals, ' | ') AS values, body AS excerpt FROM blk",
     "p11_page_microdata": page_query(f"page_id, {J('microdata_types')}"),
     "p12_page_faq": page_query(f"page_id, has_faq_signals, faq_question_count, {J('schema_types')}"),
     "p13_page_dates": page_query("page_id, published_date, modified_date"),
@@ -87,5 +87,5 @@ SQL = {
        FROM (SELECT doc_id, {f.squeeze('text')} AS t FROM documents) AS d""",
     "p17_page_fact_count": page_query("page_id, factual_data_points"),
     "p18_page_role": page_query("page_id, url, role"),
-    "p19_page_signals": page_query(f"page_id, site_key, url, status_code, title, word_count, paragraph_count, internal_links, external_links, is_indexable, canonical_is_self, has_faq_signals, has_contact_signals, role, {J('schema_types')}, factual_data_points, image_count, list_count, published_date, md5(main_text_excerpt) AS excerpt_md5"),
+    "p19_page_signals": page_query(f"page_id, site_key, url, status_code, title, word_count, paragraph_count, internal_links, external_links, is_indexable, canonical_is_self, has_faq_signals, has_contact_signals, role, {J('schema_types')}, factual_data_points, image_count, list_count, published_date, md5(main_text) AS text_md5"),
 }

@@ -16,7 +16,7 @@ def prefixed(field, prefix):
     hits = f"list_filter(metas, lambda m: m.{field} LIKE '{prefix}%' AND m.content <> '')"
     return (
         f"list_sort(list_transform(list_distinct(list_transform({hits}, lambda m: m.{field})), lambda n: n || '=' ||"
-        f" list_filter(metas, lambda m: m.{field} = n AND m.content <> '')[-1].content[:500]))"
+        f" list_filter(metas, lambda m: m.{field} = n AND m.content <> '')[-1].content))"
     )
 
 
@@ -37,7 +37,7 @@ _BYLINE = "(?is)" + "|".join(
 )
 _A = rf"""list_transform(string_split_regex(doc, '(?i)<a[\s/]')[2:], lambda s: {{
   'href': {trim(attr(f"' ' || regexp_extract(s, {q('^' + ATTRS)}, 0)", "href"))},
-  'text': {text_of(f"regexp_extract(s, {q(rf'(?is)^{ATTRS}>(.*?)(?:</a{chr(92)}s*>|{chr(92)}z)')}, 1)")}[:200],
+  'text': {text_of(f"regexp_extract(s, {q(rf'(?is)^{ATTRS}>(.*?)(?:</a{chr(92)}s*>|{chr(92)}z)')}, 1)")},
   'nofollow': contains(lower(coalesce({attr(f"' ' || regexp_extract(s, {q('^' + ATTRS)}, 0)", "rel")}, '')), 'nofollow')}})"""
 
 # Structured-data values per block: first non-empty in reading order.
@@ -57,13 +57,13 @@ nodes AS (SELECT ld.page_id, ld.bpos, t.id, t.parent, t.key, t.type, t.atom, t.v
     len(string_split_regex(regexp_replace(t.path, '^[$]', ''), '[.]|[[]')) - 1 AS depth
   FROM ld, json_tree(CASE WHEN valid THEN body END) AS t),
 typed AS (SELECT page_id, bpos, type_name, min(ord) AS ord FROM (
-    SELECT page_id, bpos, json_extract_string(atom, '$') AS type_name, id AS ord FROM nodes WHERE key = '@type' AND type = 'VARCHAR' AND depth <= 8
+    SELECT page_id, bpos, json_extract_string(atom, '$') AS type_name, id AS ord FROM nodes WHERE key = '@type' AND type = 'VARCHAR'
     UNION ALL
     SELECT c.page_id, c.bpos, json_extract_string(c.atom, '$'), c.id FROM nodes c JOIN nodes p ON c.page_id = p.page_id AND c.bpos = p.bpos AND c.parent = p.id
-    WHERE p.key = '@type' AND p.type = 'ARRAY' AND c.type = 'VARCHAR' AND p.depth <= 8) AS u GROUP BY ALL),
+    WHERE p.key = '@type' AND p.type = 'ARRAY' AND c.type = 'VARCHAR') AS u GROUP BY ALL),
 vals AS (SELECT page_id, bpos, key, arg_min(v, parent) AS v FROM (
-    SELECT page_id, bpos, key, parent, {trim("CASE type WHEN 'VARCHAR' THEN json_extract_string(atom, '$') WHEN 'OBJECT' THEN coalesce(json_extract_string(value, '$.name'), json_extract_string(value, '$.\"@id\"'), json_extract_string(value, '$.url')) END")}[:300] AS v
-    FROM nodes WHERE key IN {_TRACKED} AND depth <= 6) AS w WHERE v <> '' GROUP BY ALL),
+    SELECT page_id, bpos, key, parent, {trim("CASE type WHEN 'VARCHAR' THEN json_extract_string(atom, '$') WHEN 'OBJECT' THEN coalesce(json_extract_string(value, '$.name'), json_extract_string(value, '$.\"@id\"'), json_extract_string(value, '$.url')) END")} AS v
+    FROM nodes WHERE key IN {_TRACKED}) AS w WHERE v <> '' GROUP BY ALL),
 props AS (SELECT DISTINCT c.page_id, c.bpos, c.key FROM nodes c JOIN nodes p ON c.page_id = p.page_id AND c.bpos = p.bpos AND c.parent = p.id
   WHERE p.type = 'OBJECT' AND c.key NOT LIKE '@%' AND regexp_matches(c.path, '^[$]([[][0-9]+[]])?(."@graph"[[][0-9]+[]])?$')),
 blk AS (SELECT ld.page_id, ld.bpos, ld.body, ld.valid,
@@ -79,7 +79,7 @@ d2 AS (SELECT d1.*,
   list_transform(regexp_extract_all(doc, {q(tag('meta'))}, 0), lambda t: {{'name': {attr('t', 'name')}, 'property': {attr('t', 'property')},
     'content': {attr('t', 'content')}, 'charset': {attr('t', 'charset')}, 'equiv': {attr('t', 'http-equiv')}}}) AS metas,
   list_filter(list_transform(regexp_extract_all(doc, {q(rf'(?is)<h[1-6](?:[{chr(92)}s/]{ATTRS})?>.*?</h[1-6]{chr(92)}s*>')}, 0),
-    lambda m: {{'level': CAST(m[3] AS INT), 'text': {text_of('m')}[:300]}}), lambda n: n.text <> '') AS headings,
+    lambda m: {{'level': CAST(m[3] AS INT), 'text': {text_of('m')}}}), lambda n: n.text <> '') AS headings,
   {text_of(f"regexp_replace(content, {q(rf'(?is)^.*?<body(?:[{chr(92)}s/]{ATTRS})?>')}, '')")} AS body_text,
   list_filter(list_transform(string_split_regex(content, {q(rf'(?i)<p(?:[{chr(92)}s/]{ATTRS})?>')})[2:],
     lambda s: {text_of(f"regexp_extract(s, {q(_SEGMENT_END)}, 1)")}), lambda t: length(t) > 40) AS paragraphs,
@@ -89,9 +89,9 @@ d2 AS (SELECT d1.*,
   FROM d1),
 d3 AS (SELECT d2.* EXCLUDE (html), ldp.n_blocks, ldp.n_valid, coalesce(types.schema_types, []) AS schema_types, firsts.* EXCLUDE (page_id),
   list_transform(links0, lambda n: {{'href': n.href, 'absolute': n.absolute, 'text': n.text, 'internal': {bare_host('n.absolute')} = site_key, 'nofollow': n.nofollow, 'host': {bare_host('n.absolute')}}}) AS links,
-  list_filter(regexp_extract_all(html, {q(lx.EMAIL_PATTERN)}, 0), lambda e: NOT regexp_matches(e, {q(lx.IMAGE_SUFFIX_PATTERN)}))[:10] AS emails0,
+  list_filter(regexp_extract_all(html, {q(lx.EMAIL_PATTERN)}, 0), lambda e: NOT regexp_matches(e, {q(lx.IMAGE_SUFFIX_PATTERN)})) AS emails0,
   nullif({trim(unescape(f"regexp_extract(doc, {q(rf'(?is)<title(?:[{chr(92)}s/]{ATTRS})?>(.*?)</title{chr(92)}s*>')}, 1)"))}, '') AS title,
-  nullif({squeeze(f"array_to_string(list_transform(regexp_extract_all(content, {q(rf'(?is)<address(?:[{chr(92)}s/]{ATTRS})?>(.*?)</address{chr(92)}s*>')}, 1), lambda a: {unescape(STRIPPED)}), '')")}[:300], '') AS address_text,
+  nullif({squeeze(f"array_to_string(list_transform(regexp_extract_all(content, {q(rf'(?is)<address(?:[{chr(92)}s/]{ATTRS})?>(.*?)</address{chr(92)}s*>')}, 1), lambda a: {unescape(STRIPPED)}), '')")}, '') AS address_text,
   list_transform(list_filter(headings, lambda n: n.level = 1), lambda n: n.text) AS h1,
   list_transform(list_filter(headings, lambda n: contains(n.text, '?') OR regexp_matches(n.text, {q(_QUESTION)})), lambda n: n.text) AS question_headings,
   {attr_text(f"list_filter(regexp_extract_all(doc, {q(tag('link'))}, 0), lambda t: {attr('t', 'rel')} = 'canonical')[1]", 'href')} AS canonical_raw
@@ -109,13 +109,13 @@ sig AS (SELECT page_id, site_key, url, status_code, fetch_ms, redirect_hops, con
   title, coalesce(length(title), 0) AS title_length, meta_description, coalesce(length(meta_description), 0) AS meta_description_length,
   canonical, coalesce({bare_host('canonical')} = {bare_host('url')} AND regexp_replace({path('canonical')}, '/$', '') = regexp_replace({path('url')}, '/$', ''), false) AS canonical_is_self,
   robots_meta, NOT (contains(lower(coalesce(robots_meta, '')), 'noindex') OR contains(lower(coalesce(robots_meta, '')), 'none')) AS is_indexable,
-  CASE WHEN contains(lower(robots_meta), 'none') THEN 'Robots meta tag contains "none"' WHEN contains(lower(robots_meta), 'noindex') THEN 'Robots meta tag contains "noindex"' END AS noindex_reason,
+  CASE WHEN contains(lower(robots_meta), 'none') THEN 'NONE' WHEN contains(lower(robots_meta), 'noindex') THEN 'NOINDEX' END AS noindex_reason,
   {attr_text(f"regexp_extract(doc, {q(tag('html'))}, 0)", 'lang')} AS lang_attr, {meta('name', 'viewport')} AS viewport,
   nullif(trim(list_filter(metas, lambda m: m.charset IS NOT NULL)[1].charset), '') AS charset,
   h1, headings, question_headings,
   NOT coalesce(list_bool_or(list_transform(range(1, len(headings)), lambda i: headings[i + 1].level > headings[i].level + 1)), false) AS heading_hierarchy_valid,
   len(list_filter(string_split_regex(body_text, '\\s+'), lambda w: regexp_matches(w, '[a-zA-Z0-9]'))) AS word_count,
-  len(paragraphs) AS paragraph_count, array_to_string(paragraphs[:8], ' ')[:4000] AS main_text_excerpt, coalesce(paragraphs[1][:600], '') AS first_paragraph,
+  len(paragraphs) AS paragraph_count, array_to_string(paragraphs, ' ') AS main_text, coalesce(paragraphs[1], '') AS first_paragraph,
   len(regexp_extract_all(content, '(?i)<(?:ul|ol)[\\s/>]')) AS list_count, len(regexp_extract_all(content, '(?i)<li[\\s/>]')) AS list_item_count,
   len(regexp_extract_all(content, '(?i)<table[\\s/>]')) AS table_count, len(regexp_extract_all(content, '(?i)<dl[\\s/>]')) AS definition_count,
   len(alts) AS image_count, len(list_filter(alts, lambda a: a <> '')) AS images_with_alt, len(list_filter(alts, lambda a: a = '')) AS images_with_empty_alt,
@@ -129,7 +129,7 @@ sig AS (SELECT page_id, site_key, url, status_code, fetch_ms, redirect_hops, con
   len(question_headings) AS faq_question_count, published_date, modified_date,
   list_sort(list_distinct(list_concat(list_filter([ld_author, {meta('name', 'author')}], lambda a: a IS NOT NULL), list_transform(bylines, lambda t: regexp_replace(t, '(?i)^by\\s+', ''))))) AS authors,
   regexp_matches(body_text, {q(lx.BYLINE_PATTERN)}) AS has_byline_text,
-  list_sort(list_distinct(emails0)) AS emails, list_sort(list_distinct(regexp_extract_all(body_text, {q(lx.PHONE_PATTERN)}, 0)[:10])) AS phones,
+  list_sort(list_distinct(emails0)) AS emails, list_sort(list_distinct(regexp_extract_all(body_text, {q(lx.PHONE_PATTERN)}, 0))) AS phones,
   list_filter([address_text, state_zip, ld_address], lambda a: a <> '') AS address_signals,
   len(emails0) > 0 OR regexp_matches(body_text, {q(lx.PHONE_PATTERN)}) OR address_text IS NOT NULL OR state_zip IS NOT NULL OR ld_address IS NOT NULL OR len({phrases('lower(body_text)', lx.CONTACT_KEYWORDS)}) > 0 AS has_contact_signals,
   {phrases('lower(body_text)', lx.VAGUE_PHRASES)} AS vague_phrases, {phrases('lower(body_text)', lx.SUPERLATIVES)} AS superlatives,

@@ -57,7 +57,8 @@ def _audit(spark, shuffle=False):
         "site_key string, path string, status_code int, body string")
     failures = spark.createDataFrame([], "site_key string, url string, code string")
     asked = spark.createDataFrame([(SITE, 0, "http://bare.com")], "site_key string, pos int, raw string")
-    return Audit(signals, sites, failures, files, compare.pick_competitors(asked, 1), as_of="2024-06-30 00:00:00")
+    fetched = unseen_targets(signals).selectExpr("url_key", "404 AS status")
+    return Audit(signals, sites, failures, files, fetched, compare.pick_competitors(asked, 1), as_of="2024-06-30 00:00:00")
 
 
 @pytest.fixture(scope="module")
