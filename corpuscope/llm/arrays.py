@@ -36,6 +36,12 @@ def mixed(x: np.ndarray, by=MIX) -> np.ndarray:
     return x ^ (x >> U64(29))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; many times faster on hashes than the library's own."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
 def buffer_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column without nulls end to end, and their n + 1 offsets."""
     whole = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks] or [pa.array([], pa.large_binary())])
@@ -94,7 +100,7 @@ def shingle_sets(hashes: np.ndarray, places: np.ndarray, size: int):
     rolled = mixed(rolled)
     for a, b in zip(places[:-1], places[1:]):
         if b - a >= size:
-            yield np.unique(rolled[a:b - size + 1])
+            yield distinct(rolled[a:b - size + 1])
         elif b > a:
             short = np.array([b - a], dtype=U64)
             for h in hashes[a:b]:

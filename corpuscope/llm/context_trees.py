@@ -67,7 +67,7 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     if not keys:
         return np.zeros(0, U64), np.zeros(0, U64)
     all_keys, all_counts = np.concatenate(keys), np.concatenate(counts).astype(U64)
-    order = np.argsort(all_keys, kind="stable")
+    order = np.argsort(all_keys)
     all_keys = all_keys[order]
     at = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]])) if len(all_keys) else np.zeros(0, np.int64)
     return all_keys[at], np.add.reduceat(all_counts[order], at) if len(at) else np.zeros(0, U64)

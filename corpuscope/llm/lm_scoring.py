@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.arrays import SEGMENT, U64, buffer_of, packed, packed_sorted, unpacked, unpacked_sorted, words_of
+from corpuscope.llm.arrays import SEGMENT, U64, buffer_of, distinct, packed, packed_sorted, unpacked, unpacked_sorted, words_of
 from corpuscope.llm.context_trees import SHALLOW, Lookup, Shallow, Tree, added, bucket_of, parents, segments, weigh
 from corpuscope.llm.dealing import buckets_of, deal_texts, parts_of, table_of
 from corpuscope.sources.io import materialize
@@ -26,7 +26,7 @@ def gram_counts(data, offsets, train, depth):
     for lo, hi, grams, ends in segments(data, offsets, depth, SEGMENT):
         chosen = np.repeat(train[lo:hi], np.diff(ends))
         seen, times = np.unique(grams[chosen], return_counts=True)
-        others = np.unique(grams[~chosen])
+        others = distinct(grams[~chosen])
         keys += [seen, others]
         counts += [times.astype(U64), np.zeros(len(others), U64)]
     return added(keys, counts)
@@ -36,7 +36,7 @@ def word_counts(hashes, places, train):
     """The same of words; the end of a text counts as one."""
     chosen = np.repeat(train, np.diff(places))
     seen, times = np.unique(hashes[chosen], return_counts=True)
-    others = np.unique(hashes[~chosen])
+    others = distinct(hashes[~chosen])
     return added([seen, others, np.array([END])], [times.astype(U64), np.zeros(len(others), U64), np.array([train.sum()]).astype(U64)])
 
 
@@ -174,7 +174,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, depth: int
         words, _ = word_counts(hashes, places, none)
         counts = np.concatenate([unpacked(x) for x in blobs(WORD)])
         of_end = float(counts[np.searchsorted(words, END)])
-        own = counts[np.searchsorted(words, hashes)].astype(np.float64)
+        own = Lookup(words, counts.astype(np.float64))(hashes)
         scale = np.log10(train_tokens + vocabulary + 1.0)
         sums = np.concatenate([[0.0], np.cumsum(np.log10(own + 1) - scale)])
         hits = np.concatenate([[0], np.cumsum(own > 0)])

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.arrays import MIX2, SEGMENT, U64, Spans, buffer_of, mixed, packed
+from corpuscope.llm.arrays import MIX2, SEGMENT, U64, Spans, buffer_of, distinct, mixed, packed
 from corpuscope.llm.dealing import answers_of, buckets_of, count_keys, deal_texts, parts_of, table_of
 
 #: Bits of the key by which a trigger is looked up before its phrases are sent.
@@ -146,7 +146,7 @@ def covered(parse: Parse, bits: np.ndarray, span: int) -> tuple[np.ndarray, np.n
     for a in range(parse.steps):
         at = parse.triggers[(bits >> U64(a)) & U64(1) == 1] - a
         places.append(at)
-    starts = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
+    starts = distinct(np.concatenate(places)) if places else np.zeros(0, np.int64)
     if not len(starts):
         return starts, starts
     doc = np.searchsorted(parse.offsets, starts, "right") - 1
@@ -162,6 +162,12 @@ RESULT = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(),
 FOUND = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """The rows as every task must see them, whatever order the shuffle gave: segments may cut a phrase
+    in two, and where they do depends on the texts before."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def ids_of(table: pa.Table) -> np.ndarray:
     return np.array([LAST if x is None else x for x in table.column("doc_id").to_pylist()], dtype=np.int64)
 
@@ -189,11 +195,11 @@ def dedup_substrings(docs: DataFrame, span: int = 50, k: int = 34, with_text: bo
     dealt = deal_texts(docs, id_col, text_col, *(F.col(c).alias(f"row_{c}") for c in carry))
 
     def parse_of(table: pa.Table) -> Parse:
-        return Parse(*buffer_of(table.column("text")), span, k)
+        return Parse(*buffer_of(in_order(table).column("text")), span, k)
 
     def shared_only(parse: Parse, classes: np.ndarray) -> Parse:
-        keys = np.unique(parse.keys)
-        parse.select(classes[np.searchsorted(keys, parse.keys)] > 0)
+        _, number = np.unique(parse.keys, return_inverse=True)
+        parse.select(classes[number] > 0)
         return parse
 
     shared = count_keys(dealt, lambda table: parse_of(table).counted_keys(), FILTER_BITS, lambda sums: (sums > 1).astype(U64))
@@ -202,7 +208,7 @@ def dedup_substrings(docs: DataFrame, span: int = 50, k: int = 34, with_text: bo
         if not answers.num_rows:
             return table_of([], PHRASES)
         parse = shared_only(parse_of(table), answers_of(answers))
-        rows, _, smallest, before, after, context = parse.dictionary(ids_of(table))
+        rows, _, smallest, before, after, context = parse.dictionary(ids_of(in_order(table)))
         hashes, part = parse.hashes[rows], table.column("part")[0].as_py()
         cuts = np.searchsorted(buckets_of(hashes, 64, buckets), np.arange(buckets + 1).astype(U64))
         columns = (hashes, before, after, context, smallest)
@@ -218,6 +224,7 @@ def dedup_substrings(docs: DataFrame, span: int = 50, k: int = 34, with_text: bo
         return table_of([(p, bucket, packed(bits[e - len(h):e])) for p, h, e in zip(table.column("part").to_pylist(), blocks["hashes"], ends)], FOUND)
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
+        table = in_order(table)
         data, offsets = buffer_of(table.column("text"))
         answers, found = (told.filter(pc.equal(told.column("step"), step)) for step in (1, 2))
         firsts = lasts = np.zeros(0, np.int64)
