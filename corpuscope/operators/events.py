@@ -106,13 +106,19 @@ def subscription_state(deliveries: DataFrame) -> DataFrame:
 
 
 def payment_upsert(deliveries: DataFrame) -> DataFrame:
-    """Latest state of the payment behind each checkout session."""
-    rows = first_deliveries(deliveries).where("type = 'checkout.session.completed'")
-    last = rows.groupBy("session_ref").agg(
-        F.max_by(F.struct("payment_status", "amount_cents", "created_at"), "delivery_id").alias("p"), F.count("*").alias("updates"))
+    """Latest state of the payment behind each checkout session and each invoice.
+
+    A session is paid or still open; an invoice was paid or its payment failed."""
+    rows = first_deliveries(deliveries).where("type IN ('checkout.session.completed', 'invoice.paid', 'invoice.payment_failed')").selectExpr(
+        "delivery_id", "amount_cents", "created_at", "type = 'checkout.session.completed' AS once",
+        "CASE WHEN type = 'checkout.session.completed' THEN session_ref ELSE invoice_ref END AS payment_ref",
+        "CASE type WHEN 'invoice.paid' THEN 'SUCCEEDED' WHEN 'invoice.payment_failed' THEN 'FAILED'"
+        " ELSE CASE WHEN payment_status = 'paid' THEN 'SUCCEEDED' ELSE 'PENDING' END END AS status")
+    last = rows.groupBy("payment_ref").agg(
+        F.max_by(F.struct("status", "amount_cents", "created_at", "once"), "delivery_id").alias("p"), F.count("*").alias("updates"))
     return last.selectExpr(
-        "session_ref", "CASE WHEN p.payment_status = 'paid' THEN 'SUCCEEDED' ELSE 'PENDING' END AS status", "p.amount_cents AS amount_cents",
-        "CASE WHEN p.payment_status = 'paid' THEN p.created_at END AS paid_at", "updates",
+        "payment_ref", "CASE WHEN p.once THEN 'ONE_TIME_AUDIT' ELSE 'SUBSCRIPTION' END AS kind", "p.status AS status",
+        "p.amount_cents AS amount_cents", "CASE WHEN p.status = 'SUCCEEDED' THEN p.created_at END AS paid_at", "updates",
     )
 
 

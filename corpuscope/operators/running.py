@@ -39,8 +39,8 @@ def running(
     ``order`` must be unique per key and agree with ``bucket``."""
     cut = rows.withColumn("_bucket", bucket)
     kinds = {name: v[0] for name, v in values.items()}
-    for name, v in values.items():
-        cut = cut.withColumn(f"_v_{name}", v[1])
+    # One shuffle deals the rows for both uses below: Spark runs it once, and the plan above it too.
+    cut = cut.withColumns({f"_v_{name}": v[1] for name, v in values.items()}).repartition(*keys, "_bucket")
     by_row = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     inside = {n: by_row.rowsBetween(Window.unboundedPreceding, -1 if "before" in v[2:] else Window.currentRow)
               for n, v in values.items()}

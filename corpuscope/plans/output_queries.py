@@ -15,8 +15,9 @@ def _write_results(spark, sf):
     path = f"{io.shared_folder(spark)}/results-{uuid.uuid4().hex}"
     audit = audit_of(spark, sf)
     rows = audit.signals.selectExpr("site_key AS audit_id", "page_id", "url", "title", "role", "word_count")
-    io.write_results(rows, path, ["page_id"])
-    io.write_results(rows.where("word_count >= 0"), path, ["page_id"])
+    audits = rows.select("audit_id").distinct()
+    io.write_results(rows, path, ["page_id"], audits)
+    io.write_results(rows.where("word_count >= 0"), path, ["page_id"], audits)
     return spark.read.parquet(path).select("audit_id", "page_id", "url", "title", "role", "word_count")
 
 

@@ -35,15 +35,15 @@ _HEAD = f"""CASE WHEN page_id % 4 <> 0 THEN '<meta name="viewport" content="widt
  || CASE WHEN page_id % 5 < 3 THEN '<meta property="og:title" content="Old"><meta property="og:title" content="Page {{n}}"><meta property="og:description" content="About &quot;{{n}}&quot;"><meta property="og:type" content="website">' ELSE '' END
  || CASE WHEN page_id % 7 = 2 THEN '<meta name="twitter:card" content="summary">' ELSE '' END
  || CASE page_id % 6
-    WHEN 0 THEN '<script type="application/ld+json">{{"@context":"https://schema.org","@type":"LocalBusiness","name":" {{brand}} Roofing ","url":"https://x.example","logo":{{"@type":"ImageObject","url":"logo.png"}},"telephone":"+1-303-555-0142","email":"a@b.example","address":{{"@type":"PostalAddress","name":"12 Main St"}},"sameAs":["https://p.example/{{n}}"],"areaServed":"Denver"}}</script>'
+    WHEN 0 THEN '<script type="application/ld+json">{{"@context":"https://schema.org","@type":"LocalBusiness","name":" {{brand}} Roofing ","url":"https://x.example","logo":{{"@type":"ImageObject","url":"logo.png"}},"telephone":"+1-720-555-0168","email":"a@b.example","address":{{"@type":"PostalAddress","name":"12 Main St"}},"sameAs":["https://p.example/{{n}}"],"areaServed":"Denver"}}</script>'
     WHEN 1 THEN '<script type="application/ld+json">{{"@type":"FAQPage","mainEntity":[{{"@type":"Question","name":"How long?","acceptedAnswer":{{"@type":"Answer","text":"Two days"}}}}]}}</script>'
     WHEN 2 THEN '<script type="application/ld+json">{{"@type": "Broken", {{n}}</script>'
-    WHEN 3 THEN '<script type=''application/ld+json''>{{"@graph":[{{"@type":"WebSite","name":"Site {{n}}"}},{{"@type":"BreadcrumbList"}},{{"@type":["Article","BlogPosting"],"headline":"H","author":{{"@type":"Person","name":"Marcus Vail"}},"datePublished":"2023-0' || CAST(1 + page_id % 9 AS STRING) || '-11","dateModified":"2024-03-0' || CAST(1 + page_id % 9 AS STRING) || '"}}]}}</script>'
+    WHEN 3 THEN '<script type=''application/ld+json''>{{"@graph":[{{"@type":"WebSite","name":"Site {{n}}"}},{{"@type":"BreadcrumbList"}},{{"@type":["Article","BlogPosting"],"headline":"H","author":{{"@type":"Person","name":"Ines Okafor"}},"datePublished":"2023-0' || CAST(1 + page_id % 9 AS STRING) || '-11","dateModified":"2024-03-0' || CAST(1 + page_id % 9 AS STRING) || '"}}]}}</script>'
     WHEN 4 THEN '<!-- <script type="application/ld+json">{{"@type":"Corporation"}}</script> -->'
     ELSE '<script type="application/ld+json">{{"@type":"Organization","name":"Northern {{n}}","description":"d","sameAs":"https://p.example"}}</script><script type="application/ld+json">[{{"@type":"Product","name":"P","aggregateRating":{{"@type":"AggregateRating","name":"4.8"}},"review":""}}]</script>' END
  || CASE page_id % 8 WHEN 1 THEN '<meta property="article:published_time" content="2022-05-0' || CAST(1 + page_id % 9 AS STRING) || 'T08:00:00Z"><meta property="article:modified_time" content="2023-11-20">'
     WHEN 2 THEN '<meta name="datePublished" content="2021-02-03">' WHEN 4 THEN '<meta name="dateModified" content="not a date">' ELSE '' END
- || CASE WHEN page_id % 10 = 3 THEN '<meta name="author" content="Lena Ortiz">' ELSE '' END"""
+ || CASE WHEN page_id % 10 = 3 THEN '<meta name="author" content="Tove Lindqvist">' ELSE '' END"""
 
 _BODY = f"""'<h2>' || CASE page_id % 4 WHEN 0 THEN 'What does a roof cost' WHEN 1 THEN 'Why {{n}} matters' WHEN 2 THEN 'Our range' ELSE 'Ready?' END || '</h2>'
  || CASE WHEN page_id % 6 = 1 THEN '<h4>Small print</h4>' ELSE '<h3>Is it <b>safe</b>?</h3><h3>How to start</h3>' END
@@ -59,7 +59,7 @@ _BODY = f"""'<h2>' || CASE page_id % 4 WHEN 0 THEN 'What does a roof cost' WHEN
  || '<a href="/blog/post-{{link}}">Next post</a> <a href="../services/roof-{{link}}/">Roof</a> <A HREF=''/case-studies/job-{{n}}?x=1#f''>Job</A> <a href="/privacy-policy">Privacy</a>'
  || CASE WHEN page_id % 2 = 0 THEN '<a href="https://www.Standards.example.org/code?id=1&amp;v=2" rel="noopener">Building code</a> <a rel="nofollow" href="//ads.example.net/">Sponsor</a> <a href="https://x.example">https://x.example</a>' ELSE '<a href="mailto:hello{{n}}@mail.example.com">Write to us</a><a href="/terms">t</a><a href="#top">Top</a><a href="javascript:void(0)">no</a><a href="">none</a>' END
  || CASE WHEN page_id % 7 = 3 THEN '<span class="post byline">By Jane Doe</span>' WHEN page_id % 7 = 4 THEN '<a rel="author" href="/team/ann-{{n}}">Ann Lee</a> by Ann Lee' ELSE '' END
- || CASE page_id % 6 WHEN 1 THEN '<address>12 Main St<br>Denver, CO 80211</address>' WHEN 2 THEN '<em>Call (303) 555-01' || CAST(10 + page_id % 90 AS STRING) || ' or info@mail.example.com, logo@2x.png</em>' ELSE '' END
+ || CASE page_id % 6 WHEN 1 THEN '<address>12 Main St<br>Denver, CO 80211</address>' WHEN 2 THEN '<em>Call (720) 555-01' || CAST(10 + page_id % 90 AS STRING) || ' or info@mail.example.com, logo@2x.png</em>' ELSE '' END
  || CASE WHEN page_id % 8 = 3 THEN '<time datetime="2023-12-0' || CAST(1 + page_id % 9 AS STRING) || '">Dec</time>' ELSE '' END
  || CASE WHEN page_id % 9 = 4 THEN '<div itemscope itemtype="https://schema.org/Offer"></div><div itemtype=http://schema.org/Event itemscope></div>' ELSE '' END"""
 
@@ -255,7 +255,7 @@ SELECT 'evt_' || CAST(event_id - (CASE WHEN event_type = 'click' THEN event_id %
   CASE event_type WHEN 'purchase' THEN 'checkout.session.completed' WHEN 'signup' THEN 'customer.subscription.updated'
     WHEN 'view' THEN 'invoice.paid' WHEN 'error' THEN CASE WHEN value < 15 THEN 'customer.subscription.deleted' ELSE 'invoice.payment_failed' END
     ELSE CASE WHEN value < 50 THEN 'customer.created' ELSE 'checkout.session.completed' END END AS type,
-  'sub_' || CAST(user_id AS STRING) AS subscription_ref, 'cs_' || CAST(floor(event_id / 2) AS BIGINT) AS session_ref,
+  'sub_' || CAST(user_id AS STRING) AS subscription_ref, 'cs_' || CAST(floor(event_id / 2) AS BIGINT) AS session_ref, 'in_' || CAST(floor(event_id / 3) AS BIGINT) AS invoice_ref,
   CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS STRING) WHEN event_id % 3 = 1 THEN 'nobody' END AS metadata_user,
   CASE WHEN event_id % 4 = 0 THEN CAST(user_id AS STRING) END AS client_reference,
   CASE WHEN event_id % 5 < 4 THEN 'cus_' || CAST(user_id AS STRING) END AS customer_ref,

@@ -4,6 +4,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpuscope.functions.lexicon import TEXTUAL_CONTENT_TYPES
@@ -88,20 +89,34 @@ def stream_events(spark: SparkSession, path: str, files_per_batch: int = 64) ->
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def write_results(df: DataFrame, path: str, keys: list[str], partition: str = "audit_id") -> None:
-    """Replace the results of the audits in ``df`` and leave other audits alone.
+def write_results(df: DataFrame, path: str, keys: list[str], audits: DataFrame, partition: str = "audit_id", folders: int = 64) -> None:
+    """Make ``df`` the results of the listed ``audits`` (one column) and leave other audits alone.
 
-    Writing the same audit twice leaves one copy; duplicate keys within an audit are dropped.
-    Ranges over audit and key put small audits into one file each and cut a large one into several.
+    An audit that now has no rows loses those that it had.  Duplicate keys within an audit are dropped.
+    A folder holds the audits of one hash bucket, so their number doesn't grow with the audits; the
+    folders of the listed audits are written anew from the rows that stay and the new ones, and swapped.
     """
-    (
-        df.dropDuplicates([partition, *keys])
-        .repartitionByRange(partition, *keys)
-        .write.partitionBy(partition)
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .parquet(path)
-    )
+    spark = df.sparkSession
+    bucket = F.pmod(F.xxhash64(partition), F.lit(folders)).cast("int")
+    listed = audits.select(F.col(audits.columns[0]).alias(partition)).distinct()
+    rows = df.dropDuplicates([partition, *keys]).join(listed, partition, "left_semi").withColumn("_bucket", bucket)
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        rows.repartitionByRange("_bucket", partition, *keys).write.partitionBy("_bucket").parquet(path)
+        return
+    touched = listed.select(bucket.alias("_bucket")).distinct()
+    stay = old.join(touched, "_bucket", "left_semi").join(listed, partition, "left_anti").select(rows.columns)
+    merged = materialize(stay.unionByName(rows))
+    emptied = [r["_bucket"] for r in touched.join(merged.select("_bucket").distinct(), "_bucket", "left_anti").collect()]  # below ``folders``
+    merged.repartitionByRange("_bucket", partition, *keys).write.partitionBy("_bucket").option(
+        "partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for b in emptied:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(path, f"_bucket={b}"), True)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -97,8 +97,11 @@ SQL = {
       h AS (SELECT *, last_value(CASE WHEN {_UPD} THEN plan END IGNORE NULLS) OVER w AS pb, last_value(CASE WHEN {_UPD} OR {_PAID} THEN period END IGNORE NULLS) OVER w AS qb FROM al WINDOW w AS (PARTITION BY subscription_ref ORDER BY delivery_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT subscription_ref, arg_max(plan, delivery_id) FILTER (WHERE {_UPD}) AS plan, arg_max(CASE WHEN {_UPD} THEN {_STAT} WHEN {_PAID} THEN 'ACTIVE' WHEN type = 'invoice.payment_failed' THEN 'PAST_DUE' ELSE 'CANCELED' END, delivery_id) AS status,
       arg_max(period, delivery_id) FILTER (WHERE {_UPD} OR {_PAID}) AS period, count(*) FILTER (WHERE ({_UPD} AND pb <> plan) OR ({_PAID} AND period > qb)) AS usage_resets, count(*) AS events FROM h GROUP BY 1""",
-    "e6_payment_upsert": f"""WITH {FIRST}, c AS (SELECT *, count(*) OVER (PARTITION BY session_ref) AS updates FROM fd WHERE type = 'checkout.session.completed' QUALIFY row_number() OVER (PARTITION BY session_ref ORDER BY delivery_id DESC) = 1)
-      SELECT session_ref, CASE WHEN payment_status = 'paid' THEN 'SUCCEEDED' ELSE 'PENDING' END AS status, amount_cents, CASE WHEN payment_status = 'paid' THEN created_at END AS paid_at, updates FROM c""",
+    "e6_payment_upsert": f"""WITH {FIRST}, p AS (SELECT delivery_id, amount_cents, created_at, CASE WHEN type LIKE 'invoice%' THEN invoice_ref ELSE session_ref END AS payment_ref, CASE WHEN type LIKE 'invoice%' THEN 'SUBSCRIPTION' ELSE 'ONE_TIME_AUDIT' END AS kind,
+        CASE WHEN type = 'invoice.paid' OR (type LIKE 'checkout%' AND payment_status = 'paid') THEN 'SUCCEEDED' WHEN type = 'invoice.payment_failed' THEN 'FAILED' ELSE 'PENDING' END AS status
+        FROM fd WHERE type IN ('checkout.session.completed', 'invoice.paid', 'invoice.payment_failed'))
+      SELECT payment_ref, arg_max(kind, delivery_id) AS kind, arg_max(status, delivery_id) AS status, arg_max(amount_cents, delivery_id) AS amount_cents,
+        CASE WHEN arg_max(status, delivery_id) = 'SUCCEEDED' THEN arg_max(created_at, delivery_id) END AS paid_at, count(*) AS updates FROM p GROUP BY 1""",
     "e7_rate_limit": """WITH RECURSIVE lg AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
       rep AS (SELECT user_id, 0 AS rn, CAST(0 AS BIGINT) AS event_id, CAST([] AS BIGINT[]) AS st, false AS allowed, CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS retry_after FROM (SELECT DISTINCT user_id FROM lg) AS z
       UNION ALL SELECT user_id, rn, event_id, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3, CASE WHEN len(live) < 3 THEN 2 - len(live) ELSE 0 END,

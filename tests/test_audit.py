@@ -4,13 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.operators import compare, scoring
+from corpuscope.operators.links import unseen_targets
 from corpuscope.operators.signals import page_signals
 from corpuscope.plans.audit import Audit, run
 
 SITE = "ridgevale.com"
-FOOTER = ("<footer>Ridgevale Roofing, <address>4 Mill Lane, Denver, CO 80211</address> (303) 555-0142 "
+FOOTER = ("<footer>Ridgevale Roofing, <address>4 Mill Lane, Denver, CO 80211</address> (720) 555-0168 "
           "hello@ridgevale.com <a href='/privacy-policy'>Privacy</a><a href='/terms'>Terms</a></footer>")
-ORG = ('{"@type":"LocalBusiness","name":"Ridgevale Roofing","url":"https://ridgevale.com","telephone":"+1-303-555-0142",'
+ORG = ('{"@type":"LocalBusiness","name":"Ridgevale Roofing","url":"https://ridgevale.com","telephone":"+1-720-555-0168",'
        '"logo":"l.png","description":"d","email":"e","address":{"name":"4 Mill Lane"},"sameAs":["https://x.example"],"areaServed":"Denver"}')
 SAME = "<p>Ridgevale Roofing offers inspections for homeowners and property managers across Colorado every week of the year.</p>"
 
