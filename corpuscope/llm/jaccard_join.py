@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.llm.arrays import MIX, MIX2, U64, buffer_of, mixed, shingle_sets, words_of
@@ -12,8 +13,8 @@ from corpuscope.sources.io import materialize, reliable_checkpoint
 KEY_BITS = 40
 #: Bits of a signature; a bit is on when an odd number of shingles fall on it.
 SIGNATURE_BITS = 1024
-#: Largest block of a tile, and times that tiles are first linked through one member.
-BLOCK, STAR_ROUNDS = 1024, 2
+#: Largest block of a tile, and rounds that link sets by trees before all pairs that are still open.
+BLOCK, FORESTS = 1024, 2
 
 PROFILE = pa.schema([
     ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("shingles", pa.binary()), ("signature", pa.binary()),
@@ -87,14 +88,16 @@ def profiles(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
 
     def describe(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, sets = distinct_sets(table, size)
-        keys = np.unique(key_of(np.concatenate(list(sets.values()) or [np.zeros(0, U64)])))
-        rarity, rows, told = answers_of(answers), [], set()
+        _, number = np.unique(key_of(np.concatenate(list(sets.values()) or [np.zeros(0, U64)])), return_inverse=True)
+        ranks = answers_of(answers)[number]
+        cuts = np.cumsum([len(s) for s in sets.values()])
+        rarity, rows, told = dict(zip(sets, np.split(ranks, cuts[:-1]))), [], set()
         for doc_id, own in zip(table.column("doc_id").to_pylist(), ids):
             shingles = sets[own]
             row = (doc_id, len(shingles), own if len(shingles) else None, None, None, None)
             if len(shingles) and own not in told:
                 told.add(own)
-                rank = rarity[np.searchsorted(keys, key_of(shingles))]
+                rank = rarity[own]
                 first = np.lexsort((shingles, rank))[:prefix_length(len(shingles), percent)]
                 if len(meet := shingles[first][rank[first] > 0]):
                     row = (*row[:3], shingles.tobytes(), signature(shingles), meet.view(np.int64))
@@ -129,52 +132,65 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return open_pairs.join(side(heavy, "a"), "a").join(side(heavy, "b"), "b").mapInArrow(check, "a binary, b binary")
 
 
-def link_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join exactly the sets which all links would join.
+def open_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of sets in one tile that have different labels and whose signatures leave room for a link.
 
-    Tiles hold the sets of one size band, and of the next smaller, that have a shingle in their
-    prefixes.  Groups of near copies would give all their pairs, so each tile is first linked through
-    one member, twice; pairs are compared only between sets that this leaves apart, block by block."""
-    width = float(np.log(100 / percent)) if percent < 100 else 1.0
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)).cast("int")
-    tiles = materialize(sets.select("set_id", F.explode(F.array(band, band + 1)).alias("band"), "prefix").select(
-        "set_id", "band", F.explode("prefix").alias("shingle")))
-    crowded = tiles.groupBy("shingle", "band").agg(F.count("*").alias("n")).where("n > 1").select("shingle", "band")
-    tiles = materialize(tiles.join(crowded, ["shingle", "band"]))
-    links = None
-    for turn in range(STAR_ROUNDS):
-        center = tiles.groupBy("shingle", "band").agg(F.min_by("set_id", F.xxhash64("set_id", F.lit(turn))).alias("a"))
-        star = tiles.join(center, ["shingle", "band"]).where("a <> set_id").select(
-            F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
-        found = verified(star, sets, percent)
-        links = reliable_checkpoint(found if links is None else found.union(links).distinct())
-    labels = components(links).withColumnRenamed("node", "set_id")
-    named = tiles.join(labels, "set_id", "left").select("shingle", "band", "set_id", F.coalesce("label", "set_id").alias("label"))
+    With ``forest`` a task takes each pair for a link at once and leaves out those that it then joins
+    already, the nearest first: a group of near copies gives about one pair for each member."""
+    named = tiles.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+        "shingle", "band", "set_id", F.coalesce("label", "set_id").alias("label"))
     apart = named.groupBy("shingle", "band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle", "band")
     cut = block_pairs(named.join(apart, ["shingle", "band"]), ["shingle", "band"], "set_id", BLOCK)
     tile = F.xxhash64("shingle", "band", "block_a", "block_b")
-    full = cut.join(sets.select("set_id", "n_shingles", "signature"), "set_id").select(
-        F.pmod(tile, F.lit(parts_of(sets.sparkSession))).alias("task"), tile.alias("tile"), F.col("block_a").alias("low"),
-        F.col("block_b").alias("high"), "block", "set_id", "label", "n_shingles", "signature")
+    members = cut.select(F.pmod(tile, F.lit(parts_of(sets.sparkSession))).alias("task"), tile.alias("tile"), F.col("block_a").alias("low"),
+                         F.col("block_b").alias("high"), "block", "set_id", "label")
+    held = members.select(F.col("task").alias("job"), F.col("set_id").alias("member")).distinct().join(
+        sets.select(F.col("set_id").alias("member"), "n_shingles", "signature"), "member")  # once for all tiles of a task
 
-    def compare(table: pa.Table) -> pa.Table:
-        """Pairs of sets with different labels in one tile whose signatures leave room for a link."""
+    def compare(table: pa.Table, held: pa.Table) -> pa.Table:
         table = table.sort_by("tile")
-        ids = np.array(table.column("set_id").to_pylist(), dtype=object)
-        tile, n, block, low, high = (table.column(c).to_numpy() for c in ("tile", "n_shingles", "block", "low", "high"))
-        _, label = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)
-        bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1).view(U64)
-        ends = np.searchsorted(tile, tile, "right")
-        pairs = set()
-        for i, end in enumerate(ends):
+        ids = held.column("member").combine_chunks()
+        names, n = ids.to_pylist(), held.column("n_shingles").to_numpy()
+        bits = np.frombuffer(b"".join(held.column("signature").to_pylist()), np.uint8).reshape(len(names), -1).view(U64)
+        row = pc.index_in(table.column("set_id"), value_set=ids).to_numpy()
+        tile, block, low, high = (table.column(c).to_numpy() for c in ("tile", "block", "low", "high"))
+        _, group = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)
+        root, pairs = np.arange(group.max() + 1), set()
+        for i, end in enumerate(np.searchsorted(tile, tile, "right")):
             rest = np.arange(i + 1, end)
-            rest = rest[(label[rest] != label[i]) & ((low[i] == high[i]) | (block[rest] != block[i]))]
-            differing = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            pairs.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in rest[could_link(n[rest], n[i], differing, percent)])
+            rest = rest[(root[group[rest]] != root[group[i]]) & ((low[i] == high[i]) | (block[rest] != block[i]))]
+            differing = np.bitwise_count(bits[row[rest]] ^ bits[row[i]]).sum(axis=1, dtype=np.int64)
+            near = could_link(n[row[rest]], n[row[i]], differing, percent)
+            for j in rest[near][np.argsort(differing[near], kind="stable")]:
+                if root[group[i]] != root[group[j]]:
+                    pairs.add(tuple(sorted((names[row[i]], names[row[j]]))))
+                    if forest:
+                        root[root == root[group[j]]] = root[group[i]]
         return table_of(sorted(pairs), PAIRS)
 
-    open_pairs = full.groupBy("task").applyInArrow(compare, "a binary, b binary").distinct()
-    return verified(open_pairs, sets, percent).union(links)
+    return members.groupBy("task").cogroup(held.groupBy("job")).applyInArrow(compare, "a binary, b binary").distinct()
+
+
+def link_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join exactly the sets which all links would join.
+
+    Tiles hold the sets of one size band, and of the next smaller, that have a shingle in their
+    prefixes.  Groups of near copies would give all their pairs, so each tile is first linked through
+    one member, then through trees of near pairs; what is still apart is compared in full."""
+    width = float(np.log(100 / percent)) if percent < 100 else 1.0
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)).cast("int")
+    tiles = sets.select("set_id", F.explode(F.array(band, band + 1)).alias("band"), "prefix").select(
+        "set_id", "band", F.explode("prefix").alias("shingle"))
+    crowded = tiles.groupBy("shingle", "band").agg(F.count("*").alias("n")).where("n > 1").select("shingle", "band")
+    tiles = materialize(tiles.join(crowded, ["shingle", "band"]))
+    center = tiles.groupBy("shingle", "band").agg(F.min_by("set_id", F.xxhash64("set_id")).alias("a"))
+    pairs = tiles.join(center, ["shingle", "band"]).where("a <> set_id").select(
+        F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
+    links = reliable_checkpoint(verified(pairs, sets, percent))
+    for forest in (*[True] * FORESTS, False):
+        pairs = open_pairs(tiles, components(links), sets, percent, forest)
+        links = reliable_checkpoint(links.union(verified(pairs, sets, percent)).distinct())
+    return links
 
 
 def join_similar(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -210,7 +210,6 @@ def test_segments_do_not_matter(monkeypatch):
 @pytest.mark.parametrize("block", [1024, 2])
 def test_jaccard_join(spark, odd, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     r = random.Random(3)
     base = [f"w{i}" for i in range(80)]
