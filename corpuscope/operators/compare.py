@@ -126,8 +126,9 @@ def compare(snaps: DataFrame, seeds: DataFrame, chosen: DataFrame) -> DataFrame:
         f"{_compare_key('url')} AS compare_key", "page_id", "name", "quick_score", "schema_types", "word_count",
         "question_count", "has_faq_signals",
     )
-    best = pages.groupBy("compare_key").agg(F.min_by(F.struct(*[c for c in pages.columns if c != "compare_key"]), "page_id").alias("c"))
     asked = chosen.selectExpr("site_key", "rank", "url", f"{_compare_key('url')} AS compare_key")
+    pages = pages.join(asked.select("compare_key").distinct(), "compare_key", "left_semi")  # few of all pages go on
+    best = pages.groupBy("compare_key").agg(F.min_by(F.struct(*[c for c in pages.columns if c != "compare_key"]), "page_id").alias("c"))
     ours = seeds.select("site_key", F.col("schema_types").alias("own_types"))
     joined = asked.join(best, "compare_key", "left").join(ours, "site_key", "left")
     return joined.select(

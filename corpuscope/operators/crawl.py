@@ -54,17 +54,20 @@ def _append(fresh: DataFrame, page_limit: int) -> DataFrame:
         "site_key", "position", F.col("i.url").alias("url"), F.col("i.url_key").alias("url_key"))
 
 
-def crawl_select(signals: DataFrame, sites: DataFrame, rules: DataFrame, page_limit: int = 10) -> DataFrame:
-    """Pages read and refused per site: (site_key, level, position, url, page_id, outcome)."""
+def crawl_select(signals: DataFrame, sites: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pages read and refused per site: (site_key, level, position, url, page_id, outcome).
+
+    Each site has its own ``page_limit``; the largest bounds the number of levels."""
+    largest = sites.agg(F.max("page_limit")).first()[0] or 0
     corpus = materialize(page_targets(signals, sites))
     seeds = sites.select("site_key", F.col("seed_page_id").alias("page_id")).join(
         corpus.drop("site_key"), "page_id")
     start = seeds.selectExpr("site_key", "0 AS position", "url_key", "page_id", "targets")
     done = [start.selectExpr("site_key", "0 AS level", "position", "url_key AS url", "page_id", "'READ' AS outcome")]
     queued = start.select("site_key", "url_key")
-    used = start.selectExpr("site_key", "1 AS used")
+    used = start.join(sites.select("site_key", "page_limit"), "site_key").selectExpr("site_key", "page_limit", "1 AS used")
     parents = start
-    for level in range(1, page_limit):
+    for level in range(1, largest):
         ranked = _ranked(parents)
         fresh = ranked.join(queued, ["site_key", "url_key"], "left_anti")
         if level == 1:
@@ -72,7 +75,7 @@ def crawl_select(signals: DataFrame, sites: DataFrame, rules: DataFrame, page_li
             order = Window.partitionBy("site_key").orderBy("b.priority", "b.pos")
             queue = first.select("site_key", "url_key", F.col("b.url").alias("url"), (F.row_number().over(order) - 1).alias("position"))
         else:
-            queue = _append(fresh, page_limit)
+            queue = _append(fresh, largest)
         known = queue.join(corpus.select("site_key", "url_key", "page_id", "targets"), ["site_key", "url_key"], "left")
         ruled = known.join(rules.select("site_key", "rules"), "site_key", "left").selectExpr(
             "site_key", "position", "url", "url_key", "page_id", "targets",
@@ -82,15 +85,15 @@ def crawl_select(signals: DataFrame, sites: DataFrame, rules: DataFrame, page_li
         counted = materialize(
             ruled.withColumn("read_before", F.coalesce(F.sum(F.expr("IF(outcome = 'READ', 1, 0)")).over(before), F.lit(0)))
         )
-        taken = counted.join(used, "site_key").where(F.col("used") + F.col("read_before") < page_limit).drop("used", "read_before")
+        taken = counted.join(used, "site_key").where("used + read_before < page_limit").drop("used", "read_before", "page_limit")
         if taken.isEmpty():
             break
         done.append(taken.selectExpr("site_key", f"{level} AS level", "position", "url", "page_id", "outcome"))
         queued = queued.unionByName(counted.select("site_key", "url_key"))
         read = taken.where("outcome = 'READ'")
-        used = materialize(used.unionByName(read.groupBy("site_key").agg(F.count("*").cast("int").alias("used")))
-                           .groupBy("site_key").agg(F.sum("used").cast("int").alias("used")))
-        parents = read.join(used.where(F.col("used") < page_limit).select("site_key"), "site_key", "left_semi")
+        more = read.groupBy("site_key").agg(F.count("*").cast("int").alias("more"))
+        used = materialize(used.join(more, "site_key", "left").selectExpr("site_key", "page_limit", "used + coalesce(more, 0) AS used"))
+        parents = read.join(used.where("used < page_limit").select("site_key"), "site_key", "left_semi")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -52,7 +52,7 @@ def _outline(spark, sf):
 def _crawl(spark, sf):
     audit = audit_of(spark, sf)
     rules = robots.select_group(robots.robots_lines(audit.files))
-    return crawl.crawl_select(audit.signals, audit.sites, rules, 10)
+    return crawl.crawl_select(audit.signals, audit.sites, rules)
 
 
 def _page_section(spark, sf):

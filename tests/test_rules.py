@@ -83,7 +83,7 @@ def test_crawl_follows_the_queue(spark):
             "/z": ["/late"], "/faq": ["/pricing"], "/blog": [], "/deep/x": [], "/pricing": [], "/late": []}
     pages = [(i, f"https://s.com{p}", "".join(f'<a href="{t}">t</a>' for t in links)) for i, (p, links) in enumerate(site.items())]
     signals = page_signals(spark.createDataFrame(pages, "page_id long, url string, html string"))
-    sites = spark.createDataFrame([("s.com", 0)], "site_key string, seed_page_id long")
+    sites = spark.createDataFrame([("s.com", 0)], "site_key string, seed_page_id long")  # the limit is added below
     rules = spark.createDataFrame([("s.com", [(0, "disallow", "/blog")])], "site_key string, rules array<struct<pos:int,type:string,path:string>>")
 
     def brute(limit):
@@ -112,7 +112,7 @@ def test_crawl_follows_the_queue(spark):
         return set(out)
 
     for limit in (2, 4, 10):
-        got = crawl.crawl_select(signals, sites, rules, limit).collect()
+        got = crawl.crawl_select(signals, sites.withColumn("page_limit", F.lit(limit)), rules).collect()
         assert {(r.url.replace("https://s.com", ""), r.outcome) for r in got} == brute(limit), limit
 
 
