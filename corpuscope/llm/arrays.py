@@ -5,7 +5,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes that are hashed at once; bounds what the helper arrays take.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 _random = np.random.default_rng(20_240_607)
 BYTE_VALUES = _random.integers(1 << 63, size=256, dtype=U64) * U64(2) + U64(1)
 MULTIPLIER = int(_random.integers(1 << 62)) * 8 + 5
