@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corpuscope.sources.io import reliable_checkpoint, shared_folder
+from corpuscope.sources.io import materialize, reliable_checkpoint, shared_folder
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space; everything between is a word.
@@ -24,6 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate table and go on from it; the shuffle files that made it go at once.
+
+    The table in the shared folder replaces them: nothing that comes later runs those shuffles again."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.set(name, before)
+
+
 def prefix_sums(df: DataFrame, order: list, values: list[str]) -> DataFrame:
     """Add ``before_<v>`` for each column of ``values``: its sum over all rows that come earlier.
 

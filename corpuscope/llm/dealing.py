@@ -22,10 +22,10 @@ def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def deal_texts(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    """(part, doc_id, text, more) with null texts empty."""
+def deal_texts(docs: DataFrame, id_col: str, text_col: str, *more, fold: int = 1) -> DataFrame:
+    """(part, doc_id, text, more) with null texts empty; ``fold`` parts for each shuffle partition."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    part = F.pmod(F.xxhash64(F.col(id_col).cast("long"), text), F.lit(parts_of(docs.sparkSession))).cast("int")
+    part = F.pmod(F.xxhash64(F.col(id_col).cast("long"), text), F.lit(fold * parts_of(docs.sparkSession))).cast("int")
     return docs.select(part.alias("part"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *more)
 
 

@@ -6,13 +6,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.llm.arrays import MIX, MIX2, U64, buffer_of, mixed, shingle_sets, words_of
+from corpuscope.llm.common import stored
 from corpuscope.llm.components import block_pairs, components
 from corpuscope.llm.dealing import answers_of, count_keys, deal_texts, parts_of, table_of
-from corpuscope.sources.io import materialize, reliable_checkpoint
+from corpuscope.sources.io import reliable_checkpoint
 
 KEY_BITS = 40
 #: Bits of a signature; a bit is on when an odd number of shingles fall on it.
 SIGNATURE_BITS = 1024
+#: Parts for each shuffle partition: sets take several times the memory of their texts.
+FOLD = 2
 #: Largest block of a tile, and rounds that link sets by trees before all pairs that are still open.
 BLOCK, FORESTS = 1024, 2
 
@@ -59,6 +62,17 @@ def key_of(shingles: np.ndarray) -> np.ndarray:
     return mixed(shingles, MIX2) >> U64(64 - KEY_BITS)
 
 
+def in_place(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each key its value, from the values of the distinct keys in order."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    number = np.zeros(len(keys), np.int32)
+    np.cumsum(keys[1:] != keys[:-1], out=number[1:])
+    out = np.empty(len(keys), values.dtype)
+    out[order] = values[number]
+    return out
+
+
 def distinct_sets(table: pa.Table, size: int):
     """Sets of a part's texts: their ids by row, and each distinct one."""
     ids, sets = [], {}
@@ -76,7 +90,7 @@ def profiles(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     The prefix comes from one order for all sets: rarer shingles (by the number of sets that hold
     them, in powers of two) first, then by hash.  A shingle that no other set has can't be the one
     that two sets meet in, so it is left out, and a set without others has no partner."""
-    dealt = deal_texts(docs, id_col, text_col)
+    dealt = deal_texts(docs, id_col, text_col, fold=FOLD)
 
     def keys_of(table: pa.Table):
         _, sets = distinct_sets(table, size)
@@ -88,8 +102,7 @@ def profiles(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
 
     def describe(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, sets = distinct_sets(table, size)
-        _, number = np.unique(key_of(np.concatenate(list(sets.values()) or [np.zeros(0, U64)])), return_inverse=True)
-        ranks = answers_of(answers)[number]
+        ranks = in_place(key_of(np.concatenate(list(sets.values()) or [np.zeros(0, U64)])), answers_of(answers).astype(np.uint8))
         cuts = np.cumsum([len(s) for s in sets.values()])
         rarity, rows, told = dict(zip(sets, np.split(ranks, cuts[:-1]))), [], set()
         for doc_id, own in zip(table.column("doc_id").to_pylist(), ids):
@@ -182,14 +195,14 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     tiles = sets.select("set_id", F.explode(F.array(band, band + 1)).alias("band"), "prefix").select(
         "set_id", "band", F.explode("prefix").alias("shingle"))
     crowded = tiles.groupBy("shingle", "band").agg(F.count("*").alias("n")).where("n > 1").select("shingle", "band")
-    tiles = materialize(tiles.join(crowded, ["shingle", "band"]))
+    tiles = stored(tiles.join(crowded, ["shingle", "band"]))
     center = tiles.groupBy("shingle", "band").agg(F.min_by("set_id", F.xxhash64("set_id")).alias("a"))
     pairs = tiles.join(center, ["shingle", "band"]).where("a <> set_id").select(
         F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
-    links = reliable_checkpoint(verified(pairs, sets, percent))
+    links = stored(verified(pairs, sets, percent))
     for forest in (*[True] * FORESTS, False):
         pairs = open_pairs(tiles, components(links), sets, percent, forest)
-        links = reliable_checkpoint(links.union(verified(pairs, sets, percent)).distinct())
+        links = stored(links.union(verified(pairs, sets, percent)).distinct())
     return links
 
 
@@ -204,9 +217,9 @@ def join_similar(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     other; repeated rows are in one group; an empty table gives no rows; other columns are not read.
     Result: id, n_shingles, component_id (smallest id of the group).
     """
-    described = materialize(profiles(docs, size, percent, id_col, text_col))
+    described = stored(profiles(docs, size, percent, id_col, text_col))
     sets = described.where("prefix is not null").select("set_id", "n_shingles", "shingles", "signature", "prefix").dropDuplicates(["set_id"])
-    sets = materialize(sets)
+    sets = stored(sets)
     labels = reliable_checkpoint(components(link_sets(sets, percent)))
     grouped = described.select("doc_id", "n_shingles", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "set_id").alias("group"))
