@@ -1,12 +1,14 @@
 """Registered queries that drain a stream of the given events.
 
 Each runs until the source is exhausted, writes to the shared folder and returns what it wrote.
+Files may come in any order, so no row is ever late.
 """
 
 import uuid
 
 from pyspark.sql import functions as F
 
+from corpuscope.operators import events as ev
 from corpuscope.sources import io
 from corpuscope.streaming import pipelines
 
@@ -27,15 +29,15 @@ def _events(spark, sf):
 
 
 def _daily(spark, sf):
-    path = _drain(spark, pipelines.daily_counts(_events(spark, sf)), "update", "daily")
+    path = _drain(spark, pipelines.daily_counts(_events(spark, sf), watermark=None), "update", "daily")
     changes = spark.read.parquet(path)
     return changes.groupBy("day", "event_type").agg(F.max_by("events", "epoch").alias("events"))
 
 
 def _limited(spark, sf):
-    path = _drain(spark, pipelines.rate_limited(_events(spark, sf), "user_id", "ts", "event_id", 3, 86400), "append", "limit")
-    return spark.read.parquet(path).selectExpr(
-        "tie AS event_id", "CAST(key AS BIGINT) AS user_id", "allowed", "remaining", "retry_after")
+    path = _drain(spark, pipelines.attempts_in_any_order(_events(spark, sf), "user_id", "ts", "event_id"), "append", "limit")
+    return ev.rate_limit(spark.read.parquet(path).drop("epoch"), 3, 86400).select(
+        "event_id", "user_id", "allowed", "remaining", "retry_after")
 
 
 QUERIES = {"e11_stream_daily_counts": _daily, "e7_stream_rate_limit": _limited}

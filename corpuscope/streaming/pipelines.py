@@ -1,7 +1,9 @@
 """The event rules on streams.
 
 Late rows are a parameter (``watermark``): the state of closed windows, seen event ids and idle
-keys is dropped behind it.
+keys is dropped behind it, and with it the rows that come later still.  That suits sources that
+arrive in time order; where files come in any order, ``None`` counts every row, and
+``attempts_in_any_order`` holds the limiter's rows until all are there.
 """
 
 import sys
@@ -23,8 +25,10 @@ def sanitize(events: DataFrame) -> DataFrame:
     return ev.event_sanitize(events)
 
 
-def daily_counts(events: DataFrame, at: str = "ts", name: str = "event_type", watermark: str = "1 day") -> DataFrame:
-    windowed = events.withWatermark(at, watermark).groupBy(F.window(at, "1 day").alias("w"), name).agg(F.count("*").alias("events"))
+def daily_counts(events: DataFrame, at: str = "ts", name: str = "event_type", watermark: str | None = "1 day") -> DataFrame:
+    """Counts of each day.  Without a watermark the state is one row per day and name, and no row is late."""
+    timed = events.withWatermark(at, watermark) if watermark else events
+    windowed = timed.groupBy(F.window(at, "1 day").alias("w"), name).agg(F.count("*").alias("events"))
     return windowed.selectExpr("to_date(w.start) AS day", name, "events")
 
 
@@ -39,7 +43,8 @@ def resolve_users(deliveries: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def rate_limited(attempts: DataFrame, key: str, at: str, tie: str, limit: int, window_seconds: int, watermark: str = "1 hour") -> DataFrame:
-    """Sliding-window decisions.  State per key: at most ``limit`` times, dropped when idle for a window."""
+    """Sliding-window decisions for attempts that arrive in time order, up to the watermark and within a
+    micro-batch.  State per key: at most ``limit`` times, dropped when idle for a window."""
     step = limit_step(limit, window_seconds * 1_000_000)
 
     def decide(group_key, frames, state: GroupState):
@@ -67,6 +72,15 @@ def rate_limited(attempts: DataFrame, key: str, at: str, tie: str, limit: int, w
     )
 
 
+def attempts_in_any_order(attempts: DataFrame, key: str, at: str, tie: str) -> DataFrame:
+    """Stateless: what the limiter reads of every attempt.
+
+    An attempt that comes late can change all later decisions of its key, so none is final before the
+    source ends.  Every row is kept, and ``ordered_fold`` decides them together (a hot key's rows are
+    spread over tasks there, which a state per key can't do)."""
+    return attempts.select(tie, key, at)
+
+
 def subscription_rows(deliveries: DataFrame) -> DataFrame:
     """Current row of a subscription after every micro-batch that touches it (update mode)."""
     statuses = dict(lx.SUBSCRIPTION_STATUS_MAP)

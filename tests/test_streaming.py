@@ -1,9 +1,15 @@
 """A stream that has been drained gives what the batch gives."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from corpuscope.operators import events as ev
+from corpuscope.plans import business_queries, stream_queries
+from corpuscope.sources import io
 from corpuscope.streaming import pipelines as st
 
 
@@ -63,3 +69,23 @@ def test_dedupe_and_subscriptions(spark, tmp_path):
     got = st.latest(spark, out, "subscription_ref", "usage_resets")
     cols = ["subscription_ref", "plan", "status", "period", "usage_resets"]
     assert sorted(got.select(*cols).collect()) == sorted(ev.subscription_state(batch).select(*cols).collect())
+
+
+def test_many_files_in_any_order(spark, tmp_path):
+    rnd = random.Random(7)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=61 * i), rnd.randrange(6), rnd.choice(["view", "click"]), 1.0, "{}") for i in range(780)]
+    names = [f"ev{i:03d}" for i in range(130)]  # more than two micro-batches of 64
+    rnd.shuffle(names)
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for k, name in enumerate(names):
+        columns = zip(*rows[6 * k:6 * k + 6])
+        table = pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.timestamp("us"), pa.int64(), pa.string(), pa.float64(), pa.string()))],
+                         names=io.EVENT_SCHEMA.names)
+        pq.write_table(table, folder / f"{name}.parquet")
+        os.utime(folder / f"{name}.parquet", (1_700_000_000 + int(name[2:]), 1_700_000_000 + int(name[2:])))
+    for stream, batch in (("e7_stream_rate_limit", "e7_rate_limit"), ("e11_stream_daily_counts", "e11_daily_event_window")):
+        got = stream_queries.QUERIES[stream](spark, str(tmp_path))
+        want = business_queries.QUERIES[batch](spark, str(tmp_path)).select(got.columns)
+        got, want = sorted(got.collect()), sorted(want.collect())
+        assert got == want, (stream, len(got), len(want), len(set(got) & set(want)))
