@@ -61,6 +61,9 @@ def _page_facts() -> dict[str, str]:
             return f"size({present}) / {len(names)}D * 0.5D"
         return f"{part(lx.ORG_REQUIRED)} + {part(lx.ORG_VALUABLE)}"
 
+    def opening(chars):
+        return f"substring({text}, 1, {chars})"
+
     names = each(keep("json_ld", lambda b: f"{b}.values['name'] IS NOT NULL"), lambda b: f"{b}.values['name']")
     return {
         "is_https": "is_https", "is_indexable": "is_indexable", "status_code": "status_code",
@@ -94,8 +97,8 @@ def _page_facts() -> dict[str, str]:
         "definitions": h.count_matches(text, lx.DEFINITION_PATTERN),
         "compares": h.matches(text, lx.COMPARISON_TEXT_PATTERN),
         "comparison_page": h.matches("concat(coalesce(title, ''), ' ', url)", lx.COMPARISON_PAGE_PATTERN),
-        "front_loaded": f"length(first_paragraph) >= 80 AND {h.matches('first_paragraph', lx.DECLARATIVE_PATTERN)}",
-        "summarised": f"length(first_paragraph) >= 100 AND {h.matches('first_paragraph', lx.SUMMARY_VERB_PATTERN)}",
+        "front_loaded": let(opening(lx.FRONT_LOADED_CHARS), lambda t: f"length({t}) >= 80 AND {h.matches(t, lx.DECLARATIVE_PATTERN)}"),
+        "summarised": let(opening(lx.SUMMARY_CHARS), lambda t: f"length({t}) >= 100 AND {h.matches(t, lx.SUMMARY_VERB_PATTERN)}"),
         "process": h.matches(text, lx.PROCESS_PATTERN),
         "blocks": "size(json_ld)", "bad_blocks": f"size({keep('json_ld', lambda b: f'NOT {b}.valid')})",
         "type_bits": _mask("schema_types", SCHEMA_BITS),

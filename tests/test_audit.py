@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.operators import compare, scoring
+from corpuscope.operators.checks import site_facts
 from corpuscope.operators.links import unseen_targets
 from corpuscope.operators.signals import page_signals
 from corpuscope.plans.audit import Audit, run
@@ -121,3 +122,15 @@ def test_bands_of_run(tables):
     for r in tables["site_scores"].collect():
         assert r.band in {"excellent", "good", "fair", "poor", "critical"}
     assert scoring.band("overall_score").startswith("CASE")
+
+
+def test_opening_goes_on_after_a_short_first_paragraph(spark):
+    greeting, late = "<p>Welcome to the roofing pages of our firm in Denver.</p>", "<p>" + "word " * 80 + "</p>"
+    answer = "<p>Ridgevale Roofing provides slate repair for homes in Denver, and every inspection takes one visit of an hour or less.</p>"
+    rows = [(0, greeting + answer), (1, answer), (2, late + answer), (3, greeting)]
+    pages = spark.createDataFrame([(i, f"https://a{i}.com/", f"<html><body><h1>x</h1>{h}</body></html>") for i, h in rows],
+                                  "page_id long, url string, html string")
+    tests = site_facts._page_facts()
+    got = page_signals(pages).selectExpr("page_id", f"{tests['front_loaded']} AS front", f"{tests['summarised']} AS summary")
+    assert {r.page_id: (r.front, r.summary) for r in got.collect()} == {
+        0: (True, True), 1: (True, True), 2: (False, False), 3: (False, False)}
