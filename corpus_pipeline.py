@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscope.llm.common import table
 from corpuscope.llm.decontaminate import find_contamination
-from corpuscope.llm.jaccard_join import join_similar
+from corpuscope.llm.jaccard_join import print_of, similar_rows
 from corpuscope.llm.mixing import mix_sources
 from corpuscope.llm.quality import score_quality
 from corpuscope.llm.suffix_dedup import dedup_substrings
@@ -17,15 +17,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays; rows that repeat one whole
-    document of it stay once, and documents without words all stay."""
-    similar = join_similar(docs)
-    first = similar.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
-        F.col("doc_id").alias("_id")).agg((F.max("n_shingles") > 0).alias("_worded"), F.count("*").alias("_rows"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")))
-    repeated = (F.col("_rows") > 1) & F.col("_worded")
-    return kept.where(~repeated).select(docs.columns).union(
-        kept.where(repeated).select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    """Of each group of similar documents one row stays, that with the smallest id (null ids count as larger than
+    all others) and among rows of equal id the smallest hash of the text; documents without words all stay."""
+    similar = similar_rows(docs)
+    rows = similar.where("group is not null").groupBy("group", "doc_id", "print_of_text").agg(F.count("*").alias("rows"))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print_of_text", "rows")).alias("r")).select(
+        F.col("r.doc_id").alias("_id"), F.col("r.print_of_text").alias("_print"), (F.col("r.rows") > 1).alias("_repeated"))
+    wordless = similar.where("group is null").select("doc_id", "print_of_text", F.lit(False)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (print_of("text") == F.col("_print"))
+    kept = docs.join(first.union(wordless), same)
+    return kept.where("not _repeated").select(docs.columns).union(
+        kept.where("_repeated").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ FOLD = 2
 BLOCK, FORESTS = 1024, 2
 
 PROFILE = pa.schema([
-    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("shingles", pa.binary()), ("signature", pa.binary()),
+    ("doc_id", pa.int64()), ("print_of_text", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("shingles", pa.binary()), ("signature", pa.binary()),
     ("prefix", pa.list_(pa.int64()))])
 
 PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -83,14 +83,19 @@ def distinct_sets(table: pa.Table, size: int):
     return ids, sets
 
 
+def print_of(text_col: str):
+    """Tells rows of equal id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def profiles(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each document: n_shingles and set_id, and for one document of each set in a part
+    """One row for each document: print_of_text (xxhash64), n_shingles and set_id, and for one document of each set in a part
     that may have partners also the sorted shingles, the signature and the prefix.
 
     The prefix comes from one order for all sets: rarer shingles (by the number of sets that hold
     them, in powers of two) first, then by hash.  A shingle that no other set has can't be the one
     that two sets meet in, so it is left out, and a set without others has no partner."""
-    dealt = deal_texts(docs, id_col, text_col, fold=FOLD)
+    dealt = deal_texts(docs, id_col, text_col, print_of(text_col).alias("print_of_text"), fold=FOLD)
 
     def keys_of(table: pa.Table):
         _, sets = distinct_sets(table, size)
@@ -105,20 +110,20 @@ def profiles(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
         ranks = in_place(key_of(np.concatenate(list(sets.values()) or [np.zeros(0, U64)])), answers_of(answers).astype(np.uint8))
         cuts = np.cumsum([len(s) for s in sets.values()])
         rarity, rows, told = dict(zip(sets, np.split(ranks, cuts[:-1]))), [], set()
-        for doc_id, own in zip(table.column("doc_id").to_pylist(), ids):
+        for doc_id, text_print, own in zip(table.column("doc_id").to_pylist(), table.column("print_of_text").to_pylist(), ids):
             shingles = sets[own]
-            row = (doc_id, len(shingles), own if len(shingles) else None, None, None, None)
+            row = (doc_id, text_print, len(shingles), own if len(shingles) else None, None, None, None)
             if len(shingles) and own not in told:
                 told.add(own)
                 rank = rarity[own]
                 first = np.lexsort((shingles, rank))[:prefix_length(len(shingles), percent)]
                 if len(meet := shingles[first][rank[first] > 0]):
-                    row = (*row[:3], shingles.tobytes(), signature(shingles), meet.view(np.int64))
+                    row = (*row[:4], shingles.tobytes(), signature(shingles), meet.view(np.int64))
             rows.append(row)
         return table_of(rows, PROFILE)
 
     return dealt.groupBy("part").cogroup(classes.groupBy("part")).applyInArrow(
-        describe, "doc_id long, n_shingles long, set_id binary, shingles binary, signature binary, prefix array<long>")
+        describe, "doc_id long, print_of_text long, n_shingles long, set_id binary, shingles binary, signature binary, prefix array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,6 +211,16 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     return links
 
 
+def similar_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: doc_id, print_of_text, n_shingles and group (null without words)."""
+    described = stored(profiles(docs, size, percent, id_col, text_col))
+    sets = described.where("prefix is not null").select("set_id", "n_shingles", "shingles", "signature", "prefix").dropDuplicates(["set_id"])
+    sets = stored(sets)
+    labels = reliable_checkpoint(components(link_sets(sets, percent)))
+    return described.select("doc_id", "print_of_text", "n_shingles", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+        "doc_id", "print_of_text", "n_shingles", F.coalesce("label", "set_id").alias("group"))
+
+
 def join_similar(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose sets of ``size``-word shingles link, directly or by others.
 
@@ -217,12 +232,7 @@ def join_similar(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     other; repeated rows are in one group; an empty table gives no rows; other columns are not read.
     Result: id, n_shingles, component_id (smallest id of the group).
     """
-    described = stored(profiles(docs, size, percent, id_col, text_col))
-    sets = described.where("prefix is not null").select("set_id", "n_shingles", "shingles", "signature", "prefix").dropDuplicates(["set_id"])
-    sets = stored(sets)
-    labels = reliable_checkpoint(components(link_sets(sets, percent)))
-    grouped = described.select("doc_id", "n_shingles", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "set_id").alias("group"))
+    grouped = similar_rows(docs, size, percent, id_col, text_col)
     first = grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("first"))
     return grouped.join(first, "group", "left").select(
         F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))

@@ -43,3 +43,13 @@ def test_empty_input(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF))
     assert docs.count() == 0
+
+
+def test_one_of_near_copies_without_distinct_ids(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    say = lambda c, n: " ".join(f"{c}{i}" for i in range(60)) + f" {n}"
+    rows = [(None, say("a", "x")), (None, say("a", "y")), (None, say("a", "y")), (7, say("b", "x")), (None, say("b", "y")), (5, say("c", "x")), (5, say("d", "x")),
+            (4, say("d", "y")), (None, ""), (None, None), (9, " "), (9, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_similar(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in kept) == [(0, ""), (0, ""), (0, "a"), (4, "d"), (5, "c"), (7, "b"), (9, " "), (9, " ")]
