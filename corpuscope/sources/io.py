@@ -58,6 +58,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once a later table has taken its place; other tables stay."""
+    spark, root = df.sparkSession, shared_folder(df.sparkSession)
+    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if re.fullmatch(r"[0-9a-f]{32}", folder.getName()) and folder.getParent().getName() == root.rstrip("/").rpartition("/")[2]:
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage and keep partitions and their order as they are."""
     shared_folder(df.sparkSession)
