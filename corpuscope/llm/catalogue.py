@@ -4,7 +4,9 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from corpuscope.llm import cap_filters, decontaminate, jaccard_join, lm_scoring, mixing, quality, suffix_dedup, token_counts, url_filters, warc
+from corpuscope.llm import (
+    cap_filters, centroids, conversation_trie, decontaminate, jaccard_join, lm_scoring, mixing, quality, quality_rules, suffix_dedup, token_counts,
+    url_filters, warc)
 from corpuscope.llm.common import new_folder, table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -53,6 +55,18 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroid_clustering(spark, sf_dir):
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark, sf_dir):
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents")).drop("broken")
+
+
+def op13_conversation_trie(spark, sf_dir):
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_classifier": op2_quality_classifier,
@@ -64,6 +78,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -127,4 +144,66 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id <> newest THEN newest END AS refers_to
 FROM (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', substr(sha1(body), CAST(i AS INT), 1)) - 1), 4, '0')), '') AS bits FROM n)"""
 
-SQL = {"op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": OP9_SQL}
+_APART = "list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
+_ROUNDS = "".join(rf"""
+a{r} AS MATERIALIZED (SELECT vec_id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, x, c, CAST({_APART} AS BIGINT) AS d FROM v, c{r}) GROUP BY vec_id, x),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(list_transform(range(1, 65), lambda i: CAST(floor(m[i] / n) AS BIGINT) - CASE WHEN CAST(floor(m[i] / n) AS BIGINT) * n > m[i] THEN 1 ELSE 0 END), y) AS y
+  FROM c{r} LEFT JOIN (SELECT c, any_value(n) AS n, list(t ORDER BY i) AS m FROM (
+    SELECT c, i, count(*) AS n, sum(x[i])::BIGINT AS t FROM a{r}, range(1, 65) AS u(i) GROUP BY c, i) GROUP BY c) USING (c)),""" for r in range(5))
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * e::DOUBLE) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x AS y FROM (SELECT x, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT 40)),{_ROUNDS}
+f AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, c, CAST({_APART} AS BIGINT) AS d FROM v, c5) GROUP BY vec_id)
+SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM f JOIN c5 USING (c)"""
+
+_BUCKET = "greatest(0, length(bin(v)) - 6)"
+_FENCE = """{0} AS (SELECT {1} rule, max(docs) AS docs,
+  min(CASE WHEN 4 * upto >= docs THEN lo END) AS q1, min(CASE WHEN 4 * upto >= 3 * docs THEN hi END) AS q3 FROM (
+    SELECT *, sum(n) OVER (PARTITION BY {1} rule ORDER BY lo) AS upto, sum(n) OVER (PARTITION BY {1} rule) AS docs
+    FROM (SELECT {1} rule, lo, hi, sum(n) AS n FROM sketches GROUP BY {1} rule, lo, hi)) GROUP BY {1} rule)"""
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
+                  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+w AS (SELECT r, p, words[p:p + 2] AS g FROM d, unnest(range(1, len(words) - 1)) AS u(p)),
+s AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS n FROM w) WHERE n > 1),
+k AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM s, unnest([p, p + 1, p + 2]) AS u(q) GROUP BY r),
+m AS (SELECT doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+             CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+      FROM d LEFT JOIN k USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1000 * word_chars // greatest(n_words, 1) AS v1, 10000 * n_symbols // greatest(n_words, 1) AS v2,
+             10000 * n_repeat_words // greatest(n_words, 1) AS v3, 10000 * n_dup_lines // greatest(n_lines, 1) AS v4 FROM m),
+t AS (SELECT lang, source, u.rule, [v1, v2, v3, v4][u.rule] AS v FROM b, (VALUES (1), (2), (3), (4)) AS u(rule) WHERE NOT base_failed),
+sketches AS (SELECT lang, source, rule, (v >> {_BUCKET}) << {_BUCKET} AS lo, ((v >> {_BUCKET}) << {_BUCKET}) + (1 << {_BUCKET}) - 1 AS hi, count(*) AS n FROM t GROUP BY ALL),
+{_FENCE.format("fine", "lang, source,")},
+{_FENCE.format("wide", "lang,")},
+{_FENCE.format("every", "")},
+p AS (SELECT f.lang, f.source, f.rule, CASE WHEN f.docs >= 200 THEN [f.q1, f.q3] WHEN w.docs >= 200 THEN [w.q1, w.q3] ELSE [e.q1, e.q3] END AS q
+      FROM fine f JOIN wide w ON f.lang IS NOT DISTINCT FROM w.lang AND f.rule = w.rule JOIN every e ON e.rule = f.rule),
+l AS (SELECT lang, source, list(q[2] + 4 * greatest(q[2] - q[1], [250, 500, 1000, 1000][rule]) ORDER BY rule) AS most, min(q[1] - 4 * greatest(q[2] - q[1], 250)) FILTER (WHERE rule = 1) AS least FROM p GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND v1 >= least AND v1 <= most[1] AND v2 <= most[2] AND v3 <= most[3] AND v4 <= most[4] AS kept
+FROM b LEFT JOIN l ON b.lang IS NOT DISTINCT FROM l.lang AND b.source IS NOT DISTINCT FROM l.source"""
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT)), lambda c, x:
+  list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END)), 4294967295::UBIGINT)"""
+OP13_SQL = rf"""
+WITH o AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, CAST({_CRC32} % 4 AS BIGINT) AS h FROM o),
+q AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h], []), h.turns[h + 1:]) AS turns FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+n AS (SELECT conv_id, d, turns[1:d] AS path, d = len(turns) AS ended FROM q, unnest(range(0, len(turns) + 1)) AS u(d)),
+g AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ended), '') AS ends,
+             CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) END AS own FROM n GROUP BY d, path),
+c AS (SELECT path[1:d - 1] AS up, count(*) AS n_children FROM g WHERE d > 0 GROUP BY up),
+x AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN c ON path = up),
+s AS (SELECT path[1:a] AS above, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM x, unnest(range(0, d + 1)) AS u(a) GROUP BY above)
+SELECT x.conv_id, d AS depth, p.conv_id AS parent_conv_id, x.n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM x JOIN s ON above = path LEFT JOIN (SELECT path AS of, conv_id FROM g) p ON d > 0 AND of = path[1:d - 1]"""
+
+SQL = {"op11_centroid_clustering": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_conversation_trie": OP13_SQL, "op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": OP9_SQL}
