@@ -105,15 +105,15 @@ def snapshots(signals: DataFrame) -> DataFrame:
 def pick_competitors(requested: DataFrame, limit: int | str) -> DataFrame:
     """Requested addresses, valid ones, one per registrable domain (the first), at most ``limit``.
 
-    ``requested(site_key, pos, raw)``: the rows of a site come from one form and are few.
+    ``requested(site_key, pos, raw)``: the rows of a site come from one form and are few.  ``limit`` is a
+    number, or an expression over the other columns of ``requested``, such as the limit of the owner's plan.
     """
     valid = requested.where(f"{u.rejection_code('raw')} IS NULL").selectExpr(
-        "site_key", "pos", f"{u.normalize('raw')} AS url", f"{u.registrable_domain(u.host(u.with_scheme('raw')))} AS domain"
+        "site_key", "pos", f"{u.normalize('raw')} AS url", f"{u.registrable_domain(u.host(u.with_scheme('raw')))} AS domain", f"{limit} AS bound",
     )
-    firsts = valid.groupBy("site_key", "domain").agg(F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url"))
+    firsts = valid.groupBy("site_key", "domain").agg(F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url"), F.max("bound").alias("bound"))
     order = Window.partitionBy("site_key").orderBy("pos")
-    bound = F.expr(limit) if isinstance(limit, str) else F.lit(limit)
-    return firsts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bound)
+    return firsts.withColumn("rank", F.row_number().over(order)).where("rank <= bound").drop("bound")
 
 
 def _compare_key(c: str) -> str:

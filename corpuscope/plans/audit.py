@@ -4,7 +4,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuscope.operators import compare, links, recommend, robots, scoring
+from corpuscope.functions import lexicon as lx
+from corpuscope.operators import compare, ledger, links, recommend, robots, scoring
 from corpuscope.operators.checks import categories
 from corpuscope.operators.checks.framework import make_checks
 from corpuscope.operators.checks.site_facts import site_facts
@@ -75,18 +76,33 @@ def run(audit: Audit) -> dict[str, DataFrame]:
     }
 
 
+def bound_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites with the page and competitor limits that their owner's plan and credits allow; without an owner, the free plan's."""
+    entitled = ledger.entitlements(b.bind(spark, sf, b.USERS_SQL), b.bind(spark, sf, b.SUBSCRIPTIONS_SQL))
+    limits = ledger.audit_limits(entitled).selectExpr("user_id AS owner_id", "page_limit", "competitor_limit")
+    _, _, _, pages, rivals = lx.PLANS[0]
+    return b.bind(spark, sf, b.SITES_SQL).join(limits, "owner_id", "left").fillna({"page_limit": pages, "competitor_limit": rivals})
+
+
+def asked_competitors(spark: SparkSession, sf: str, sites: DataFrame) -> DataFrame:
+    """What sites asked to be compared with, up to the limit of each."""
+    asked = b.bind(spark, sf, b.COMPETITORS_SQL).join(sites.select("site_key", "competitor_limit"), "site_key")
+    return compare.pick_competitors(asked, "competitor_limit")
+
+
 def bound_audit(spark: SparkSession, sf: str) -> Audit:
     """An audit over the given tables."""
     raw = b.bind(spark, sf, b.SITE_PAGES_SQL)
     fetched = io.textual_only(raw).where("status_code < 400")
+    sites = bound_sites(spark, sf)
     signals = io.materialize(page_signals(io.spread(fetched)))  # read by every family: parse the markup once
     return Audit(
         signals=signals,
         fetched=b.link_fetches(links.unseen_targets(signals)),
-        sites=b.bind(spark, sf, b.SITES_SQL),
+        sites=sites,
         failures=_failures(raw),
         files=b.bind(spark, sf, b.SITE_FILES_SQL),
-        competitors=compare.pick_competitors(b.bind(spark, sf, b.COMPETITORS_SQL), 3),
+        competitors=asked_competitors(spark, sf, sites),
     )
 
 

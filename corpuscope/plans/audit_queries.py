@@ -19,6 +19,10 @@ def checks_of(spark, sf):
     return io.materialize(audit_of(spark, sf).checks())
 
 
+def weighed(checks):
+    return scoring.rebalance(scoring.category_scores(checks))
+
+
 def weighted_of(spark, sf):
     return scoring.rebalance(scoring.category_scores(checks_of(spark, sf)))
 
@@ -33,7 +37,7 @@ def snaps(*columns):
 
 def _summary(spark, sf):
     checks = checks_of(spark, sf)
-    return scoring.site_summary(checks, weighted_of(spark, sf), recommend.strengths(checks), recommend.weaknesses(checks))
+    return scoring.site_summary(checks, weighed(checks), recommend.strengths(checks), recommend.weaknesses(checks))
 
 
 def _search(spark, sf):
@@ -66,7 +70,7 @@ QUERIES = {
     "r4_strengths": lambda spark, sf: recommend.strengths(checks_of(spark, sf)),
     "r5_weaknesses": lambda spark, sf: recommend.weaknesses(checks_of(spark, sf)),
     "r6_cross_site_rollup": lambda spark, sf: recommend.cross_site_rollup(checks_of(spark, sf)),
-    "x1_competitor_pick": lambda spark, sf: compare.pick_competitors(b.bind(spark, sf, b.COMPETITORS_SQL), 3),
+    "x1_competitor_pick": lambda spark, sf: plan.asked_competitors(spark, sf, plan.bound_sites(spark, sf)),
     "x2_quick_score": snaps("quick_score"),
     "x3_competitor_category_scores": snaps(*compare.CATEGORY_SCORES),
     "x4_competitor_name": snaps("name"),

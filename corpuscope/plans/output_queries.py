@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators import crawl, recommend, robots, scoring
 from corpuscope.plans import report
-from corpuscope.plans.audit_queries import audit_of, checks_of, weighted_of
+from corpuscope.plans.audit_queries import audit_of, checks_of, weighed
 from corpuscope.sources import bindings as b, io
 
 
@@ -31,7 +31,7 @@ def _export_csv(spark, sf):
 def _documents(spark, sf):
     audit = audit_of(spark, sf)
     checks = io.materialize(audit.checks())
-    weighted = weighted_of(spark, sf)
+    weighted = weighed(checks)
     return report.assemble(
         audit.sites, scoring.with_band(scoring.overall(weighted)), scoring.category_summaries(weighted), checks,
         recommend.recommendations(checks), audit.compared(), audit.signals, audit.failures,

@@ -91,7 +91,7 @@ SITES_SQL = f"""
 SELECT site_key, seed_page_id, {BRAND.format(host='site_key')} || ' and co' AS business_name,
   CASE WHEN seed_page_id % 3 = 0 THEN NULL ELSE 'roof repair, inspection; slate cladding ,abc' END AS primary_services,
   CASE WHEN seed_page_id % 4 = 0 THEN NULL ELSE 'Denver' END AS location,
-  CAST(CASE seed_page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 25 END AS INT) AS page_limit
+  CAST(1 + seed_page_id % 150 AS BIGINT) AS owner_id
 FROM (SELECT {BARE_HOST} AS site_key, min(page_id) AS seed_page_id FROM pages GROUP BY 1) AS s
 """
 

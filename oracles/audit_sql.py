@@ -7,6 +7,7 @@ from corpuscope.sources import bindings as b
 from oracles import fragments as f
 from oracles.crawl_sql import BROKEN, ROBOTS
 from oracles.fragments import let, members, q, strings
+from oracles.limits import SITES
 from oracles.page_sql import _KEPT, _TEXTUAL, URL_CTE
 from oracles.signals import SIGNALS
 
@@ -66,8 +67,8 @@ agg AS (SELECT ps.site_key, count(*) AS pages, {n("is_https")} AS https, max(sta
   sum(len(question_headings)) AS questions, {n("role = 'FAQ' OR has_faq_signals")} AS faq_pages, {any_("has_faq_signals")} AS faq_content,
   {n("paragraph_count > 0 AND floor(word_count / paragraph_count + 0.5) BETWEEN 25 AND 130")} AS quotable, sum(list_count) AS lists, sum(table_count) AS tables,
   sum(len(regexp_extract_all({m}, {q(lx.DEFINITION_PATTERN)}, 0))) + sum(definition_count) AS defs, {any_(re(m, lx.COMPARISON_TEXT_PATTERN))} AS compares,
-  {n(re("coalesce(title, '') || ' ' || url", lx.COMPARISON_PAGE_PATTERN))} AS comp_pages, {n(f"length(first_paragraph) >= 80 AND {re('first_paragraph', lx.DECLARATIVE_PATTERN)}")} AS front,
-  coalesce(bool_or(length(first_paragraph) >= 100 AND {re('first_paragraph', lx.SUMMARY_VERB_PATTERN)}) {_H}, false) AS home_summary, {any_(re(m, lx.PROCESS_PATTERN))} AS process,
+  {n(re("coalesce(title, '') || ' ' || url", lx.COMPARISON_PAGE_PATTERN))} AS comp_pages, {n(f"length(substr({m}, 1, 350)) >= 80 AND {re(f"substr({m}, 1, 350)", lx.DECLARATIVE_PATTERN)}")} AS front,
+  coalesce(bool_or(length(substr({m}, 1, 300)) >= 100 AND {re(f"substr({m}, 1, 300)", lx.SUMMARY_VERB_PATTERN)}) {_H}, false) AS home_summary, {any_(re(m, lx.PROCESS_PATTERN))} AS process,
   {n("n_blocks > 0")} AS with_schema, sum(n_blocks) AS blocks, sum(n_blocks - n_valid) AS bad, coalesce(list_distinct(flatten(list(schema_types))), []) AS st,
   {any_("orgc.page_id IS NOT NULL")} AS has_org, arg_min(complete, ps.page_id) FILTER (WHERE complete IS NOT NULL) AS complete, {any_("sameas.page_id IS NOT NULL")} AS same_as, {any_("ld_author IS NOT NULL")} AS ld_auth,
   arg_min(ld_name, ps.page_id) FILTER (WHERE ld_name IS NOT NULL) AS ld_name, any_value(tok2) AS tok2, {any_("len(emails) > 0")} AS email, {any_("len(phones) > 0")} AS phone, {n("role = 'CONTACT'")} AS contact_pages,
@@ -307,7 +308,7 @@ pk0 AS (SELECT string_split(url_id, '~')[1] AS site_key, CAST(string_split(url_i
   {let("regexp_replace(name, '^www[.]', '')", "hh", f"CASE WHEN len(string_split(hh, '.')) <= 2 THEN hh WHEN string_split(hh, '.')[-2] IN {members(lx.SECOND_LEVEL_SUFFIXES)} THEN array_to_string(string_split(hh, '.')[-3:], '.') ELSE array_to_string(string_split(hh, '.')[-2:], '.') END")} AS domain
   FROM codes WHERE code = 'OK'),
 pk1 AS (SELECT * FROM pk0 QUALIFY row_number() OVER (PARTITION BY site_key, domain ORDER BY pos) = 1),
-pick AS (SELECT *, row_number() OVER (PARTITION BY site_key ORDER BY pos) AS rank FROM pk1 QUALIFY row_number() OVER (PARTITION BY site_key ORDER BY pos) <= 3)"""
+pick AS (SELECT pk1.*, row_number() OVER (PARTITION BY site_key ORDER BY pos) AS rank FROM pk1 JOIN sites USING (site_key) QUALIFY row_number() OVER (PARTITION BY site_key ORDER BY pos) <= competitor_limit)"""
 _KEY = lambda c: f"lower({f.bare_host(c)} || regexp_replace({f.path(c)}, '/+$', ''))"
 COMPARED = f"""{SNAP}, {PICK},
 home AS (SELECT snap.* FROM snap JOIN sites ON snap.page_id = sites.seed_page_id),
@@ -404,7 +405,7 @@ SQL = {
     "r4_strengths": f"WITH {ALL}, {STRONG} SELECT * FROM strong",
     "r5_weaknesses": f"WITH {ALL}, {WEAK} SELECT * FROM weak",
     "r6_cross_site_rollup": f"WITH {ALL} SELECT category, count(*) AS findings, count(*) FILTER (WHERE applicable) AS applicable, {', '.join(f'count(*) FILTER (WHERE severity = {q(s)}) AS severity_{s.lower()}' for s in lx.SEVERITIES)} FROM chk GROUP BY 1",
-    "x1_competitor_pick": f"WITH {PICK} SELECT site_key, domain, pos, url, CAST(rank AS INT) AS rank FROM pick",
+    "x1_competitor_pick": f"WITH {SITES}, {PICK} SELECT site_key, domain, pos, url, CAST(rank AS INT) AS rank FROM pick",
     "x2_quick_score": f"WITH {SIGNALS}, {SNAP} SELECT page_id, quick_score FROM snap",
     "x3_competitor_category_scores": f"WITH {SIGNALS}, {SNAP} SELECT page_id, technical, entity, content, answer, structured, trust FROM snap",
     "x4_competitor_name": f"WITH {SIGNALS}, {SNAP} SELECT page_id, name FROM snap",

@@ -4,6 +4,7 @@ from corpuscope.functions import lexicon as lx
 from corpuscope.sources import bindings as b
 from oracles.audit_sql import RECS
 from oracles.fragments import members, q
+from oracles.limits import ENTITLED as _ENT, LIMITS, plan_value as _plan
 
 U, P, A, S, PE, W = (f"({t}) AS t" for t in (b.USERS_SQL, b.PAYMENTS_SQL, b.AUDITS_SQL, b.SUBSCRIPTIONS_SQL, b.PRODUCT_EVENTS_SQL, b.WEBHOOKS_SQL))
 AS_OF = f"TIMESTAMP '{b.AS_OF_ORDERS}'"
@@ -18,15 +19,8 @@ def i64(x):
     return f"CAST({x} AS BIGINT)"
 
 
-def _plan(field):
-    return "CASE plan " + " ".join(f"WHEN '{p[0]}' THEN {p[field]}" for p in lx.PLANS) + " END"
-
-
 _FUN = ", ".join(f"count(*) FILTER (WHERE name = '{n}') AS {n}" for n in lx.FUNNEL_COUNTS)
 _LIST = "[" + ", ".join(lx.FUNNEL_STEPS) + "]"
-_ENT = f"""ent AS (SELECT t.user_id, coalesce(s.plan, 'FREE') AS plan, s.plan IS NOT NULL AS subscription_active, coalesce(s.audits_used, 0) AS audits_used, one_time_credits FROM {U}
-  LEFT JOIN (SELECT * FROM ({b.SUBSCRIPTIONS_SQL}) AS q WHERE status IN {members(lx.ENTITLED_STATUSES)} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, subscription_id DESC) = 1) AS s ON s.user_id = t.user_id),
-ent2 AS (SELECT *, greatest(0, CASE WHEN subscription_active THEN {_plan(2)} ELSE 0 END - audits_used) AS audits_remaining FROM ent)"""
 _BAL = f"bal AS (SELECT *, sum(delta) OVER (PARTITION BY user_id ORDER BY created_at, entry_id) AS balance FROM ({b.LEDGER_SQL}) AS l)"
 FIRST = f"fd AS (SELECT * FROM ({b.WEBHOOKS_SQL}) AS w QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY delivery_id) = 1)"
 _UPD, _PAID = "type = 'customer.subscription.updated'", "type = 'invoice.paid'"
@@ -77,7 +71,7 @@ SQL = {
     "l2_ledger_reconcile": f"""WITH {_BAL}, tot AS (SELECT user_id, sum(delta) AS t FROM bal GROUP BY 1) SELECT 'entry' AS kind, entry_id AS id, {i64('balance + 1')} AS recorded, {i64('balance')} AS expected FROM bal WHERE entry_id % 97 = 0
       UNION ALL SELECT 'account', u.user_id, one_time_credits, {i64('coalesce(t, 0)')} FROM ({b.USERS_SQL}) AS u LEFT JOIN tot ON tot.user_id = u.user_id WHERE coalesce(t, 0) <> one_time_credits""",
     "l3_entitlements": f"WITH {_ENT} SELECT *, audits_remaining + one_time_credits AS total_available FROM ent2",
-    "l4_audit_limits": f"WITH {_ENT} SELECT user_id, plan, audits_remaining + one_time_credits > 0 AS can_create, CASE WHEN audits_remaining > 0 THEN {_plan(3)} ELSE greatest(10, {_plan(3)}) END AS page_limit, CASE WHEN audits_remaining > 0 THEN {_plan(4)} ELSE greatest(1, {_plan(4)}) END AS competitor_limit FROM ent2",
+    "l4_audit_limits": f"WITH {_ENT} {LIMITS}",
     "l5_credit_replay": f"""WITH RECURSIVE lg AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, request_id) AS rn FROM ({b.CREDIT_LOG_SQL}) AS c),
       rep AS (SELECT user_id, 0 AS rn, CAST(0 AS BIGINT) AS request_id, '' AS action, '' AS outcome, CAST(0 AS BIGINT) AS bal, CAST(0 AS BIGINT) AS used FROM (SELECT DISTINCT user_id FROM lg) AS z
       UNION ALL SELECT l.user_id, l.rn, l.request_id, l.action, CASE WHEN l.action <> 'reserve' THEN upper(l.action) WHEN used < 2 THEN 'ALLOWANCE' WHEN bal >= 1 THEN 'CREDIT' ELSE 'REFUSED' END,

@@ -6,6 +6,7 @@ from oracles.fragments import (
     ANY_TAG, ATTRS, BLOCKS, HIDDEN, RAW, attr, attr_text, bare_host, let, members, path, q, resolve, role, scheme,
     squeeze, strings, tag, text_of, trim, unescape,
 )
+from oracles.limits import SITES
 
 
 def meta(field, value):
@@ -45,7 +46,7 @@ _TRACKED = members(lx.TRACKED_SCHEMA_PROPERTIES)
 
 SIGNALS = f"""
 rp AS ({b.SITE_PAGES_SQL}),
-sites AS ({b.SITES_SQL}),
+{SITES},
 d0 AS (SELECT *, regexp_replace(html, {q(RAW)}, '', 'g') AS doc FROM rp),
 d1 AS (SELECT *, regexp_replace(doc, {q(HIDDEN)}, '', 'g') AS content FROM d0),
 ld AS (SELECT page_id, bpos, body, json_valid(body) AS valid FROM (
