@@ -2,14 +2,12 @@
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.llm.arrays import MIX, MIX2, U64, buffer_of, mixed, shingle_sets, words_of
 from corpuscope.llm.common import stored
 from corpuscope.llm.components import block_pairs, components
 from corpuscope.llm.dealing import answers_of, count_keys, deal_texts, parts_of, table_of
-from corpuscope.sources.io import reliable_checkpoint
 
 KEY_BITS = 40
 #: Bits of a signature; a bit is on when an odd number of shingles fall on it.
@@ -127,7 +125,7 @@ def profiles(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b), each once, whose sets are linked.
+    """Those of ``pairs`` (a, b), each once, whose sets are linked, as a table.
 
     Signatures bound the overlap from above; only what they leave open fetches the sorted arrays."""
     def check(batches):
@@ -145,9 +143,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda columns, x: sets.select(F.col("set_id").alias(x), *(F.col(c).alias(f"{n}_{x}") for c, n in columns.items()))
     light, heavy = {"n_shingles": "n", "signature": "sig"}, {"shingles": "shingles"}
-    open_pairs = pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(
-        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).mapInArrow(bound, "a binary, b binary")
-    return open_pairs.join(side(heavy, "a"), "a").join(side(heavy, "b"), "b").mapInArrow(check, "a binary, b binary")
+    left_open = stored(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(
+        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).mapInArrow(bound, "a binary, b binary"))
+    return stored(left_open.join(side(heavy, "a"), "a").join(side(heavy, "b"), "b").mapInArrow(check, "a binary, b binary"))
 
 
 def open_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -158,39 +156,39 @@ def open_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     named = tiles.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "shingle", "band", "set_id", F.coalesce("label", "set_id").alias("label"))
     apart = named.groupBy("shingle", "band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle", "band")
-    cut = block_pairs(named.join(apart, ["shingle", "band"]), ["shingle", "band"], "set_id", BLOCK)
+    bits = sets.select("set_id", "n_shingles", "signature")
+    rows = stored(named.join(apart, ["shingle", "band"]))  # a plan of its own: what follows names it twice
+    cut = block_pairs(rows, ["shingle", "band"], "set_id", BLOCK).join(bits, "set_id")
     tile = F.xxhash64("shingle", "band", "block_a", "block_b")
     members = cut.select(F.pmod(tile, F.lit(parts_of(sets.sparkSession))).alias("task"), tile.alias("tile"), F.col("block_a").alias("low"),
-                         F.col("block_b").alias("high"), "block", "set_id", "label")
-    held = members.select(F.col("task").alias("job"), F.col("set_id").alias("member")).distinct().join(
-        sets.select(F.col("set_id").alias("member"), "n_shingles", "signature"), "member")  # once for all tiles of a task
+                         F.col("block_b").alias("high"), "block", "set_id", "label", "n_shingles", "signature")
 
-    def compare(table: pa.Table, held: pa.Table) -> pa.Table:
+    def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("tile")
-        ids = held.column("member").combine_chunks()
-        names, n = ids.to_pylist(), held.column("n_shingles").to_numpy()
-        bits = np.frombuffer(b"".join(held.column("signature").to_pylist()), np.uint8).reshape(len(names), -1).view(U64)
-        row = pc.index_in(table.column("set_id"), value_set=ids).to_numpy()
+        names, n = table.column("set_id").to_pylist(), table.column("n_shingles").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(names), -1).view(U64)
         tile, block, low, high = (table.column(c).to_numpy() for c in ("tile", "block", "low", "high"))
         _, group = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)
         root, pairs = np.arange(group.max() + 1), set()
         for i, end in enumerate(np.searchsorted(tile, tile, "right")):
             rest = np.arange(i + 1, end)
             rest = rest[(root[group[rest]] != root[group[i]]) & ((low[i] == high[i]) | (block[rest] != block[i]))]
-            differing = np.bitwise_count(bits[row[rest]] ^ bits[row[i]]).sum(axis=1, dtype=np.int64)
-            near = could_link(n[row[rest]], n[row[i]], differing, percent)
+            if not len(rest):
+                continue
+            differing = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = could_link(n[rest], n[i], differing, percent)
             for j in rest[near][np.argsort(differing[near], kind="stable")]:
                 if root[group[i]] != root[group[j]]:
-                    pairs.add(tuple(sorted((names[row[i]], names[row[j]]))))
+                    pairs.add(tuple(sorted((names[i], names[j]))))
                     if forest:
                         root[root == root[group[j]]] = root[group[i]]
         return table_of(sorted(pairs), PAIRS)
 
-    return members.groupBy("task").cogroup(held.groupBy("job")).applyInArrow(compare, "a binary, b binary").distinct()
+    return members.groupBy("task").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def link_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join exactly the sets which all links would join.
+def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the sets that have links; the label is the smallest set of all that links join.
 
     Tiles hold the sets of one size band, and of the next smaller, that have a shingle in their
     prefixes.  Groups of near copies would give all their pairs, so each tile is first linked through
@@ -204,11 +202,14 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     center = tiles.groupBy("shingle", "band").agg(F.min_by("set_id", F.xxhash64("set_id")).alias("a"))
     pairs = tiles.join(center, ["shingle", "band"]).where("a <> set_id").select(
         F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
-    links = stored(verified(pairs, sets, percent))
+    links = verified(pairs, sets, percent)
+    labels = components(links)
     for forest in (*[True] * FORESTS, False):
-        pairs = open_pairs(tiles, components(links), sets, percent, forest)
-        links = stored(links.union(verified(pairs, sets, percent)).distinct())
-    return links
+        new = verified(stored(open_pairs(tiles, labels, sets, percent, forest)), sets, percent)
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = components(links)
+    return labels
 
 
 def similar_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +217,7 @@ def similar_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     described = stored(profiles(docs, size, percent, id_col, text_col))
     sets = described.where("prefix is not null").select("set_id", "n_shingles", "shingles", "signature", "prefix").dropDuplicates(["set_id"])
     sets = stored(sets)
-    labels = reliable_checkpoint(components(link_sets(sets, percent)))
+    labels = linked_sets(sets, percent)
     return described.select("doc_id", "print_of_text", "n_shingles", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "doc_id", "print_of_text", "n_shingles", F.coalesce("label", "set_id").alias("group"))
 

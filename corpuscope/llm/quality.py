@@ -6,11 +6,13 @@ from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.common import SPACE_WORD
+from corpuscope.llm.common import SPACE_WORD, stored
 
 BAD, ABSTAIN, GOOD = -1, 0, 1
 #: Hashed features of the scorer, and documents that it is fitted on at most.
 FEATURES, MAX_TRAIN = 1 << 12, 20_000
+#: Tasks that share the sample in each step of the fit.
+TRAIN_PARTS = 8
 EM_ROUNDS, SMOOTHING = 50, 1.0
 
 
@@ -112,7 +114,7 @@ def score_quality(docs: DataFrame, threshold: float = 0.5, max_train: int = MAX_
         "tokens", tokens(F.col("words"), F.col("text"), F.col("repeats")))))
     share = min(1.0, max_train / sum(r["n"] for r in patterns))
     chosen = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = terms(voted.where(chosen).join(F.broadcast(labels), names))
+    sample = stored(terms(voted.where(chosen).join(F.broadcast(labels), names)).select("features", "good")).repartition(TRAIN_PARTS)  # read by every step of the fit
     both = sample.select("features", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), (F.col("good") + 1e-6).alias("weight")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("good") + 1e-6).alias("weight")))).alias("y")).select(
