@@ -4,13 +4,14 @@ Each runs until the source is exhausted, writes to the shared folder and returns
 Files may come in any order, so no row is ever late.
 """
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from corpuscope.operators import events as ev
-from corpuscope.sources import io
-from corpuscope.streaming import pipelines
+from corpuscope.sources import bindings as b, io
+from corpuscope.streaming import exactly_once, pipelines
 
 
 def _drain(spark, stream, mode, name):
@@ -40,4 +41,26 @@ def _limited(spark, sf):
         "event_id", "user_id", "allowed", "remaining", "retry_after")
 
 
-QUERIES = {"e11_stream_daily_counts": _daily, "e7_stream_rate_limit": _limited}
+def _deliveries(spark, sf):
+    """Webhook deliveries as a stream of the given events."""
+    return spark.sql(re.sub(r"FROM events\b", "FROM {events}", b.WEBHOOKS_SQL), events=_events(spark, sf))
+
+
+def _first_deliveries(spark, sf):
+    """Table of each event's first delivery, kept by the stream."""
+    folder = f"{io.shared_folder(spark)}/deliveries-{uuid.uuid4().hex}"
+    return exactly_once.run_to_end(exactly_once.first_of_each(_deliveries(spark, sf)), folder, "event_id")
+
+
+def _resolved(spark, sf):
+    users = b.bind(spark, sf, b.USERS_SQL)
+    return spark.read.parquet(_drain(spark, pipelines.resolve_users(_deliveries(spark, sf), users), "append", "resolved")).drop("epoch")
+
+
+QUERIES = {
+    "e11_stream_daily_counts": _daily, "e7_stream_rate_limit": _limited,
+    "e2_stream_event_dedupe": lambda spark, sf: exactly_once.duplicates(_first_deliveries(spark, sf)),
+    "e2_stream_credit_grants": lambda spark, sf: ev.credit_grants(exactly_once.firsts(_first_deliveries(spark, sf))),
+    "e4_stream_resolve_user": _resolved,
+    "e6_stream_payment_upsert": lambda spark, sf: ev.payment_upsert(exactly_once.firsts(_first_deliveries(spark, sf))),
+}
