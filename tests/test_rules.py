@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from corpuscope.functions import lexicon as lx
-from corpuscope.operators import crawl, events, ledger, recommend, robots, scoring
+from corpuscope.operators import compare, crawl, events, ledger, recommend, robots, scoring
 from corpuscope.operators.ordered_fold import limit_step, ordered_fold
 from corpuscope.operators.running import running, trailing_count
 from corpuscope.operators.signals import page_signals
@@ -185,3 +185,11 @@ def test_retention_and_hash(spark):
     got = events.hash_identifier(spark.createDataFrame([(" A@b ",)], "e string"), "e", "p").first().identifier_hash
     import hashlib
     assert got == hashlib.sha256(b"p:id:a@b").hexdigest()
+
+
+def test_competitors_up_to_the_limit_of_each_site(spark):
+    rows = [(site, pos, f"https://{site}{pos}.example.org/", limit) for site, limit in (("agency", 5), ("starter", 1), ("free", 0)) for pos in range(7)]
+    asked = spark.createDataFrame(rows, "site_key string, pos int, raw string, competitor_limit int")
+    asked = asked.withColumn("raw", F.regexp_replace("raw", r"//(\w+)\.example\.org", "//$1-site.org"))
+    picked = compare.pick_competitors(asked, "competitor_limit").groupBy("site_key").count().collect()
+    assert {r["site_key"]: r["count"] for r in picked} == {"agency": 5, "starter": 1}
