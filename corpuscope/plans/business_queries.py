@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators import events as ev
 from corpuscope.operators import ledger, metrics, recommend
+from corpuscope.operators.credit_history import credit_history
 from corpuscope.operators.running import trailing_count
 from corpuscope.plans.audit_queries import checks_of
 from corpuscope.sources import bindings as b, io
@@ -74,6 +75,7 @@ QUERIES = {
     "l3_entitlements": lambda spark, sf: ledger.entitlements(users(spark, sf), subscriptions(spark, sf)),
     "l4_audit_limits": lambda spark, sf: ledger.audit_limits(ledger.entitlements(users(spark, sf), subscriptions(spark, sf))),
     "l5_credit_replay": lambda spark, sf: ledger.credit_replay(b.bind(spark, sf, b.CREDIT_LOG_SQL), ALLOWANCE),
+    "l5_credit_history": lambda spark, sf: credit_history(b.bind(spark, sf, b.CREDIT_HISTORY_SQL), "STARTER"),
     "e1_event_sanitize": _sanitized,
     "e2_event_dedupe": lambda spark, sf: ev.event_dedupe(webhooks(spark, sf)),
     "e2_credit_grants": lambda spark, sf: ev.credit_grants(webhooks(spark, sf)),

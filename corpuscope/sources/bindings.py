@@ -249,6 +249,18 @@ SELECT event_id AS request_id, user_id, ts AS created_at,
   CAST(CASE WHEN event_type = 'error' THEN 1 + floor(value) % 3 ELSE 1 END AS INT) AS amount
 FROM events
 """
+# Requests of all six kinds: audits that fail are refunded later, some of them twice.
+CREDIT_HISTORY_SQL = """
+SELECT event_id * 4 AS request_id, user_id, ts AS created_at,
+  CASE event_type WHEN 'purchase' THEN 'grant' WHEN 'click' THEN 'reserve' WHEN 'view' THEN 'reserve'
+    WHEN 'error' THEN 'revoke' ELSE CASE WHEN event_id % 3 = 0 THEN 'plan' ELSE 'renew' END END AS action,
+  CAST(CASE WHEN event_type = 'error' THEN 1 + floor(value) % 3 ELSE 1 END AS INT) AS amount,
+  CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN CASE CAST(floor(value) AS INT) % 5 WHEN 0 THEN 'FREE' WHEN 1 THEN 'GROWTH' WHEN 2 THEN 'AGENCY' ELSE 'STARTER' END END AS plan,
+  event_id * 4 AS audit_id
+FROM events
+UNION ALL SELECT event_id * 4 + 1, user_id, ts + INTERVAL 30 HOURS, 'refund', 0, NULL, event_id * 4 FROM events WHERE event_type IN ('click', 'view') AND event_id % 3 <> 0
+UNION ALL SELECT event_id * 4 + 2, user_id, ts + INTERVAL 90 HOURS, 'refund', 0, NULL, event_id * 4 FROM events WHERE event_type IN ('click', 'view') AND event_id % 4 = 0
+"""
 # Payment-provider events; every delivery arrives, some twice.
 WEBHOOKS_SQL = """
 SELECT 'evt_' || CAST(event_id - (CASE WHEN event_type = 'click' THEN event_id % 3 ELSE 0 END) AS STRING) AS event_id, event_id AS delivery_id,

@@ -78,6 +78,18 @@ SQL = {
         CASE l.action WHEN 'grant' THEN bal + l.amount WHEN 'revoke' THEN bal - least(l.amount, bal) WHEN 'reserve' THEN CASE WHEN used < 2 THEN bal ELSE greatest(0, bal - 1) END ELSE bal END,
         CASE WHEN l.action = 'renew' THEN 0 WHEN l.action = 'reserve' THEN least(2, used + 1) ELSE used END FROM rep r JOIN lg l ON l.user_id = r.user_id AND l.rn = r.rn + 1)
       SELECT request_id, user_id, action, outcome, bal AS balance_after, used AS allowance_used FROM rep WHERE rn > 0""",
+    "l5_credit_history": f"""WITH RECURSIVE lg AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, request_id) AS rn FROM ({b.CREDIT_HISTORY_SQL}) AS c),
+      rep AS (SELECT user_id, 0 AS rn, CAST(0 AS BIGINT) AS request_id, '' AS action, '' AS outcome, CAST(0 AS BIGINT) AS bal, CAST(0 AS BIGINT) AS used, 'STARTER' AS plan, CAST([] AS BIGINT[]) AS on_plan, CAST([] AS BIGINT[]) AS on_credit FROM (SELECT DISTINCT user_id FROM lg) AS z
+      UNION ALL SELECT user_id, rn, request_id, action, outcome, CASE outcome WHEN 'GRANT' THEN bal + amount WHEN 'REVOKE' THEN greatest(0, bal - amount) WHEN 'CREDIT' THEN bal - 1 WHEN 'CREDIT_BACK' THEN bal + 1 ELSE bal END,
+        CASE outcome WHEN 'ALLOWANCE' THEN used + 1 WHEN 'ALLOWANCE_BACK' THEN greatest(0, used - 1) WHEN 'RENEW' THEN 0 WHEN 'PLAN_CHANGED' THEN 0 ELSE used END, CASE WHEN outcome = 'PLAN_CHANGED' THEN wanted ELSE plan END,
+        CASE outcome WHEN 'ALLOWANCE' THEN list_append(on_plan, audit_id) WHEN 'ALLOWANCE_BACK' THEN list_filter(on_plan, lambda a: a <> audit_id) ELSE on_plan END,
+        CASE outcome WHEN 'CREDIT' THEN list_append(on_credit, audit_id) WHEN 'CREDIT_BACK' THEN list_filter(on_credit, lambda a: a <> audit_id) ELSE on_credit END
+        FROM (SELECT l.user_id, l.rn, l.request_id, l.action, l.amount, l.audit_id, l.plan AS wanted, r.bal, r.used, r.plan, r.on_plan, r.on_credit, CASE l.action
+          WHEN 'reserve' THEN CASE WHEN r.used < CASE r.plan WHEN 'STARTER' THEN 3 WHEN 'GROWTH' THEN 15 WHEN 'AGENCY' THEN 60 ELSE 0 END THEN 'ALLOWANCE' WHEN r.bal >= 1 THEN 'CREDIT' ELSE 'REFUSED' END
+          WHEN 'refund' THEN CASE WHEN list_contains(r.on_plan, l.audit_id) THEN 'ALLOWANCE_BACK' WHEN list_contains(r.on_credit, l.audit_id) THEN 'CREDIT_BACK' ELSE 'NOTHING' END
+          WHEN 'plan' THEN CASE WHEN l.plan <> r.plan THEN 'PLAN_CHANGED' ELSE 'PLAN_KEPT' END ELSE upper(l.action) END AS outcome
+          FROM rep r JOIN lg l ON l.user_id = r.user_id AND l.rn = r.rn + 1) AS y)
+      SELECT request_id, user_id, action, plan, outcome, bal AS balance_after, used AS allowance_used FROM rep WHERE rn > 0""",
     "e1_event_sanitize": f"""WITH r AS (SELECT * FROM ({b.RAW_EVENTS_SQL}) AS x WHERE name IN {members(lx.ANALYTICS_EVENTS)}), je AS (SELECT event_id, props AS j FROM r WHERE json_valid(props)), kv AS ({_KEYS}),
       pr AS (SELECT event_id, string_agg(k || '=' || CASE WHEN t = 'VARCHAR' THEN v[:120] ELSE v END, '|' ORDER BY k || '=' || v) AS properties FROM kv WHERE t IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') GROUP BY 1)
       SELECT r.event_id, name, user_id, session_key[:64] AS session_key, path[:200] AS path, coalesce(properties, '') AS properties FROM r LEFT JOIN pr USING (event_id)""",
