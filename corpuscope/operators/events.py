@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuscope.functions import lexicon as lx
 from corpuscope.functions.sqltext import let, listed, q
 from corpuscope.operators.joins import lookup
-from corpuscope.operators.ordered_fold import limit_step, ordered_fold
+from corpuscope.operators.ordered_fold import limit_step, ordered_fold, sliding_step
 from corpuscope.operators.running import hour, running
 
 
@@ -127,6 +127,22 @@ def rate_limit(attempts: DataFrame, limit: int, window_seconds: int) -> DataFram
     return ordered_fold(attempts, "user_id", "ts", "event_id", limit_step(limit, window_seconds * 1_000_000))
 
 
+def rate_limit_rules(attempts: DataFrame, pepper: str, rules: list[tuple[str, int, int]] = lx.RATE_LIMITS) -> DataFrame:
+    """Decision for every attempt (event_id, bucket, identifier, ts) under the rule of its bucket.
+
+    Attempts count per bucket and identifier, which is kept only as a peppered hash; case doesn't
+    matter and a null identifier is an empty one.  A bucket without a rule, or null, allows all with
+    ``remaining`` null."""
+    known = attempts.withColumns({"bucket": F.coalesce("bucket", F.lit("")), "identifier": F.coalesce("identifier", F.lit(""))})
+    hashed = hash_identifier(known, "concat(bucket, ':', identifier)", pepper).drop("identifier")
+
+    def of(field, otherwise):
+        return F.expr("CASE bucket " + " ".join(f"WHEN {q(r[0])} THEN {r[field]}L" for r in rules) + f" ELSE {otherwise}L END")
+
+    ruled = hashed.withColumns({"_limit": of(1, -1), "_window": of(2, 0) * 1_000_000})
+    return ordered_fold(ruled, "identifier_hash", "ts", "event_id", sliding_step, given=("_limit", "_window")).drop("_limit", "_window")
+
+
 def event_retention(rows: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     old = f"ts < TIMESTAMP '{as_of}' - INTERVAL {hours} HOURS"
     return rows.groupBy("event_type").agg(

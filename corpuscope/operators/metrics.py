@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corpuscope.functions import lexicon as lx
 from corpuscope.functions.sqltext import listed, q
 from corpuscope.operators.joins import lookup
+from corpuscope.operators.running import running
 
 
 def without_demo(rows: DataFrame, include_demo: bool = False) -> DataFrame:
@@ -18,7 +19,7 @@ def _long(row: DataFrame) -> DataFrame:
     return row.selectExpr(f"stack({len(row.columns)}, {pairs}) AS (metric, value)")
 
 
-def overview_counts(users: DataFrame, audits: DataFrame, contacts: DataFrame, as_of: str, include_demo: bool = False) -> DataFrame:
+def overview_counts(users: DataFrame, audits: DataFrame, contacts: DataFrame, as_of: str, include_demo: bool = False, subscriptions: DataFrame | None = None) -> DataFrame:
     recent = f"created_at >= TIMESTAMP '{as_of}' - INTERVAL 30 DAYS"
     people = without_demo(users, include_demo).where("NOT is_deleted").agg(
         F.count("*").alias("users_total"), F.expr("count_if(status = 'ACTIVE')").alias("users_active"),
@@ -30,7 +31,11 @@ def overview_counts(users: DataFrame, audits: DataFrame, contacts: DataFrame, as
         F.expr("floor(avg(CASE WHEN status = 'COMPLETED' THEN overall_score END) + 0.5)").alias("audits_average_score"),
     )
     mail = without_demo(contacts, include_demo).agg(F.count("*").alias("contacts_total"), F.expr("count_if(unread)").alias("contacts_unread"))
-    return _long(people).unionByName(_long(work)).unionByName(_long(mail))
+    counts = _long(people).unionByName(_long(work)).unionByName(_long(mail))
+    if subscriptions is None:
+        return counts
+    live = without_demo(subscriptions, include_demo).agg(F.count_if(F.col("status").isin(*lx.MRR_STATUSES)).alias("subscriptions_active"))
+    return counts.unionByName(_long(live))
 
 
 def revenue_split(payments: DataFrame, as_of: str, include_demo: bool = False) -> DataFrame:
@@ -48,9 +53,13 @@ def revenue_split(payments: DataFrame, as_of: str, include_demo: bool = False) -
     )
 
 
+#: List price of a plan in cents.
+PRICE = "CASE plan " + " ".join(f"WHEN {q(p[0])} THEN {p[1]}" for p in lx.PLANS) + " ELSE 0 END"
+
+
 def mrr(subscriptions: DataFrame, include_demo: bool = False) -> DataFrame:
     """Recurring revenue at list price (a constant of four plans)."""
-    price = "CASE plan " + " ".join(f"WHEN {q(p[0])} THEN {p[1]}" for p in lx.PLANS) + " ELSE 0 END"
+    price = PRICE
     return (
         without_demo(subscriptions, include_demo).where(F.col("status").isin(*lx.MRR_STATUSES)).groupBy("plan").agg(F.count("*").alias("subscriptions"))
         .selectExpr("plan", "subscriptions", f"{price} AS price_cents", f"subscriptions * {price} AS mrr_cents")
@@ -197,6 +206,28 @@ def month_rollup(payments: DataFrame, users: DataFrame, include_demo: bool = Fal
     ).withColumn("month", F.coalesce("month", F.lit("total")))
 
 
+def recurring_by_month(history: DataFrame, include_demo: bool = False) -> DataFrame:
+    """Subscriptions in force and their list price at the end of every month from the first to the last change.
+
+    ``history`` holds the states (plan, status) that each user's subscription took on at ``created_at``; a
+    state holds until the user's next one.  Each change moves the figures by its difference from the
+    state before, and the moves add up month by month, so no state is joined to the months it spans.
+    The last step runs in one task over a row for each month.  Rows without user or time, and an
+    unknown plan or status, add nothing."""
+    live = f"CASE WHEN status IN {listed(lx.MRR_STATUSES)} THEN 1L ELSE 0L END"
+    states = without_demo(history, include_demo).where("user_id IS NOT NULL AND created_at IS NOT NULL").selectExpr(
+        "user_id", "created_at", "subscription_id", f"{live} AS live", f"CAST({live} * {PRICE} AS BIGINT) AS price")
+    steps = running(states, ["user_id"], ["created_at", "subscription_id"], {
+        "live_before": ("last", F.col("live"), "before"), "price_before": ("last", F.col("price"), "before")}, F.date_trunc("month", "created_at"))
+    moves = steps.groupBy(F.trunc("created_at", "month").alias("month")).agg(
+        F.expr("sum(live - coalesce(live_before, 0L))").alias("live"), F.expr("sum(price - coalesce(price_before, 0L))").alias("price"))
+    months = moves.agg(F.min("month").alias("a"), F.max("month").alias("b")).where("a IS NOT NULL").selectExpr("explode(sequence(a, b, INTERVAL 1 MONTH)) AS month")
+    so_far = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return months.join(moves, "month", "left").select(
+        F.date_format("month", "yyyy-MM").alias("month"), F.coalesce(F.sum("live").over(so_far), F.lit(0)).alias("active_subscriptions"),
+        F.coalesce(F.sum("price").over(so_far), F.lit(0)).alias("recurring_cents"))
+
+
 def demo_segregation(payments: DataFrame, users: DataFrame) -> DataFrame:
     """Revenue and payments with and without demonstration users."""
     flagged = lookup(payments.drop("is_demo").where("status = 'SUCCEEDED'"), users.select("user_id", "is_demo"), ["user_id"], "payment_id")
@@ -217,3 +248,25 @@ def preview_run_stats(runs: DataFrame) -> DataFrame:
         F.expr("round(avg(CASE WHEN success THEN score END), 4)").alias("average_score"),
         F.expr("round(avg(duration_ms), 4)").alias("average_ms"), F.count_distinct("domain").alias("domains"),
     )
+
+
+def domain_sketches(runs: DataFrame, precision: int = 12) -> DataFrame:
+    """A mergeable sketch of the distinct domains of each day: at most a few kilobytes, however many runs.
+
+    The relative standard error is about 1.04 / sqrt(2 ** precision).  Null domains count as none."""
+    return runs.where("created_at IS NOT NULL").groupBy(F.to_date("created_at").alias("day")).agg(F.hll_sketch_agg("domain", precision).alias("sketch"))
+
+
+def domains_in_windows(sketches: DataFrame, days: int) -> DataFrame:
+    """Estimated distinct domains of the ``days`` days up to each day that has a sketch, from the sketches alone."""
+    shown = sketches.selectExpr("day AS of_day", "sketch", f"explode(sequence(day, date_add(day, {days - 1}))) AS day")
+    merged = shown.groupBy("day").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimated_domains"), F.max("of_day").alias("last"))
+    return merged.where("day = last").drop("last")
+
+
+def exact_domains_in_windows(runs: DataFrame, days: int) -> DataFrame:
+    """The same counts exactly; every pair of day and domain is shown to each window that holds it."""
+    pairs = runs.where("created_at IS NOT NULL").select(F.to_date("created_at").alias("of_day"), "domain").distinct()
+    shown = pairs.selectExpr("of_day", "domain", f"explode(sequence(of_day, date_add(of_day, {days - 1}))) AS day")
+    once = shown.groupBy("day", "domain").agg(F.max("of_day").alias("last"))
+    return once.groupBy("day").agg(F.count("domain").alias("domains"), F.max("last").alias("last")).where("day = last").drop("last")

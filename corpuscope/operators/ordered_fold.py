@@ -17,42 +17,51 @@ from corpuscope.sources.io import reliable_checkpoint
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+
+def sliding_step(state, at, limit, window_us):
+    """Sliding-window limiter: state = times of the accepted attempts still in the window; below zero is no limit."""
+    if limit < 0:
+        return state, (True, None, 0)
+    live = tuple(t for t in state if t >= at - window_us)
+    if len(live) >= limit:
+        wait = -(-(live[0] + window_us - at) // 1_000_000)
+        return live, (False, 0, max(1, wait))
+    return (*live, at), (True, limit - len(live) - 1, 0)
+
+
 def limit_step(limit: int, window_us: int):
-    """Sliding-window limiter: state = times of the accepted attempts still in the window."""
+    """The limiter with one rule for all keys."""
 
     def step(state, at):
-        live = tuple(t for t in state if t >= at - window_us)
-        if len(live) >= limit:
-            wait = -(-(live[0] + window_us - at) // 1_000_000)
-            return live, (False, 0, max(1, wait))
-        return (*live, at), (True, limit - len(live) - 1, 0)
+        return sliding_step(state, at, limit, window_us)
 
     return step
 
 
-def _fold(frames, step, carry, on_rows, on_end):
+def _fold(frames, step, carry, on_rows, on_end, given=()):
     key, state, pid, first = None, (), None, True
     first_key = None
     for frame in frames:
         results = []
-        for k, at, p in zip(frame["_k"], frame["_at"], frame["_pid"]):
+        for k, at, p, *rule in zip(frame["_k"], frame["_at"], frame["_pid"], *(frame[c] for c in given)):
             if first:
                 first, pid, key, first_key = False, p, k, k
                 held = carry.get(p)
                 state = held[1] if held and held[0] == k else ()
             elif k != key:
                 key, state = k, ()
-            state, out = step(state, at)
+            state, out = step(state, at, *rule)
             results.append(out)
         yield from on_rows(frame, results)
     if not first:
         yield from on_end(pid, first_key, key, state)
 
 
-def ordered_fold(rows: DataFrame, key: str, at: str, tie: str, step, partitions: int | None = None) -> DataFrame:
+def ordered_fold(rows: DataFrame, key: str, at: str, tie: str, step, partitions: int | None = None, given: tuple[str, ...] = ()) -> DataFrame:
     """Fold ``step`` over each key's rows in time order.
 
-    ``step(state, micros) -> (state, (allowed, remaining, retry_after))``."""
+    ``step(state, micros, *given) -> (state, (allowed, remaining, retry_after))``; ``given`` names columns
+    without nulls, equal for all rows of a key."""
     placed = rows.withColumn("_k", F.col(key).cast("string")).withColumn(
         "_at", F.unix_micros(F.col(at).cast("timestamp"))
     )
@@ -66,9 +75,9 @@ def ordered_fold(rows: DataFrame, key: str, at: str, tie: str, step, partitions:
             def last(pid, first_key, key, state):
                 yield pd.DataFrame({"pid": [pid], "first_key": [first_key], "key": [key], "state": [list(state)]})
 
-            return _fold(frames, step, carry, lambda f, r: iter(()), last)
+            return _fold(frames, step, carry, lambda f, r: iter(()), last, given)
 
-        rows_ = cut.select("_k", "_at", "_pid")
+        rows_ = cut.select("_k", "_at", "_pid", *given)
         if only is not None:
             rows_ = rows_.where(F.col("_pid").isin(only))
         summary = rows_.mapInPandas(
@@ -95,7 +104,7 @@ def ordered_fold(rows: DataFrame, key: str, at: str, tie: str, step, partitions:
             out["retry_after"] = [r[2] for r in results]
             yield out
 
-        return _fold(frames, step, carry, attach, lambda *a: iter(()))
+        return _fold(frames, step, carry, attach, lambda *a: iter(()), given)
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return cut.mapInPandas(emit, f"{columns}, allowed boolean, remaining bigint, retry_after bigint")

@@ -47,9 +47,16 @@ def _open_actions(spark, sf):
     return metrics.open_actions(recommend.recommendations(checks_of(spark, sf)), b.bind(spark, sf, b.SITE_AUDITS_SQL))
 
 
+def _preview_domains(spark, sf, days=7, off=0.05):
+    """Exact distinct domains of each week, and whether the merged sketches come within 5 % (three standard errors) of them."""
+    runs = b.bind(spark, sf, b.PREVIEW_RUNS_SQL)
+    both = metrics.exact_domains_in_windows(runs, days).join(metrics.domains_in_windows(metrics.domain_sketches(runs), days), "day")
+    return both.selectExpr("day", "domains", f"abs(estimated_domains - domains) <= greatest(1, {off} * domains) AS estimate_is_near")
+
+
 QUERIES = {
     "m1_overview_counts": lambda spark, sf: metrics.overview_counts(
-        users(spark, sf), audits(spark, sf), b.bind(spark, sf, b.CONTACTS_SQL), b.AS_OF_ORDERS),
+        users(spark, sf), audits(spark, sf), b.bind(spark, sf, b.CONTACTS_SQL), b.AS_OF_ORDERS, subscriptions=subscriptions(spark, sf)),
     "m2_revenue_split": lambda spark, sf: metrics.revenue_split(payments(spark, sf), b.AS_OF_ORDERS),
     "m3_mrr": lambda spark, sf: metrics.mrr(subscriptions(spark, sf)),
     "m4_daily_series": series,
@@ -67,8 +74,10 @@ QUERIES = {
     "m15_snapshot_totals": lambda spark, sf: metrics.snapshot_totals(
         metrics.daily_snapshot(raw_events(spark, sf)), "2024-01-03", "2024-01-20"),
     "m16_month_rollup": lambda spark, sf: metrics.month_rollup(payments(spark, sf), users(spark, sf)),
+    "m16_recurring_by_month": lambda spark, sf: metrics.recurring_by_month(subscriptions(spark, sf)),
     "m17_demo_segregation": lambda spark, sf: metrics.demo_segregation(payments(spark, sf), users(spark, sf)),
     "m18_preview_run_stats": lambda spark, sf: metrics.preview_run_stats(b.bind(spark, sf, b.PREVIEW_RUNS_SQL)),
+    "m18_preview_domains": _preview_domains,
     "l1_ledger_balance": lambda spark, sf: ledger.ledger_balance(b.bind(spark, sf, b.LEDGER_SQL)).select("entry_id", "user_id", "balance"),
     "l2_ledger_reconcile": lambda spark, sf: ledger.ledger_reconcile(_recorded(spark, sf), users(spark, sf).selectExpr(
         "user_id", "CAST(one_time_credits AS BIGINT) AS credits")),
@@ -86,6 +95,8 @@ QUERIES = {
     "e7_rate_limit": lambda spark, sf: ev.rate_limit(
         raw_events(spark, sf).select("event_id", "user_id", "ts"), 3, 86400).select(
         "event_id", "user_id", "allowed", "remaining", "retry_after"),
+    "e7_rate_limit_rules": lambda spark, sf: ev.rate_limit_rules(b.bind(spark, sf, b.ATTEMPTS_SQL), "pepper").select(
+        "event_id", "bucket", "identifier_hash", "allowed", "remaining", "retry_after"),
     "e8_rate_limit_usage": lambda spark, sf: trailing_count(raw_events(spark, sf), ["user_id"], "ts", 86400).select(
         "event_id", "user_id", "attempts"),
     "e9_event_retention": lambda spark, sf: ev.event_retention(raw_events(spark, sf), b.AS_OF_EVENTS, 240),

@@ -261,6 +261,15 @@ FROM events
 UNION ALL SELECT event_id * 4 + 1, user_id, ts + INTERVAL 30 HOURS, 'refund', 0, NULL, event_id * 4 FROM events WHERE event_type IN ('click', 'view') AND event_id % 3 <> 0
 UNION ALL SELECT event_id * 4 + 2, user_id, ts + INTERVAL 90 HOURS, 'refund', 0, NULL, event_id * 4 FROM events WHERE event_type IN ('click', 'view') AND event_id % 4 = 0
 """
+# Attempts at limited actions, a day's in one hour; most share an identifier.
+ATTEMPTS_SQL = """
+SELECT event_id, CASE WHEN event_id % 20 < 6 THEN 'report:download' WHEN event_id % 20 < 9 THEN 'audit:create' WHEN event_id % 20 < 12 THEN 'auth:signin'
+    WHEN event_id % 20 < 14 THEN 'auth:signup' WHEN event_id % 20 < 16 THEN 'auth:reset-confirm' WHEN event_id % 20 = 16 THEN 'auth:reset-request'
+    WHEN event_id % 20 = 17 THEN 'contact:submit' WHEN event_id % 20 = 18 THEN 'preview:run' ELSE 'search:run' END AS bucket,
+  CASE WHEN user_id % 5 = 0 THEN 'u' || CAST(user_id AS STRING) WHEN user_id % 5 = 1 THEN 'Shared@mail.example.com' ELSE 'shared@mail.example.com' END AS identifier,
+  date_trunc('day', ts) + (ts - date_trunc('hour', ts)) AS ts
+FROM events
+"""
 # Payment-provider events; every delivery arrives, some twice.
 WEBHOOKS_SQL = """
 SELECT 'evt_' || CAST(event_id - (CASE WHEN event_type = 'click' THEN event_id % 3 ELSE 0 END) AS STRING) AS event_id, event_id AS delivery_id,

@@ -34,7 +34,8 @@ SQL = {
       UNION ALL SELECT 'users_new', count(*) FROM u WHERE created_at >= {AS_OF} - INTERVAL 30 DAYS UNION ALL SELECT 'audits_total', count(*) FROM a
       UNION ALL SELECT 'audits_completed', count(*) FROM a WHERE status = 'COMPLETED' UNION ALL SELECT 'audits_running', count(*) FROM a WHERE status = 'RUNNING' UNION ALL SELECT 'audits_queued', count(*) FROM a WHERE status = 'QUEUED'
       UNION ALL SELECT 'audits_failed', count(*) FROM a WHERE status = 'FAILED' UNION ALL SELECT 'audits_average_score', {i64('floor(avg(overall_score) + 0.5)')} FROM a WHERE status = 'COMPLETED'
-      UNION ALL SELECT 'contacts_total', count(*) FROM c UNION ALL SELECT 'contacts_unread', count(*) FROM c WHERE unread""",
+      UNION ALL SELECT 'contacts_total', count(*) FROM c UNION ALL SELECT 'contacts_unread', count(*) FROM c WHERE unread
+      UNION ALL SELECT 'subscriptions_active', count(*) FROM {S} WHERE NOT is_demo AND status IN ('ACTIVE', 'TRIALING')""",
     "m2_revenue_split": f"""SELECT {i64("sum(amount_cents) FILTER (WHERE status = 'SUCCEEDED')")} AS gross_cents, {i64("sum(amount_cents) FILTER (WHERE status = 'SUCCEEDED' AND kind = 'ONE_TIME_AUDIT')")} AS one_time_cents,
       {i64("sum(amount_cents) FILTER (WHERE status = 'SUCCEEDED' AND kind = 'SUBSCRIPTION')")} AS subscription_cents, {i64(f"coalesce(sum(amount_cents) FILTER (WHERE status = 'SUCCEEDED' AND paid_at >= {AS_OF} - INTERVAL 30 DAYS), 0)")} AS last_30_days_cents,
       {i64('sum(refunded_cents)')} AS refunded_cents, count(*) FILTER (WHERE status = 'SUCCEEDED' AND kind = 'ONE_TIME_AUDIT') AS purchases FROM {P} WHERE NOT is_demo""",
@@ -62,11 +63,17 @@ SQL = {
     "m16_month_rollup": f"""WITH x AS (SELECT strftime(paid_at, '%Y-%m') AS month, kind, amount_cents, 0 AS s FROM {P} WHERE status = 'SUCCEEDED' AND NOT is_demo UNION ALL SELECT strftime(created_at, '%Y-%m'), NULL, 0, 1 FROM {U} WHERE NOT is_demo AND NOT is_deleted AND created_at IS NOT NULL)
       SELECT coalesce(month, 'total') AS month, {i64('sum(s)')} AS signups, count(*) FILTER (WHERE kind = 'ONE_TIME_AUDIT') AS one_time_sales, count(*) FILTER (WHERE kind = 'SUBSCRIPTION') AS subscription_invoices,
       {i64("coalesce(sum(amount_cents) FILTER (WHERE kind = 'ONE_TIME_AUDIT'), 0)")} AS one_time_cents, {i64("coalesce(sum(amount_cents) FILTER (WHERE kind = 'SUBSCRIPTION'), 0)")} AS subscription_cents, {i64('sum(amount_cents)')} AS gross_cents FROM x GROUP BY ROLLUP (month)""",
+    "m16_recurring_by_month": f"""WITH s AS (SELECT * FROM {S} WHERE NOT is_demo), ends AS (SELECT unnest(generate_series(date_trunc('month', (SELECT min(created_at) FROM s)), (SELECT max(created_at) FROM s), INTERVAL 1 MONTH)) AS m),
+      held AS (SELECT m, user_id, arg_max(plan, (created_at, subscription_id)) AS plan, arg_max(status, (created_at, subscription_id)) AS status FROM ends JOIN s ON created_at < m + INTERVAL 1 MONTH GROUP BY ALL)
+      SELECT strftime(m, '%Y-%m') AS month, count(*) FILTER (WHERE status IN ('ACTIVE', 'TRIALING')) AS active_subscriptions,
+      {i64("coalesce(sum(CASE plan WHEN 'STARTER' THEN 2900 WHEN 'GROWTH' THEN 7900 WHEN 'AGENCY' THEN 19900 ELSE 0 END) FILTER (WHERE status IN ('ACTIVE', 'TRIALING')), 0)")} AS recurring_cents FROM held GROUP BY m""",
     "m17_demo_segregation": f"""WITH x AS (SELECT amount_cents, v.is_demo FROM {P} JOIN (SELECT user_id AS uid, is_demo FROM ({b.USERS_SQL}) AS u) AS v ON uid = user_id WHERE status = 'SUCCEEDED')
       SELECT 'with_demo' AS scope, count(*) AS payments, {i64('sum(amount_cents)')} AS revenue_cents FROM x UNION ALL SELECT 'without_demo', count(*), {i64('sum(amount_cents)')} FROM x WHERE NOT is_demo UNION ALL SELECT 'demo_only', count(*), {i64('sum(amount_cents)')} FROM x WHERE is_demo""",
     "m18_preview_run_stats": f"""SELECT CAST(created_at AS DATE) AS day, count(*) AS runs, count(*) FILTER (WHERE success) AS succeeded, {i64('floor(100.0 * count(*) FILTER (WHERE success) / count(*) + 0.5)')} AS success_rate,
       count(*) FILTER (WHERE error_code = 'TIMEOUT') AS timeouts, count(*) FILTER (WHERE error_code = 'BLOCKED') AS blocked, round(avg(score) FILTER (WHERE success), 4) AS average_score, round(avg(duration_ms), 4) AS average_ms, count(DISTINCT domain) AS domains
       FROM ({b.PREVIEW_RUNS_SQL}) AS r GROUP BY 1""",
+    "m18_preview_domains": f"""WITH r AS (SELECT CAST(created_at AS DATE) AS day, domain FROM ({b.PREVIEW_RUNS_SQL}) AS p), d AS (SELECT DISTINCT day FROM r)
+      SELECT d.day, count(DISTINCT domain) AS domains, true AS estimate_is_near FROM d JOIN r ON r.day BETWEEN d.day - 6 AND d.day GROUP BY d.day""",
     "l1_ledger_balance": f"WITH {_BAL} SELECT entry_id, user_id, CAST(balance AS BIGINT) AS balance FROM bal",
     "l2_ledger_reconcile": f"""WITH {_BAL}, tot AS (SELECT user_id, sum(delta) AS t FROM bal GROUP BY 1) SELECT 'entry' AS kind, entry_id AS id, {i64('balance + 1')} AS recorded, {i64('balance')} AS expected FROM bal WHERE entry_id % 97 = 0
       UNION ALL SELECT 'account', u.user_id, one_time_credits, {i64('coalesce(t, 0)')} FROM ({b.USERS_SQL}) AS u LEFT JOIN tot ON tot.user_id = u.user_id WHERE coalesce(t, 0) <> one_time_credits""",
@@ -114,6 +121,15 @@ SQL = {
         CASE WHEN len(live) < 3 THEN 0 ELSE greatest(1, CAST(ceil((live[1] + 86400000000 - t) / 1000000.0) AS BIGINT)) END
         FROM (SELECT l.user_id, l.rn, l.event_id, l.t, list_filter(r.st, lambda x: x >= l.t - 86400000000) AS live FROM rep r JOIN lg l ON l.user_id = r.user_id AND l.rn = r.rn + 1) AS y)
       SELECT event_id, user_id, allowed, remaining, retry_after FROM rep WHERE rn > 0""",
+    "e7_rate_limit_rules": f"""WITH RECURSIVE rules AS (SELECT * FROM (VALUES ('auth:signin', 8, 900), ('auth:signup', 10, 3600), ('auth:reset-request', 5, 3600), ('auth:reset-confirm', 10, 3600),
+        ('contact:submit', 5, 3600), ('preview:run', 6, 3600), ('audit:create', 30, 3600), ('report:download', 60, 3600)) AS v(bucket, most, secs)),
+      tries AS (SELECT event_id, bucket, sha256('pepper:id:' || lower(bucket || ':' || identifier)) AS h, epoch_us(ts) AS t FROM ({b.ATTEMPTS_SQL}) AS a),
+      lg AS (SELECT tries.*, most, secs, row_number() OVER (PARTITION BY h ORDER BY t, event_id) AS rn FROM tries JOIN rules USING (bucket)),
+      rep AS (SELECT h, 0 AS rn, CAST(0 AS BIGINT) AS event_id, '' AS bucket, CAST([] AS BIGINT[]) AS st, false AS allowed, CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS retry_after FROM (SELECT DISTINCT h FROM lg) AS z
+      UNION ALL SELECT h, rn, event_id, bucket, CASE WHEN len(live) < most THEN list_append(live, t) ELSE live END, len(live) < most, CASE WHEN len(live) < most THEN most - 1 - len(live) ELSE 0 END,
+        CASE WHEN len(live) < most THEN 0 ELSE greatest(1, CAST(ceil((live[1] + secs * 1000000 - t) / 1000000.0) AS BIGINT)) END
+        FROM (SELECT l.h, l.rn, l.event_id, l.bucket, l.t, l.most, CAST(l.secs AS BIGINT) AS secs, list_filter(r.st, lambda x: x >= l.t - CAST(l.secs AS BIGINT) * 1000000) AS live FROM rep r JOIN lg l ON l.h = r.h AND l.rn = r.rn + 1) AS y)
+      SELECT event_id, bucket, h AS identifier_hash, allowed, remaining, retry_after FROM rep WHERE rn > 0 UNION ALL SELECT event_id, bucket, h, true, NULL, 0 FROM tries WHERE bucket = 'search:run'""",
     "e8_rate_limit_usage": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS attempts FROM events",
     "e9_event_retention": f"SELECT event_type, count(*) FILTER (WHERE ts >= TIMESTAMP '{b.AS_OF_EVENTS}' - INTERVAL 240 HOURS) AS kept, count(*) FILTER (WHERE ts < TIMESTAMP '{b.AS_OF_EVENTS}' - INTERVAL 240 HOURS) AS dropped FROM events GROUP BY 1",
     "e10_hash_identifier": "SELECT c_custkey, c_name, sha256('pepper:id:' || lower(trim(c_name))) AS identifier_hash FROM customer",
