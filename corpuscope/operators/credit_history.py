@@ -62,7 +62,8 @@ def credit_history(log: DataFrame, start_plan: str = "FREE", block: int = BLOCK)
     What a refund returns depends on an outcome before it, which may depend on other refunds.  The
     replay is repeated with the outcomes found until no refund changes, and only for users with a
     change: each time at least the earliest open refund of every user becomes final, so it ends, with
-    the outcome of one sequential pass.  Long chains are rare, as bounds forget what came before."""
+    the outcome of one sequential pass.  The number of rounds is the length of the longest chain of
+    reservations and refunds that hang on each other, at most one for each refund of a user."""
     rows = materialize(_numbered(log, start_plan))
     pairs = materialize(_refund_pairs(rows))
     took = pairs.select("user_id", "nth", F.lit("REFUSED").alias("took"))
