@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators import events as ev
 from corpuscope.sources import bindings as b, io
-from corpuscope.streaming import exactly_once, pipelines
+from corpuscope.streaming import exactly_once, pipelines, revisions
 
 
 def _drain(spark, stream, mode, name):
@@ -36,9 +36,12 @@ def _daily(spark, sf):
 
 
 def _limited(spark, sf):
-    path = _drain(spark, pipelines.attempts_in_any_order(_events(spark, sf), "user_id", "ts", "event_id"), "append", "limit")
-    return ev.rate_limit(spark.read.parquet(path).drop("epoch"), 3, 86400).select(
-        "event_id", "user_id", "allowed", "remaining", "retry_after")
+    """Decisions as the stream made and revised them."""
+    folder = f"{io.shared_folder(spark)}/limit-{uuid.uuid4().hex}"
+    attempts = _events(spark, sf).select("event_id", "user_id", "ts")
+    revisions.run_to_end(attempts, revisions.limited(f"{folder}/log", "user_id", "ts", "event_id", 3, 86400), folder)
+    log = revisions.logged(spark, f"{folder}/log", revisions.decisions_schema(attempts, "user_id", "ts", "event_id"))
+    return revisions.current(log, "event_id").select("event_id", "user_id", "allowed", "remaining", "retry_after")
 
 
 def _deliveries(spark, sf):
@@ -57,10 +60,19 @@ def _resolved(spark, sf):
     return spark.read.parquet(_drain(spark, pipelines.resolve_users(_deliveries(spark, sf), users), "append", "resolved")).drop("epoch")
 
 
+def _subscriptions(spark, sf):
+    folder = f"{io.shared_folder(spark)}/subscriptions-{uuid.uuid4().hex}"
+    rows = _deliveries(spark, sf).where(F.col("type").isin(*ev.SUBSCRIPTION_TYPES)).select(
+        "event_id", "delivery_id", "type", "subscription_ref", "plan", "status", "period", "created_at")
+    revisions.run_to_end(rows, revisions.folded_again(folder, "subscription_ref", "delivery_id", ev.subscription_state), folder)
+    return exactly_once.written(spark, f"{folder}/table", None).drop("bucket")
+
+
 QUERIES = {
     "e11_stream_daily_counts": _daily, "e7_stream_rate_limit": _limited,
     "e2_stream_event_dedupe": lambda spark, sf: exactly_once.duplicates(_first_deliveries(spark, sf)),
     "e2_stream_credit_grants": lambda spark, sf: ev.credit_grants(exactly_once.firsts(_first_deliveries(spark, sf))),
     "e4_stream_resolve_user": _resolved,
+    "e5_stream_subscription_state": _subscriptions,
     "e6_stream_payment_upsert": lambda spark, sf: ev.payment_upsert(exactly_once.firsts(_first_deliveries(spark, sf))),
 }

@@ -2,8 +2,8 @@
 
 Late rows are a parameter (``watermark``): the state of closed windows, seen event ids and idle
 keys is dropped behind it, and with it the rows that come later still.  That suits sources that
-arrive in time order; where files come in any order, ``None`` counts every row, and
-``attempts_in_any_order`` holds the limiter's rows until all are there.
+arrive in time order; where files come in any order, ``None`` counts every row, and ``revisions``
+decides again what a late row changes.
 """
 
 import sys
@@ -72,17 +72,10 @@ def rate_limited(attempts: DataFrame, key: str, at: str, tie: str, limit: int, w
     )
 
 
-def attempts_in_any_order(attempts: DataFrame, key: str, at: str, tie: str) -> DataFrame:
-    """Stateless: what the limiter reads of every attempt.
-
-    An attempt that comes late can change all later decisions of its key, so none is final before the
-    source ends.  Every row is kept, and ``ordered_fold`` decides them together (a hot key's rows are
-    spread over tasks there, which a state per key can't do)."""
-    return attempts.select(tie, key, at)
-
-
 def subscription_rows(deliveries: DataFrame) -> DataFrame:
-    """Current row of a subscription after every micro-batch that touches it (update mode)."""
+    """Current row of a subscription after every micro-batch that touches it (update mode), for events in time order.
+
+    ``revisions.folded_again`` takes them in any order."""
     statuses = dict(lx.SUBSCRIPTION_STATUS_MAP)
 
     def fold(key, frames, state: GroupState):

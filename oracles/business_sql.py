@@ -138,4 +138,4 @@ SQL = {
 
 SQL["e11_stream_daily_counts"] = SQL["e11_daily_event_window"]
 SQL["e7_stream_rate_limit"] = SQL["e7_rate_limit"]
-SQL |= {f"{e}_stream_{name}": SQL[f"{e}_{name}"] for e, name in (("e2", "event_dedupe"), ("e2", "credit_grants"), ("e4", "resolve_user"), ("e6", "payment_upsert"))}
+SQL |= {f"{e}_stream_{name}": SQL[f"{e}_{name}"] for e, name in (("e2", "event_dedupe"), ("e2", "credit_grants"), ("e4", "resolve_user"), ("e5", "subscription_state"), ("e6", "payment_upsert"))}
