@@ -420,6 +420,12 @@ SQL = {
        (SELECT string_agg(category || '=' || score, ' ' ORDER BY category_order) FROM ws WHERE ws.site_key = s.site_key) AS categories, (SELECT string_agg(check_id || '=' || status, ' ' ORDER BY sort_order) FROM chk WHERE chk.site_key = s.site_key) AS findings,
        coalesce((SELECT string_agg(check_id, ' ' ORDER BY pr) FROM rk WHERE rk.site_key = s.site_key AND pr <= 5), '') AS first_fixes, coalesce((SELECT string_agg(url || '=' || status, ' ' ORDER BY rank) FROM cmp WHERE cmp.site_key = s.site_key), '') AS competitors
        FROM sites s JOIN ov ON ov.site_key = s.site_key""",
+    "s3_write_audit": f"""WITH {SCORES}, {RECS.removeprefix(f"{ALL}, ")}
+      SELECT s.site_key AS audit_id, 'pages' AS part, CAST(page_id AS VARCHAR) AS key, concat_ws(' ', role, word_count) AS value FROM sig AS s WHERE site_key IN (SELECT site_key FROM chk)
+      UNION ALL SELECT site_key, 'findings', check_id, concat_ws(' ', status, severity) FROM chk
+      UNION ALL SELECT site_key, 'category_scores', category, concat_ws(' ', score, {band('score')}) FROM ws
+      UNION ALL SELECT site_key, 'scores', '', concat_ws(' ', overall_score, {band('overall_score')}) FROM ov
+      UNION ALL SELECT site_key, 'fixes', check_id, concat_ws(' ', priority, horizon) FROM rec""",
     "s3_write_results": f"WITH {FETCHED} SELECT site_key AS audit_id, page_id, url, title, role, CAST(word_count AS INT) AS word_count FROM sig",
     "s4_export_csv": f"WITH {RECS} SELECT * FROM rec",
     "t1_page_section": f"""WITH {FETCHED} SELECT site_key, url, role, title, status_code, word_count, array_to_string(schema_types, ' | ') AS schema_types, len(question_headings) > 0 AS has_questions, NULL AS error FROM sig
