@@ -6,6 +6,12 @@ from corpuscope.functions import html as h
 from corpuscope.functions import lexicon as lx
 from corpuscope.functions import urls as u
 from corpuscope.functions.sqltext import each, keep, listed
+from corpuscope.operators.joins import lookup
+from corpuscope.sources.io import drop_stored, materialize
+
+#: Code of a request that failed before there was a response.
+FETCH_ERROR = """CASE WHEN error IN ('ETIMEDOUT', 'ESOCKETTIMEDOUT') THEN 'TIMEOUT' WHEN error IN ('ENOTFOUND', 'EAI_AGAIN') THEN 'DNS_FAILURE'
+    WHEN error = 'RESPONSE_TOO_LARGE' THEN 'RESPONSE_TOO_LARGE' ELSE 'CONNECTION_FAILED' END"""
 
 
 def page_links(signals: DataFrame) -> DataFrame:
@@ -56,11 +62,37 @@ def unseen_targets(signals: DataFrame) -> DataFrame:
     return targets.join(crawled, ["site_key", "url_key"], "left_anti")
 
 
-def broken_links(targets: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Those of ``targets`` that ``fetched(url_key, status)`` saw fail.
-
-    All targets are tested; one that was never fetched is unknown, not broken."""
-    return targets.join(fetched.select("url_key", "status"), "url_key").where("status >= 400").select(
+def link_ends(fetched: DataFrame, max_redirects: int = lx.MAX_REDIRECTS) -> DataFrame:
+    """Where a request for each URL of a fetch log ends: (url_key, end_key, hops, status, code).
+
+    ``fetched`` has one row per URL: url_key, status, location_key (target of a redirect, else null), error.  Chains are
+    followed by pointer doubling, so a round doubles the hops that are known; a page that very many URLs
+    redirect to is met through ``lookup``.  More than ``max_redirects`` hops, loops among them, are
+    ``TOO_MANY_REDIRECTS`` without an end, and count one hop more than is allowed; a chain that leaves the log has neither status nor code."""
+    fetched = materialize(fetched)  # read three times
+    onward = "coalesce(status BETWEEN 300 AND 399 AND location_key IS NOT NULL, false)"
+    moved = materialize(fetched.where(onward).select("url_key", F.col("location_key").alias("end_key"), F.lit(1).alias("hops")))
+    for _ in range(max_redirects.bit_length()):
+        step = moved.selectExpr("url_key AS end_key", "end_key AS _next", "hops AS _more")
+        longer = materialize(lookup(moved, step, ["end_key"], "url_key").selectExpr(
+            "url_key", "coalesce(_next, end_key) AS end_key", "hops + coalesce(_more, 0) AS hops"))
+        drop_stored(moved)
+        moved = longer
+    here = fetched.where(f"NOT {onward}").select("url_key", F.col("url_key").alias("end_key"), F.lit(0).alias("hops"))
+    last = fetched.selectExpr("url_key AS end_key", "status", "error", "true AS known")
+    code = f"""CASE WHEN hops > {max_redirects} THEN 'TOO_MANY_REDIRECTS' WHEN known IS NULL THEN NULL
+        WHEN error IS NOT NULL THEN {FETCH_ERROR} WHEN status >= 400 THEN 'HTTP_ERROR' ELSE 'OK' END"""
+    return lookup(moved.unionByName(here), last, ["end_key"], "url_key").selectExpr(
+        "url_key", f"CASE WHEN hops <= {max_redirects} THEN end_key END AS end_key", f"least(hops, {max_redirects + 1}) AS hops",
+        f"CASE WHEN hops <= {max_redirects} THEN status END AS status", f"{code} AS code")
+
+
+def broken_links(targets: DataFrame, ends: DataFrame) -> DataFrame:
+    """Those of ``targets`` whose request ended (``link_ends``) in an error status or without a connection (status null).
+
+    All targets are tested; one that was never fetched, timed out or has no end is unknown, not broken."""
+    failed = ends.where("code IN ('HTTP_ERROR', 'CONNECTION_FAILED')").select("url_key", "status")
+    return targets.join(failed, "url_key").select(
         "site_key", F.col("seen.url").alias("from_url"), F.col("seen.absolute").alias("to_url"), "status"
     )
 
@@ -82,10 +114,7 @@ def fetch_outcomes(hops: DataFrame, max_redirects: int = lx.MAX_REDIRECTS) -> Da
     base = "coalesce(lower(trim(split(content_type, ';')[0])), '')"
     code = f"""CASE WHEN looped THEN 'REDIRECT_LOOP'
         WHEN ends_in_redirect AND last_hop >= {max_redirects} THEN 'TOO_MANY_REDIRECTS'
-        WHEN error IN ('ETIMEDOUT', 'ESOCKETTIMEDOUT') THEN 'TIMEOUT'
-        WHEN error IN ('ENOTFOUND', 'EAI_AGAIN') THEN 'DNS_FAILURE'
-        WHEN error = 'RESPONSE_TOO_LARGE' THEN 'RESPONSE_TOO_LARGE'
-        WHEN error IS NOT NULL THEN 'CONNECTION_FAILED'
+        WHEN error IS NOT NULL THEN {FETCH_ERROR}
         WHEN {base} <> '' AND {base} NOT IN {listed(lx.TEXTUAL_CONTENT_TYPES)} THEN 'UNSUPPORTED_CONTENT_TYPE'
         WHEN status >= 400 THEN 'HTTP_ERROR' ELSE 'OK' END"""
     return folded.selectExpr(

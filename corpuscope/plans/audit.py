@@ -27,14 +27,14 @@ class Audit:
     sites: DataFrame
     failures: DataFrame
     files: DataFrame
-    fetched: DataFrame  # statuses of link targets
+    fetched: DataFrame  # fetch log of link targets
     competitors: DataFrame | None = None
     as_of: str = b.AS_OF_PAGES
 
     def facts(self) -> DataFrame:
         lines = robots.robots_lines(self.files)
         return site_facts(
-            self.signals, self.sites, self.failures, links.broken_links(links.unseen_targets(self.signals), self.fetched),
+            self.signals, self.sites, self.failures, links.broken_links(links.unseen_targets(self.signals), links.link_ends(self.fetched)),
             robots.ai_access(lines), robots.site_file_facts(self.files),
         )
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions import urls as u
 from corpuscope.operators import links, robots
 from corpuscope.plans.page_queries import signals
-from corpuscope.sources import bindings as b
+from corpuscope.sources import bindings as b, io
 
 
 def _files(spark, sf):
@@ -17,8 +17,12 @@ def _lines(spark, sf):
 
 
 def _broken_links(spark, sf):
-    targets = links.unseen_targets(signals(spark, sf))
-    return links.broken_links(targets, b.link_fetches(targets))
+    targets = io.materialize(links.unseen_targets(signals(spark, sf)))
+    return links.broken_links(targets, links.link_ends(b.link_fetches(targets)))
+
+
+def _link_ends(spark, sf):
+    return links.link_ends(b.link_fetches(links.unseen_targets(signals(spark, sf))))
 
 
 def _selected_rules(spark, sf):
@@ -42,6 +46,7 @@ QUERIES = {
     "k3_crawl_priority": lambda spark, sf: links.with_priority(links.crawl_candidates(signals(spark, sf))).select(
         "page_id", "candidate", "priority"),
     "k5_broken_links": _broken_links,
+    "k5_link_ends": _link_ends,
     "k6_fetch_outcomes": lambda spark, sf: links.fetch_outcomes(b.bind(spark, sf, b.FETCH_LOG_SQL)),
     "k7_robots_parse": _lines,
     "k8_robots_select_group": _selected_rules,

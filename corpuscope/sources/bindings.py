@@ -142,8 +142,19 @@ CROSS JOIN (SELECT 0 AS hop UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELE
 WHERE hop <= hops
 """
 
-# Status that the fetch of a link target returned; some targets were never fetched.
-LINK_STATUS_SQL = "CAST(CASE length(url_key) % 5 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN NULL ELSE 200 END AS INT)"
+# Fetch log of link targets (url_key, site_key): some answer, fail, were never fetched, or moved to a chain of pages
+# that the targets of a site share and that ends in a page, an error, no connection or a loop.
+LINK_FETCHES_SQL = """
+SELECT url_key, CAST(CASE WHEN n % 5 = 0 THEN 404 WHEN n % 5 = 1 THEN 301 WHEN n % 5 = 4 AND n % 3 < 2 THEN NULL ELSE 200 END AS INT) AS status,
+  CASE WHEN n % 5 = 1 THEN 'https://' || site_key || '/moved/' || CAST(n % 9 AS STRING) END AS location_key,
+  CASE WHEN n % 5 = 4 AND n % 3 = 0 THEN 'ECONNREFUSED' WHEN n % 5 = 4 AND n % 3 = 1 THEN 'ETIMEDOUT' END AS error
+FROM (SELECT url_key, min(site_key) AS site_key, length(url_key) AS n FROM {targets} GROUP BY url_key) AS t WHERE n % 5 <> 2
+UNION ALL
+SELECT 'https://' || site_key || '/moved/' || CAST(k AS STRING), CAST(CASE WHEN k > 0 OR n % 4 = 0 THEN 301 WHEN n % 4 = 1 THEN 503 WHEN n % 4 = 2 THEN 200 END AS INT),
+  CASE WHEN k > 0 THEN 'https://' || site_key || '/moved/' || CAST(k - 1 AS STRING) WHEN n % 4 = 0 THEN 'https://' || site_key || '/moved/2' END,
+  CASE WHEN k = 0 AND n % 4 = 3 THEN 'ECONNREFUSED' END
+FROM (SELECT DISTINCT site_key, length(site_key) AS n FROM {targets}) AS s CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) AS h(k)
+"""
 
 # Raw addresses as people type them, several per page.
 RAW_URLS_SQL = f"""
@@ -305,4 +316,4 @@ def bind(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 def link_fetches(targets: DataFrame) -> DataFrame:
     """Fetch log of link targets."""
-    return targets.select("url_key").distinct().selectExpr("url_key", f"{LINK_STATUS_SQL} AS status").where("status IS NOT NULL")
+    return targets.sparkSession.sql(LINK_FETCHES_SQL, targets=targets.select("url_key", "site_key"))

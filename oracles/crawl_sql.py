@@ -17,8 +17,14 @@ cands AS (SELECT page_id, site_key, candidate, row_number() OVER (PARTITION BY p
 BROKEN = rf"""{LINKS},
 tgt AS (SELECT site_key, {f.url_key('n.absolute')} AS url_key, min({{'page_id': page_id, 'pos': pos, 'url': url, 'absolute': n.absolute}}) AS seen FROM links1
   WHERE n.internal AND NOT regexp_matches(n.absolute, {q(lx.LINK_PROBE_SKIP_PATTERN)}) GROUP BY ALL),
-brk AS (SELECT * FROM (SELECT site_key, seen.url AS from_url, seen.absolute AS to_url, {b.LINK_STATUS_SQL} AS status
-  FROM tgt WHERE NOT EXISTS (SELECT 1 FROM sig s WHERE s.site_key = tgt.site_key AND {f.url_key('s.url')} = tgt.url_key)) AS r WHERE status >= 400)"""
+unseen AS (SELECT * FROM tgt WHERE NOT EXISTS (SELECT 1 FROM sig s WHERE s.site_key = tgt.site_key AND {f.url_key('s.url')} = tgt.url_key)),
+fet AS ({b.LINK_FETCHES_SQL.format(targets='unseen')}),
+ends AS (WITH RECURSIVE walk AS (SELECT url_key, url_key AS place, 0 AS hops FROM fet
+    UNION ALL SELECT w.url_key, x.location_key, w.hops + 1 FROM walk AS w JOIN fet AS x ON x.url_key = w.place WHERE x.status BETWEEN 300 AND 399 AND x.location_key IS NOT NULL AND w.hops < 6)
+  SELECT w.url_key, CASE WHEN w.hops < 6 THEN w.place END AS end_key, w.hops, CASE WHEN w.hops < 6 THEN x.status END AS status, CASE WHEN w.hops = 6 THEN 'TOO_MANY_REDIRECTS' WHEN x.error LIKE '%TIMEDOUT' THEN 'TIMEOUT'
+      WHEN x.error IS NOT NULL THEN 'CONNECTION_FAILED' WHEN x.status >= 400 THEN 'HTTP_ERROR' WHEN x.url_key IS NOT NULL THEN 'OK' END AS code
+    FROM (SELECT url_key, max(hops) AS hops, max_by(place, hops) AS place FROM walk GROUP BY 1) AS w LEFT JOIN fet AS x ON x.url_key = w.place),
+brk AS (SELECT site_key, seen.url AS from_url, seen.absolute AS to_url, e.status FROM unseen JOIN ends AS e USING (url_key) WHERE code IN ('HTTP_ERROR', 'CONNECTION_FAILED'))"""
 
 AGENT = "site-audit"
 ROBOTS = rf"""files AS ({b.SITE_FILES_SQL}),
@@ -66,6 +72,7 @@ SQL = {
     "k2_crawl_candidates": f"WITH {SIGNALS}, {CANDIDATES} SELECT page_id, site_key, pos, candidate FROM cands",
     "k3_crawl_priority": f"WITH {SIGNALS}, {CANDIDATES} SELECT page_id, candidate, {f.priority('candidate')} AS priority FROM cands",
     "k5_broken_links": f"WITH {SIGNALS}, {BROKEN} SELECT * FROM brk",
+    "k5_link_ends": f"WITH {SIGNALS}, {BROKEN} SELECT url_key, end_key, hops, status, code FROM ends",
     "k6_fetch_outcomes": f"""WITH lg AS ({b.FETCH_LOG_SQL}), lst AS (SELECT * FROM lg QUALIFY hop = max(hop) OVER (PARTITION BY request_id)),
        agg AS (SELECT request_id, count(*) FILTER (WHERE status BETWEEN 300 AND 399 AND location IS NOT NULL) AS redirects, count(*) > count(DISTINCT url) AS looped FROM lg GROUP BY 1)
        SELECT l.request_id, l.site_key, CAST(redirects AS INT) AS redirect_hops, l.url AS final_url, l.status, CASE WHEN looped THEN 'REDIRECT_LOOP'

@@ -59,7 +59,7 @@ def _audit(spark, shuffle=False):
         "site_key string, path string, status_code int, body string")
     failures = spark.createDataFrame([], "site_key string, url string, code string")
     asked = spark.createDataFrame([(SITE, 0, "http://bare.com")], "site_key string, pos int, raw string")
-    fetched = unseen_targets(signals).selectExpr("url_key", "404 AS status")
+    fetched = unseen_targets(signals).selectExpr("url_key", "404 AS status", "CAST(NULL AS STRING) AS location_key", "CAST(NULL AS STRING) AS error")
     return Audit(signals, sites, failures, files, fetched, compare.pick_competitors(asked, 1), as_of="2024-06-30 00:00:00")
 
 
