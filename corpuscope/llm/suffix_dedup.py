@@ -1,9 +1,10 @@
-"""Removal of byte strings that an earlier document has, by prefix-free parsing and suffix order.
+"""Removal of byte strings that an earlier document has, by phrases cut at content-defined triggers.
 
-Rolling-hash triggers cut every text into phrases that depend on content alone, so repeats give equal
-phrases wherever they stand.  Distinct phrases form the dictionary; its suffixes are put in order
-trigger by trigger, equal beginnings next to each other; and each document's parse, its list of
-phrases, carries what was found there back to the places of the text.
+Triggers (the smallest k-gram of each string, by hash) cut every text into phrases that depend on content
+alone, so repeats give equal phrases wherever they stand.  Distinct phrases form the dictionary; the strings of a trigger
+are grouped where they are equal; and each document's parse, its list of phrases, carries what was found there back to
+the places of the text.  Of prefix-free parsing that is the first half: no suffix array of the dictionary or of the parse is
+built, since only equality decides here.
 """
 
 import hashlib
@@ -111,13 +112,12 @@ class Parse:
         return rows, number, smallest, before[rows], after[rows], context[rows]
 
 
-def order_suffixes(hashes: np.ndarray, before: np.ndarray, after: np.ndarray, context: np.ndarray, ids: np.ndarray, steps: int) -> np.ndarray:
+def earlier_strings(hashes: np.ndarray, before: np.ndarray, after: np.ndarray, context: np.ndarray, ids: np.ndarray, steps: int) -> np.ndarray:
     """For each phrase a number whose bit a tells that the string that starts a bytes before the trigger
     also stands in a phrase with a smaller id.
 
-    A string is its trigger, the distance a, and ``steps`` - 1 bytes around it.  The suffixes of all
-    phrases are sorted with equal ones side by side (by a hash of the string, then compared byte by
-    byte), and each run takes the smallest id of its phrases."""
+    A string is its trigger, known by its 64-bit hash, the distance a, and the ``steps`` - 1 bytes around it, compared as
+    they are.  Equal strings are put side by side by a hash, and each run takes the smallest id of its phrases."""
     reach = steps - 1
     found = np.zeros(len(hashes), dtype=U64)
     for a in range(steps):
@@ -178,7 +178,7 @@ def dedup_substrings(docs: DataFrame, span: int = 50, k: int = 34, with_text: bo
 
     1. Parts send the keys of their triggers; buckets answer which occur in several texts.
     2. Phrases with such triggers, once per part and with the smallest id there, go to the bucket of
-       the trigger, which orders the suffixes of its part of the dictionary.
+       the trigger, which finds the equal strings of its part of the dictionary.
     3. Its answers, one bit for each string of a phrase, go back to the part, whose parse turns them
        into places of its texts.
 
@@ -218,7 +218,7 @@ def dedup_substrings(docs: DataFrame, span: int = 50, k: int = 34, with_text: bo
         blocks = {name: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in
                   (("hashes", U64), ("before", np.uint8), ("after", np.uint8), ("context", np.uint8), ("ids", np.int64))}
         hashes, before, after, context, ids = map(np.concatenate, blocks.values())
-        bits = order_suffixes(hashes, before, after, context.reshape(len(hashes), -1), ids, steps)
+        bits = earlier_strings(hashes, before, after, context.reshape(len(hashes), -1), ids, steps)
         ends = np.cumsum([len(h) for h in blocks["hashes"]])
         bucket = table.column("bucket")[0].as_py()
         return table_of([(p, bucket, packed(bits[e - len(h):e])) for p, h, e in zip(table.column("part").to_pylist(), blocks["hashes"], ends)], FOUND)
