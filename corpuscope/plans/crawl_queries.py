@@ -22,7 +22,7 @@ def _broken_links(spark, sf):
 
 
 def _link_ends(spark, sf):
-    return links.link_ends(b.link_fetches(links.unseen_targets(signals(spark, sf))))
+    return links.link_ends(b.link_fetches(io.materialize(links.unseen_targets(signals(spark, sf)))))  # the log reads them twice
 
 
 def _selected_rules(spark, sf):
