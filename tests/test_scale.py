@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators import ledger, metrics
 from corpuscope.operators.checks.site_facts import _page_facts
+from corpuscope.operators.joins import lookup
 from corpuscope.operators.signals import page_signals
 from corpuscope.sources import io
 
@@ -52,3 +53,18 @@ def test_the_credit_log_is_not_read_at_every_level(spark, tmp_path):
         df.collect()
         final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert len(re.findall(r"FileScan", final)) <= 3, final.count("FileScan")
+
+
+def test_copies_of_a_looked_up_table_count_before_it_is_broadcast(spark, tmp_path, capsys):
+    path = f"file://{tmp_path}/dim"
+    spark.range(100_000).selectExpr("id AS k", "id % 7 AS v").write.parquet(path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4m")  # the table is below it, its copies are not
+        rows, dim = spark.range(300).selectExpr("id", "IF(id < 100, 5L, id * 999) AS k"), spark.read.parquet(path)
+        out = lookup(rows, dim, ["k"], "id")
+        out.explain()
+        assert "BroadcastHashJoin" not in capsys.readouterr().out
+        assert sorted(tuple(r) for r in out.collect()) == sorted(((5, i, 5) if i < 100 else (i * 999, i, i * 999 % 7 if i * 999 < 100_000 else None)) for i in range(300))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
