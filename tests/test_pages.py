@@ -98,3 +98,22 @@ def test_registrable_domain(spark):
     cases = {"www.a.b.com": "b.com", "x.y.co.uk": "y.co.uk", "b.com": "b.com", "127.0.0.1": "127.0.0.1"}
     df = spark.createDataFrame([(c,) for c in cases], "h string").selectExpr("h", f"{u.registrable_domain('h')} AS d")
     assert {r.h: r.d for r in df.collect()} == cases
+
+
+def test_patterns_cost_one_pass_and_find_the_same(spark):
+    import time
+
+    from corpuscope.functions import html as h
+    from corpuscope.functions import lexicon as lx
+    from corpuscope.operators.signals import EMAIL, link_nodes, paragraph_texts, word_count
+
+    texts = ["a@b.com_x@c.de", "x.@y@z.org,q@r.s t%u@v-w.info", "no mail @ all", "a   b  c\td  ", "-- a1,b --- 7\n(c) !", "<p>" + "long enough words " * 3 + "<b>x</b> < y</p>z<p>short"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").selectExpr(
+        "i", f"{h.extract_all('t', EMAIL)} AS mails", f"{h.extract_all('t', lx.EMAIL_PATTERN)} AS plain", f"{h.squeeze('t')} AS squeezed",
+        f"{word_count('t')} AS words", f"{paragraph_texts('t')} AS paragraphs", f"{link_nodes('t', repr('https://a.b/'), repr('a.b'))} AS links").orderBy("i").collect()
+    assert all(r.mails == r.plain for r in rows) and rows[0].mails == ["a@b.com", "_x@c.de"]
+    assert rows[3].squeezed == "a b c d" and rows[4].words == 3
+    assert rows[5].paragraphs == ["long enough words " * 3 + "x < y"]
+    began = time.time()
+    run = spark.range(1).selectExpr("1L AS page_id", "'https://a.b/' AS url", "concat(repeat('a', 400000), ' m@n.org') AS html")
+    assert page_signals(run).select("emails").first().emails == ["m@n.org"] and time.time() - began < 60
