@@ -22,14 +22,22 @@ TOLD = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int3
 
 def gram_counts(data, offsets, train, depth):
     """Distinct grams of the texts and their counts in the training texts."""
-    keys, counts = [], []
+    held = []
     for lo, hi, grams, ends in segments(data, offsets, depth, SEGMENT):
         chosen = np.repeat(train[lo:hi], np.diff(ends))
         seen, times = np.unique(grams[chosen], return_counts=True)
         others = distinct(grams[~chosen])
-        keys += [seen, others]
-        counts += [times.astype(U64), np.zeros(len(others), U64)]
-    return added(keys, counts)
+        hold(held, *added([seen, others], [times.astype(U64), np.zeros(len(others), U64)]))
+    return added([k for k, _ in held], [n for _, n in held])
+
+
+def hold(held: list, keys: np.ndarray, counts: np.ndarray) -> None:
+    """Add a block to those held, each more than twice as long as the next: memory follows the
+    distinct keys and not the text, and a key is sorted a logarithmic number of times."""
+    while held and len(held[-1][0]) <= 2 * len(keys):
+        more, n = held.pop()
+        keys, counts = added([more, keys], [n, counts])
+    held.append((keys, counts))
 
 
 def word_counts(hashes, places, train):

@@ -306,3 +306,22 @@ def test_blocks_meet(spark):
 def test_prefix_sums(spark):
     df = spark.range(100).select((F.col("id") * 7 % 100).alias("k"), F.lit(2).alias("v"))
     assert all(r.before_v == 2 * r.k for r in prefix_sums(df, [F.col("k")], ["v"]).collect())
+
+
+def test_counting_grams_takes_memory_by_distinct_grams():
+    import tracemalloc
+
+    text = np.frombuffer((b"the quick brown fox jumps over the lazy dog; " * 25_000)[:1 << 20], np.uint8)
+    rng = np.random.default_rng(5)
+
+    def peak(copies):
+        data = np.tile(np.concatenate([text[:-200_000], rng.integers(97, 123, 200_000).astype(np.uint8)]), copies)
+        offsets = np.arange(copies + 1) * len(text)
+        tracemalloc.start()
+        keys, counts = lm_scoring.gram_counts(data, offsets, np.arange(copies) % 3 != 0, 5)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert counts.sum() == (len(text) + 1) * sum(i % 3 != 0 for i in range(copies)) and np.all(np.diff(keys.astype(object)[:1000]) > 0)
+        return top
+
+    assert peak(24) < 1.4 * peak(6)
