@@ -117,3 +117,18 @@ def test_patterns_cost_one_pass_and_find_the_same(spark):
     began = time.time()
     run = spark.range(1).selectExpr("1L AS page_id", "'https://a.b/' AS url", "concat(repeat('a', 400000), ' m@n.org') AS html")
     assert page_signals(run).select("emails").first().emails == ["m@n.org"] and time.time() - began < 60
+
+
+def test_word_scan_trim_and_addresses_equal_the_plain_patterns(spark):
+    from corpuscope.functions import html as h
+    from corpuscope.functions import lexicon as lx
+    from corpuscope.operators.signals import EMAIL, email_texts
+
+    words = {"a-dfghik-pr-w": lx.US_STATE_PATTERN, "0-9": lx.PROJECT_COUNT_PATTERN, "elr": lx.LICENCE_PATTERN, "acdpvw": lx.COMPARISON_TEXT_PATTERN}
+    texts = ["TEXAS", "xtexas, texass; (new york)", "a12 homes 12 homes", "12homes", "public lic. #7", "éein: 5", "a vs. b", "vs.", "", "...", "x@y.org,p@q.com@r.net z@", "@", "a@b.c@d.ef g"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(
+        "t", *[f"{h.matches_word('t', s, p)} = {h.matches('t', p)} AS same{i}" for i, (s, p) in enumerate(words.items())],
+        f"{email_texts('t')} <=> {h.extract_all('t', EMAIL)} AS mails").collect()
+    assert all(all(r[1:]) for r in rows)
+    ends = spark.createDataFrame([("  a b \n",), ("a \u0085",)], "t string").selectExpr(f"{h.trim_ws('t')} AS t").collect()
+    assert [r.t for r in ends] == ["a b", "a \u0085"]  # "$" also ended before a last line end, and took the blank there
