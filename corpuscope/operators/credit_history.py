@@ -1,55 +1,63 @@
 """Credits with refunds and plan changes: every request of a log against allowance and balance."""
 
-from functools import reduce
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.functions import lexicon as lx
-from corpuscope.functions.sqltext import q
-from corpuscope.operators.clamp_scan import BLOCK, UNBOUNDED, clamp_scan
-from corpuscope.operators.joins import lookup
-from corpuscope.operators.running import hour, running
-from corpuscope.sources.io import materialize
+from corpuscope.operators.ordered_fold import ordered_fold
 
-_ALLOWANCE = "CASE plan_now " + " ".join(f"WHEN {q(p[0])} THEN {p[2]}" for p in lx.PLANS) + " ELSE 0 END"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+NOTHING, MOVE, RESERVE, RESERVE_AND_KEEP, REFUND, RENEW, PLAN = range(7)
+_KIND = f"""CASE WHEN action IN ('grant', 'revoke') THEN {MOVE} WHEN action = 'reserve' THEN IF(_kept, {RESERVE_AND_KEEP}, {RESERVE})
+  WHEN action = 'refund' AND audit_id IS NOT NULL THEN {REFUND} WHEN action = 'renew' THEN {RENEW} WHEN action = 'plan' AND plan IS NOT NULL THEN {PLAN}
+  ELSE {NOTHING} END"""
+_MOVED = "greatest(coalesce(CAST(amount AS BIGINT), 0L), 0L) * CASE action WHEN 'grant' THEN 1L WHEN 'revoke' THEN -1L ELSE 0L END"
 
-def _numbered(log: DataFrame, start_plan: str) -> DataFrame:
-    """Requests numbered per user, with the plan in force and whether a plan request changes it."""
-    named = F.expr("CASE WHEN action = 'plan' THEN plan END")
-    placed = running(log.where("user_id IS NOT NULL AND created_at IS NOT NULL"), ["user_id"], ["created_at", "request_id"], {
-        "nth": ("sum", F.lit(1).cast("bigint")), "plan_now": ("last", named), "plan_before": ("last", named, "before")}, hour("created_at"))
-    known = placed.withColumns({c: F.coalesce(c, F.lit(start_plan)) for c in ("plan_now", "plan_before")})
-    return known.selectExpr(
-        "request_id", "user_id", "audit_id", "action", "nth", "plan_now", f"{_ALLOWANCE} AS allowance",
-        "CASE WHEN action IN ('grant', 'revoke') THEN greatest(coalesce(CAST(amount AS BIGINT), 0L), 0L) ELSE 0L END AS amount",
-        "action = 'renew' OR (action = 'plan' AND plan_now <> plan_before) AS resets")
 
+def account_step(start_plan: str, allowances: dict[str, int]):
+    """One request; state = plan, used allowance, balance, and what each audit took that is refunded later."""
 
-def _refund_pairs(rows: DataFrame) -> DataFrame:
-    """For every audit its first reservation and the first refund after it; later refunds return nothing."""
-    reserved = rows.where("action = 'reserve'").groupBy("user_id", "audit_id").agg(F.min("nth").alias("reserve_nth"))
-    refunds = rows.where("action = 'refund' AND audit_id IS NOT NULL").select("user_id", "audit_id", "nth")
-    after = lookup(refunds, reserved, ["user_id", "audit_id"], "nth", "inner").where("nth > reserve_nth")
-    return after.groupBy("user_id", "audit_id").agg(F.min("nth").alias("nth"), F.min("reserve_nth").alias("reserve_nth")).drop("audit_id")
+    def step(state, _, kind, moved, wanted, audit):
+        plan, used, balance, took = state or (start_plan, 0, 0, {})
+        outcome = None
+        if kind == MOVE:
+            balance = max(0, balance + moved)
+        elif kind in (RESERVE, RESERVE_AND_KEEP):
+            if used < allowances.get(plan, 0):
+                used, outcome = used + 1, "ALLOWANCE"
+            elif balance >= 1:
+                balance, outcome = balance - 1, "CREDIT"
+            else:
+                outcome = "REFUSED"
+            if kind == RESERVE_AND_KEEP and outcome != "REFUSED":
+                took[audit] = outcome
+        elif kind == REFUND:
+            back = took.pop(audit, None)
+            if back == "ALLOWANCE":
+                used, outcome = max(0, used - 1), "ALLOWANCE_BACK"
+            elif back == "CREDIT":
+                balance, outcome = balance + 1, "CREDIT_BACK"
+        elif kind == RENEW:
+            used = 0
+        elif kind == PLAN and wanted != plan:
+            plan, used, outcome = wanted, 0, "PLAN_CHANGED"
+        return (plan, used, balance, took), (plan, outcome, balance, used)
 
+    return step
 
-def _replayed(rows: DataFrame, block: int) -> DataFrame:
-    """One replay, given for each refund what its reservation had taken (``took``)."""
-    used = clamp_scan(rows, ["user_id"], "nth", add="CASE WHEN action = 'reserve' THEN 1 WHEN took = 'ALLOWANCE' THEN -1 ELSE 0 END",
-                      lo="0", hi="CASE WHEN resets THEN 0 ELSE allowance END", name="used", block=block)
-    free = materialize(used.withColumn("free", F.expr("action = 'reserve' AND used_before < allowance")))
-    change = ("CASE WHEN action = 'grant' THEN amount WHEN action = 'revoke' THEN -amount WHEN took = 'CREDIT' THEN 1"
-              " WHEN action = 'reserve' AND NOT free THEN -1 ELSE 0 END")
-    held = clamp_scan(free, ["user_id"], "nth", add=change, lo="0", hi=f"{UNBOUNDED}", name="balance", block=block)
-    outcome = """CASE action WHEN 'reserve' THEN CASE WHEN free THEN 'ALLOWANCE' WHEN balance_before >= 1 THEN 'CREDIT' ELSE 'REFUSED' END
-      WHEN 'refund' THEN CASE took WHEN 'ALLOWANCE' THEN 'ALLOWANCE_BACK' WHEN 'CREDIT' THEN 'CREDIT_BACK' ELSE 'NOTHING' END
-      WHEN 'plan' THEN CASE WHEN resets THEN 'PLAN_CHANGED' ELSE 'PLAN_KEPT' END ELSE upper(action) END"""
-    return held.selectExpr("request_id", "user_id", "action", "nth", "plan_now AS plan", f"{outcome} AS outcome",
-                           "balance_after", "used_after AS allowance_used")
 
+def _kept(log: DataFrame) -> DataFrame:
+    """The first reservation of every audit that has a refund after it."""
+    when = F.struct("created_at", "request_id")
+    ends = log.where("action IN ('reserve', 'refund') AND audit_id IS NOT NULL").groupBy("user_id", "audit_id").agg(
+        F.min(F.when(F.expr("action = 'reserve'"), when)).alias("reserved"), F.max(F.when(F.expr("action = 'refund'"), when)).alias("refunded"))
+    return ends.where("refunded > reserved").select("user_id", "reserved.*", F.lit(True).alias("_kept"))
 
-def credit_history(log: DataFrame, start_plan: str = "FREE", block: int = BLOCK) -> DataFrame:
+
+def credit_history(log: DataFrame, start_plan: str = "FREE", partitions: int | None = None) -> DataFrame:
     """Outcome of every request in arrival order, with the plan, balance and used allowance after it.
 
     ``reserve`` takes the plan's allowance first, then a credit, and is refused at zero; ``grant`` and
@@ -59,26 +67,17 @@ def credit_history(log: DataFrame, start_plan: str = "FREE", block: int = BLOCK)
     audit, or of another user's, returns nothing.  An unknown or null plan has no allowance or changes
     none.  Requests without a user or time are left out; amounts below zero or null count as zero.
 
-    What a refund returns depends on an outcome before it, which may depend on other refunds.  The
-    replay is repeated with the outcomes found until no refund changes, and only for users with a
-    change: each time at least the earliest open refund of every user becomes final, so it ends, with
-    the outcome of one sequential pass.  The number of rounds is the length of the longest chain of
-    reservations and refunds that hang on each other, at most one for each refund of a user."""
-    rows = materialize(_numbered(log, start_plan))
-    pairs = materialize(_refund_pairs(rows))
-    took = pairs.select("user_id", "nth", F.lit("REFUSED").alias("took"))
-    final = []
-    while True:
-        result = materialize(_replayed(materialize(rows.join(took, ["user_id", "nth"], "left")), block))
-        taken = result.where("action = 'reserve'").select("user_id", F.col("nth").alias("reserve_nth"), F.col("outcome").alias("found"))
-        found = pairs.join(taken, ["user_id", "reserve_nth"]).select("user_id", "nth", "found")
-        both = materialize(found.join(took, ["user_id", "nth"]))
-        moved = both.where("found <> took").select("user_id").distinct()
-        if moved.isEmpty():
-            final.append(result)
-            break
-        moved = materialize(moved)
-        final.append(lookup(result, moved, ["user_id"], "nth", "left_anti"))
-        rows = materialize(lookup(rows, moved, ["user_id"], "nth", "left_semi"))
-        took = lookup(both, moved, ["user_id"], "nth", "left_semi").select("user_id", "nth", F.col("found").alias("took"))
-    return reduce(DataFrame.unionByName, final).drop("nth")
+    What a refund returns depends on an outcome before it, which may depend on other refunds, so the
+    log is folded in order.  A user's state holds only the audits whose refund is still to come; a user
+    with many requests is spread over ``partitions`` of the fold, each of which hands its state on."""
+    placed = log.where("user_id IS NOT NULL AND created_at IS NOT NULL").select(
+        "request_id", "user_id", "created_at", "action", "amount", "plan", "audit_id")
+    rows = placed.join(_kept(placed), ["user_id", "created_at", "request_id"], "left").selectExpr(
+        "request_id", "user_id", "created_at", "action", f"{_KIND} AS _kind", f"{_MOVED} AS _moved", "coalesce(plan, '') AS _wanted",
+        "IF(action = 'refund' OR _kept, coalesce(CAST(audit_id AS STRING), ''), '') AS _audit")
+    step = account_step(start_plan, {p[0]: p[2] for p in lx.PLANS})
+    folded = ordered_fold(rows, "user_id", "created_at", "request_id", step, partitions, ("_kind", "_moved", "_wanted", "_audit"),
+                          "_plan string, _outcome string, balance_after bigint, allowance_used bigint", ("request_id", "user_id", "action"))
+    other = "CASE action WHEN 'refund' THEN 'NOTHING' WHEN 'plan' THEN 'PLAN_KEPT' ELSE upper(action) END"
+    return folded.selectExpr("request_id", "user_id", "action", "_plan AS plan", f"coalesce(_outcome, {other}) AS outcome",
+                             "balance_after", "allowance_used")

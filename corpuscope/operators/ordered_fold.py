@@ -3,10 +3,11 @@
 Some rules depend on every earlier decision (a limiter that does not count refusals).  The rows
 are range-partitioned by (key, time), so a hot key is spread over many tasks, and each task folds
 its rows as a stream with a small state per key.  Only the key that crosses a partition boundary
-needs the state of the partition before.  Those states - one small tuple per partition - are
+needs the state of the partition before.  Those states - one for each partition - are
 passed on until none changes; then every decision equals that of one sequential pass.
 """
 
+import pickle
 import sys
 
 import pandas as pd
@@ -57,23 +58,25 @@ def _fold(frames, step, carry, on_rows, on_end, given=()):
         yield from on_end(pid, first_key, key, state)
 
 
-def ordered_fold(rows: DataFrame, key: str, at: str, tie: str, step, partitions: int | None = None, given: tuple[str, ...] = ()) -> DataFrame:
+def ordered_fold(rows: DataFrame, key: str, at: str, tie: str, step, partitions: int | None = None, given: tuple[str, ...] = (),
+                 results: str = "allowed boolean, remaining bigint, retry_after bigint", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Fold ``step`` over each key's rows in time order.
 
-    ``step(state, micros, *given) -> (state, (allowed, remaining, retry_after))``; ``given`` names columns
-    without nulls, equal for all rows of a key."""
+    ``step(state, micros, *given) -> (state, values of the columns results)``; ``given`` names columns whose
+    numbers are never null.  A state may be any value that pickles; the first is ``()``.
+    ``keep`` names the columns of ``rows`` that the result holds (all, if left out)."""
     placed = rows.withColumn("_k", F.col(key).cast("string")).withColumn(
         "_at", F.unix_micros(F.col(at).cast("timestamp"))
     )
     # Without a number the session's shuffle settings (and AQE's target size) decide.
-    order = ["_k", "_at", tie]
+    order = ["_k", at, tie]  # not by _at, which a change of clocks can set back
     ranged = placed.repartitionByRange(partitions, *order) if partitions else placed.repartitionByRange(*order)
     cut = reliable_checkpoint(ranged.sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()))
 
     def ends(carry, only):
         def run(frames):
             def last(pid, first_key, key, state):
-                yield pd.DataFrame({"pid": [pid], "first_key": [first_key], "key": [key], "state": [list(state)]})
+                yield pd.DataFrame({"pid": [pid], "first_key": [first_key], "key": [key], "state": [pickle.dumps(state)]})
 
             return _fold(frames, step, carry, lambda f, r: iter(()), last, given)
 
@@ -81,10 +84,10 @@ def ordered_fold(rows: DataFrame, key: str, at: str, tie: str, step, partitions:
         if only is not None:
             rows_ = rows_.where(F.col("_pid").isin(only))
         summary = rows_.mapInPandas(
-            run, "pid int, first_key string, key string, state array<bigint>"
+            run, "pid int, first_key string, key string, state binary"
         )
         # One row per partition, whatever the size of the data.
-        return {r.pid: (r.first_key, r.key, tuple(r.state)) for r in summary.collect()}
+        return {r.pid: (r.first_key, r.key, pickle.loads(r.state)) for r in summary.collect()}
 
     carry: dict[int, tuple[str, tuple]] = {}
     done, changed = {}, None
@@ -96,15 +99,17 @@ def ordered_fold(rows: DataFrame, key: str, at: str, tie: str, step, partitions:
         changed = [p for p in handed if handed[p] != carry.get(p)]
         carry = handed
 
+    names = [column.split()[0] for column in results.split(", ")]
+
     def emit(frames):
-        def attach(frame, results):
-            out = frame.drop(columns=["_k", "_at", "_pid"])
-            out["allowed"] = [r[0] for r in results]
-            out["remaining"] = [r[1] for r in results]
-            out["retry_after"] = [r[2] for r in results]
+        def attach(frame, values):
+            out = frame[kept].copy()
+            for i, name in enumerate(names):
+                out[name] = [v[i] for v in values]
             yield out
 
         return _fold(frames, step, carry, attach, lambda *a: iter(()), given)
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return cut.mapInPandas(emit, f"{columns}, allowed boolean, remaining bigint, retry_after bigint")
+    kept = rows.columns if keep is None else list(keep)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(kept).schema.fields)
+    return cut.select(*dict.fromkeys([*kept, *given, "_k", "_at", "_pid"])).mapInPandas(emit, f"{columns}, {results}")

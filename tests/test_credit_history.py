@@ -110,3 +110,22 @@ def test_a_refund_opens_the_way_for_the_next(spark):
         rows += [(2 * i + 1, 1, datetime(2024, 1, 2 + i), "reserve", 0, None, i), (2 * i + 2, 1, datetime(2024, 1, 2 + i, 5), "refund", 0, None, i)]
     got = credit_history(spark.createDataFrame(rows, LOG)).groupBy("outcome").agg(F.count("*").alias("n")).collect()
     assert {r.outcome: r.n for r in got} == {"GRANT": 1, "CREDIT": 5, "CREDIT_BACK": 5}
+
+
+def test_a_longer_chain_of_refunds_takes_no_more_jobs(spark):
+    """Each reservation depends on the refund before it; the last request lies beyond the years that pandas knows."""
+    def jobs(links):
+        rows = [(0, 1, datetime(2024, 1, 1), "grant", 1, None, None), (1, 1, datetime(9000, 1, 1), "reserve", 0, None, 999)]
+        for i in range(links):
+            rows += [(2 * i + 2, 1, datetime(2024, 1, 2 + i), "reserve", 0, None, i), (2 * i + 3, 1, datetime(2024, 1, 2 + i, 5), "refund", 0, None, i)]
+        log = spark.createDataFrame(rows, LOG).repartition(4)
+        group = f"chain of {links}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            got = credit_history(log).groupBy("outcome").count().collect()
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        assert {r["outcome"]: r["count"] for r in got} == {"GRANT": 1, "CREDIT": links + 1, "CREDIT_BACK": links}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(12) == jobs(3) > 0
