@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.operators import crawl, recommend, robots, scoring
 from corpuscope.plans import report
+from corpuscope.plans.audit import bound_signals
 from corpuscope.plans.audit_queries import audit_of, checks_of, weighed
 from corpuscope.sources import audit_store, io
 
@@ -14,8 +15,7 @@ from corpuscope.sources import audit_store, io
 def _write_results(spark, sf):
     """Page results written twice as one audit per site: the second run replaces the first."""
     path = f"{io.shared_folder(spark)}/results-{uuid.uuid4().hex}"
-    audit = audit_of(spark, sf)
-    rows = audit.signals.selectExpr("site_key AS audit_id", "page_id", "url", "title", "role", "word_count")
+    rows = io.materialize(bound_signals(spark, sf).selectExpr("site_key AS audit_id", "page_id", "url", "title", "role", "word_count"))
     audits = rows.select("audit_id").distinct()
     io.write_results(rows, path, ["page_id"], audits)
     io.write_results(rows.where("word_count >= 0"), path, ["page_id"], audits)
