@@ -1,6 +1,6 @@
 """What an audit parses, and shortcuts that leave its results as they are."""
 
-from corpuscope.plans import output_queries
+from corpuscope.plans import audit, audit_queries, output_queries
 from corpuscope.sources import io
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +11,12 @@ def test_written_results_need_only_their_columns(spark, monkeypatch):
     monkeypatch.setattr(io, "materialize", lambda df: stored.append(df.columns) or keep(df))
     got = output_queries.QUERIES["s3_write_results"](spark, SF)
     assert got.count() > 0 and not [c for c in stored if "links" in c or "main_text" in c]
+
+
+def test_structured_data_stores_no_signals(spark, monkeypatch):
+    whole = audit.bound_audit(spark, SF).family("structured_data").collect()
+    stored, keep = [], io.materialize
+    monkeypatch.setattr(io, "materialize", lambda df: stored.append(df.columns) or keep(df))
+    got = audit_queries.QUERIES["c5_checks_structured_data"](spark, SF).collect()
+    assert sorted(map(str, got)) == sorted(map(str, whole)) != []
+    assert not [c for c in stored if "links" in c or "main_text" in c]
