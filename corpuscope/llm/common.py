@@ -15,6 +15,11 @@ def ascii_lower(col):
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
+def space_words(text):
+    """The words of a text, in order: its runs of characters that are not ASCII white space."""
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of this run's own, below the one that driver and executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

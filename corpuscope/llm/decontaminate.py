@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.common import ascii_lower
+from corpuscope.llm.common import ascii_lower, stored
 
 #: Words of ASCII letters, digits and all characters beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -13,7 +13,7 @@ PLACE = 24
 
 
 def words_of(col):
-    return F.filter(F.split(ascii_lower(F.coalesce(col, F.lit(""))), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(col, F.lit(""))), SEPARATORS), "")
 
 
 def let(value, use):
@@ -85,7 +85,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
     and lengths of the passages), contaminated, print_of_text (xxhash64, tells rows of equal id apart).
     """
     keys = ["doc_id", "print_of_text"]
-    given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("print_of_text"), words_of(F.col(text_col)).alias("words"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("print_of_text"), F.col(text_col).alias("text"))
+    given = texts.select(*keys, words_of(F.col("text")).alias("words"))
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
     n = F.size("words")
     short = sorted(r[0] for r in items.where(n < span).select(n.alias("n")).distinct().collect())  # below span: few
@@ -96,7 +97,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
     own = F.when(n < span, n).otherwise(span)
     prints = fingerprints(items.withColumn("own", own), ["own"], span, k, short).where("len = own").select("len", "print").distinct()
 
-    seeds = (
+    seeds = stored(
         fingerprints(given, keys, span, k, short).join(bounded(prints), ["len", "print"], "left_semi")
         .groupBy(F.col("doc_id").alias("d"), F.col("print_of_text").alias("p")).agg(F.collect_set(F.struct("len", "place")).alias("seeds"))
     )
@@ -106,7 +107,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
         s["len"] == span, F.transform(F.sequence(F.greatest(s["place"] + k - span, F.lit(0)), F.least(s["place"], last)),
                                       lambda i: F.struct(i.alias("start"), s["len"].alias("len")))
     ).otherwise(F.array(F.struct(s["place"].alias("start"), s["len"].alias("len")))))))
-    extended = given.withColumn("n", n).join(seeds, same).select(
+    # only documents with a seed move, and only their words are taken apart again
+    seeded = texts.join(bounded(seeds.select("d", "p")), same, "left_semi").join(seeds, same).withColumn("words", words_of(F.col("text")))
+    extended = seeded.withColumn("n", n).select(
         *keys, "words", F.explode(starts).alias("at"),
     ).select(*keys, "at.start", "at.len", F.array_join(F.slice("words", F.col("at.start") + 1, F.col("at.len")), " ").alias("passage"))
     hits = extended.join(bounded(passages), ["len", "passage"])

@@ -21,7 +21,7 @@ PROFILE = pa.schema([
     ("doc_id", pa.int64()), ("print_of_text", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("shingles", pa.binary()), ("signature", pa.binary()),
     ("prefix", pa.list_(pa.int64()))])
 
-PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def set_id(shingles: np.ndarray) -> bytes:
@@ -141,34 +141,38 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = could_link(n_a, n_b, np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda columns, x: sets.select(F.col("set_id").alias(x), *(F.col(c).alias(f"{n}_{x}") for c, n in columns.items()))
+    side = lambda columns, x: sets.select(F.col("set").alias(x), *(F.col(c).alias(f"{n}_{x}") for c, n in columns.items()))
     light, heavy = {"n_shingles": "n", "signature": "sig"}, {"shingles": "shingles"}
     left_open = stored(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(
-        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).mapInArrow(bound, "a binary, b binary"))
-    return stored(left_open.join(side(heavy, "a"), "a").join(side(heavy, "b"), "b").mapInArrow(check, "a binary, b binary"))
+        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).mapInArrow(bound, "a long, b long"))
+    return stored(left_open.join(side(heavy, "a"), "a").join(side(heavy, "b"), "b").mapInArrow(check, "a long, b long"))
 
 
-def open_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+def apart_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of those groups that have several labels."""
+    apart = rows.groupBy(*keys).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*keys)
+    return rows.join(apart, keys)
+
+
+def open_pairs(named: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of sets in one tile that have different labels and whose signatures leave room for a link.
 
     With ``forest`` a task takes each pair for a link at once and leaves out those that it then joins
     already, the nearest first: a group of near copies gives about one pair for each member."""
-    named = tiles.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "shingle", "band", "set_id", F.coalesce("label", "set_id").alias("label"))
-    apart = named.groupBy("shingle", "band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle", "band")
-    bits = sets.select("set_id", "n_shingles", "signature")
-    rows = stored(named.join(apart, ["shingle", "band"]))  # a plan of its own: what follows names it twice
-    cut = block_pairs(rows, ["shingle", "band"], "set_id", BLOCK).join(bits, "set_id")
-    tile = F.xxhash64("shingle", "band", "block_a", "block_b")
-    members = cut.select(F.pmod(tile, F.lit(parts_of(sets.sparkSession))).alias("task"), tile.alias("tile"), F.col("block_a").alias("low"),
-                         F.col("block_b").alias("high"), "block", "set_id", "label", "n_shingles", "signature")
+    tile_of, parts = ["shingle", "band", "tree"], parts_of(sets.sparkSession)
+    bits = sets.select("set", "n_shingles", "signature")
+    rows = stored(apart_rows(named, tile_of))  # a plan of its own: what follows names it twice
+    cut = block_pairs(rows, tile_of, "set", BLOCK).join(bits, "set")
+    tile = F.xxhash64(*tile_of, "block_a", "block_b")
+    members = cut.select(F.pmod(tile, F.lit(parts)).alias("task"), tile.alias("tile"), F.col("block_a").alias("low"),
+                         F.col("block_b").alias("high"), "block", "set", "label", "n_shingles", "signature")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("tile")
-        names, n = table.column("set_id").to_pylist(), table.column("n_shingles").to_numpy()
+        names, n = table.column("set").to_pylist(), table.column("n_shingles").to_numpy()
         bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(names), -1).view(U64)
         tile, block, low, high = (table.column(c).to_numpy() for c in ("tile", "block", "low", "high"))
-        _, group = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)
+        _, group = np.unique(table.column("label").to_numpy(), return_inverse=True)
         root, pairs = np.arange(group.max() + 1), set()
         for i, end in enumerate(np.searchsorted(tile, tile, "right")):
             rest = np.arange(i + 1, end)
@@ -184,7 +188,7 @@ def open_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
                         root[root == root[group[j]]] = root[group[i]]
         return table_of(sorted(pairs), PAIRS)
 
-    return members.groupBy("task").applyInArrow(compare, "a binary, b binary").distinct()
+    return members.repartition(parts, "task").groupBy("task").applyInArrow(compare, "a long, b long").distinct()  # few bytes, much work: not to be coalesced
 
 
 def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
@@ -192,23 +196,35 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
 
     Tiles hold the sets of one size band, and of the next smaller, that have a shingle in their
     prefixes.  Groups of near copies would give all their pairs, so each tile is first linked through
-    one member, then through trees of near pairs; what is still apart is compared in full."""
+    one member, then through trees of near pairs; what is still apart is compared in full.  Sets of different
+    trees have no room for a link, so only those go on that share a tree and not a label."""
     width = float(np.log(100 / percent)) if percent < 100 else 1.0
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)).cast("int")
-    tiles = sets.select("set_id", F.explode(F.array(band, band + 1)).alias("band"), "prefix").select(
-        "set_id", "band", F.explode("prefix").alias("shingle"))
+    tiles = sets.select("set", F.explode(F.array(band, band + 1)).alias("band"), "prefix").select(
+        "set", "band", F.explode("prefix").alias("shingle"))
     crowded = tiles.groupBy("shingle", "band").agg(F.count("*").alias("n")).where("n > 1").select("shingle", "band")
     tiles = stored(tiles.join(crowded, ["shingle", "band"]))
-    center = tiles.groupBy("shingle", "band").agg(F.min_by("set_id", F.xxhash64("set_id")).alias("a"))
-    pairs = tiles.join(center, ["shingle", "band"]).where("a <> set_id").select(
-        F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
+    center = tiles.groupBy("shingle", "band").agg(F.min_by("set", F.xxhash64("set")).alias("a"))
+    pairs = tiles.join(center, ["shingle", "band"]).where("a <> set").select(
+        F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b")).distinct()
     links = verified(pairs, sets, percent)
     labels = components(links)
+    label = F.coalesce("label", "set").alias("label")
+    named = stored(tiles.join(labels.withColumnRenamed("node", "set"), "set", "left").select("shingle", "band", F.lit(0).cast("long").alias("tree"), "set", label))
     for forest in (*[True] * FORESTS, False):
-        new = verified(stored(open_pairs(tiles, labels, sets, percent, forest)), sets, percent)
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
+        near = stored(open_pairs(named, sets, percent, forest))
+        if near.isEmpty():
+            break
+        links = links.union(verified(near, sets, percent))
+        before, labels = labels, components(links)
+        if not forest:
+            break
+        trees = components(before.select(F.col("node").alias("a"), F.col("label").alias("b")).union(near)).select(
+            F.col("node").alias("set"), F.col("label").alias("tree"))
+        torn = stored(apart_rows(trees.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "tree", label), ["tree"]))
+        if torn.isEmpty():
+            break
+        named = stored(tiles.join(torn, "set").select("shingle", "band", "tree", "set", "label"))
     return labels
 
 
@@ -216,10 +232,11 @@ def similar_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     """One row for each document: doc_id, print_of_text, n_shingles and group (null without words)."""
     described = stored(profiles(docs, size, percent, id_col, text_col))
     sets = described.where("prefix is not null").select("set_id", "n_shingles", "shingles", "signature", "prefix").dropDuplicates(["set_id"])
-    sets = stored(sets)
-    labels = linked_sets(sets, percent)
-    return described.select("doc_id", "print_of_text", "n_shingles", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "doc_id", "print_of_text", "n_shingles", F.coalesce("label", "set_id").alias("group"))
+    sets = stored(sets.withColumn("set", F.monotonically_increasing_id()))  # numbers are cheaper to join and to compare than ids
+    name = lambda number, as_name: sets.select(F.col("set").alias(number), F.col("set_id").alias(as_name))
+    labels = linked_sets(sets, percent).join(name("node", "set_id"), "node").join(name("label", "first_id"), "label").select("set_id", "first_id")
+    return described.select("doc_id", "print_of_text", "n_shingles", "set_id").join(labels, "set_id", "left").select(
+        "doc_id", "print_of_text", "n_shingles", F.coalesce("first_id", "set_id").alias("group"))
 
 
 def join_similar(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.common import SPACE_WORD, prefix_sums
+from corpuscope.llm.common import prefix_sums, space_words, stored
 
 
 def source_targets(totals: DataFrame, weights: list[float], share: float, epochs: int) -> DataFrame:
@@ -40,9 +40,8 @@ def mix_sources(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float
     Result: id, size, source_size, target, taken, source.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"({SPACE_WORD})")), F.lit(0)).cast("long").alias("size"))
+    size = F.size(space_words(F.coalesce(F.col(text_col), F.lit("")))).cast("long")
+    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), size.alias("size")))  # ranges are sampled first: words are counted once
     order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id").asc_nulls_last()]
     sized = prefix_sums(sized, order, ["size"])
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("before_size").alias("source_start"))

@@ -6,7 +6,7 @@ from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.common import SPACE_WORD, stored
+from corpuscope.llm.common import SPACE_WORD, space_words, stored
 
 BAD, ABSTAIN, GOOD = -1, 0, 1
 #: Hashed features of the scorer, and documents that it is fitted on at most.
@@ -20,16 +20,15 @@ def measures(words, text) -> dict:
     """Numbers that the labellers look at; shares of words or of letters."""
     n = F.size(words)
     per_word = lambda x: x / F.greatest(n, F.lit(1))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))  # regexp_count makes an array of all letters first
     return {
         "n_words": n,
         "symbols": per_word(F.regexp_count(text, F.lit(r"[|*%$&#~^=<>{}\\]"))),
         "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")) / F.greatest(letters, F.lit(1)),
         "stops": per_word(F.regexp_count(text, F.lit("[.!?]"))),
         "variety": per_word(F.size(F.array_distinct(words))),
-        "repeats": per_word(F.aggregate(
-            F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(n - 1, F.lit(0))).alias("b")), F.lit(0),
-            lambda total, x: total + F.when(x["a"] == x["b"], 1).otherwise(0))),
+        "repeats": per_word(F.size(F.filter(
+            F.zip_with(words, F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda same: same))),
         "letters": letters / F.greatest(F.length(text), F.lit(1)),
     }
 
@@ -71,7 +70,7 @@ def estimate(votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def shapes(text):
     """Words as classes of characters, with a mark on those that repeat the word before."""
     shaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{N}+", "0")
-    return F.regexp_extract_all(shaped, F.lit(f"({SPACE_WORD})"), F.lit(1))
+    return space_words(shaped)
 
 
 def tokens(words, text, repeats):
@@ -94,12 +93,12 @@ def score_quality(docs: DataFrame, threshold: float = 0.5, max_train: int = MAX_
     alike; an empty table gives no rows; columns of ``docs`` named quality or keep are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(f"({SPACE_WORD})"), F.lit(1))
+    words = space_words(text)
     rest = [c for c in docs.columns if c not in ("quality", "keep")]
     held = docs.select(F.struct(*rest).alias("row"), text.alias("text"), words.alias("words"))
     judges = labellers()
     measured = held.select("row", "text", "words", *(m.alias(k) for k, m in measures(F.col("words"), F.col("text")).items()))
-    voted = measured.where("n_words > 0").select(F.col(f"row.{id_col}").alias("id"), "text", "words", "repeats", *(v.alias(f"vote_{k}") for k, v in judges.items()))
+    voted = measured.where(F.col("text").rlike(SPACE_WORD)).select(F.col(f"row.{id_col}").alias("id"), "text", "words", "repeats", *(v.alias(f"vote_{k}") for k, v in judges.items()))
     names = [f"vote_{k}" for k in judges]
     patterns = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()  # bounded by the labellers
     if not patterns:
@@ -123,4 +122,6 @@ def score_quality(docs: DataFrame, threshold: float = 0.5, max_train: int = MAX_
 
     scored = model.transform(terms(measured))
     quality = F.when(F.col("n_words") > 0, vector_to_array("probability")[1]).otherwise(0.0)
-    return scored.select(*(F.col(f"row.{c}").alias(c) for c in rest), quality.alias("quality")).withColumn("keep", F.col("quality") >= threshold)
+    # one element to explode: a filter on keep would else be moved below the scorer, and all that it reads be computed twice
+    return scored.select(*(F.col(f"row.{c}").alias(c) for c in rest), F.explode(F.array(quality)).alias("quality")).withColumn(
+        "keep", F.col("quality") >= threshold)
