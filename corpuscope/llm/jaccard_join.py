@@ -148,20 +148,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(left_open.join(side(heavy, "a"), "a").join(side(heavy, "b"), "b").mapInArrow(check, "a long, b long"))
 
 
-def apart_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of those groups that have several labels."""
-    apart = rows.groupBy(*keys).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*keys)
-    return rows.join(apart, keys)
+def with_labels(rows: DataFrame, labels: DataFrame, by: str) -> DataFrame:
+    """The rows and the label of the set in column ``by``; a set without links is its own."""
+    named = labels.select(F.col("node").alias(by), F.col("label").alias("_label"))
+    return rows.join(named, by, "left").select(*rows.columns, F.coalesce("_label", by).alias("label"))
 
 
 def open_pairs(named: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) of sets in one tile that have different labels and whose signatures leave room for a link.
+    """Pairs (a, b) of sets in one tile and tree that have different labels and whose signatures leave room for a link.
 
     With ``forest`` a task takes each pair for a link at once and leaves out those that it then joins
     already, the nearest first: a group of near copies gives about one pair for each member."""
     tile_of, parts = ["shingle", "band", "tree"], parts_of(sets.sparkSession)
     bits = sets.select("set", "n_shingles", "signature")
-    rows = stored(apart_rows(named, tile_of))  # a plan of its own: what follows names it twice
+    apart = named.groupBy(*tile_of).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*tile_of)
+    rows = stored(named.join(apart, tile_of))  # a plan of its own: what follows names it twice
     cut = block_pairs(rows, tile_of, "set", BLOCK).join(bits, "set")
     tile = F.xxhash64(*tile_of, "block_a", "block_b")
     members = cut.select(F.pmod(tile, F.lit(parts)).alias("task"), tile.alias("tile"), F.col("block_a").alias("low"),
@@ -196,8 +197,8 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
 
     Tiles hold the sets of one size band, and of the next smaller, that have a shingle in their
     prefixes.  Groups of near copies would give all their pairs, so each tile is first linked through
-    one member, then through trees of near pairs; what is still apart is compared in full.  Sets of different
-    trees have no room for a link, so only those go on that share a tree and not a label."""
+    one member, then through trees of near pairs; what is still apart is compared in full.  A pair that trees left
+    out is open only where they took a pair for a link that is none, so only sets of labels that such pairs join go on."""
     width = float(np.log(100 / percent)) if percent < 100 else 1.0
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)).cast("int")
     tiles = sets.select("set", F.explode(F.array(band, band + 1)).alias("band"), "prefix").select(
@@ -207,24 +208,22 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     center = tiles.groupBy("shingle", "band").agg(F.min_by("set", F.xxhash64("set")).alias("a"))
     pairs = tiles.join(center, ["shingle", "band"]).where("a <> set").select(
         F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b")).distinct()
-    links = verified(pairs, sets, percent)
-    labels = components(links)
-    label = F.coalesce("label", "set").alias("label")
-    named = stored(tiles.join(labels.withColumnRenamed("node", "set"), "set", "left").select("shingle", "band", F.lit(0).cast("long").alias("tree"), "set", label))
+    labels = components(verified(pairs, sets, percent))
+    named = with_labels(tiles, labels, "set").withColumn("tree", F.lit(0).cast("long"))
     for forest in (*[True] * FORESTS, False):
-        near = stored(open_pairs(named, sets, percent, forest))
-        if near.isEmpty():
-            break
-        links = links.union(verified(near, sets, percent))
-        before, labels = labels, components(links)
+        near = stored(open_pairs(stored(named), sets, percent, forest))
+        new = verified(near, sets, percent)
+        if not new.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
         if not forest:
             break
-        trees = components(before.select(F.col("node").alias("a"), F.col("label").alias("b")).union(near)).select(
-            F.col("node").alias("set"), F.col("label").alias("tree"))
-        torn = stored(apart_rows(trees.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "tree", label), ["tree"]))
-        if torn.isEmpty():
+        refuted = stored(with_labels(with_labels(near, labels, "a").withColumnRenamed("label", "x"), labels, "b").where("x <> label").select(
+            F.col("x").alias("a"), F.col("label").alias("b")).distinct())
+        if refuted.isEmpty():
             break
-        named = stored(tiles.join(torn, "set").select("shingle", "band", "tree", "set", "label"))
+        trees = components(refuted).select(F.col("node").alias("label"), F.col("label").alias("tree"))
+        members = labels.select(F.col("node").alias("set"), "label").union(trees.select(F.col("label").alias("set"), "label")).distinct()
+        named = tiles.join(members.join(trees, "label"), "set")
     return labels
 
 

@@ -325,3 +325,27 @@ def test_counting_grams_takes_memory_by_distinct_grams():
         return top
 
     assert peak(24) < 1.4 * peak(6)
+
+
+def test_kept_documents_are_taken_apart_once(spark, capsys):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    quality.score_quality(docs).where("keep").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("\\p{Ll}+") == 1 and plan.count("split(") == 2  # words, and their shapes
+
+
+def test_only_open_sets_are_compared_again(spark, monkeypatch):
+    seen, compared = [], jaccard_join.open_pairs
+    monkeypatch.setattr(jaccard_join, "open_pairs", lambda named, *more: seen.append(named.count()) or compared(named, *more))
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(w if r.random() > 0.025 else f"q{r.randint(0, 9)}" for w in base)) for i in range(40)]
+    jaccard_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert len(seen) == 1 or all(later < seen[0] for later in seen[1:])
+
+
+def test_mix_counts_words_once(spark, odd, monkeypatch):
+    stored, plans = mixing.stored, []  # the ranges are sampled and dealt from what is stored
+    monkeypatch.setattr(mixing, "stored", lambda df: plans.append(df._jdf.queryExecution().toString().count("split(")) or stored(df))
+    mixing.mix_sources(odd).count()
+    assert len(plans) == 1 and plans[0] > 0

@@ -53,3 +53,14 @@ def test_one_of_near_copies_without_distinct_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.keep_one_of_similar(spark, docs, SF).collect()
     assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in kept) == [(0, ""), (0, ""), (0, "a"), (4, "d"), (5, "c"), (7, "b"), (9, " "), (9, " ")]
+
+
+def test_few_contaminated_documents_are_sent_and_not_all_others_dealt(spark, capsys):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        corpus_pipeline.drop_contaminated(spark, docs, SF).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
